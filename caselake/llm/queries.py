@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, quality_rules, warc
+from . import common, jpeg, quality_rules, warc
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,12 +14,17 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(profiled, "doc_id", "source").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_frequent_words")
 
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.with_features(jpeg.with_media(common.table(spark, sf_dir, "documents")))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(common.table(spark, sf_dir, "pages"), common.shared_folder(spark, "op10-warc"))
 
 
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_media_columns": op3_media_columns,
     "op10_warc": op10_warc,
 }
 
