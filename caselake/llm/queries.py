@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, jpeg, quality_rules, warc
+from . import bpe, common, jpeg, quality_rules, warc
+
+
+def tokenizer_path(name: str) -> str:
+    """Where the installed public vocabulary lies, on this machine and every worker."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +25,14 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.with_features(jpeg.with_media(common.table(spark, sf_dir, "documents")))
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("byte_bpe_50k.json")
+    ids = bpe.encode(common.table(spark, sf_dir, "documents"), path, arrays=False)
+    back = bpe.decode(ids, path)
+    size = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
+    return back.select("doc_id", size, F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(common.table(spark, sf_dir, "pages"), common.shared_folder(spark, "op10-warc"))
 
@@ -25,6 +40,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_media_columns": op3_media_columns,
+    "op9_bpe": op9_bpe,
     "op10_warc": op10_warc,
 }
 
