@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, jpeg, packed_ids, quality_rules, substring_dedup, warc
+from . import bpe, common, jpeg, near_dedup, packed_ids, quality_rules, substring_dedup, warc
 
 
 def tokenizer_path(name: str) -> str:
@@ -30,6 +30,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.factors(docs).select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("factors").alias("n_factors"))
 
 
+def op7_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(common.table(spark, sf_dir, "documents"))
+
+
 def op8_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     return packed_ids.round_trip(docs, common.shared_folder(spark, "op8-ids"), tokenizer_path("word_bpe_49k.json"), end_id=1)
@@ -51,6 +55,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_media_columns": op3_media_columns,
     "op5_substring_dedup": op5_substring_dedup,
+    "op7_probminhash": op7_probminhash,
     "op8_packed_ids": op8_packed_ids,
     "op9_bpe": op9_bpe,
     "op10_warc": op10_warc,
