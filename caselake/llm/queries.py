@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, jpeg, near_dedup, packed_ids, quality_rules, substring_dedup, warc
+from . import bpe, common, jpeg, mixing, near_dedup, packed_ids, quality_model, quality_rules, substring_dedup, warc
+
+#: Shares of the mix; sources that aren't named share `other`.
+TARGETS = mixing.Targets({"src0": 12, "src1": 9, "src2": 7, "src3": 6, "src4": 5}, other=61)
 
 
 def tokenizer_path(name: str) -> str:
@@ -25,11 +28,20 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.with_features(jpeg.with_media(common.table(spark, sf_dir, "documents")))
 
 
+def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     return substring_dedup.factors(docs).select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("factors").alias("n_factors"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = mixing.mixed(common.table(spark, sf_dir, "documents"), TARGETS)
+    return made.select("doc_id", "source", "slot", "block", "offset")
+
+
 def op7_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(common.table(spark, sf_dir, "documents"))
 
@@ -54,7 +66,9 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_media_columns": op3_media_columns,
+    "op4_quality_model": op4_quality_model,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_mixing": op6_mixing,
     "op7_probminhash": op7_probminhash,
     "op8_packed_ids": op8_packed_ids,
     "op9_bpe": op9_bpe,
