@@ -30,7 +30,7 @@ from .common import slices, text_bytes
 SPACES = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 #: Entries of a worker's two caches.
-CACHE = 500_000
+CACHE = 250_000
 NEVER = np.iinfo(np.int32).max
 CLASSES = (8, 16, 32, 64)
 
