@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, jpeg, mixing, near_dedup, packed_ids, quality_model, quality_rules, substring_dedup, warc
+from . import bpe, common, jpeg, mixing, near_dedup, packed_ids, quality_model, quality_rules, secret_scan, substring_dedup, warc
 
 #: Shares of the mix; sources that aren't named share `other`.
 TARGETS = mixing.Targets({"src0": 12, "src1": 9, "src2": 7, "src3": 6, "src4": 5}, other=61)
@@ -18,6 +18,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = tokenizer_path("word_bpe_49k.json")
+    return secret_scan.scan(common.table(spark, sf_dir, "documents"), secret_scan.made_model(spark, words), words)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     profiled = common.written(quality_rules.profiles(docs, "text", ["doc_id", "source"]), "op2-profiles")
@@ -64,6 +69,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_quality_rules": op2_quality_rules,
     "op3_media_columns": op3_media_columns,
     "op4_quality_model": op4_quality_model,

@@ -1,0 +1,259 @@
+"""Secret scans: candidate strings from whole texts, and a random forest that removes false positives.
+
+A candidate is a run of letters, digits and `+/_-` (ASCII) that has LONG characters or more with a digit and a letter among
+them, or that an `=` or `:` assigns and that has SHORT characters or more. Candidates are rare, so only they move on: each
+gets FEATURES numbers (length, transitions between character kinds, coverage by dictionary words, what the path and the
+neighbouring words say), and Spark ML's forest, fitted to labelled findings, gives the probability of a secret.
+
+Labelled findings are a table (candidate, before, after, path, label). Without one of your own, `made_findings` makes a
+fixed number of them from public key formats and common look-alikes.
+
+Defined results: null and empty texts have no candidates; a null path is an empty path; repeated rows have equal findings
+each; places are code points of the text; an empty table gives no findings; extra columns are ignored, and kept by `redacted`.
+"""
+
+from __future__ import annotations
+
+import json
+import math
+import random
+import re
+import uuid
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import free_name, slices, text_bytes, written
+
+LONG, SHORT = 16, 8
+AROUND = 80  # bytes of neighbouring words on either side
+THRESHOLD = 0.5
+MASK = "[SECRET]"
+
+# fixed values: words that speak for a secret or against one, and public key prefixes
+FOR = ["token", "secret", "password", "passwd", "pwd", "key", "apikey", "auth", "bearer", "credential", "private", "access"]
+AGAINST = ["commit", "sha", "sha1", "sha256", "md5", "hash", "checksum", "digest", "etag", "uuid", "guid", "id", "version", "build", "revision", "base64", "integrity", "example", "sample", "dummy", "placeholder", "test"]
+PREFIXES = ["AKIA", "ASIA", "ghp_", "gho_", "ghs_", "glpat-", "xoxb-", "xoxp-", "sk_live_", "rk_live_", "AIza", "eyJ"]
+HARMLESS_PATH = ["test", "tests", "example", "examples", "sample", "samples", "doc", "docs", "mock", "fixture", "fixtures", "vendor"]
+
+KINDS = np.zeros(256, np.uint8)
+KINDS[list(range(48, 58))] = 1
+KINDS[list(range(65, 91)) + list(range(97, 123))] = 2
+KINDS[list(b"+/_-")] = 3
+
+
+def candidates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte start, byte end and text of each candidate."""
+    kind = KINDS[data]
+    on = kind > 0
+    start, end = on.copy(), on.copy()
+    start[1:] &= ~on[:-1]
+    end[:-1] &= ~on[1:]
+    inner = offsets[1:-1]
+    inner = inner[(inner > 0) & (inner < len(data))]
+    start[inner] = on[inner]
+    end[inner - 1] = on[inner - 1]
+    a, b = np.flatnonzero(start), np.flatnonzero(end) + 1
+    long = b - a >= SHORT
+    a, b = a[long], b[long]
+    digits, letters = (np.concatenate([[0], np.cumsum(kind == k)]) for k in (1, 2))
+    mixed = (b - a >= LONG) & (digits[b] > digits[a]) & (letters[b] > letters[a])
+    back = a - 1
+    skip = np.zeros(256, bool)
+    skip[list(b" \"'`")] = True
+    text = np.searchsorted(offsets, a, side="right") - 1
+    for _ in range(3):
+        here = back >= offsets[text]
+        back = np.where(here & skip[data[np.maximum(back, 0)]], back - 1, back)
+    sign = data[np.maximum(back, 0)]
+    assigned = (back >= offsets[text]) & ((sign == ord("=")) | (sign == ord(":"))) & (letters[b] > letters[a])
+    found = mixed | assigned
+    return a[found], b[found], text[found]
+
+
+NAMES = ["length", "log_length", "transitions", "kinds", "distinct", "entropy", "digits", "upper", "hex", "longest_letters", "coverage", "prefix", "assigned", "for_words", "against_words", "path", "repeats", "ordered", "breaks"]
+
+
+def dictionary(path: str) -> frozenset[str]:
+    """Words of four letters or more in a public vocabulary file."""
+    if path not in _DICTIONARIES:
+        with open(path, encoding="utf-8") as f:
+            vocab = json.load(f)["model"]["vocab"]
+        _DICTIONARIES[path] = frozenset(w for t in vocab if len(w := t.removesuffix("</w>").lstrip("Ġ").lower()) >= 4 and w.isascii() and w.isalpha() and (t.endswith("</w>") or t.startswith("Ġ")))
+    return _DICTIONARIES[path]
+
+
+_DICTIONARIES: dict[str, frozenset[str]] = {}
+
+
+def covered(text: str, words: frozenset[str]) -> int:
+    """Letters of the text inside dictionary words, the longest word first at each place."""
+    total, low = 0, text.lower()
+    for run in re.findall("[a-z]{4,}", low):
+        at = 0
+        while at < len(run) - 3:
+            n = next((n for n in range(min(16, len(run) - at), 3, -1) if run[at : at + n] in words), 0)
+            total += n
+            at += n or 1
+    return total
+
+
+def features(candidate: str, before: str, after: str, path: str, words: frozenset[str]) -> list[float]:
+    n = len(candidate)
+    kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o" for c in candidate]
+    count = Counter(candidate)
+    near = re.findall("[a-z0-9]+", (before[-AROUND:] + " " + after[:AROUND]).lower())
+    close = re.findall("[a-z0-9]+", before[-24:].lower())[-2:]
+    steps = [ord(b) - ord(a) for a, b in zip(candidate, candidate[1:])]
+    return [
+        float(min(n, 4096)),
+        math.log(n),
+        sum(a != b for a, b in zip(kinds, kinds[1:])) / max(1, n - 1),
+        float(len(set(kinds))),
+        len(count) / n,
+        -sum(c / n * math.log2(c / n) for c in count.values()),
+        kinds.count("d") / n,
+        kinds.count("u") / n,
+        float(re.fullmatch("[0-9a-fA-F]+", candidate) is not None),
+        max((len(r) for r in re.findall("[A-Za-z]+", candidate)), default=0) / n,
+        covered(candidate, words) / n,
+        float(candidate.startswith(tuple(PREFIXES))),
+        float(re.search("[=:][ \"'`]{0,3}\\Z", before) is not None),
+        float(sum(any(w.endswith(k) for k in FOR) for w in close)),
+        float(sum(w in AGAINST for w in near)),
+        float(any(p in HARMLESS_PATH for p in re.findall("[a-z0-9]+", path.lower()))),
+        max(count.values()) / n,
+        sum(s in (0, 1) for s in steps) / max(1, len(steps)),
+        sum(c in "/_-+" for c in candidate) / n,
+    ]
+
+
+def made_findings(n: int = 4000, seed: int = 3) -> list[tuple[str, str, str, str, int]]:
+    """n labelled findings (candidate, before, after, path, label), half of them secrets, from public formats."""
+    rng = random.Random(seed)
+    hexes, upper = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    base62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    take = lambda letters, k: "".join(rng.choice(letters) for _ in range(k))
+    syllables = ["ing", "the", "ton", "er", "an", "re", "qua", "lis", "mor", "ed", "ver", "ich", "con", "al", "est", "ou", "pre", "man", "ti", "dor"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randrange(1, 4)))
+    common = ["release", "update", "report", "server", "python", "module", "index", "article", "content", "image", "group", "value", "return", "system", "number", "example", "project", "summer"]
+    prose = lambda: " ".join(word() for _ in range(rng.randrange(0, 7)))
+    names = ["token", "password", "passwd", "secret", "api_key", "apikey", "access_key", "client_secret", "auth_token", "private_key"]
+    assign = lambda name: f"{name}{rng.choice(['=', ': ', ' = ', '=' + chr(34), ' = ' + chr(34), ': ' + chr(39)])}"
+    out = []
+    for k in range(n):
+        before, after, path = prose() + " ", " " + prose(), rng.choice(["", "src3", "src/app/config.py", "deploy/prod.env", "web/page.html", "docs/guide.md", "tests/test_api.py"])
+        if k % 2:
+            kind = rng.randrange(6)
+            value = [
+                "AKIA" + take(upper + "0189", 16),
+                take(hexes, rng.choice([32, 40, 64])),
+                take(hexes, rng.randrange(12, 30)),
+                take(base62, rng.randrange(12, 48)),
+                rng.choice(["ghp_", "sk_live_", "xoxb-"]) + take(base62, 36),
+                take(base62 + "+/", rng.choice([40, 44, 64])),
+            ][kind]
+            if kind not in (0, 4):
+                before += assign(rng.choice(names))
+            if path.startswith(("tests", "docs")):
+                path = "src/app/config.py"
+        else:
+            kind = rng.randrange(10)
+            some = lambda k, sep: sep.join(rng.choice(common) for _ in range(k))
+            value, lead = [
+                (take(hexes, rng.choice([32, 40, 64])), rng.choice(["commit ", "sha1: ", "md5: ", "checksum: ", "etag=", "integrity: "])),
+                (str(uuid.UUID(int=rng.getrandbits(128))), rng.choice(["id: ", "uuid=", "guid ", ""])),
+                (f"{some(2, '-')}-{rng.randrange(2030)}-{some(2, '-')}", rng.choice(["", "/", "href="])),
+                (f"{some(3, '/')}/{rng.randrange(99)}", rng.choice(["", "path=", "/usr/"])),
+                (f"{some(2, '_')}_{word()}{rng.randrange(999)}", rng.choice(["", "name=", "id: "])),
+                (rng.choice(["your_api_key_here1", "changeme123", "password123", "example-token-1", "x" * 20 + "1", "EXAMPLEKEY0000000000", "insert_token_here_2", "0000000000000000a"]), assign(rng.choice(names))),
+                (f"{rng.randrange(1990, 2030)}-{rng.randrange(10, 13)}-{rng.randrange(10, 29)}T{rng.randrange(10, 24)}", rng.choice(["date: ", "", "at="])),
+                (word() + word() + word() + word(), rng.choice(["note: ", "title=", "name: "])),
+                (some(3, "").title().replace("e", "e", 1) + str(rng.randrange(99)) + "Async", ""),
+                (take(base62 + "+/", rng.randrange(200, 900)), "data:image/png;base64,"),
+            ][kind]
+            before += lead
+        out.append((value, before, after, path, k % 2))
+    return out
+
+
+def _with_features(df: DataFrame, words_path: str, keep: list[str]) -> DataFrame:
+    """`keep` and features of rows (candidate, before, after, path)."""
+    kept = df.select(*keep, "candidate", "before", "after", "path")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[: len(keep)]), "features array<double>"])
+
+    def batches(it):
+        words = dictionary(words_path)
+        for batch in it:
+            made = [features(c, b or "", a or "", p or "", words) for c, b, a, p in zip(*(x.to_pylist() for x in batch.columns[len(keep) :]), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(made, pa.list_(pa.float64()))], names=[*keep, "features"])
+
+    return kept.mapInArrow(batches, schema)
+
+
+def fit(findings: DataFrame, words_path: str, trees: int = 40, depth: int = 8, seed: int = 5) -> RandomForestClassificationModel:
+    """A forest from labelled findings (candidate, before, after, path, label)."""
+    rows = _with_features(findings.where("candidate is not null and candidate != '' and label is not null"), words_path, ["label"])
+    ready = rows.select(F.col("label").cast("double").alias("label"), array_to_vector("features").alias("features"))
+    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featuresCol="features", labelCol="label").fit(ready)
+
+
+def made_model(spark, words_path: str) -> RandomForestClassificationModel:
+    table = spark.createDataFrame(made_findings(), "candidate string, before string, after string, path string, label int")
+    return fit(table.coalesce(1), words_path)
+
+
+def found(docs: DataFrame, text: str, path: str, keep: list[str]) -> DataFrame:
+    """`keep`, start, n_chars, candidate, before, after and path of every candidate in the whole texts."""
+    kept = docs.select(*keep, F.col(text).alias("__text"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("__path"))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[: len(keep)]), "start long, n_chars long, candidate string, before string, after string, path string"])
+
+    def batches(it):
+        for batch in it:
+            data, offsets = text_bytes(batch.column(len(keep)))
+            for i, j in slices(offsets):
+                part, place = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                a, b, text_of = candidates(part, place)
+                if not len(a):
+                    continue
+                points = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
+                raw = part.tobytes()
+                cut = lambda x, y: raw[x:y].decode("utf-8", "ignore")  # noqa: B023, E731
+                low, high = place[text_of], place[text_of + 1]
+                rows = pa.array(i + text_of)
+                made = [
+                    pa.array(points[a] - points[low]),
+                    pa.array(points[b] - points[a]),
+                    pa.array([cut(x, y) for x, y in zip(a.tolist(), b.tolist())], pa.string()),
+                    pa.array([cut(max(x - AROUND, z), x) for x, z in zip(a.tolist(), low.tolist())], pa.string()),
+                    pa.array([cut(y, min(y + AROUND, z)) for y, z in zip(b.tolist(), high.tolist())], pa.string()),
+                ]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(rows) for k in range(len(keep))), *made, batch.column(len(keep) + 1).take(rows)], names=[*keep, "start", "n_chars", "candidate", "before", "after", "path"])
+
+    return kept.mapInArrow(batches, schema)
+
+
+def scan(docs: DataFrame, model: RandomForestClassificationModel, words_path: str, text: str = "text", path: str = "source", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """`keep`, start, n_chars, score and secret of every candidate."""
+    own = [*keep, "start", "n_chars"]
+    rows = _with_features(found(docs, text, path, list(keep)), words_path, own).withColumn("features", array_to_vector("features"))
+    scored = model.transform(rows).withColumn("score", F.round(vector_to_array("probability")[1], 9))
+    return scored.select(*own, "score", (F.col("score") >= THRESHOLD).alias("secret"))
+
+
+def redacted(docs: DataFrame, model: RandomForestClassificationModel, words_path: str, doc_id: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
+    """docs with MASK in the place of every secret; all rows and columns stay."""
+    hashed = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tag"), F.col(text).alias("text"), F.col(path).alias("path"))
+    spans = scan(hashed, model, words_path, "text", "path", ("doc_id", "tag")).where("secret").groupBy("doc_id", "tag").agg(F.sort_array(F.collect_set(F.struct("start", "n_chars"))).alias("spans"))
+    spans = written(spans, "secrets").alias("s")
+    tag, cuts = free_name(docs, "__tag"), free_name(docs, "__spans")
+    marked = docs.withColumn(tag, F.xxhash64(F.coalesce(F.col(text), F.lit("")))).alias("d")
+    joined = marked.join(spans, F.col(f"d.{doc_id}").eqNullSafe(F.col("s.doc_id")) & (F.col(f"d.{tag}") == F.col("s.tag")), "left").select("d.*", F.col("s.spans").alias(cuts))
+    # from the right, so that the places to the left stay true
+    masked = F.aggregate(F.reverse(cuts), F.col(text), lambda t, s: F.concat(F.substring(t, F.lit(1), s.start.cast("int")), F.lit(MASK), F.substring(t, (s.start + s.n_chars + 1).cast("int"), F.length(t))))
+    return joined.withColumn(text, F.when(F.col(cuts).isNotNull(), masked).otherwise(F.col(text))).select(*docs.columns)
