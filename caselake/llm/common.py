@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that the numpy helpers look at together; one longer text is looked at alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 WORD = r"[^\x20\x09-\x0D]+"
 
