@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import relational, retrieval, texts
+
+QUERIES = {**texts.QUERIES, **relational.QUERIES, **retrieval.QUERIES}
+ORACLES = {**texts.ORACLES, **relational.ORACLES, **retrieval.ORACLES}
