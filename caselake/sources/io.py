@@ -55,8 +55,9 @@ def flatten_record(records: DataFrame) -> DataFrame:
 
 def read_case_texts(spark: SparkSession, folder: str, cases: DataFrame, pattern: str = "*.txt") -> DataFrame:
     """case_id, text and failure: a case's file by its name in the folder; an absent file is a failure of that case alone."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(folder)
-    named = files.select(F.regexp_extract(F.col("_metadata.file_path"), "[^/]+$", 0).alias("__name"), F.col("value").alias("text"))
+    # as bytes, so that a file's text is exactly what it holds
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
+    named = files.select(F.regexp_extract("path", "[^/]+$", 0).alias("__name"), F.decode("content", "UTF-8").alias("text"))
     wanted = cases.select("case_id", F.regexp_extract(F.coalesce("text_path", F.lit("")), "[^/]+$", 0).alias("__name"))
     return wanted.join(named, "__name", "left").select("case_id", "text", F.when(F.col("text").isNull(), "missing_file").alias("failure"))
 
