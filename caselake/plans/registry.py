@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import relational, retrieval, texts
+from . import derived, relational, retrieval, texts
 
-QUERIES = {**texts.QUERIES, **relational.QUERIES, **retrieval.QUERIES}
-ORACLES = {**texts.ORACLES, **relational.ORACLES, **retrieval.ORACLES}
+QUERIES = {**texts.QUERIES, **derived.QUERIES, **relational.QUERIES, **retrieval.QUERIES}
+ORACLES = {**texts.ORACLES, **derived.ORACLES, **relational.ORACLES, **retrieval.ORACLES}
