@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Similarity
 from .embed import case_centroids
-from .search import dot_products
+from .search import BLOCK, dot_products
 
 MOST = 20
 
@@ -41,60 +45,83 @@ def signatures(profiles: DataFrame, text: Column, rules: Similarity = Similarity
     return profiles.select("case_id", "case_number", "decision_date", part("dispute_type").alias("type"), part("decision_result").alias("result"), part("decision_category").alias("category"), term_bits(text, rules).alias("bits"))
 
 
-def pair_score(rules: Similarity = Similarity(), a: str = "a", b: str = "b") -> Column:
-    """Score of two signatures; a null never equals anything."""
-    same = lambda c, w: F.when(F.col(f"{a}.{c}") == F.col(f"{b}.{c}"), w).otherwise(0)
-    terms = F.bit_count(F.col(f"{a}.bits").bitwiseAND(F.col(f"{b}.bits")))
-    return same("type", rules.same_type) + same("result", rules.same_result) + same("category", rules.same_category) + F.least(terms * rules.per_term, F.lit(rules.most_terms))
+SIGNATURE = ["type", "result", "category", "bits"]
 
 
-def similar_cases_topk(signed: DataFrame, limit: int = 5, rules: Similarity = Similarity()) -> DataFrame:
-    """(case_id, rank, similar_id, score, reasons, total_candidates) of every case, by score, date and number, all descending.
+def _sides(signed: DataFrame, sources: DataFrame | None, limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(asked cases with sig, distinct asked signatures, candidates): of one signature only limit + 1 candidates can be needed.
 
-    Cases with the same (type, result, category, terms) are one signature. Signatures are scored against each other, which
-    is bounded by how many there are, and each keeps the members that its limit can need: `limit` + 1 by date and number.
-    A signature's pairs are found by block of what they share (type, result, category or a term), so no pair without a
-    score is made. Only the best signatures, until their members fill the limit, are expanded.
+    Candidates are in the order that breaks ties; the first of a signature carries the number of its cases.
     """
-    limit = min(max(limit, 1), MOST)
-    key = ["type", "result", "category", "bits"]
-    named = F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in key))
-    rows = signed.withColumn("sig", named)
+    codes = [F.xxhash64(c).alias(f"{c}_code") if c != "bits" else F.col("bits").alias("bits_code") for c in SIGNATURE]
+    known = [F.col(c).isNotNull().alias(f"{c}_known") for c in SIGNATURE[:3]]
+    rows = signed.select("case_id", "case_number", "decision_date", *codes, *known).withColumn("sig", F.xxhash64(*(f"{c}_code" for c in SIGNATURE), *(f"{c}_known" for c in SIGNATURE[:3])))
     order = Window.partitionBy("sig").orderBy(F.desc_nulls_last("decision_date"), F.desc_nulls_last("case_number"), "case_id")
-    members = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit + 1)
-    sigs = rows.groupBy("sig", *key).agg(F.count(F.lit(1)).alias("n"))
-    block = F.array_compact(
-        F.array(
-            *(F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}="), F.col(c))) for c in ("type", "result", "category")),
-            *(F.when(F.col("bits").bitwiseAND(F.lit(1 << k)) != 0, F.lit(f"term={k}")) for k in range(len(rules.lexicon))),
-        )
-    )
-    blocked = sigs.withColumn("block", F.explode(block))
-    a, b = blocked.alias("a"), blocked.alias("b")
-    pairs = a.join(b, F.col("a.block") == F.col("b.block")).select(F.col("a.sig").alias("sig"), F.col("b.sig").alias("other"), pair_score(rules).alias("score"), F.col("b.n").alias("n"), F.col("a.bits").bitwiseAND(F.col("b.bits")).alias("common"), (F.col("a.type") == F.col("b.type")).alias("t"), (F.col("a.result") == F.col("b.result")).alias("r"), (F.col("a.category") == F.col("b.category")).alias("c")).where("score > 0").dropDuplicates(["sig", "other"])
-    totals = pairs.groupBy("sig").agg((F.sum("n") - F.max(F.when(F.col("sig") == F.col("other"), 1).otherwise(0))).alias("total_candidates"))
-    # a signature matters while those with strictly better scores hold fewer members than the limit (and the case itself)
-    better = Window.partitionBy("sig").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
-    by_score = pairs.groupBy("sig", "score").agg(F.sum("n").alias("n")).withColumn("ahead", F.coalesce(F.sum("n").over(better), F.lit(0)))
-    useful = pairs.join(by_score.where(F.col("ahead") <= limit).select("sig", "score"), ["sig", "score"])
-    expanded = useful.join(members.select(F.col("sig").alias("other"), F.col("case_id").alias("similar_id"), "decision_date", "case_number"), "other")
-    best = Window.partitionBy("sig").orderBy(F.desc("score"), F.desc_nulls_last("decision_date"), F.desc_nulls_last("case_number"), "similar_id")
-    ranked = expanded.withColumn("place", F.row_number().over(best)).where(F.col("place") <= limit + 1)
-    own = rows.select("case_id", "sig").join(ranked, "sig").where("case_id != similar_id")
-    final = Window.partitionBy("case_id").orderBy("place")
+    counts = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
+    members = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit + 1).join(counts, "sig").withColumn("weight", F.when(F.col("place") == 1, F.col("n")).otherwise(0))
+    asked = rows if sources is None else rows.join(sources.select("case_id"), "case_id", "left_semi")
+    return asked.select("case_id", "sig"), asked.dropDuplicates(["sig"]), members
+
+
+def similar_cases_topk(signed: DataFrame, limit: int = 5, rules: Similarity = Similarity(), sources: DataFrame | None = None) -> DataFrame:
+    """(case_id, rank, similar_id, score, reasons, total_candidates) of each source (all cases by default).
+
+    The order is score, date and number, all descending, then id. Cases alike in type, result, category and terms are one
+    signature. Blocks of asked signatures meet blocks of candidates as arrays; a block gives back, for each signature, its
+    best limit + 1 candidates and how many cases have any score, so no pair is a row before that.
+    """
+    limit = min(max(limit, 1), MOST)
+    asked, wanted, members = _sides(signed, sources, limit)
+    packed = ["sig", *(f"{c}_code" for c in SIGNATURE), *(f"{c}_known" for c in SIGNATURE[:3])]
+    n_wanted, n_members = max(1, -(-wanted.count() // BLOCK)), max(1, -(-members.count() // BLOCK))
+    left = wanted.groupBy(F.pmod("sig", F.lit(n_wanted)).alias("a")).agg(F.collect_list(F.struct(*packed)).alias("left"))
+    right = members.groupBy(F.pmod(F.xxhash64("case_id"), F.lit(n_members)).alias("b")).agg(F.collect_list(F.struct(*packed, "case_id", "decision_date", "case_number", "weight")).alias("right"))
+    pairs = right.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(n_wanted - 1)).cast("array<bigint>"))).join(left, "a").select("left", "right")
+    case = signed.schema["case_id"].dataType.simpleString()
+
+    def best(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for a, b in zip(pdf["left"], pdf["right"], strict=True):
+                a, b = (pd.DataFrame([x.asDict() if hasattr(x, "asDict") else x for x in rows]) for rows in (a, b))
+                b = b.sort_values("case_id").sort_values(["decision_date", "case_number"], ascending=False, na_position="last", kind="stable").reset_index(drop=True)
+                common = np.bitwise_and.outer(a["bits_code"].to_numpy(np.int64), b["bits_code"].to_numpy(np.int64))
+                score = np.minimum(np.bitwise_count(common).astype(np.int64) * rules.per_term, rules.most_terms)
+                for c, w in zip(SIGNATURE, (rules.same_type, rules.same_result, rules.same_category), strict=False):
+                    both = np.logical_and.outer(a[f"{c}_known"].to_numpy(bool), b[f"{c}_known"].to_numpy(bool))
+                    score += w * (both & np.equal.outer(a[f"{c}_code"].to_numpy(np.int64), b[f"{c}_code"].to_numpy(np.int64)))
+                total = (score > 0) @ b["weight"].to_numpy(np.int64)
+                order = score * len(b) - np.arange(len(b))  # among equal scores the first candidate
+                k = min(limit + 1, len(b))
+                top = np.argpartition(-order, k - 1, axis=1)[:, :k]
+                row = np.repeat(np.arange(len(a)), k)
+                flat = top.ravel()
+                out = pd.DataFrame({"sig": a["sig"].to_numpy()[row], "similar_id": b["case_id"].to_numpy()[flat], "decision_date": b["decision_date"].to_numpy()[flat], "case_number": b["case_number"].to_numpy()[flat], "score": score[row, flat], "common": common[row, flat], "total": 0})
+                for c in SIGNATURE[:3]:
+                    out[f"same_{c}"] = a[f"{c}_known"].to_numpy(bool)[row] & b[f"{c}_known"].to_numpy(bool)[flat] & (a[f"{c}_code"].to_numpy()[row] == b[f"{c}_code"].to_numpy()[flat])
+                first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+                out.loc[first, "total"] = total
+                yield out
+
+    schema = f"sig long, similar_id {case}, decision_date string, case_number string, score long, common long, total long, same_type boolean, same_result boolean, same_category boolean"
+    found = pairs.mapInPandas(best, schema)
+    order = Window.partitionBy("sig").orderBy(F.desc("score"), F.desc_nulls_last("decision_date"), F.desc_nulls_last("case_number"), "similar_id")
+    ranked = found.withColumn("total", F.sum("total").over(Window.partitionBy("sig"))).withColumn("place", F.row_number().over(order)).where((F.col("place") <= limit + 1) & (F.col("score") > 0))
+    own = asked.join(ranked, "sig").where("case_id != similar_id")
     terms = shared_terms(F.col("common"), F.col("common"), rules)
-    reasons = F.array_compact(F.array(F.when(F.col("t"), "same_type"), F.when(F.col("r"), "same_result"), F.when(F.col("c"), "same_category"), F.when(F.size(terms) > 0, F.concat(F.lit("terms:"), F.array_join(terms, ",")))))
-    out = own.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= limit)
-    return out.join(totals, "sig").select("case_id", "rank", "similar_id", F.col("score").cast("double").alias("score"), reasons.alias("reasons"), "total_candidates")
+    reasons = F.array_compact(F.array(*(F.when(F.col(f"same_{c}"), F.lit(f"same_{c}")) for c in SIGNATURE[:3]), F.when(F.size(terms) > 0, F.concat(F.lit("terms:"), F.array_join(terms, ",")))))
+    out = own.withColumn("rank", F.row_number().over(Window.partitionBy("case_id").orderBy("place"))).where(F.col("rank") <= limit)
+    # the case itself has a score with itself wherever it has any feature, and then it was counted
+    return out.select("case_id", "rank", "similar_id", F.col("score").cast("double").alias("score"), reasons.alias("reasons"), (F.col("total") - 1).alias("total_candidates"))
 
 
-def similar_quality(similar: DataFrame, cases: DataFrame, k: int = 5) -> DataFrame:
-    """One row: how often the first and the first k related cases have the case's own type."""
+def similar_quality(similar: DataFrame, cases: DataFrame, k: int = 5, sources: DataFrame | None = None) -> DataFrame:
+    """One row: how often the first and the first k related cases have the own type of each source (all cases by default)."""
     types = cases.select("case_id", "dispute_type")
     others = types.select(F.col("case_id").alias("similar_id"), F.col("dispute_type").alias("other_type"))
     hits = similar.where(F.col("rank") <= k).join(others, "similar_id").join(types, "case_id").withColumn("same", (F.col("dispute_type") == F.col("other_type")).cast("int"))
     per = hits.groupBy("case_id").agg(F.sum("same").alias("same"), F.max(F.when(F.col("rank") == 1, F.col("same"))).alias("first"))
-    every = types.join(per, "case_id", "left").na.fill(0, ["same", "first"])
+    wanted = types if sources is None else types.join(sources.select("case_id"), "case_id", "left_semi")
+    every = wanted.join(per, "case_id", "left").na.fill(0, ["same", "first"])
     return every.agg(
         F.count(F.lit(1)).alias("cases"), F.sum("first").alias("top1_same_type"), F.round(F.avg("first"), 4).alias("top1_rate"),
         F.sum((F.col("same") > 0).cast("int")).alias("topk_has_same_type"), F.round(F.avg("same"), 4).alias("avg_same_in_topk"), F.min("same").alias("min_same_in_topk"),
