@@ -4,13 +4,15 @@ A text's weighted set holds its distinct five-word shingles, a shingle found c t
 five words is one shingle). Every shingle has a Poisson process whose rate is its weight and whose random stream its
 hash; each arrival falls into one of SLOTS slots, and a slot keeps the shingle that arrives first. A text's processes
 stop once an arrival is later than every slot's first. Two texts agree in a slot with the probability Jaccard similarity
-of their weighted sets; BANDS bands of four slots find pairs of similarity 0.8 with a chance of 1 - 5e-8.
+of their weighted sets; BANDS bands of six slots find pairs of similarity 0.8 with a chance of 1 - 6e-5.
 
 Verification compares the whole texts: the Jaccard similarity of their distinct shingles is at least `threshold`. Equal
 word sequences are one node from the start. A band's members are not paired with each other: each is compared with
-the member that collides most in the corpus, then, as long as that helps, with other leaders; only members that are still
-in different classes are compared one by one, so no link between members of a band is lost. Classes are the connected components;
-they are found by label propagation over written tables, never on the driver. A class is named by its least id.
+the member that collides most in the corpus, then, as long as that helps, with other leaders. What a band still holds in
+different classes mostly shares a passage that many documents have. Of two sets so similar, each has one of the
+other's rarest shingles among its own rarest few, so the rest is grouped by these instead: members go through
+leaders again, and only those still apart are compared one by one. No link between members of a band is lost. Classes are
+the connected components, found by label propagation over written tables, never on the driver; the least id names a class.
 
 Defined results: null and empty texts have the same (empty) word sequence and form one class without near copies; a
 null id is the least; repeated rows share a class; an empty table has no classes; other columns don't matter. Nodes
@@ -19,19 +21,23 @@ are named by 64-bit hashes of their word sequences: among 10^9 texts two share a
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import _rolled, Words, free_name, mix64, phrase_hashes, slices, text_bytes, word_hashes, written
 
 SHINGLE = 5
-SLOTS = 128
+SLOTS = 192
 BANDS = 32
 THRESHOLD = 0.8
-#: Leaders that every member of a band is compared with before the rest is compared one by one.
-LEADER_ROUNDS = 4
+#: Most leaders that the members of a group are compared with before what is still apart is looked at more closely.
+LEADER_ROUNDS = 3
+#: Sizes of sets whose overlaps are bounded together differ by this factor at most.
+SIZE_STEP = 1.02
 NO_ID = -(1 << 63)
 
 
@@ -150,6 +156,88 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _against_leader(group: DataFrame, order: F.Column) -> DataFrame:
+    """Each member (key, node, n, component) with its group's leader, if that is of another component."""
+    leader = written(group.groupBy("key").agg(F.max(F.struct(order.alias("o"), "node", "n", "component")).alias("l")), "leaders")
+    both = group.join(leader, "key").where("component != l.component")
+    return both.select(F.col("node").alias("u"), F.col("l.node").alias("v"), F.col("n").alias("nu"), F.col("l.n").alias("nv"))
+
+
+def _by_leaders(group: DataFrame, edges: DataFrame | None, texts: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(edges, components, members of groups that are still apart, or None) after comparing members with leaders.
+
+    The first leader is the node of the highest degree, the next ones follow a hash; it ends when a round helps little.
+    """
+    every, before = group.drop("component"), None
+    for turn in range(LEADER_ROUNDS):
+        order = F.col("degree") if turn == 0 else F.xxhash64("node", F.lit(turn))
+        more = linked(_against_leader(group, order), texts, threshold).select("u", "v")
+        edges = written(more if edges is None else edges.union(more), "edges")
+        found = components(edges)
+        named = every.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        apart = written(named.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1").select("key"), "open-keys")
+        group = written(named.join(apart, "key", "left_semi"), "open-groups")
+        left = group.count()
+        if not left:
+            return edges, found, None
+        if before is not None and left > 0.8 * before:
+            break
+        before = left
+    return edges, found, group
+
+
+def _overlap(n: F.Column, m: F.Column, threshold: float) -> F.Column:
+    """The least common shingles of similar sets of n and m shingles; a little less, so that rounding never raises it."""
+    both = F.ceil(threshold / (1 + threshold) * (n + m) - 1e-6)
+    return F.greatest(both, F.ceil(threshold * n - 1e-6), F.ceil(threshold * m - 1e-6))
+
+
+def _size_class(n: F.Column) -> F.Column:
+    return F.floor(F.log(n) / math.log(SIZE_STEP) + 1e-9)
+
+
+def _rare_shingles(open_: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(key, node, n, degree, place) of the shingles that a similar set must share one of: each node's rarest ones.
+
+    Order is by the number of open nodes with the shingle, then its hash. Sets of n and m shingles have at least o =
+    _overlap(n, m) in common, so the first common one is among the first n - o + 1 of the one and m - o + 1 of the other.
+    A key is a shingle with the size classes of both sides, and o is that of the class's smallest partner. Shingles that
+    only one node has fill its first places and match nothing: a copy with more edits than o allows meets nobody,
+    however many copies of the same text there are.
+    """
+    nodes = open_.select("node", "n", "degree").distinct()
+
+    def batches(it):
+        for batch in it:
+            for i in range(0, len(batch), 256):
+                part = batch.slice(i, 256)
+                words = Words(*text_bytes(part.column(1)))
+                element, _, first = shingles(words, word_hashes(words))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.repeat(np.arange(len(part)), np.diff(first)))), pa.array(element.view(np.int64))], names=["node", "shingle"])
+
+    rows = texts.join(nodes.select("node"), "node", "left_semi").select("node", "text").mapInArrow(batches, "node long, shingle long")
+    often = written(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shingle-counts")
+    shared = rows.join(often, "shingle")
+    order = Window.partitionBy("node").orderBy("df", "shingle")
+    placed = shared.withColumn("rank", F.row_number().over(order)).withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("node"))).join(nodes, "node")
+    n = F.col("n")
+    placed = placed.withColumn("place", n - F.col("shared") + F.col("rank")).where(F.col("place") <= n - F.ceil(threshold * n - 1e-6) + 1)
+    partners = F.sequence(_size_class(F.greatest(F.lit(1), F.ceil(threshold * n - 1e-6))), _size_class(F.floor(n / threshold + 1e-6)))
+    each = placed.withColumn("own", _size_class(n)).withColumn("other", F.explode(partners))
+    smallest = F.greatest(F.ceil(F.pow(F.lit(SIZE_STEP), F.col("other")) - 1e-6), F.ceil(threshold * n - 1e-6))
+    kept = each.where(F.col("place") <= n - _overlap(n, smallest, threshold) + 1)
+    return kept.select(F.xxhash64("shingle", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node", "n", "degree", "place")
+
+
+def _apart(group: DataFrame, threshold: float) -> DataFrame:
+    """Members of one key that are still in different components, each with each, where their places allow a link."""
+    other = group.select("key", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("component").alias("c"), F.col("place").alias("pv"))
+    o = _overlap(F.col("n"), F.col("nv"), threshold)
+    room = F.least("place", "pv") + F.least(F.col("n") - F.col("place"), F.col("nv") - F.col("pv"))
+    allowed = (F.col("place") <= F.col("n") - o + 1) & (F.col("pv") <= F.col("nv") - o + 1) & (room >= o)
+    return group.join(other, "key").where((F.col("component") < F.col("c")) & allowed).select(F.col("node").alias("u"), "v", F.col("n").alias("nu"), "nv")
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id, tag, class_id, class_tag) for each distinct (id, text hash): the row that names its class, which is a row itself."""
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tag"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -159,34 +247,23 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     heads = written(heads.select("node", "n", "head.id", "head.tag"), "nodes")
 
     keys = table.select("node", F.explode("bands").alias("band")).distinct()
-    crowded = keys.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    # a table of its own, so that a crowded band's side of the join is a shuffle that Spark can split
+    crowded = written(keys.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "crowded-bands")
     members = written(keys.join(crowded, "band").select("band", "node", "members"), "bands")
     degree = members.groupBy("node").agg(F.sum("members").alias("degree")).join(heads, "node").select("node", "n", "degree", "id", "tag")
     texts = written(rows.join(degree.select("node", "id", "tag"), ["id", "tag"]).select("node", "text").dropDuplicates(["node"]), "band-texts")
     ranked = written(members.select("band", "node").join(degree.select("node", "n", "degree"), "node"), "band-members")
 
-    def against(group: DataFrame, order: F.Column) -> DataFrame:
-        """Each member with its band's leader."""
-        leader = group.groupBy("band").agg(F.max(F.struct(order.alias("o"), F.col("node"), F.col("n"), F.col("component"))).alias("l"))
-        both = group.join(leader, "band").where("component != l.component")
-        return both.select(F.col("node").alias("u"), F.col("l.node").alias("v"), F.col("n").alias("nu"), F.col("l.n").alias("nv"))
-
-    group, edges, found, left = ranked.withColumn("component", F.col("node")), None, None, None
-    for turn in range(LEADER_ROUNDS):
-        order = F.col("degree") if turn == 0 else F.xxhash64("node", F.lit(turn))
-        more = linked(against(group, order), texts, threshold).select("u", "v")
-        edges = written(more if edges is None else edges.union(more), "edges")
-        found = components(edges)
-        named = ranked.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        open_bands = named.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1").select("band")
-        group = written(named.join(open_bands, "band", "left_semi"), "open-bands")
-        before, left = left, group.count()
-        if not left or (before is not None and left > 0.8 * before):
-            break
-    if left:  # members of one band that are still in different classes, each with each, in one direction
-        other = group.select("band", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("component").alias("c"))
-        rest = group.join(other, "band").where("component < c").select(F.col("node").alias("u"), "v", F.col("n").alias("nu"), "nv")
-        found = components(written(edges.union(linked(rest, texts, threshold).select("u", "v")), "edges"))
+    start = ranked.withColumnRenamed("band", "key").withColumn("component", F.col("node"))
+    edges, found, open_ = _by_leaders(start, None, texts, threshold)
+    if open_ is not None:
+        rare = written(_rare_shingles(open_, texts, threshold), "rare-shingles")
+        if not rare.isEmpty():
+            start = rare.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            edges, found, open_ = _by_leaders(start, edges, texts, threshold)
+            if open_ is not None:
+                edges = written(edges.union(linked(_apart(open_, threshold), texts, threshold).select("u", "v")), "edges")
+                found = components(edges)
     placed = heads.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     best = placed.groupBy("component").agg(F.min(F.struct("id", "tag")).alias("c"))
     placed = placed.join(best, "component").select("node", F.col("c.id").alias("class_id"), F.col("c.tag").alias("class_tag"))

@@ -95,3 +95,21 @@ def test_signatures_estimate_probability_jaccard():
     element = np.array([*a, *b], np.uint64)
     got = N.signatures(element, np.array([*a.values(), *b.values()]), np.array([0, len(a), len(a) + len(b)]), 8192)
     assert abs((got[0] == got[1]).mean() - true) < 0.02
+
+
+def test_shared_passages_and_chains(spark):
+    """Documents that share a long passage collide in bands; only those with similar rests are near-duplicates."""
+    rng = random.Random(11)
+    passage = [f"p{k}" for k in range(120)]
+    rows = []
+    for i in range(150):
+        own = [f"q{rng.randrange(10**6)}" for _ in range(rng.choice([20, 40, 200]))]
+        rows.append((i, " ".join(passage + own)))
+        if i % 10 == 0:  # a chain: each a little further from the first
+            text = passage + own
+            for k in range(4):
+                text = list(text)
+                for _ in range(2):
+                    text[rng.randrange(len(text))] = f"x{rng.randrange(10**6)}"
+                rows.append((1000 + 10 * i + k, " ".join(text)))
+    assert run(spark, rows) == expected(rows)
