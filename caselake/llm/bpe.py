@@ -6,7 +6,7 @@ cache knows are rows of one matrix per length class, so each step is a numpy ope
 64 bytes is merged alone through a heap, since scanning is quadratic there.
 
 Texts are split at single spaces first: unless white space comes before a space, what follows a space is pre-tokenised
-alike wherever it stands, so its ids are kept by piece. Each Python worker keeps up to CACHE pieces and words.
+alike wherever it stands, so its ids are kept by piece. Each Python worker keeps about CACHE pieces and words.
 
 The vocabulary file (tokenizers' JSON, no normaliser, byte-level pre-tokeniser) is named by path and must lie at that
 path on every worker. Defined results: a null text is an empty text and has no ids; the strings of special tokens in a
@@ -15,6 +15,7 @@ text are their ids, as the tokenizers library has it; an id outside the vocabula
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 from itertools import chain
@@ -29,8 +30,8 @@ from .common import slices, text_bytes
 
 SPACES = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
-#: Entries of a worker's two caches.
-CACHE = 250_000
+#: Entries of a worker's caches; beyond them only what the last texts used is kept.
+CACHE = 80_000
 NEVER = np.iinfo(np.int32).max
 CLASSES = (8, 16, 32, 64)
 
@@ -158,26 +159,24 @@ class Bpe:
             elif len(r) > CLASSES[-1]:
                 self.words[w] = self.merge_long(r)
 
-    def _trim(self) -> None:
-        if len(self.pieces) > CACHE:
-            self.pieces.clear()
-        if len(self.words) > CACHE:
-            self.words.clear()
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        self._trim()
         if self.special and any(s in t for s in self.special for t in texts):
             return [self._with_special(t) for t in texts]
         split = [None if self.odd_space(t) else t.split(" ") for t in texts]
         whole = [self.find(t) if s is None else self.find(s[0]) for t, s in zip(texts, split, strict=True)]
-        new = set(chain.from_iterable(s[1:] for s in split if s is not None)).difference(self.pieces)
-        found = {p: self.find(" " + p) for p in new}
+        used = set(chain.from_iterable(s[1:] for s in split if s is not None))
+        found = {p: self.find(" " + p) for p in used.difference(self.pieces)}
         self.learn_words(set(chain.from_iterable(found.values())).union(chain.from_iterable(whole)))
         word, piece = self.words.__getitem__, self.pieces
         piece.update((p, b"".join(map(word, w))) for p, w in found.items())
         get = piece.__getitem__
-        return [b"".join(map(word, w)) if s is None else b"".join([*map(word, w), *map(get, s[1:])]) for w, s in zip(whole, split, strict=True)]
+        made = [b"".join(map(word, w)) if s is None else b"".join([*map(word, w), *map(get, s[1:])]) for w, s in zip(whole, split, strict=True)]
+        if len(piece) > CACHE:
+            self.pieces = {p: piece[p] for p in used}
+        if len(self.words) > CACHE:
+            self.words = {}
+        return made
 
     def _with_special(self, text: str) -> bytes:
         parts = self.at_special(text)
@@ -239,3 +238,29 @@ def decode(df: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...] = (
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, 512) for c in batch.columns[: len(keep)]), pa.array(raw, pa.binary()), pa.array(texts, pa.string())], names=[*keep, "ids", "text"])
 
     return kept.mapInArrow(batches, schema)
+
+
+def round_trip(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = True) -> DataFrame:
+    """`keep`, n_tokens, SHA-256 of the ids (little-endian 32-bit) and of the text that they decode to, and the ids.
+
+    Encoding and decoding share a worker and its tables, so no worker is needed for each.
+    """
+    made = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
+    kept, schema = _kept(df, list(keep), text, made)
+
+    def batches(it):
+        bpe = load(path)
+        sha = lambda b: hashlib.sha256(b).hexdigest()
+        for batch in it:
+            column = batch.column(len(keep))
+            _, offsets = text_bytes(column)
+            for i, j in slices(offsets):
+                ids = bpe.encode([t or "" for t in column.slice(i, j - i).to_pylist()])
+                back = [bpe.decode(np.frombuffer(x, "<u4")).encode() for x in ids]
+                arrays = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(sha, ids), pa.string()), pa.array(map(sha, back), pa.string())]
+                names = ["n_tokens", "ids_sha256", "decoded_sha256"]
+                if with_ids:
+                    arrays, names = [*arrays, pa.array(ids, pa.binary())], [*names, "ids"]
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[: len(keep)]), *arrays], names=[*keep, *names])
+
+    return kept.mapInArrow(batches, schema)

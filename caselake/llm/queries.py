@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, common, jpeg, mixing, near_dedup, packed_ids, quality_model, quality_rules, secret_scan, substring_dedup, warc
+from .oracles import ORACLES as ORACLES
 
 #: Shares of the mix; sources that aren't named share `other`.
 TARGETS = mixing.Targets({"src0": 12, "src1": 9, "src2": 7, "src3": 6, "src4": 5}, other=61)
@@ -39,7 +40,7 @@ def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    return substring_dedup.factors(docs).select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("factors").alias("n_factors"))
+    return substring_dedup.factors(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,10 +59,7 @@ def op8_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("byte_bpe_50k.json")
-    ids = bpe.encode(common.table(spark, sf_dir, "documents"), path, arrays=False)
-    back = bpe.decode(ids, path)
-    size = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
-    return back.select("doc_id", size, F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    return bpe.round_trip(common.table(spark, sf_dir, "documents"), path, with_ids=False)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,5 +78,3 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_warc": op10_warc,
 }
-
-ORACLES: dict[str, str] = {}

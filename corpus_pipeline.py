@@ -41,9 +41,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, ids, and whether the ids decode to the text."""
     path = tokenizer_path("byte_bpe_50k.json")
-    made = bpe.encode(docs.withColumn("given", F.xxhash64(F.coalesce("text", F.lit("")))), path, keep=("doc_id", "source", "given"), arrays=False)
-    back = bpe.decode(made, path, keep=("doc_id", "source", "given"))
-    return back.select("doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", (F.xxhash64("text") == F.col("given")).alias("exact"))
+    hashed = docs.withColumn("given", F.sha2(F.coalesce("text", F.lit("")), 256))
+    made = bpe.round_trip(hashed, path, keep=("doc_id", "source", "given"))
+    return made.select("doc_id", "source", "n_tokens", "ids", (F.col("decoded_sha256") == F.col("given")).alias("exact"))
 
 
 STAGES = [("quality_rules", quality), ("near_duplicates", near_duplicates), ("secret_scan", secrets), ("source_mix", mix), ("bpe_ids", token_ids)]

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -47,3 +48,7 @@ def test_edges(spark):
     assert [r.text for r in bpe.decode(made, PATH).collect()] == ["", "", "", "two words"]
     assert [r.text for r in bpe.decode(bpe.encode(df, PATH, arrays=False), PATH).collect()] == ["", "", "", "two words"]
     assert bpe.encode(df.limit(0), PATH).count() == 0
+    both = bpe.round_trip(df, PATH).collect()
+    for r in both:
+        text = dict((k, t) for k, t, _ in rows)[r.doc_id] or ""
+        assert r.n_tokens == len(r.ids) // 4 and r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest() and r.ids_sha256 == hashlib.sha256(r.ids).hexdigest()
