@@ -6,6 +6,7 @@ from tokenizers import Tokenizer
 import __spark_entry__
 import corpus_pipeline as P
 from caselake.llm import mixing, quality_rules
+from caselake.llm.common import written
 from tests.llm import test_near_dedup, test_quality_rules
 
 
@@ -61,3 +62,30 @@ def test_run_is_registered(spark, sf):
     got = P.run(spark, sf)
     assert got.columns == ["doc_id", "source", "n_tokens", "ids", "exact"]
     assert got.where("not exact").count() == 0 and got.count() > 0
+
+
+CLASH = "__text string, tag long, node long, key string, spans string, slot long, text_hash long, frequent string, __hash string, h long, n long, id long, batch long"
+
+
+def test_stages_on_edge_rows(spark, sf):
+    """Nulls in any column, empty and very long texts, repeated rows, an empty table, and columns with clashing names."""
+    extra = tuple(None if k % 2 else ("x" if t.split()[1] == "string" else 7) for k, t in enumerate(CLASH.split(", ")))
+    body = lambda k: " ".join(f"w{k}x{j}" for j in range(80))
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, body(3), None, None, None), (4, body(4), "en", "s", 5), (4, body(4), "en", "s", 5), (5, body(4), "en", "s", 5), (6, " ".join(f"z{k}" for k in range(120_000)), "en", "s", 1), (7, body(7) + ' password="b7db7aa4a5fcc78305"', "en", None, 1)]
+    schema = f"doc_id long, text string, lang string, source string, n_chars long, {CLASH}"
+    docs = spark.createDataFrame([r + extra for r in rows], schema)
+    empty = docs.limit(0)
+    for k, (_, stage) in enumerate(P.STAGES):
+        docs, empty = stage(spark, docs, sf), stage(spark, empty, sf)
+        if k < 4:
+            assert docs.columns == empty.columns == [c.split()[0] for c in schema.split(", ")]
+            docs, empty = written(docs, "t"), written(empty, "t")
+        assert empty.count() == 0
+        if k == 0:
+            assert sorted((r.doc_id or 0) for r in docs.collect()) == [0, 4, 4, 5, 6, 7]
+        if k == 1:
+            assert sorted((r.doc_id or 0) for r in docs.collect()) == [0, 4, 6, 7]
+        if k == 2:
+            assert [r.text.endswith('password="[SECRET]"') for r in docs.where("doc_id = 7").collect()] == [True]
+    got = docs.collect()
+    assert sorted((r.doc_id or 0) for r in got) == [0, 4, 6, 7] and all(r.exact for r in got)
