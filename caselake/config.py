@@ -17,6 +17,9 @@ ARTICLE_NUMBER = r"[一二三四五六七八九十百千零〇0-9\-]+"
 LAW_ENDING = "法|條例|規則|辦法|準則|要點"
 
 
+# The presets state the patterns, word lists, titles, caps and weights that results depend on.
+
+
 @dataclass(frozen=True)
 class Outcome:
     favorable: str = r"應(?:再)?給付|應恢復|確認.*契約.*存在|評議申請為有理由|請求為有理由"
