@@ -18,7 +18,17 @@ SLICE_BYTES = 1 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Most bytes of a batch between Spark and a Python worker; Spark's default of 64 MB is held several times at once.
+ARROW_BYTES = "8m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Set the session's Arrow batches to ARROW_BYTES, so that long texts don't fill an executor."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -34,6 +44,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: later reads neither repeat its work nor depend on an executor."""
     spark = df.sparkSession
+    small_batches(spark)
     path = shared_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

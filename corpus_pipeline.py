@@ -40,6 +40,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, ids, and whether the ids decode to the text."""
+    common.small_batches(spark)
     path = tokenizer_path("byte_bpe_50k.json")
     hashed = docs.withColumn("given", F.sha2(F.coalesce("text", F.lit("")), 256))
     made = bpe.round_trip(hashed, path, keep=("doc_id", "source", "given"))
