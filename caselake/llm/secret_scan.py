@@ -76,7 +76,7 @@ def candidates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return a[found], b[found], text[found]
 
 
-NAMES = ["length", "log_length", "transitions", "kinds", "distinct", "entropy", "digits", "upper", "hex", "longest_letters", "coverage", "prefix", "assigned", "for_words", "against_words", "path", "repeats", "ordered", "breaks"]
+NAMES = ["length", "log_length", "transitions", "kinds", "distinct", "entropy", "digits", "upper", "hex", "longest_letters", "coverage", "prefix", "assigned", "for_words", "against_words", "against_close", "path", "repeats", "ordered", "breaks"]
 
 
 def dictionary(path: str) -> frozenset[str]:
@@ -126,6 +126,7 @@ def features(candidate: str, before: str, after: str, path: str, words: frozense
         float(re.search("[=:][ \"'`]{0,3}\\Z", before) is not None),
         float(sum(any(w.endswith(k) for k in FOR) for w in close)),
         float(sum(w in AGAINST for w in near)),
+        float(any(w in AGAINST for w in close)),
         float(any(p in HARMLESS_PATH for p in re.findall("[a-z0-9]+", path.lower()))),
         max(count.values()) / n,
         sum(s in (0, 1) for s in steps) / max(1, len(steps)),
@@ -142,12 +143,13 @@ def made_findings(n: int = 4000, seed: int = 3) -> list[tuple[str, str, str, str
     syllables = ["ing", "the", "ton", "er", "an", "re", "qua", "lis", "mor", "ed", "ver", "ich", "con", "al", "est", "ou", "pre", "man", "ti", "dor"]
     word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randrange(1, 4)))
     common = ["release", "update", "report", "server", "python", "module", "index", "article", "content", "image", "group", "value", "return", "system", "number", "example", "project", "summer"]
-    prose = lambda: " ".join(word() for _ in range(rng.randrange(0, 7)))
+    stray = [*AGAINST, *FOR]  # such words also stand near findings that they say nothing about
+    prose = lambda: " ".join(rng.choice(stray) if rng.random() < 0.1 else word() for _ in range(rng.randrange(0, 9)))
     names = ["token", "password", "passwd", "secret", "api_key", "apikey", "access_key", "client_secret", "auth_token", "private_key"]
     assign = lambda name: f"{name}{rng.choice(['=', ': ', ' = ', '=' + chr(34), ' = ' + chr(34), ': ' + chr(39)])}"
     out = []
     for k in range(n):
-        before, after, path = prose() + " ", " " + prose(), rng.choice(["", "src3", "src/app/config.py", "deploy/prod.env", "web/page.html", "docs/guide.md", "tests/test_api.py"])
+        before, after, path = prose() + " " + word() + " " + word() + " ", " " + prose(), rng.choice(["", "src3", "src/app/config.py", "deploy/prod.env", "web/page.html", "docs/guide.md", "tests/test_api.py"])
         if k % 2:
             kind = rng.randrange(6)
             value = [
