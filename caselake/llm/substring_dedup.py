@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _rolled, Words, free_name, phrase_hashes, slices, text_bytes, whole_phrases, word_hashes, written
+from .common import _rolled, Words, phrase_hashes, slices, text_bytes, whole_phrases, word_hashes, written
 
 WINDOW = 35
 GRAM = 12
@@ -116,7 +116,8 @@ def _other(own: str) -> F.Column:
 def repeated_windows(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(id, tag, windows): the window starts [start, start + n) of each text that are repeated, with a reference text each."""
     blocks = phrase_blocks(rows, window, gram)
-    often = blocks.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
+    # tables of their own, so that a hot phrase's side of the joins below is a shuffle that Spark can split
+    often = written(blocks.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"), "phrases")
     repeated = written(blocks.join(often, "h", "left_semi"), "phrase-blocks")
     summed = written(
         repeated.groupBy("h", "g").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("low"), F.max("id").alias("high"), F.first("id").alias("id"), F.first("tag").alias("tag"), F.first("start").alias("start"), F.first("n").alias("n")),
@@ -124,10 +125,10 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     )
     whole = repeated.join(summed.where("c > 1").select("h", "g", "low", "high"), ["h", "g"]).select("id", "tag", "start", "n", _other("id").alias("ref"))
     # phrases with unequal blocks: a factor may end inside these
-    uneven = summed.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h")
+    uneven = written(summed.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h"), "uneven-phrases")
     cut = summed.join(uneven, "h", "left_semi").groupBy("id", "tag").agg(F.collect_list(F.struct("start", "n", (F.col("c") == 1).alias("open"))).alias("blocks"))
     windows = written(block_windows(rows.join(cut, ["id", "tag"]).select("id", "tag", "text", "blocks"), window), "boundary-windows")
-    shared = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("low"), F.max("id").alias("high")).where("c > 1")
+    shared = written(windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("low"), F.max("id").alias("high")).where("c > 1").drop("c"), "shared-windows")
     single = windows.join(shared, ["w1", "w2"]).select("id", "tag", "start", F.lit(1).cast("long").alias("n"), _other("id").alias("ref"))
     return whole.unionByName(single).groupBy("id", "tag").agg(F.collect_set(F.struct("start", "n", "ref")).alias("windows"))
 
