@@ -34,7 +34,7 @@ class LineLimits:
     max_repeat_pct: int = 50
 
 
-PROFILE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, text_hash long, lines array<struct<h:long,n:long>>"
+PROFILE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<h:long,n:long>>"
 
 
 def line_hash(line: str) -> int:
@@ -61,7 +61,7 @@ def repeated_words(words: Words) -> np.ndarray:
 
 def _profiles(texts: pa.Array) -> dict[str, list]:
     data, offsets = text_bytes(texts)
-    out: dict[str, list] = {k: [] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "text_hash", "lines")}
+    out: dict[str, list] = {k: [] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines")}
     for i, j in slices(offsets):
         part = data[offsets[i] : offsets[j]]
         places = offsets[i : j + 1] - offsets[i]
@@ -82,14 +82,18 @@ def _profiles(texts: pa.Array) -> dict[str, list]:
                     h = line_hash(line.decode())
                     lines[h] = lines.get(h, 0) + n
             out["n_dup_lines"].append(again)
-            out["text_hash"].append(xxhash.xxh3_64_intdigest(raw) - (1 << 63))
             out["lines"].append([{"h": h, "n": n} for h, n in lines.items()])
     return out
 
 
+def text_hash(text: str) -> F.Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def profiles(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """`keep` and the statistics of each row's whole text (see PROFILE), with n words for each distinct line h."""
-    kept = docs.select(*keep, F.col(text).alias("__text"))
+    """`keep`, text_hash and the statistics of each row's whole text (see PROFILE), with n words for each distinct line h."""
+    kept = docs.select(*keep, text_hash(text).alias("text_hash"), F.col(text).alias("__text"))
+    keep = [*keep, "text_hash"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), PROFILE])
     kinds = {"lines": pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())]))}
 
@@ -146,22 +150,13 @@ def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str
     mark = {c: free_name(docs, f"__{c}") for c in ("hash", "id", "host", "drop")}
     # one row for each distinct (id, host, text), so that repeated rows don't multiply
     change = verdict.where(F.col("kept")).groupBy(F.col(doc_id).alias(mark["id"]), F.col(host).alias(mark["host"]), F.col("text_hash").alias(mark["hash"])).agg(F.first("frequent").alias(mark["drop"]))
-    hashed = docs.withColumn("__h", _hash_udf()(F.col(text)))
-    joined = hashed.join(change, hashed[doc_id].eqNullSafe(change[mark["id"]]) & hashed[host].eqNullSafe(change[mark["host"]]) & (hashed["__h"] == change[mark["hash"]]))
+    key = free_name(docs, "__key")
+    hashed = docs.withColumn(key, text_hash(text))
+    joined = hashed.join(change, hashed[doc_id].eqNullSafe(change[mark["id"]]) & hashed[host].eqNullSafe(change[mark["host"]]) & (hashed[key] == change[mark["hash"]]))
     fresh = F.when(F.size(mark["drop"]) > 0, _without_udf()(F.col(text), F.col(mark["drop"]))).otherwise(F.col(text))
     return joined.withColumn(text, fresh).select(*docs.columns)
 
 
-def _hash_udf():
-    @F.pandas_udf("long")
-    def text_hash(texts):
-        import pandas as pd
-
-        return pd.Series([xxhash.xxh3_64_intdigest((t or "").encode()) - (1 << 63) for t in texts], dtype="int64")
-
-    return text_hash
-
-
 def _without_udf():
     @F.pandas_udf("string")
     def without(texts, drops):
