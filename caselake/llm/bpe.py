@@ -6,7 +6,7 @@ cache knows are rows of one matrix per length class, so each step is a numpy ope
 64 bytes is merged alone through a heap, since scanning is quadratic there.
 
 Texts are split at single spaces first: unless white space comes before a space, what follows a space is pre-tokenised
-alike wherever it stands, so its ids are kept by piece. Each Python worker keeps about CACHE pieces and words.
+alike wherever it stands, so its ids are kept by piece. Each task keeps about CACHE pieces and words.
 
 The vocabulary file (tokenizers' JSON, no normaliser, byte-level pre-tokeniser) is named by path and must lie at that
 path on every worker. Defined results: a null text is an empty text and has no ids; the strings of special tokens in a
@@ -30,8 +30,8 @@ from .common import slices, text_bytes
 
 SPACES = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
-#: Entries of a worker's caches; beyond them only what the last texts used is kept.
-CACHE = 80_000
+#: Entries of a task's caches; beyond them only what the last texts used is kept.
+CACHE = 200_000
 NEVER = np.iinfo(np.int32).max
 CLASSES = (8, 16, 32, 64)
 
@@ -178,6 +178,10 @@ class Bpe:
             self.words = {}
         return made
 
+    def forget(self) -> None:
+        """Free the caches, so that an idle worker holds none."""
+        self.words, self.pieces = {}, {}
+
     def _with_special(self, text: str) -> bytes:
         parts = self.at_special(text)
         made = iter(self.encode([p for p in parts if p not in self.special]))
@@ -218,6 +222,7 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] =
                 else:
                     made = pa.array(ids, pa.binary())
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[: len(keep)]), made], names=[*keep, "ids"])
+        bpe.forget()
 
     return kept.mapInArrow(batches, schema)
 
@@ -262,5 +267,6 @@ def round_trip(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ..
                 if with_ids:
                     arrays, names = [*arrays, pa.array(ids, pa.binary())], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[: len(keep)]), *arrays], names=[*keep, *names])
+        bpe.forget()
 
     return kept.mapInArrow(batches, schema)
