@@ -4,7 +4,10 @@ A text's weighted set holds its distinct five-word shingles, a shingle found c t
 five words is one shingle). Every shingle has a Poisson process whose rate is its weight and whose random stream its
 hash; each arrival falls into one of SLOTS slots, and a slot keeps the shingle that arrives first. A text's processes
 stop once an arrival is later than every slot's first. Two texts agree in a slot with the probability Jaccard similarity
-of their weighted sets; BANDS bands of six slots find pairs of similarity 0.8 with a chance of 1 - 6e-5.
+of their weighted sets; BANDS bands of six slots find pairs whose probability Jaccard similarity is 0.8 with a chance of
+1 - 6e-5. Repeats can bring it far below the similarity that is verified, so a text with repeated shingles also has the
+bands of its shingles at weight 1. The streams are the same, so a text without repeats has these bands already, and every
+pair of verified similarity 0.8 is found with a chance of 1 - 6e-5, whatever its counts.
 
 Verification compares the whole texts: the Jaccard similarity of their distinct shingles is at least `threshold`. Equal
 word sequences are one node from the start. A band's members are not paired with each other: each is compared with
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _rolled, Words, free_name, mix64, phrase_hashes, slices, text_bytes, word_hashes, written
+from .common import _rolled, Words, free_name, mix64, per_text, phrase_hashes, slices, text_bytes, word_hashes, written
 
 SHINGLE = 5
 SLOTS = 192
@@ -90,6 +93,22 @@ def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return key
 
 
+def all_bands(element: np.ndarray, count: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys of each text, and each text's first, with the total at the end: by weight, and where shingles are repeated by weight 1 too."""
+    own = np.diff(first)
+    keys = np.zeros((len(own), 2 * BANDS), np.uint64)
+    keys[:, :BANDS] = band_keys(signatures(element, 1 + np.log(count), first))
+    fresh = np.zeros(keys.shape, bool)
+    fresh[:, :BANDS] = (own > 0)[:, None]
+    again = per_text(count > 1, first) > 0
+    if again.any():
+        kept = np.repeat(again, own)
+        plain = band_keys(signatures(element[kept], np.ones(np.count_nonzero(kept)), np.concatenate([[0], np.cumsum(own[again])])))
+        keys[again, BANDS:] = plain
+        fresh[again, BANDS:] = plain != keys[again, :BANDS]
+    return keys[fresh], np.concatenate([[0], np.cumsum(fresh.sum(axis=1))])
+
+
 def sketched(rows: DataFrame) -> DataFrame:
     """(id, tag, node, n_shingles, bands) of each row of (id, tag, text): node names the word sequence."""
 
@@ -102,9 +121,8 @@ def sketched(rows: DataFrame) -> DataFrame:
                 node = _rolled(hashes, words.first[:-1], words.first[1:], 21)
                 element, count, first = shingles(words, hashes)
                 own = np.diff(first)
-                keys = band_keys(signatures(element, 1 + np.log(count), first))[own > 0]
-                ends = np.concatenate([[0], np.cumsum(np.where(own > 0, BANDS, 0))]).astype(np.int32)
-                bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64)))
+                keys, ends = all_bands(element, count, first)
+                bands = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(keys.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(node.view(np.int64)), pa.array(own), bands], names=["id", "tag", "node", "n_shingles", "bands"])
 
     return rows.mapInArrow(batches, "id long, tag long, node long, n_shingles long, bands array<long>")

@@ -113,3 +113,25 @@ def test_shared_passages_and_chains(spark):
                     text[rng.randrange(len(text))] = f"x{rng.randrange(10**6)}"
                 rows.append((1000 + 10 * i + k, " ".join(text)))
     assert run(spark, rows) == expected(rows)
+
+
+def repeated_line_pairs(n):
+    """n pairs of Jaccard similarity 0.82: a text, and its copy with a line of 22 words appended 50 times."""
+    rows = []
+    for k in range(n):
+        text, line = (" ".join(f"{c}{k}x{i}" for i in range(m)) for c, m in (("b", 120), ("l", 22)))
+        rows += [(2 * k, text), (2 * k + 1, text + ("\n" + line) * 50)]
+    return rows
+
+
+def test_copies_with_an_often_repeated_line(spark):
+    rows = repeated_line_pairs(24)
+    assert run(spark, rows) == expected(rows) == sorted(((i, i - i % 2) for i, _ in rows), key=str)
+
+
+def test_bands_by_weight_one():
+    """Texts of the same distinct shingles share every band of weight 1; a text without repeats has no other bands."""
+    element = np.arange(1, 41, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    keys, first = N.all_bands(np.concatenate([element, element]), np.array([1] * 40 + [1, 90] * 20), np.array([0, 40, 80, 80]))
+    once, often = set(keys[: first[1]].tolist()), set(keys[first[1] : first[2]].tolist())
+    assert len(once) == N.BANDS and once < often and first[3] == first[2]
