@@ -60,6 +60,12 @@ def put_file(folder: str, name: str, data: bytes) -> None:
     fs.move(part, f"{path}/{name}")
 
 
+def get_file(folder: str, name: str) -> bytes:
+    fs, path = pafs.FileSystem.from_uri(folder)
+    with fs.open_input_file(f"{path}/{name}") as f:
+        return f.read()
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that df doesn't have."""
     taken = {c.lower() for c in df.columns}

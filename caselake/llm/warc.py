@@ -21,11 +21,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import put_file
+from .common import get_file, put_file, written
 
 MAGIC = 0x184D2A5D
 FILE_BYTES = 8 << 20
 DICTIONARY_BYTES = 32 << 10
+#: Files that a reading task looks at, one after the other.
+FILES_PER_TASK = 2
 
 
 def digest32(data: bytes) -> str:
@@ -144,23 +146,25 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", payload: str
         yield pd.DataFrame(done, columns=["name", "n_records", "n_bytes"])
 
     plan = plan.select(F.col("page_id").cast("string").alias("page_id"), "payload", "digest", F.col("refers_to").cast("string").alias("refers_to"))
-    return plan.mapInPandas(files, "name string, n_records long, n_bytes long")
+    # sorted, so that a repeated task cuts the same files whatever order its rows arrive in
+    return plan.sortWithinPartitions("digest", "page_id").mapInPandas(files, "name string, n_records long, n_bytes long")
 
 
 def _name(value) -> str:
     return "" if value is None or value != value else str(value)
 
 
-def read(spark, folder: str) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each record in the folder's files.
+def read(files: DataFrame, folder: str) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each record in the files that write() names.
 
-    A response's length and digest are computed anew from its payload; a difference from the record's header is an error.
+    A response's length and digest are computed anew from its payload; a difference from the record's header is an error,
+    as is a file of another length or number of records than write() gave. Other files in the folder are not looked at.
     """
 
     def rows(it):
         for pdf in it:
-            for data in pdf["content"]:
-                out = []
+            for name, n_records, n_bytes in zip(pdf["name"].tolist(), pdf["n_records"].tolist(), pdf["n_bytes"].tolist(), strict=True):
+                data, out = get_file(folder, name), []
                 for fields, body in records(data):
                     if fields["WARC-Type"] == "warcinfo":
                         continue
@@ -169,18 +173,21 @@ def read(spark, folder: str) -> DataFrame:
                         raise ValueError(f"record {fields['WARC-Record-ID']} doesn't match its digest")
                     to = fields.get("WARC-Refers-To")
                     out.append((fields["WARC-Record-ID"][10:-1] or None, n, digest, fields["WARC-Type"], to and to[10:-1]))
+                if len(data) != n_bytes or len(out) != n_records:
+                    raise ValueError(f"{name} holds {len(out)} records in {len(data)} bytes, but {n_records} in {n_bytes} were written")
                 yield pd.DataFrame(out, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content")
-    return files.mapInPandas(rows, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
+    # a stated number of partitions, as Spark would put the few bytes of names in one
+    dealt = files.repartition(max(1, files.count() // FILES_PER_TASK), "name")
+    return dealt.mapInPandas(rows, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
 
 
 def round_trip(pages: DataFrame, folder: str, page_id: str = "page_id", payload: str = "html", min_bytes: int = 0) -> DataFrame:
     """Write the archives, then the rows that they hold, ids in their own type."""
     spark = pages.sparkSession
     kind = pages.schema[page_id].dataType
-    n = write(pages, folder, page_id, payload, min_bytes).agg(F.sum("n_records").alias("n")).first()["n"]
+    files = written(write(pages, folder, page_id, payload, min_bytes), "warc-manifest")
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    if not n:
+    if files.isEmpty():
         return spark.createDataFrame([], "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string").withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")}).select(*names)
-    return read(spark, folder).withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")}).select(*names)
+    return read(files, folder).withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")}).select(*names)

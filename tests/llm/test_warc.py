@@ -4,7 +4,7 @@ import hashlib
 import pytest
 
 from caselake.llm import warc
-from caselake.llm.common import shared_folder
+from caselake.llm.common import get_file, put_file, shared_folder
 
 
 def expected(rows, least=0):
@@ -49,3 +49,24 @@ def test_file_is_self_contained_and_records_are_single_frames():
     assert len(data) < sum(map(len, made)) / 2
     with pytest.raises(Exception):
         list(warc.records(data[:-3]))
+
+
+def test_only_written_files_are_read_and_counted(spark):
+    rows = [(i, f"page {i % 90} " * 30) for i in range(120)]
+    df = spark.createDataFrame(rows, "page_id long, html string")
+    folder = shared_folder(spark, "t")
+    put_file(folder, "part-000000-00099.warc.zst", warc.archive([warc.record("777", b"left over", warc.digest32(b"left over"), None)]))
+    assert sorted(map(tuple, warc.round_trip(df, folder).collect()), key=str) == expected(rows)
+    made = spark.createDataFrame([("part-000000-00099.warc.zst", 2, len(get_file(folder, "part-000000-00099.warc.zst")))], "name string, n_records long, n_bytes long")
+    with pytest.raises(Exception, match="holds 1 records"):
+        warc.read(made, folder).collect()
+
+
+def test_files_do_not_depend_on_the_order_of_rows(spark):
+    rows = [(i, f"page {i} " * 40) for i in range(300)]
+    made = []
+    for given in (rows, rows[::-1]):
+        folder = shared_folder(spark, "t")
+        files = warc.write(spark.createDataFrame(given, "page_id long, html string").coalesce(1), folder, file_bytes=8000).collect()
+        made.append(sorted((f["name"], f["n_records"], get_file(folder, f["name"])) for f in files))
+    assert len(made[0]) > 4 and made[0] == made[1]
