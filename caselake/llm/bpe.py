@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes
+from .common import mapped, slices, text_bytes
 
 SPACES = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
@@ -224,7 +224,7 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] =
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[: len(keep)]), made], names=[*keep, "ids"])
         bpe.forget()
 
-    return kept.mapInArrow(batches, schema)
+    return mapped(kept, batches, schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -242,7 +242,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...] = (
                 texts = [None if r is None else bpe.decode(np.frombuffer(r, "<u4")) for r in raw]
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, 512) for c in batch.columns[: len(keep)]), pa.array(raw, pa.binary()), pa.array(texts, pa.string())], names=[*keep, "ids", "text"])
 
-    return kept.mapInArrow(batches, schema)
+    return mapped(kept, batches, schema)
 
 
 def round_trip(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = True) -> DataFrame:
@@ -269,4 +269,4 @@ def round_trip(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ..
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[: len(keep)]), *arrays], names=[*keep, *names])
         bpe.forget()
 
-    return kept.mapInArrow(batches, schema)
+    return mapped(kept, batches, schema)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -9,47 +12,94 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that the numpy helpers look at together; one longer text is looked at alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 #: Most bytes of a batch between Spark and a Python worker; Spark's default of 64 MB is held several times at once.
 ARROW_BYTES = "8m"
+ARROW_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def small_batches(spark: SparkSession) -> None:
     """Set the session's Arrow batches to ARROW_BYTES, so that long texts don't fill an executor."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+    spark.conf.set(ARROW_KEY, ARROW_BYTES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """An input table of a registered query, whose result is read under the Arrow batches set here."""
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the cluster's shared folder (spark.checkpoint.dir); a local one is set only where there is none."""
+    """A new path in the cluster's shared folder (spark.checkpoint.dir); on local[...] one is set where there is none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+_PASSING: contextvars.ContextVar[list | None] = contextvars.ContextVar("passing", default=None)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this module named."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextlib.contextmanager
+def passing(spark: SparkSession):
+    """Tables written inside are deleted at the end, but for lasting ones: what leaves the block must rest on these alone."""
+    token = _PASSING.set([])
+    try:
+        yield
+        for path in _PASSING.get():
+            delete(spark, path)
+    finally:
+        _PASSING.reset(token)
+
+
+def written(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """df as a table in the shared folder: later reads neither repeat its work nor depend on an executor."""
     spark = df.sparkSession
+    before = spark.conf.get(ARROW_KEY, None)
     small_batches(spark)
     path = shared_folder(spark, name)
     df.write.parquet(path)
+    spark.conf.unset(ARROW_KEY) if before is None else spark.conf.set(ARROW_KEY, before)
+    if not lasting and _PASSING.get() is not None:
+        _PASSING.get().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Give freed memory back to the system, since idle Python workers live on beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def mapped(df: DataFrame, batches, schema: str) -> DataFrame:
+    """df.mapInArrow(batches, schema), whose tasks leave no memory behind."""
+
+    def whole(it):
+        yield from batches(it)
+        release()
+
+    return df.mapInArrow(whole, schema)
+
+
 def put_file(folder: str, name: str, data: bytes) -> None:
     """Write a file whole or not at all: a repeated task writes the same bytes under the same name."""
     fs, path = pafs.FileSystem.from_uri(folder)
@@ -134,41 +184,67 @@ def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
+#: The first k bytes of eight.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_SHORT = 16
+_LANES = np.array([[0xD6E8FEB86659FD93], [0xC2B2AE3D27D4EB4F]], np.uint64)
 
-def _powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2**64 and of its inverse."""
-    if seed not in _POWERS or len(_POWERS[seed][0]) < n:
-        base = int(mix64(np.array([seed], np.uint64), 77)[0]) | 5
-        n = max(n, 1 << 16)
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(n, b, np.uint64)
-            p[0] = 1
-            both.append(np.multiply.accumulate(p))
-        _POWERS[seed] = tuple(both)
-    return _POWERS[seed]
 
+def word_hashes(words: Words) -> np.ndarray:
+    """128-bit hashes of the words, as two rows of 64 bits.
 
-def _rolled(values: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
-    """Polynomial hashes of values[start:end] for many ranges at once, from one running sum."""
-    up, down = _powers(seed, len(values) + 1)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=total[1:])
-    return mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64), seed)
+    A word of up to 16 bytes is two integers, which are scrambled with its length; longer ones go through XXH3-128.
+    """
+    out = np.empty((2, len(words.start)), np.uint64)
+    if not out.size:
+        return out
+    padded = np.concatenate([words.data, np.zeros(_SHORT, np.uint8)])
+    eight = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+    size = words.end - words.start
+    head = eight[words.start] & _LOW[np.minimum(size, 8)]
+    tail = eight[words.start + 8] & _LOW[np.clip(size - 8, 0, 8)]
+    length = mix64(size.astype(np.uint64), 5)
+    out[0] = mix64(mix64(head, 1) ^ (tail + length), 2)
+    out[1] = mix64(mix64(tail, 3) ^ (head + length), 4)
+    long = np.flatnonzero(size > _SHORT)
+    if len(long):
+        whole = words.data.tobytes()
+        digests = b"".join(xxhash.xxh3_128_digest(whole[a:b]) for a, b in zip(words.start[long].tolist(), words.end[long].tolist(), strict=True))
+        out[:, long] = np.frombuffer(digests, "<u8").reshape(-1, 2).T
+    return out
+
+
+def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hashes of sequences from the hashes of their left and right parts, each row by itself.
+
+    The scrambling at each step is not linear, so no pattern of words makes different sequences meet: two of n hashed
+    sequences share one row's hash with a chance of about n**2 / 2**65, and both rows' with one of n**2 / 2**129.
+    """
+    return mix64(left * _LANES[: len(left)] + right, 100)
 
 
-def word_hashes(words: Words, seed: int = 1) -> np.ndarray:
-    letters = mix64(np.arange(256, dtype=np.uint64), seed)
-    return _rolled(letters[words.data], words.start, words.end, seed) if len(words.start) else np.zeros(0, np.uint64)
+def phrase_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the k words from each word on, by doubling; the last k - 1 words of the array have none."""
+    n = max(0, hashes.shape[1] - k + 1)
+    made, done, step, width = None, 0, hashes, 1
+    while n:
+        if k & width:
+            part = step[:, done : done + n]
+            made = part if made is None else joined(made, part)
+            done += width
+        if done == k:
+            return made
+        step = joined(step[:, :-width], step[:, width:])
+        width *= 2
+    return np.zeros((len(hashes), 0), np.uint64)
 
 
-def phrase_hashes(hashes: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
-    """Hash of the k words from each word on; the last k - 1 words of the array have none."""
-    n = max(0, len(hashes) - k + 1)
-    start = np.arange(n)
-    return _rolled(hashes, start, start + k, seed + 100) if n else np.zeros(0, np.uint64)
+def sequence_hashes(words: Words, hashes: np.ndarray) -> np.ndarray:
+    """XXH3-128 of each text's whole sequence of word hashes, as two rows."""
+    rows = np.ascontiguousarray(hashes.T)
+    first = words.first.tolist()
+    digests = b"".join(xxhash.xxh3_128_digest(rows[a:b]) for a, b in zip(first[:-1], first[1:], strict=True))
+    return np.frombuffer(digests, "<u8").reshape(-1, 2).T
 
 
 def whole_phrases(words: Words, k: int) -> np.ndarray:
@@ -183,8 +259,3 @@ def per_text(mask_or_values: np.ndarray, first: np.ndarray) -> np.ndarray:
     total = np.zeros(len(mask_or_values) + 1, np.int64)
     np.cumsum(mask_or_values, out=total[1:])
     return total[first[1:]] - total[first[:-1]]
-
-
-def salted_count(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows per key; Spark's partial aggregate sums a hot key in every task before the shuffle."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes
+from .common import mapped, slices, text_bytes
 
 UNIT = 192
 PAD = 32
@@ -339,7 +339,7 @@ def with_media(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
                 media = encode([r + bytes([PAD]) * (-len(r) % UNIT if r else UNIT) for r in raw])
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[: len(keep)]), pa.array([len(r) for r in raw], pa.int64()), pa.array(media, pa.binary())], names=[*keep, "n_bytes", "media"])
 
-    return kept.mapInArrow(batches, schema)
+    return mapped(kept, batches, schema)
 
 
 FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, width int, height int, thumbnail_sha1 string, feature string"
@@ -365,4 +365,4 @@ def with_features(media: DataFrame, column: str = "media", keep: tuple[str, ...]
                 arrays = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[: len(keep)]), *arrays], names=[*keep, *names])
 
-    return kept.mapInArrow(batches, schema)
+    return mapped(kept, batches, schema)

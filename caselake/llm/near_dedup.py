@@ -4,22 +4,27 @@ A text's weighted set holds its distinct five-word shingles, a shingle found c t
 five words is one shingle). Every shingle has a Poisson process whose rate is its weight and whose random stream its
 hash; each arrival falls into one of SLOTS slots, and a slot keeps the shingle that arrives first. A text's processes
 stop once an arrival is later than every slot's first. Two texts agree in a slot with the probability Jaccard similarity
-of their weighted sets; BANDS bands of six slots find pairs whose probability Jaccard similarity is 0.8 with a chance of
-1 - 6e-5. Repeats can bring it far below the similarity that is verified, so a text with repeated shingles also has the
-bands of its shingles at weight 1. The streams are the same, so a text without repeats has these bands already, and every
-pair of verified similarity 0.8 is found with a chance of 1 - 6e-5, whatever its counts.
-
-Verification compares the whole texts: the Jaccard similarity of their distinct shingles is at least `threshold`. Equal
-word sequences are one node from the start. A band's members are not paired with each other: each is compared with
-the member that collides most in the corpus, then, as long as that helps, with other leaders. What a band still holds in
-different classes mostly shares a passage that many documents have. Of two sets so similar, each has one of the
-other's rarest shingles among its own rarest few, so the rest is grouped by these instead: members go through
-leaders again, and only those still apart are compared one by one. No link between members of a band is lost. Classes are
-the connected components, found by label propagation over written tables, never on the driver; the least id names a class.
+of their weighted sets, which at weights of 1 is the Jaccard similarity of the sets, whatever their sizes.
+
+Verification takes the similarity that signatures at weight 1 estimate: distinct shingles in common over all distinct
+shingles, at least `threshold`. BANDS bands of six slots find a pair of similarity 0.8 with a chance of 1 - 6e-5, if its
+signatures are at weight 1. Weights from repeats can bring the probability Jaccard similarity far below the verified one,
+so a text with repeated shingles has the bands of its shingles at weight 1 besides. The streams are the same, so a text
+without repeats has these bands already, and the chance holds for every pair, whatever its counts.
+
+Equal word sequences (128-bit hash) are one node from the start. A band's members are not paired with each other: each is
+compared with the member that collides most in the corpus, then, as long as that helps, with other leaders. What a band
+still holds in different classes mostly shares a passage that many documents have. Of two sets so similar, each has one
+of the other's rarest shingles among its own rarest few, so the rest is grouped by these instead: members go through
+leaders again, and only those still apart are compared one by one, a key's members in blocks. No link between members of a
+band is lost. A comparison sends members' texts to the leader's in chunks of CHUNK, so neither a text is repeated by pair
+nor a crowded leader held by one task. Classes are the connected components, found by label propagation over written
+tables, never on the driver; the least id names a class.
 
 Defined results: null and empty texts have the same (empty) word sequence and form one class without near copies; a
-null id is the least; repeated rows share a class; an empty table has no classes; other columns don't matter. Nodes
-are named by 64-bit hashes of their word sequences: among 10^9 texts two share a name with a chance of 3 in 100.
+null id is the least; repeated rows share a class; ties between leaders go to the larger node; very long texts are
+compared whole; an empty table has no classes; other columns don't matter, whatever their names. A shingle's hash has 64
+bits, so two texts of a million shingles each share one by chance with a probability below 1e-7.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _rolled, Words, free_name, mix64, per_text, phrase_hashes, slices, text_bytes, word_hashes, written
+from .common import Words, free_name, joined, mapped, mix64, passing, per_text, phrase_hashes, sequence_hashes, slices, text_bytes, word_hashes, written
 
 SHINGLE = 5
 SLOTS = 192
@@ -39,6 +44,8 @@ BANDS = 32
 THRESHOLD = 0.8
 #: Most leaders that the members of a group are compared with before what is still apart is looked at more closely.
 LEADER_ROUNDS = 3
+#: Members that are compared with a leader in one task, and members of a key that meet each other in one.
+CHUNK = 256
 #: Sizes of sets whose overlaps are bounded together differ by this factor at most.
 SIZE_STEP = 1.02
 NO_ID = -(1 << 63)
@@ -46,12 +53,20 @@ NO_ID = -(1 << 63)
 
 def shingles(words: Words, hashes: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingle hashes in ascending order, their counts, and each text's first, with the total at the end."""
-    if not len(hashes):
+    if not hashes.size:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(words.counts) + 1, np.int64)
     own = np.where(words.counts >= size, words.counts - size + 1, np.minimum(words.counts, 1))
     first = np.concatenate([[0], np.cumsum(own)])
     begin = np.repeat(words.first[:-1], own) + np.arange(first[-1]) - np.repeat(first[:-1], own)
-    made = _rolled(hashes, begin, begin + np.repeat(np.minimum(words.counts, size), own), 3)
+    made = np.empty(len(begin), np.uint64)
+    full = np.repeat(words.counts >= size, own)
+    made[full] = phrase_hashes(hashes[:1], size)[0, begin[full]]
+    at, n = begin[~full], np.repeat(words.counts, own)[~full]
+    short = hashes[:1, at]
+    for k in range(1, size - 1):
+        more = n > k
+        short[:, more] = joined(short[:, more], hashes[:1, at[more] + k])
+    made[~full] = short[0]
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         made[a:b].sort()
     text = np.repeat(np.arange(len(own)), own)
@@ -110,7 +125,7 @@ def all_bands(element: np.ndarray, count: np.ndarray, first: np.ndarray) -> tupl
 
 
 def sketched(rows: DataFrame) -> DataFrame:
-    """(id, tag, node, n_shingles, bands) of each row of (id, tag, text): node names the word sequence."""
+    """(id, tag, k1, k2, n_shingles, bands) of each row of (id, tag, text): k1 and k2 name the word sequence."""
 
     def batches(it):
         for batch in it:
@@ -118,46 +133,57 @@ def sketched(rows: DataFrame) -> DataFrame:
             for i, j in slices(offsets):
                 words = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 hashes = word_hashes(words)
-                node = _rolled(hashes, words.first[:-1], words.first[1:], 21)
+                k1, k2 = (pa.array(np.ascontiguousarray(k).view(np.int64)) for k in sequence_hashes(words, hashes))
                 element, count, first = shingles(words, hashes)
                 own = np.diff(first)
                 keys, ends = all_bands(element, count, first)
                 bands = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(keys.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(node.view(np.int64)), pa.array(own), bands], names=["id", "tag", "node", "n_shingles", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), k1, k2, pa.array(own), bands], names=["id", "tag", "k1", "k2", "n_shingles", "bands"])
 
-    return rows.mapInArrow(batches, "id long, tag long, node long, n_shingles long, bands array<long>")
+    return mapped(rows, batches, "id long, tag long, k1 long, k2 long, n_shingles long, bands array<long>")
 
 
-def similarities(pairs: DataFrame) -> DataFrame:
-    """(u, v, similarity) of rows (u, v, a, b): the Jaccard similarity of the texts' distinct shingles."""
+def similar_to_leader(rows: DataFrame, threshold: float) -> DataFrame:
+    """(u, v) of the members u that are similar enough to their leader v.
+
+    rows: (v, chunk, node, text), sorted within a partition by v and chunk, each chunk's first row the leader itself.
+    """
 
     def batches(it):
+        leader, now, last = None, None, None
         for batch in it:
-            n = len(batch)
-            for i in range(0, n, 128):
-                part = batch.slice(i, 128)
-                out = np.zeros(len(part))
-                both = []
-                for c in (2, 3):
-                    data, offsets = text_bytes(part.column(c))
-                    words = Words(data, offsets)
-                    element, _, first = shingles(words, word_hashes(words))
-                    both.append((element, first))
-                for k in range(len(part)):
-                    x, y = (e[f[k] : f[k + 1]] for e, f in both)
-                    same = len(np.intersect1d(x, y, assume_unique=True))
-                    out[k] = same / max(1, len(x) + len(y) - same)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out)], names=["u", "v", "similarity"])
-
-    return pairs.select("u", "v", "a", "b").mapInArrow(batches, "u long, v long, similarity double")
+            us, vs = [], []
+            v, chunk, node = (batch.column(k).to_pylist() for k in range(3))
+            data, offsets = text_bytes(batch.column(3))
+            for i, j in slices(offsets):
+                words = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                element, _, first = shingles(words, word_hashes(words))
+                for k in range(i, j):
+                    own = element[first[k - i] : first[k - i + 1]]
+                    if (v[k], chunk[k]) != now:
+                        now, leader, last = (v[k], chunk[k]), own.copy(), node[k]
+                    elif node[k] != last:  # a repeated row's text comes repeatedly
+                        last = node[k]
+                        at = np.searchsorted(leader, own)
+                        same = np.count_nonzero(leader[np.minimum(at, len(leader) - 1)] == own)
+                        if same >= threshold * (len(leader) + len(own) - same):
+                            us.append(node[k])
+                            vs.append(v[k])
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    return mapped(rows, batches, "u long, v long")
 
 
 def linked(candidates: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The candidates (u, v, nu, nv) that are similar enough; sizes too far apart are passed over, as they can't be."""
-    possible = candidates.where(F.least("nu", "nv") >= threshold * F.greatest("nu", "nv")).select("u", "v").distinct()
-    one = possible.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
-    two = one.join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
-    return similarities(two).where(F.col("similarity") >= threshold)
+    """(u, v) of the candidates (u, v, nu, nv) that are similar enough; sizes too far apart are passed over, as they can't be."""
+    possible = written(candidates.where(F.least("nu", "nv") >= threshold * F.greatest("nu", "nv")).select("u", "v").distinct(), "pairs")
+    many = possible.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
+    dealt = possible.join(many, "v").select("u", "v", F.pmod(F.xxhash64("u"), "chunks").alias("chunk"))
+    members = dealt.join(texts, dealt["u"] == texts["node"]).select("v", "chunk", "node", "text", F.lit(1).alias("role"))
+    leaders = many.select("v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
+    leaders = leaders.join(texts, leaders["v"] == texts["node"]).select("v", "chunk", "node", "text", F.lit(0).alias("role"))
+    rows = leaders.union(members).repartition("v", "chunk").sortWithinPartitions("v", "chunk", "role", "node")
+    return similar_to_leader(rows.select("v", "chunk", "node", "text"), threshold)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -189,7 +215,7 @@ def _by_leaders(group: DataFrame, edges: DataFrame | None, texts: DataFrame, thr
     every, before = group.drop("component"), None
     for turn in range(LEADER_ROUNDS):
         order = F.col("degree") if turn == 0 else F.xxhash64("node", F.lit(turn))
-        more = linked(_against_leader(group, order), texts, threshold).select("u", "v")
+        more = linked(_against_leader(group, order), texts, threshold)
         edges = written(more if edges is None else edges.union(more), "edges")
         found = components(edges)
         named = every.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -227,13 +253,15 @@ def _rare_shingles(open_: DataFrame, texts: DataFrame, threshold: float) -> Data
 
     def batches(it):
         for batch in it:
-            for i in range(0, len(batch), 256):
-                part = batch.slice(i, 256)
-                words = Words(*text_bytes(part.column(1)))
+            data, offsets = text_bytes(batch.column(1))
+            for i, j in slices(offsets):
+                words = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 element, _, first = shingles(words, word_hashes(words))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.repeat(np.arange(len(part)), np.diff(first)))), pa.array(element.view(np.int64))], names=["node", "shingle"])
+                rows = pa.array(np.repeat(np.arange(i, j), np.diff(first)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array(element.view(np.int64))], names=["node", "shingle"])
 
-    rows = texts.join(nodes.select("node"), "node", "left_semi").select("node", "text").mapInArrow(batches, "node long, shingle long")
+    open_texts = texts.join(nodes.select("node"), "node", "left_semi").select("node", "text")
+    rows = mapped(open_texts, batches, "node long, shingle long").distinct()
     often = written(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shingle-counts")
     shared = rows.join(often, "shingle")
     order = Window.partitionBy("node").orderBy("df", "shingle")
@@ -249,27 +277,46 @@ def _rare_shingles(open_: DataFrame, texts: DataFrame, threshold: float) -> Data
 
 def _apart(group: DataFrame, threshold: float) -> DataFrame:
     """Members of one key that are still in different components, each with each, where their places allow a link."""
-    other = group.select("key", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("component").alias("c"), F.col("place").alias("pv"))
+    sized = group.join(group.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("parts")), "key")
+    sized = sized.withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
+    # a pair meets in the one block that holds the part of the first by the part of the second
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    mine = sized.withColumn("with", each).select("key", "part", "with", "node", "n", "component", "place")
+    other = sized.withColumn("of", each).select("key", F.col("of").alias("part"), F.col("part").alias("with"), F.col("node").alias("v"), F.col("n").alias("nv"), F.col("component").alias("c"), F.col("place").alias("pv"))
     o = _overlap(F.col("n"), F.col("nv"), threshold)
     room = F.least("place", "pv") + F.least(F.col("n") - F.col("place"), F.col("nv") - F.col("pv"))
     allowed = (F.col("place") <= F.col("n") - o + 1) & (F.col("pv") <= F.col("nv") - o + 1) & (room >= o)
-    return group.join(other, "key").where((F.col("component") < F.col("c")) & allowed).select(F.col("node").alias("u"), "v", F.col("n").alias("nu"), "nv")
+    return mine.join(other, ["key", "part", "with"]).where((F.col("component") < F.col("c")) & allowed).select(F.col("node").alias("u"), "v", F.col("n").alias("nu"), "nv")
+
+
+def _named(docs: DataFrame, doc_id: str, text: str) -> tuple[F.Column, F.Column]:
+    """The id and the tag (the text's hash) of a row: what tells apart rows that share an id."""
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tag")
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(id, tag, class_id, class_tag) for each distinct (id, text hash): the row that names its class, which is a row itself."""
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tag"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    """(id, tag, copies, class_id, class_tag) for each distinct (id, text hash), found `copies` times, written as a table.
+
+    class_id and class_tag are those of the row that names the class, which is a row itself.
+    """
+    with passing(docs.sparkSession):
+        return written(_classes(docs, doc_id, text, threshold), "classes", lasting=True)
+
+
+def _classes(docs: DataFrame, doc_id: str, text: str, threshold: float) -> DataFrame:
+    rows = docs.select(*_named(docs, doc_id, text), F.coalesce(F.col(text), F.lit("")).alias("text"))
     table = written(sketched(rows), "sketches")
-    names = table.select("id", "tag", "node", "n_shingles").distinct()
-    heads = names.groupBy("node").agg(F.min(F.struct("id", "tag")).alias("head"), F.first("n_shingles").alias("n"))
-    heads = written(heads.select("node", "n", "head.id", "head.tag"), "nodes")
+    names = table.groupBy("id", "tag", "k1", "k2").agg(F.count(F.lit(1)).alias("copies"))
+    heads = table.groupBy("k1", "k2").agg(F.min(F.struct("id", "tag")).alias("head"), F.max("n_shingles").alias("n"))
+    # numbers of rows of a table, so short names that no two word sequences share
+    heads = written(heads.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "n", "head.id", "head.tag"), "nodes")
 
-    keys = table.select("node", F.explode("bands").alias("band")).distinct()
+    keys = table.select("id", "tag", F.explode("bands").alias("band")).join(heads.select("id", "tag", "node"), ["id", "tag"]).select("node", "band").distinct()
     # a table of its own, so that a crowded band's side of the join is a shuffle that Spark can split
     crowded = written(keys.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "crowded-bands")
     members = written(keys.join(crowded, "band").select("band", "node", "members"), "bands")
-    degree = members.groupBy("node").agg(F.sum("members").alias("degree")).join(heads, "node").select("node", "n", "degree", "id", "tag")
-    texts = written(rows.join(degree.select("node", "id", "tag"), ["id", "tag"]).select("node", "text").dropDuplicates(["node"]), "band-texts")
+    degree = written(members.groupBy("node").agg(F.sum("members").alias("degree")).join(heads, "node").select("node", "n", "degree", "id", "tag"), "band-nodes")
+    texts = written(rows.join(degree.select("node", "id", "tag"), ["id", "tag"]).select("node", "text"), "band-texts")
     ranked = written(members.select("band", "node").join(degree.select("node", "n", "degree"), "node"), "band-members")
 
     start = ranked.withColumnRenamed("band", "key").withColumn("component", F.col("node"))
@@ -280,12 +327,12 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
             start = rare.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
             edges, found, open_ = _by_leaders(start, edges, texts, threshold)
             if open_ is not None:
-                edges = written(edges.union(linked(_apart(open_, threshold), texts, threshold).select("u", "v")), "edges")
+                edges = written(edges.union(linked(_apart(open_, threshold), texts, threshold)), "edges")
                 found = components(edges)
     placed = heads.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     best = placed.groupBy("component").agg(F.min(F.struct("id", "tag")).alias("c"))
-    placed = placed.join(best, "component").select("node", F.col("c.id").alias("class_id"), F.col("c.tag").alias("class_tag"))
-    return names.select("id", "tag", "node").join(placed, "node").select("id", "tag", "class_id", "class_tag")
+    placed = placed.join(best, "component").select("k1", "k2", F.col("c.id").alias("class_id"), F.col("c.tag").alias("class_tag"))
+    return names.join(placed, ["k1", "k2"]).select("id", "tag", "copies", "class_id", "class_tag")
 
 
 def _public(column: str) -> F.Column:
@@ -294,15 +341,18 @@ def _public(column: str) -> F.Column:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id) of every row."""
-    made = written(classes(docs, doc_id, text, threshold), "classes")
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tag"))
+    made = classes(docs, doc_id, text, threshold).select("id", "tag", "class_id")
+    rows = docs.select(*_named(docs, doc_id, text))
     return rows.join(made, ["id", "tag"]).select(_public("id").alias("doc_id"), _public("class_id").alias("class_id"))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The row of the least id of each class, with all its columns; one of several rows alike in id and text."""
-    heads = written(classes(docs, doc_id, text, threshold).where("id = class_id and tag = class_tag").select("id", "tag").distinct(), "class-heads")
     a, b = free_name(docs, "__id"), free_name(docs, "__tag")
-    marked = docs.withColumn(a, F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))).withColumn(b, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    heads = heads.select(F.col("id").alias(a), F.col("tag").alias(b))
-    return marked.join(heads, [a, b]).dropDuplicates([a, b]).select(*docs.columns)
+    heads = classes(docs, doc_id, text, threshold).where("id = class_id and tag = class_tag").select(F.col("id").alias(a), F.col("tag").alias(b), "copies")
+    number, tag = _named(docs, doc_id, text)
+    marked = docs.withColumn(a, number).withColumn(b, tag)
+    # whole rows are compared only where a row is repeated
+    once = marked.join(heads.where("copies = 1").select(a, b), [a, b])
+    again = marked.join(heads.where("copies > 1").select(a, b), [a, b]).dropDuplicates([a, b])
+    return once.unionByName(again).select(*docs.columns)

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import put_file, slices, text_bytes
+from .common import mapped, put_file, slices, text_bytes
 
 MAGIC = b"FIXBITS1"
 BLOCK = 4096
@@ -213,7 +213,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int | None = None, do
 
         yield pa.RecordBatch.from_pandas(pd.DataFrame(done, columns=["name", "n_docs", "n_ids"]).astype({"name": "string", "n_docs": "int64", "n_ids": "int64"}), preserve_index=False)
 
-    return dealt.mapInArrow(files, "name string, n_docs long, n_ids long")
+    return mapped(dealt, files, "name string, n_docs long, n_ids long")
 
 
 def with_starts(files: DataFrame) -> DataFrame:

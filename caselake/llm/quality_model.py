@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, per_text, slices, text_bytes, word_hashes, written
+from .common import Words, mapped, per_text, slices, text_bytes, word_hashes, written
 from .quality_rules import SYMBOLS, repeated_words
 
 STATISTICS = 14
@@ -40,7 +40,7 @@ class Settings:
 def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """(texts x STATISTICS) numbers from whole texts; shares are of words or bytes."""
     words = Words(data, offsets)
-    hashes = word_hashes(words)
+    hashes = word_hashes(words)[0]
     n = words.counts.astype(float)
     size = np.maximum(np.diff(offsets), 1).astype(float)
     some = np.maximum(n, 1)
@@ -95,7 +95,7 @@ def with_statistics(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
                 column = pa.ListArray.from_arrays(pa.array(np.arange(0, made.size + 1, STATISTICS, dtype=np.int32)), pa.array(made.ravel()))
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[: len(keep)]), column], names=[*keep, "statistics"])
 
-    return kept.mapInArrow(batches, schema)
+    return mapped(kept, batches, schema)
 
 
 @dataclass
@@ -193,7 +193,7 @@ def scored(profiled: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             score = model.score(_stack(batch.column(len(keep)))) if len(batch) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(score)], names=[*keep, "score"])
 
-    return kept.mapInArrow(batches, schema)
+    return mapped(kept, batches, schema)
 
 
 def held_out(doc_id: str) -> F.Column:

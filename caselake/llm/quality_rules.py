@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Words, free_name, per_text, phrase_hashes, slices, text_bytes, whole_phrases, word_hashes, written
+from .common import SPACE, Words, free_name, mapped, per_text, phrase_hashes, slices, text_bytes, whole_phrases, word_hashes, written
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -46,7 +46,7 @@ def repeated_words(words: Words) -> np.ndarray:
     at = whole_phrases(words, 3)
     covered = np.zeros(len(words.start), bool)
     if len(at):
-        key = phrase_hashes(word_hashes(words), 3)[at]
+        key = phrase_hashes(word_hashes(words)[:1], 3)[0, at]
         text = words.text_of_word()[at]
         order = np.lexsort((key, text))
         same = (key[order][1:] == key[order][:-1]) & (text[order][1:] == text[order][:-1])
@@ -103,7 +103,7 @@ def profiles(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
             arrays = [pa.array(v, kinds.get(k, pa.int64())) for k, v in made.items()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *arrays], names=[*keep, *made])
 
-    return kept.mapInArrow(batches, schema)
+    return mapped(kept, batches, schema)
 
 
 def line_counts(profiled: DataFrame, host: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, slices, text_bytes, written
+from .common import free_name, mapped, slices, text_bytes, written
 
 LONG, SHORT = 16, 8
 AROUND = 80  # bytes of neighbouring words on either side
@@ -195,7 +195,7 @@ def _with_features(df: DataFrame, words_path: str, keep: list[str]) -> DataFrame
             made = [features(c, b or "", a or "", p or "", words) for c, b, a, p in zip(*(x.to_pylist() for x in batch.columns[len(keep) :]), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(made, pa.list_(pa.float64()))], names=[*keep, "features"])
 
-    return kept.mapInArrow(batches, schema)
+    return mapped(kept, batches, schema)
 
 
 def fit(findings: DataFrame, words_path: str, trees: int = 40, depth: int = 8, seed: int = 5) -> RandomForestClassificationModel:
@@ -237,7 +237,7 @@ def found(docs: DataFrame, text: str, path: str, keep: list[str]) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).take(rows) for k in range(len(keep))), *made, batch.column(len(keep) + 1).take(rows)], names=[*keep, "start", "n_chars", "candidate", "before", "after", "path"])
 
-    return kept.mapInArrow(batches, schema)
+    return mapped(kept, batches, schema)
 
 
 def scan(docs: DataFrame, model: RandomForestClassificationModel, words_path: str, text: str = "text", path: str = "source", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

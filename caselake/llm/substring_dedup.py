@@ -1,23 +1,30 @@
 """Removal of repeated passages by relative Lempel-Ziv parsing against an index of the whole corpus.
 
-A window is WINDOW consecutive words of one text. The reference is every text; its index is spread by hash over Spark's
-partitions, and each text's phrases visit the index block that could hold them, so a text is factored against every block
-without being sent to each:
-
-1. Blocks. The windows of a text whose rarest-looking phrase (least hash of the GRAM-word phrases in the window, the
-   leftmost of equals) is the same phrase form a reference block of at most WINDOW - GRAM + 1 windows. Equal windows
-   have equal phrases, so whatever repeats, repeats under one phrase hash.
-2. Blocks whose phrase occurs once in the corpus hold no repeated window. Of the others, equal blocks (128-bit hash) are
-   summed; a block found twice is part of a factor as a whole.
-3. At factor boundaries equal phrases stand in unequal blocks. One representative of each such block is cut into its
-   windows, whose 128-bit hashes are counted and returned to the blocks that occur once.
-4. Each text is then parsed greedily from the left: a factor runs on while the windows at hand are in the index under the
-   same reference text, and every factor of at least WINDOW words is a duplicate span.
-
-Hot phrases, passages and copies are summed in every task before a shuffle, and only narrow rows join them back (Spark
-may split a hot key there). Defined results: a null text has no words; texts below WINDOW words lose nothing; the copies
-of a repeated row repeat each other; rows that share an id are told apart by their texts' hashes; clashing column names
-are harmless, since only the named columns are read.
+A window is WINDOW consecutive words of one text. The reference is every text, cut into blocks; the index leads from a
+phrase to the blocks that hold it and their places. It is spread by hash over Spark's partitions, and each text's phrases
+visit the part of the index that could hold them, so a text is factored against every block without being sent to each:
+
+1. Index. The windows of a text whose rarest-looking phrase (least hash of the GRAM-word phrases in the window, the
+   leftmost of equals) is the same phrase form a block of at most WINDOW - GRAM + 1 windows. Equal windows have equal
+   phrases, so whatever repeats, repeats under one phrase.
+2. Blocks whose phrase occurs once in the corpus hold no repeated window. Of the others, equal blocks become one reference
+   block with the place of its first copy (least id, tag and word) and of its last. A text's block that has an equal one
+   elsewhere matches it as a whole: its words at `start` are the reference's words at `at`.
+3. At factor boundaries equal phrases stand in unequal blocks. Each such reference block is cut into its windows, which
+   are looked up among each other one by one; those of blocks that occur once become matches of one window.
+4. Each text is then parsed from the left. Matches at the same distance from the same reference text continue each other,
+   so they are extended over that reference's words as far as it goes on to match. At each place the longest such factor
+   is taken; it has WINDOW words at least, and is a duplicate span. A window that begins inside a factor and ends beyond
+   it opens the next one.
+
+Blocks and windows are compared by 128-bit hashes of their words: among 10**12 of them, two unequal ones are taken for
+equal with a chance of 1e-15, whatever the words. Hot phrases, passages and copies are summed in every task before a
+shuffle, and only narrow rows join them back (Spark may split a hot key there).
+
+Defined results: a null or empty text has no words; texts below WINDOW words lose nothing; a very long text is parsed
+whole; the copies of a repeated row repeat each other, and have that row as reference; rows that share an id are told
+apart by their texts' hashes; a null id is a reference of null id; an empty table gives an empty table; clashing column
+names are harmless, since only the named columns are read.
 """
 
 from __future__ import annotations
@@ -26,10 +33,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _rolled, Words, phrase_hashes, slices, text_bytes, whole_phrases, word_hashes, written
+from .common import Words, joined, mapped, passing, phrase_hashes, slices, text_bytes, whole_phrases, word_hashes, written
 
 WINDOW = 35
 GRAM = 12
@@ -43,12 +51,12 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def blocks_of(words: Words, hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """First word, windows, text, phrase hash and block hash of each block; words are indices over all texts."""
+    """First word, windows, text, phrase hash and block hash (two rows) of each block; words are indices over all texts."""
     at = whole_phrases(words, window)
     if not len(at):
         none = np.zeros(0, np.int64)
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    phrase = phrase_hashes(hashes, gram)
+        return none, none, none, none.astype(np.uint64), np.zeros((2, 0), np.uint64)
+    phrase = phrase_hashes(hashes[:1], gram)[0]
     n = len(phrase)
     # the least of the phrases in a window, with its place in the low bits, so that the leftmost of equals wins
     least = (phrase >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS)) | np.arange(n, dtype=np.uint64)
@@ -60,8 +68,11 @@ def blocks_of(words: Words, hashes: np.ndarray, window: int, gram: int) -> tuple
     place = (least[at] & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
     first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
     last = np.append(first[1:], len(at)) - 1
-    start = at[first]
-    return start, last - first + 1, words.text_of_word()[start], phrase[place[first]], _rolled(hashes, start, at[last] + window, 7)
+    start, many = at[first], last - first + 1
+    # the first and the last window hold all words of a block between them
+    whole = phrase_hashes(hashes, window)
+    block = joined(whole[:, start], whole[:, at[last]] ^ many.astype(np.uint64))
+    return start, many, words.text_of_word()[start], phrase[place[first]], block
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -69,7 +80,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def phrase_blocks(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(h, g, id, tag, start, n) of every block of every text."""
+    """(h, g1, g2, id, tag, start, n) of every block of every text."""
 
     def batches(it):
         for batch in it:
@@ -79,15 +90,15 @@ def phrase_blocks(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
                 words = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 start, n, text, h, g = blocks_of(words, word_hashes(words), window, gram)
                 yield pa.RecordBatch.from_arrays(
-                    [_signed(h), _signed(g), pa.array(ids[i + text]), pa.array(tags[i + text]), pa.array(start - words.first[text]), pa.array(n)],
-                    names=["h", "g", "id", "tag", "start", "n"],
+                    [_signed(h), _signed(g[0]), _signed(g[1]), pa.array(ids[i + text]), pa.array(tags[i + text]), pa.array(start - words.first[text]), pa.array(n)],
+                    names=["h", "g1", "g2", "id", "tag", "start", "n"],
                 )
 
-    return rows.mapInArrow(batches, "h long, g long, id long, tag long, start long, n long")
+    return mapped(rows, batches, "h long, g1 long, g2 long, id long, tag long, start long, n long")
 
 
 def block_windows(joined: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(w1, w2, id, tag, start) of the windows of the blocks [(start, n)] named beside each text."""
+    """(w1, w2, id, tag, start, once) of the windows of the blocks [(start, n, once)] named beside each text."""
 
     def batches(it):
         for batch in it:
@@ -96,116 +107,128 @@ def block_windows(joined: DataFrame, window: int = WINDOW) -> DataFrame:
             for i, j in slices(offsets):
                 words = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 part = blocks.slice(i, j - i)
-                count = pa.compute.list_value_length(part).to_numpy()
+                count = pc.list_value_length(part).to_numpy()
                 flat = part.flatten()
-                first, n = flat.field("start").to_numpy(), flat.field("n").to_numpy()
+                first, n, once = flat.field("start").to_numpy(), flat.field("n").to_numpy(), flat.field("once").to_numpy(zero_copy_only=False)
                 text = np.repeat(np.repeat(np.arange(j - i), count), n)
                 start = np.repeat(first, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                at = words.first[text] + start
-                hashed = [_rolled(word_hashes(words, seed), at, at + window, seed) if len(at) else np.zeros(0, np.uint64) for seed in (11, 12)]
-                yield pa.RecordBatch.from_arrays([*map(_signed, hashed), pa.array(ids[i + text]), pa.array(tags[i + text]), pa.array(start)], names=["w1", "w2", "id", "tag", "start"])
+                hashed = phrase_hashes(word_hashes(words), window)[:, words.first[text] + start]
+                yield pa.RecordBatch.from_arrays(
+                    [*map(_signed, hashed), pa.array(ids[i + text]), pa.array(tags[i + text]), pa.array(start), pa.array(np.repeat(once, n))],
+                    names=["w1", "w2", "id", "tag", "start", "once"],
+                )
 
-    return joined.mapInArrow(batches, "w1 long, w2 long, id long, tag long, start long")
+    return mapped(joined, batches, "w1 long, w2 long, id long, tag long, start long, once boolean")
 
 
-def _other(own: str) -> F.Column:
-    """The reference text: another one with the same words if there is one, else the text itself."""
-    return F.when(F.col("low") != F.col(own), F.col("low")).otherwise(F.col("high"))
+def _reference(n: F.Column) -> F.Column:
+    """A match (start, n, ref, tag, at): the first copy, or the last one where the first is this very place."""
+    own = F.struct("id", "tag", "start")
+    other = F.when(F.col("low") != own, F.col("low")).otherwise(F.col("high"))
+    return F.struct(F.col("start"), n.alias("n"), other["id"].alias("ref"), other["tag"].alias("tag"), other["start"].alias("at"))
 
 
-def repeated_windows(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(id, tag, windows): the window starts [start, start + n) of each text that are repeated, with a reference text each."""
+def matches(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(id, tag, matches): [(start, n, ref, tag, at)], the n windows from `start` on equal those from `at` on in the text (ref, tag)."""
     blocks = phrase_blocks(rows, window, gram)
+    place = F.struct("id", "tag", "start")
     # tables of their own, so that a hot phrase's side of the joins below is a shuffle that Spark can split
     often = written(blocks.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"), "phrases")
     repeated = written(blocks.join(often, "h", "left_semi"), "phrase-blocks")
-    summed = written(
-        repeated.groupBy("h", "g").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("low"), F.max("id").alias("high"), F.first("id").alias("id"), F.first("tag").alias("tag"), F.first("start").alias("start"), F.first("n").alias("n")),
-        "block-sums",
-    )
-    whole = repeated.join(summed.where("c > 1").select("h", "g", "low", "high"), ["h", "g"]).select("id", "tag", "start", "n", _other("id").alias("ref"))
+    index = repeated.groupBy("h", "g1", "g2").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("low"), F.max(place).alias("high"), F.max("n").alias("n"))
+    index = written(index, "reference-blocks")
+    whole = repeated.join(index.where("c > 1").select("h", "g1", "g2", "low", "high"), ["h", "g1", "g2"])
+    whole = whole.select("id", "tag", _reference(F.col("n")).alias("match"))
     # phrases with unequal blocks: a factor may end inside these
-    uneven = written(summed.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h"), "uneven-phrases")
-    cut = summed.join(uneven, "h", "left_semi").groupBy("id", "tag").agg(F.collect_list(F.struct("start", "n", (F.col("c") == 1).alias("open"))).alias("blocks"))
+    uneven = written(index.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h"), "uneven-phrases")
+    cut = index.join(uneven, "h", "left_semi").groupBy("low.id", "low.tag").agg(F.collect_list(F.struct("low.start", "n", (F.col("c") == 1).alias("once"))).alias("blocks"))
     windows = written(block_windows(rows.join(cut, ["id", "tag"]).select("id", "tag", "text", "blocks"), window), "boundary-windows")
-    shared = written(windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("low"), F.max("id").alias("high")).where("c > 1").drop("c"), "shared-windows")
-    single = windows.join(shared, ["w1", "w2"]).select("id", "tag", "start", F.lit(1).cast("long").alias("n"), _other("id").alias("ref"))
-    return whole.unionByName(single).groupBy("id", "tag").agg(F.collect_set(F.struct("start", "n", "ref")).alias("windows"))
+    shared = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("low"), F.max(place).alias("high")).where("c > 1").drop("c")
+    single = windows.where("once").join(written(shared, "shared-windows"), ["w1", "w2"])
+    single = single.select("id", "tag", _reference(F.lit(1).cast("long")).alias("match"))
+    return whole.unionByName(single).groupBy("id", "tag").agg(F.collect_set("match").alias("matches"))
 
 
-def parse(windows: list[dict], window: int = WINDOW) -> list[tuple[int, int, int]]:
-    """Greedy factors (first word, words, reference) from a text's repeated windows, left to right.
+def extended(found: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Runs (doc, start, end, ref, tag, shift) of matches that continue each other, by doc and start.
 
-    Of the references known at a place the one that runs longest is taken; a window that begins inside a factor and ends
-    beyond it opens the next factor, so nothing that repeats across a boundary is lost.
+    found: doc, start, n, ref, tag and at of matches. A run's windows from start to end equal those of the reference text
+    `shift` words further on.
     """
-    runs: dict[int, list[list[int]]] = {}
-    for w in sorted(windows, key=lambda w: (w["ref"], w["start"], w["n"])):
-        own = runs.setdefault(w["ref"], [])
-        if own and w["start"] <= own[-1][1]:
-            own[-1][1] = max(own[-1][1], w["start"] + w["n"])
-        else:
-            own.append([w["start"], w["start"] + w["n"]])
-    spans = sorted((a, -b, ref) for ref, own in runs.items() for a, b in own)
-    out: list[tuple[int, int, int]] = []
-    done = -1  # window starts below are in a factor
-    k, best = 0, None
-    while k < len(spans) or best is not None:
-        if best is None:
-            best = (-spans[k][1], spans[k][2], max(spans[k][0], done))
+    doc, start, ref, tag = (found[k] for k in ("doc", "start", "ref", "tag"))
+    end, shift = start + found["n"], found["at"] - start
+    order = np.lexsort((start, shift, tag, ref, doc))
+    doc, start, end, ref, tag, shift = (x[order] for x in (doc, start, end, ref, tag, shift))
+    fresh = np.ones(len(doc), bool)
+    fresh[1:] = (doc[1:] != doc[:-1]) | (ref[1:] != ref[:-1]) | (tag[1:] != tag[:-1]) | (shift[1:] != shift[:-1])
+    level = np.cumsum(fresh) << 32  # above every place, so that the running largest end begins anew with each group
+    reach = np.maximum.accumulate(end + level) - level
+    fresh[1:] |= start[1:] > reach[:-1]
+    first = np.flatnonzero(fresh)
+    last = np.append(first[1:], len(doc)) - 1 if len(doc) else first
+    runs = {"doc": doc[first], "start": start[first], "end": reach[last], "ref": ref[first], "tag": tag[first], "shift": shift[first]}
+    order = np.lexsort((runs["start"], runs["doc"]))
+    return {k: x[order] for k, x in runs.items()}
+
+
+def parse(runs: list[tuple[int, int, int, int]], window: int = WINDOW) -> list[tuple[int, int, int, int]]:
+    """Greedy factors (first word, words, reference, its first word) from a text's runs (start, end, reference, shift) by start."""
+    out, k, done, best = [], 0, 0, None
+    while True:
+        while k < len(runs) and runs[k][0] <= done:  # of those known at this place, the one that goes on furthest
+            if best is None or runs[k][1] > best[1]:
+                best = runs[k]
             k += 1
-        while k < len(spans) and spans[k][0] <= best[2]:  # known at the same place: the longest wins
-            if -spans[k][1] > best[0]:
-                best = (-spans[k][1], spans[k][2], best[2])
-            k += 1
-        end, ref, start = best
-        best = None
-        if end > start:
-            out.append((start, end - start + window - 1, ref))
-            done = end
-            ahead = None
-            while k < len(spans) and spans[k][0] <= done:
-                if -spans[k][1] > done and (ahead is None or -spans[k][1] > ahead[0]):
-                    ahead = (-spans[k][1], spans[k][2], done)
-                k += 1
-            best = ahead
-    return out
-
-
-def parsed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(id, tag, text, windows) of every row; windows is null where nothing repeats."""
-    rows = keyed(docs, doc_id, text)
-    return rows.join(repeated_windows(rows, window, gram), ["id", "tag"], "left").select("id", "tag", "text", "windows")
+        if best is not None and best[1] > done:
+            start = max(best[0], done)
+            out.append((start, best[1] - start + window - 1, best[2], start + best[3]))
+            done = best[1]
+        elif k < len(runs):
+            done = runs[k][0]
+        else:
+            return out
 
 
-def kept_words(text: str, factors: list[tuple[int, int, int]]) -> tuple[int, list[bytes]]:
+def kept_words(text: str, factors: list[tuple[int, int, int, int]]) -> tuple[int, list[bytes]]:
     words = text.encode().split()
     out, at = [], 0
-    for start, n, _ in factors:
+    for start, n, *_ in factors:
         out += words[at:start]
         at = max(at, start + n)
     return len(words), out + words[at:]
 
 
 def factors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, text with the kept words joined by one space, n_words, n_removed, kept_sha256 and the factors of every row."""
-    made = parsed(docs, doc_id, text, window, gram)
-    name = "array<struct<start:long,n_words:long,ref:long>>"
+    """doc_id, text with the kept words joined by one space, n_words, n_removed, kept_sha256 and the factors of every row.
+
+    A factor: n_words words from word `start` on are those from word `at` on of a text of id `ref`.
+    """
+    rows = keyed(docs, doc_id, text)
+    with passing(docs.sparkSession):
+        found = written(matches(rows, window, gram), "matches", lasting=True)
+    made = rows.join(found, ["id", "tag"], "left").select("id", "text", "matches")
+    name = "array<struct<start:long,n_words:long,ref:long,at:long>>"
     schema = f"doc_id long, text string, n_words long, n_removed long, kept_sha256 string, factors {name}"
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("n_words", pa.int64()), ("ref", pa.int64())]))
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("n_words", pa.int64()), ("ref", pa.int64()), ("at", pa.int64())]))
 
     def batches(it):
         for batch in it:
             for i in range(0, len(batch), 256):
                 part = batch.slice(i, 256)
+                listed = part.column(2)
+                flat = listed.flatten()
+                count = pc.fill_null(pc.list_value_length(listed), 0).to_numpy()
+                runs = extended({"doc": np.repeat(np.arange(len(part)), count)} | {k: flat.field(k).to_numpy() for k in ("start", "n", "ref", "tag", "at")})
+                ends = np.searchsorted(runs["doc"], np.arange(len(part) + 1)).tolist()
+                each = list(zip(*(runs[k].tolist() for k in ("start", "end", "ref", "shift")), strict=True))
                 out = []
-                for number, t, w in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                    found = parse(w, window) if w else []
-                    n, kept = kept_words(t, found)
-                    joined = b" ".join(kept)
-                    out.append((None if number == NO_ID else number, joined.decode(), n, n - len(kept), hashlib.sha256(joined).hexdigest(), [{"start": a, "n_words": b, "ref": None if c == NO_ID else c} for a, b, c in found]))
-                cols = list(zip(*out, strict=True)) if out else [[]] * 6
+                for k, (number, t) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)):
+                    spans = parse(each[ends[k] : ends[k + 1]], window)
+                    n, kept = kept_words(t, spans)
+                    whole = b" ".join(kept)
+                    names = [{"start": a, "n_words": b, "ref": None if c == NO_ID else c, "at": d} for a, b, c, d in spans]
+                    out.append((None if number == NO_ID else number, whole.decode(), n, n - len(kept), hashlib.sha256(whole).hexdigest(), names))
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), kind]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "text", "n_words", "n_removed", "kept_sha256", "factors"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "text", "n_words", "n_removed", "kept_sha256", "factors"])
 
-    return made.mapInArrow(batches, schema)
+    return mapped(made, batches, schema)

@@ -1,10 +1,12 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 
 from caselake.llm import near_dedup as N
 from caselake.llm.common import WORD
+from tests.llm.test_common import thue_morse, words_of
 
 
 def sets(text):
@@ -135,3 +137,40 @@ def test_bands_by_weight_one():
     keys, first = N.all_bands(np.concatenate([element, element]), np.array([1] * 40 + [1, 90] * 20), np.array([0, 40, 80, 80]))
     once, often = set(keys[: first[1]].tolist()), set(keys[first[1] : first[2]].tolist())
     assert len(once) == N.BANDS and once < often and first[3] == first[2]
+
+
+def test_shingles_against_brute_force():
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abc") for _ in range(n)) for n in [*range(0, 9), 40, 400]]
+    words = words_of(texts)
+    element, count, first = N.shingles(words, N.word_hashes(words))
+    named = {}
+    for k, t in enumerate(texts):
+        w = t.split()
+        want = Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
+        own = slice(first[k], first[k + 1])
+        assert sorted(count[own].tolist()) == sorted(want.values()) and (np.diff(element[own].astype(object)) > 0).all()
+        named[k] = set(element[own].tolist())
+    for a in range(len(texts)):
+        for b in range(a):
+            assert len(named[a] & named[b]) == len(sets(texts[a]) & sets(texts[b]))
+
+
+def test_words_and_texts_like_thue_and_morse(spark):
+    """Different texts on which every polynomial hash modulo a power of two collides stay different."""
+    rows = [(k, t) for k, t in enumerate(x for n in (256, 1024, 4096) for x in thue_morse(n))]
+    rows += [(100 + k, " ".join(t)) for k, t in enumerate(x for n in (512, 1024, 2048) for x in thue_morse(n))]
+    assert run(spark, rows) == expected(rows)
+    got = N.one_of_each(frame(spark, rows[:6]))
+    assert got.count() == 6
+
+
+def test_crowded_keys_meet_in_blocks(spark, monkeypatch):
+    """Members of one key and followers of one leader in chunks of two: no pair is lost, and none is compared twice."""
+    monkeypatch.setattr(N, "CHUNK", 2)
+    rng = random.Random(12)
+    rows = [(i, t) for i, t in enumerate(copies(rng, 25, 12))]
+    assert run(spark, rows) == expected(rows)
+    group = spark.createDataFrame([(1, k, 40, k, 1) for k in range(9)] + [(2, 50, 40, 50, 1)], "key long, node long, n long, component long, place long")
+    got = [(r.u, r.v) for r in N._apart(group, 0.8).collect()]
+    assert sorted(got) == [(a, b) for a in range(9) for b in range(a + 1, 9)]
