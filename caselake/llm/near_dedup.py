@@ -31,12 +31,15 @@ from __future__ import annotations
 
 import math
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, free_name, joined, mapped, mix64, passing, per_text, phrase_hashes, sequence_hashes, slices, text_bytes, word_hashes, written
+from .common import SLICE_BYTES, Words, free_name, joined, mapped, mix64, passing, per_text, phrase_hashes, sequence_hashes, slices, text_bytes, word_hashes, written
 
 SHINGLE = 5
 SLOTS = 192
@@ -47,7 +50,7 @@ LEADER_ROUNDS = 3
 #: Members that are compared with a leader in one task, and members of a key that meet each other in one.
 CHUNK = 256
 #: Sizes of sets whose overlaps are bounded together differ by this factor at most.
-SIZE_STEP = 1.02
+SIZE_STEP = 1.1
 NO_ID = -(1 << 63)
 
 
@@ -143,27 +146,48 @@ def sketched(rows: DataFrame) -> DataFrame:
     return mapped(rows, batches, "id long, tag long, k1 long, k2 long, n_shingles long, bands array<long>")
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """(id, tag, packed) of each row of (id, tag, text): texts travel compressed, as several joins move them."""
+
+    def batches(it):
+        zip_ = zstandard.ZstdCompressor(level=1).compress
+        for batch in it:
+            made = pa.array([zip_((t or "").encode()) for t in batch.column(2).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made], names=["id", "tag", "packed"])
+
+    return mapped(rows, batches, "id long, tag long, packed binary")
+
+
+def unpacked(column: pa.Array) -> Iterator[tuple[int, int, Words]]:
+    """(first row, row after the last, their words) of packed texts, about SLICE_BYTES of them at a time."""
+    unzip = zstandard.ZstdDecompressor().decompress
+    held, size, since = [], 0, 0
+    for k, blob in enumerate(column):
+        held.append(unzip(blob.as_py()))
+        size += len(held[-1])
+        if size >= SLICE_BYTES or k + 1 == len(column):
+            yield since, k + 1, Words(np.frombuffer(b"".join(held), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in held])]))
+            held, size, since = [], 0, k + 1
+
+
 def similar_to_leader(rows: DataFrame, threshold: float) -> DataFrame:
     """(u, v) of the members u that are similar enough to their leader v.
 
-    rows: (v, chunk, node, text), sorted within a partition by v and chunk, each chunk's first row the leader itself.
+    rows: (v, chunk, node, packed), sorted within a partition by v and chunk, each chunk's first row the leader itself.
     """
 
     def batches(it):
-        leader, now, last = None, None, None
+        leader, now = None, None
         for batch in it:
             us, vs = [], []
             v, chunk, node = (batch.column(k).to_pylist() for k in range(3))
-            data, offsets = text_bytes(batch.column(3))
-            for i, j in slices(offsets):
-                words = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            for i, j, words in unpacked(batch.column(3)):
                 element, _, first = shingles(words, word_hashes(words))
                 for k in range(i, j):
                     own = element[first[k - i] : first[k - i + 1]]
                     if (v[k], chunk[k]) != now:
-                        now, leader, last = (v[k], chunk[k]), own.copy(), node[k]
-                    elif node[k] != last:  # a repeated row's text comes repeatedly
-                        last = node[k]
+                        now, leader = (v[k], chunk[k]), own.copy()
+                    else:
                         at = np.searchsorted(leader, own)
                         same = np.count_nonzero(leader[np.minimum(at, len(leader) - 1)] == own)
                         if same >= threshold * (len(leader) + len(own) - same):
@@ -179,11 +203,11 @@ def linked(candidates: DataFrame, texts: DataFrame, threshold: float) -> DataFra
     possible = written(candidates.where(F.least("nu", "nv") >= threshold * F.greatest("nu", "nv")).select("u", "v").distinct(), "pairs")
     many = possible.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
     dealt = possible.join(many, "v").select("u", "v", F.pmod(F.xxhash64("u"), "chunks").alias("chunk"))
-    members = dealt.join(texts, dealt["u"] == texts["node"]).select("v", "chunk", "node", "text", F.lit(1).alias("role"))
+    members = dealt.join(texts, dealt["u"] == texts["node"]).select("v", "chunk", "node", "packed", F.lit(1).alias("role"))
     leaders = many.select("v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
-    leaders = leaders.join(texts, leaders["v"] == texts["node"]).select("v", "chunk", "node", "text", F.lit(0).alias("role"))
+    leaders = leaders.join(texts, leaders["v"] == texts["node"]).select("v", "chunk", "node", "packed", F.lit(0).alias("role"))
     rows = leaders.union(members).repartition("v", "chunk").sortWithinPartitions("v", "chunk", "role", "node")
-    return similar_to_leader(rows.select("v", "chunk", "node", "text"), threshold)
+    return similar_to_leader(rows.select("v", "chunk", "node", "packed"), threshold)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -207,27 +231,34 @@ def _against_leader(group: DataFrame, order: F.Column) -> DataFrame:
     return both.select(F.col("node").alias("u"), F.col("l.node").alias("v"), F.col("n").alias("nu"), F.col("l.n").alias("nv"))
 
 
-def _by_leaders(group: DataFrame, edges: DataFrame | None, texts: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """(edges, components, members of groups that are still apart, or None) after comparing members with leaders.
+def _merged(found: DataFrame, more: DataFrame) -> DataFrame:
+    """found (node, component) after the links (u, v) have joined components; only links between two of them move on."""
+    of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"{c}c"))
+    lifted = more.join(of("u"), "u").join(of("v"), "v").where("uc != vc").select(F.col("uc").alias("u"), F.col("vc").alias("v"))
+    roots = components(lifted).select(F.col("node").alias("component"), F.col("component").alias("root"))
+    return written(found.join(roots, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "components")
+
+
+def _by_leaders(group: DataFrame, found: DataFrame, texts: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame | None]:
+    """(components, members of groups that are still apart, or None) after comparing members (key, node, n, degree) with leaders.
 
     The first leader is the node of the highest degree, the next ones follow a hash; it ends when a round helps little.
     """
-    every, before = group.drop("component"), None
+    every, before = group, None
+    group = group.join(found, "node")
     for turn in range(LEADER_ROUNDS):
         order = F.col("degree") if turn == 0 else F.xxhash64("node", F.lit(turn))
-        more = linked(_against_leader(group, order), texts, threshold)
-        edges = written(more if edges is None else edges.union(more), "edges")
-        found = components(edges)
-        named = every.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        found = _merged(found, written(linked(_against_leader(group, order), texts, threshold), "edges"))
+        named = every.join(found, "node")
         apart = written(named.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1").select("key"), "open-keys")
         group = written(named.join(apart, "key", "left_semi"), "open-groups")
         left = group.count()
         if not left:
-            return edges, found, None
+            return found, None
         if before is not None and left > 0.8 * before:
             break
         before = left
-    return edges, found, group
+    return found, group
 
 
 def _overlap(n: F.Column, m: F.Column, threshold: float) -> F.Column:
@@ -253,15 +284,13 @@ def _rare_shingles(open_: DataFrame, texts: DataFrame, threshold: float) -> Data
 
     def batches(it):
         for batch in it:
-            data, offsets = text_bytes(batch.column(1))
-            for i, j in slices(offsets):
-                words = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            for i, j, words in unpacked(batch.column(1)):
                 element, _, first = shingles(words, word_hashes(words))
                 rows = pa.array(np.repeat(np.arange(i, j), np.diff(first)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array(element.view(np.int64))], names=["node", "shingle"])
 
-    open_texts = texts.join(nodes.select("node"), "node", "left_semi").select("node", "text")
-    rows = mapped(open_texts, batches, "node long, shingle long").distinct()
+    open_texts = texts.join(nodes.select("node"), "node", "left_semi").select("node", "packed")
+    rows = mapped(open_texts, batches, "node long, shingle long")
     often = written(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shingle-counts")
     shared = rows.join(often, "shingle")
     order = Window.partitionBy("node").orderBy("df", "shingle")
@@ -307,28 +336,29 @@ def _classes(docs: DataFrame, doc_id: str, text: str, threshold: float) -> DataF
     rows = docs.select(*_named(docs, doc_id, text), F.coalesce(F.col(text), F.lit("")).alias("text"))
     table = written(sketched(rows), "sketches")
     names = table.groupBy("id", "tag", "k1", "k2").agg(F.count(F.lit(1)).alias("copies"))
-    heads = table.groupBy("k1", "k2").agg(F.min(F.struct("id", "tag")).alias("head"), F.max("n_shingles").alias("n"))
+    heads = table.groupBy("k1", "k2").agg(F.min(F.struct("id", "tag")).alias("head"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"))
     # numbers of rows of a table, so short names that no two word sequences share
-    heads = written(heads.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "n", "head.id", "head.tag"), "nodes")
+    heads = written(heads.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "n", "head.id", "head.tag", "bands"), "nodes")
 
-    keys = table.select("id", "tag", F.explode("bands").alias("band")).join(heads.select("id", "tag", "node"), ["id", "tag"]).select("node", "band").distinct()
+    keys = heads.select("node", F.explode("bands").alias("band"))
     # a table of its own, so that a crowded band's side of the join is a shuffle that Spark can split
     crowded = written(keys.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "crowded-bands")
     members = written(keys.join(crowded, "band").select("band", "node", "members"), "bands")
+    heads = heads.drop("bands")
     degree = written(members.groupBy("node").agg(F.sum("members").alias("degree")).join(heads, "node").select("node", "n", "degree", "id", "tag"), "band-nodes")
-    texts = written(rows.join(degree.select("node", "id", "tag"), ["id", "tag"]).select("node", "text"), "band-texts")
-    ranked = written(members.select("band", "node").join(degree.select("node", "n", "degree"), "node"), "band-members")
+    named, blobs = degree.join(names.select("id", "tag", "copies"), ["id", "tag"]).select("node", "id", "tag", "copies"), packed(rows)
+    # a text for each node: whole rows are compared only where a row is repeated
+    once, again = (blobs.join(named.where(c).select("node", "id", "tag"), ["id", "tag"]).select("node", "packed") for c in ("copies = 1", "copies > 1"))
+    texts = written(once.unionByName(again.dropDuplicates(["node"])), "band-texts")
+    start = written(members.select(F.col("band").alias("key"), "node").join(degree.select("node", "n", "degree"), "node"), "band-members")
 
-    start = ranked.withColumnRenamed("band", "key").withColumn("component", F.col("node"))
-    edges, found, open_ = _by_leaders(start, None, texts, threshold)
+    found, open_ = _by_leaders(start, degree.select("node", F.col("node").alias("component")), texts, threshold)
     if open_ is not None:
         rare = written(_rare_shingles(open_, texts, threshold), "rare-shingles")
         if not rare.isEmpty():
-            start = rare.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            edges, found, open_ = _by_leaders(start, edges, texts, threshold)
+            found, open_ = _by_leaders(rare, found, texts, threshold)
             if open_ is not None:
-                edges = written(edges.union(linked(_apart(open_, threshold), texts, threshold)), "edges")
-                found = components(edges)
+                found = _merged(found, written(linked(_apart(open_, threshold), texts, threshold), "edges"))
     placed = heads.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     best = placed.groupBy("component").agg(F.min(F.struct("id", "tag")).alias("c"))
     placed = placed.join(best, "component").select("k1", "k2", F.col("c.id").alias("class_id"), F.col("c.tag").alias("class_tag"))
