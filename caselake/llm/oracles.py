@@ -11,11 +11,11 @@ OP2 = rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce
  ln AS (SELECT r, source, text, l, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n, trim(regexp_replace(lower(l), '\s+', ' ', 'g')) AS k FROM (SELECT r, source, text, unnest(string_split(text, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
  dup AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM ln GROUP BY 1),
  host AS (SELECT source, count(DISTINCT text) AS docs FROM d GROUP BY 1),
- often AS (SELECT source, k FROM (SELECT source, k, count(DISTINCT text) AS c FROM ln GROUP BY 1, 2) JOIN host USING (source) WHERE c > 20 AND c > 0.2 * docs),
+ often AS (SELECT source, k FROM (SELECT source, k, count(DISTINCT text) AS c FROM ln GROUP BY 1, 2) JOIN host USING (source) WHERE c > 3 AND c > 0.02 * docs),
  gone AS (SELECT r, sum(n) AS n FROM ln JOIN often USING (source, k) GROUP BY 1),
  base AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS n_frequent_words
   FROM d LEFT JOIN rep USING (r) LEFT JOIN dup USING (r) LEFT JOIN gone USING (r))
- SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_frequent_words >= 0.5 * n_words AS kept FROM base"""
+ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_frequent_words >= 0.75 * n_words AS kept FROM base"""
 
 OP5 = rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
  win AS (SELECT r, i, md5(array_to_string(w[i:i + 34], ' ')) AS t FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),

@@ -71,3 +71,12 @@ def test_clean_takes_effect_and_keeps_columns(spark):
     got = Q.clean(df, limits=Q.LineLimits(least=3, share=0.1))
     assert got.columns == df.columns
     assert sorted((r.doc_id, r.text, r.h) for r in got.collect()) == sorted([(k, body(k), k) for k in range(8)] + [(3, body(3), 3)])
+
+
+def test_limits_act_on_the_tables(spark):
+    """The production limits take lines from the given tables, and reject a document for it."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    want = verdicts(rows, Q.LineLimits())
+    assert run(spark, rows, Q.LineLimits()) == want
+    assert any(not r[-1] and not r[-2] for r in want)
