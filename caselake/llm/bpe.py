@@ -9,8 +9,10 @@ Texts are split at single spaces first: unless white space comes before a space,
 alike wherever it stands, so its ids are kept by piece. Each task keeps about CACHE pieces and words.
 
 The vocabulary file (tokenizers' JSON, no normaliser, byte-level pre-tokeniser) is named by path and must lie at that
-path on every worker. Defined results: a null text is an empty text and has no ids; the strings of special tokens in a
-text are their ids, as the tokenizers library has it; an id outside the vocabulary is an error on decoding.
+path on every worker. Defined results: a null text is an empty text and has no ids; a very long text is encoded whole,
+alone in its slice; the strings of special tokens in a text are their ids, as the tokenizers library has it; an id outside
+the vocabulary is an error on decoding; repeated rows get equal results each; an empty table gives an empty table; other
+columns don't matter, but a column in `keep` with the name of a made one is an error.
 """
 
 from __future__ import annotations
@@ -201,6 +203,9 @@ def load(path: str) -> Bpe:
 
 
 def _kept(df: DataFrame, keep: list[str], column: str, made: str) -> tuple[DataFrame, str]:
+    clash = {c.lower() for c in keep} & {m.split()[0] for m in made.split(", ")}
+    if clash:
+        raise ValueError(f"kept columns have the names of made ones: {sorted(clash)}")
     kept = df.select(*keep, F.col(column).alias("__in"))
     return kept, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), made])
 

@@ -8,8 +8,10 @@ so none is zero; a block of 64 bytes fills one 8x8 block in zigzag order, three
 bytes and a restart interval. The Huffman table gives size s a code of 9 - s bits, so each coefficient takes nine bits.
 A comment segment holds the payload's length; MCUs beyond it fill the last row.
 
-Defined results: null and empty texts are one MCU of padding; equal payloads give equal files; files that break the
-format raise ValueError.
+Defined results: null and empty texts are one MCU of padding; equal payloads, so also repeated rows, give equal files; a
+very long text is one image, up to the format's limit of 65,528 pixels a side (12 GB of text), beyond which it raises
+ValueError, as files that break the format do; an empty table gives an empty table; other columns don't matter, whatever
+their names.
 """
 
 from __future__ import annotations

@@ -6,16 +6,20 @@ the blocks that it touches. Documents are dealt out by range of (id, text hash),
 order, and no task holds more than its range.
 
 Words are encoded by the tokenizers library. As its normaliser and pre-tokeniser never join what ASCII white space
-separates, the ids of a text are those of its words in turn; each worker keeps up to CACHE of them. A run of ASCII letters
-is looked up in lower case and without the full stops and commas behind it, which are pre-tokens of their own.
+separates, the ids of a text are those of its words in turn; each worker keeps about CACHE_BYTES of them. A run of ASCII
+letters is looked up in lower case and without the full stops and commas behind it, which are pre-tokens of their own. This
+holds for the specification below (NORMALIZER, PRE_TOKENIZER, added tokens as they are); any other tokenizer is refused.
 
 Defined results: a null text is an empty text and holds the end id alone; rows of one id stand in the order of their
-text hashes; a null id comes first; an empty table gives no files.
+text hashes, repeated rows one after the other; a null id comes first; a very long text stays in one file, whose blocks
+are read by themselves; an empty table gives no files; other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import unicodedata
 import zlib
@@ -32,9 +36,32 @@ from .common import mapped, put_file, slices, text_bytes
 MAGIC = b"FIXBITS1"
 BLOCK = 4096
 FILE_BYTES = 16 << 20
-CACHE = 1_000_000
+#: About the most bytes of words and ids that a worker keeps, the objects of a word or of a core counted as so many.
+CACHE_BYTES = 256 << 20
+WORD_BYTES, CORE_BYTES = 115, 150
 SEPARATOR = "\x01"
 
+# fixed values: what the word split was proven for
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def check_specification(spec: dict) -> None:
+    """Refuse a tokenizer whose texts' ids may be others than those of their words in turn."""
+    model = spec["model"]
+    known = spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"] == PRE_TOKENIZER and not spec.get("post_processor")
+    plain = model["type"] == "BPE" and not model.get("dropout") and not model.get("unk_token") and not model.get("byte_fallback") and not model.get("ignore_merges")
+    # an added token is found in the raw text: it must lie within a word, and in no run of letters with full stops or commas behind
+    apart = all(not (t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"]) and re.fullmatch(r"<\|\w+\|>", t["content"], re.A) for t in spec["added_tokens"])
+    if not (known and plain and apart):
+        raise ValueError("only tokenizers of the specification in packed_ids are encoded word by word")
+
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """ids, each in `bits` bits, the highest first; zero bits fill the last byte."""
@@ -116,10 +143,13 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            check_specification(json.load(f))
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.vocabulary = max(self.library.get_vocab().values()) + 1
+        self.word_bytes = self.core_bytes = 0
         self.words: dict[bytes, bytes] = {}
         self.cores: dict[str, bytes] = {}
         mark = self.library.encode(SEPARATOR, add_special_tokens=False).ids
@@ -152,14 +182,21 @@ class WordEncoder:
         return (core, text[len(core) :]) if plain else (text, "")
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        for kept in (self.words, self.cores):
-            if len(kept) > CACHE:
-                kept.clear()
+        if self.word_bytes + self.core_bytes > CACHE_BYTES:
+            self.words.clear()  # made again from their cores, which cost the library's time
+            self.word_bytes = 0
+            if self.core_bytes > CACHE_BYTES * 3 // 4:
+                self.cores.clear()
+                self.core_bytes = 0
         split = [t.split() for t in texts]
         new = {w: self._parts(w) for w in set(chain.from_iterable(split)).difference(self.words)}
-        self._learn(list(set(chain.from_iterable(new.values())).difference(self.cores)))
+        cores = list(set(chain.from_iterable(new.values())).difference(self.cores))
+        self._learn(cores)
         core = self.cores
-        self.words.update((w, core[a] + core[b] if b else core[a]) for w, (a, b) in new.items())
+        made = {w: core[a] + core[b] if b else core[a] for w, (a, b) in new.items()}
+        self.words.update(made)
+        self.word_bytes += WORD_BYTES * len(made) + sum(map(len, made)) + sum(map(len, made.values()))
+        self.core_bytes += CORE_BYTES * len(cores) + sum(len(c) + len(core[c]) for c in cores)
         get = self.words.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
@@ -192,7 +229,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int | None = None, do
             nonlocal k, held_ids, held, size
             if held_ids:
                 data = file_bytes(held_ids, [len(h) // 4 for h in held], np.frombuffer(b"".join(held), "<u4"), bits)
-                put_file(folder, name := f"part-{part:06d}-{k:05d}.ids", data)
+                put_file(folder, name := f"part-{part:010d}-{k:06d}.ids", data)
                 done.append((name, len(held_ids), size // 4))
                 k, held_ids, held, size = k + 1, [], [], 0
 

@@ -1,6 +1,7 @@
 """Quality scores: random Fourier features of document statistics, ridge regression, isotonic calibration.
 
-One pass over the texts makes STATISTICS numbers for each. Standardised, they are projected to `features` cosines whose
+One pass over the texts makes STATISTICS numbers for each. Standardised and held within CLIP deviations of the mean, so
+that one odd text can't lie outside all that was learnt from, they are projected to `features` cosines whose
 dot products approximate a Gaussian kernel. Each partition of labelled rows sums its share of the normal equations, the
 sums are added up as streams, and the driver solves one system of that fixed size. Labelled rows' raw scores are then
 counted in `bins` equal bins, and pooling adjacent violators makes the calibration curve from these counts. All labelled
@@ -8,7 +9,8 @@ rows count; nothing is sampled.
 
 Defined results: null and empty texts have statistics of zeros and are scored like others; a row without an id is scored
 and never learnt from; several labels of an id are averaged; without any label every score is 0.5; repeated rows get
-equal scores; extra columns are ignored.
+equal scores, and each counts where it is labelled; very long texts are measured whole; an empty table has no scores;
+extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from .common import Words, mapped, per_text, slices, text_bytes, word_hashes, wr
 from .quality_rules import SYMBOLS, repeated_words
 
 STATISTICS = 14
+CLIP = 6.0
 LINE = 10
 
 
@@ -111,7 +114,7 @@ class Model:
         d = self.settings.features
         direction = rng.normal(0, 1 / self.settings.width, (statistics.shape[1], d))
         phase = rng.uniform(0, 2 * np.pi, d)
-        x = np.clip((statistics - self.mean) / self.scale, -6, 6)
+        x = np.clip((statistics - self.mean) / self.scale, -CLIP, CLIP)
         return np.hstack([np.sqrt(2 / d) * np.cos(x @ direction + phase), np.ones((len(x), 1))])
 
     def raw(self, statistics: np.ndarray) -> np.ndarray:

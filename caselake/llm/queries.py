@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from . import bpe, common, jpeg, mixing, near_dedup, packed_ids, quality_model, quality_rules, secret_scan, substring_dedup, warc
 from .oracles import ORACLES as ORACLES
 
-#: Shares of the mix; sources that aren't named share `other`.
-TARGETS = mixing.Targets({"src0": 12, "src1": 9, "src2": 7, "src3": 6, "src4": 5}, other=61)
+#: Shares of the mix, one for each source of the tables; null and unforeseen sources share `other`.
+TARGETS = mixing.Targets({"src0": 12, "src1": 9, "src2": 7, "src3": 6, "src4": 5} | {f"src{k}": 4 for k in range(5, 20)}, other=1)
 
 
 def tokenizer_path(name: str) -> str:

@@ -1,15 +1,25 @@
 """Secret scans: candidate strings from whole texts, and a random forest that removes false positives.
 
-A candidate is a run of letters, digits and `+/_-` (ASCII) that has LONG characters or more with a digit and a letter among
-them, or that an `=` or `:` assigns and that has SHORT characters or more. Candidates are rare, so only they move on: each
-gets FEATURES numbers (length, transitions between character kinds, coverage by dictionary words, what the path and the
-neighbouring words say), and Spark ML's forest, fitted to labelled findings, gives the probability of a secret.
+Candidates are byte ranges of a text, overlapping ones united:
+- runs of ASCII letters, digits and `+/_-` that have LONG characters or more with a digit and a letter among them, or that
+  an `=` or `:` assigns and that have SHORT characters or more with a letter; a run that begins like a JSON web token
+  goes on over its dots;
+- values of any characters that a name which speaks for a secret (NAMES_FOR) assigns by `=`, `:`, `=>`, `:=`, a tab or
+  a tag, from VALUE bytes on: to the closing quote, or to white space, a quote, a comma, a semicolon or an angle bracket;
+- passwords inside addresses, `scheme://user:password@host`.
+
+Candidates are rare, so only they move on: each gets numbers (NAMES: length, transitions between character kinds,
+coverage by dictionary words, what the path and the neighbouring words say), and Spark ML's forest, fitted to labelled
+findings, gives the probability of a secret. Neighbouring words are the AROUND bytes on either side; the two words among
+the CLOSE characters before a candidate count by themselves. A candidate itself is looked at whole, whatever its length.
 
 Labelled findings are a table (candidate, before, after, path, label). Without one of your own, `made_findings` makes a
-fixed number of them from public key formats and common look-alikes.
+fixed number of them (4,000) from public key formats and common look-alikes; tests hold the forest against findings that
+were written by hand. The path is a column of yours (a file's path or address); where it says nothing, it decides nothing.
 
 Defined results: null and empty texts have no candidates; a null path is an empty path; repeated rows have equal findings
-each; places are code points of the text; an empty table gives no findings; extra columns are ignored, and kept by `redacted`.
+each; places are code points of the text; an empty table gives no findings; extra columns are ignored, whatever their
+names, and kept by `redacted`.
 """
 
 from __future__ import annotations
@@ -30,8 +40,9 @@ from pyspark.sql import functions as F
 
 from .common import free_name, mapped, slices, text_bytes, written
 
-LONG, SHORT = 16, 8
+LONG, SHORT, VALUE = 16, 8, 6
 AROUND = 80  # bytes of neighbouring words on either side
+CLOSE = 24  # characters before a candidate whose last two words count by themselves
 THRESHOLD = 0.5
 MASK = "[SECRET]"
 
@@ -41,14 +52,68 @@ AGAINST = ["commit", "sha", "sha1", "sha256", "md5", "hash", "checksum", "digest
 PREFIXES = ["AKIA", "ASIA", "ghp_", "gho_", "ghs_", "glpat-", "xoxb-", "xoxp-", "sk_live_", "rk_live_", "AIza", "eyJ"]
 HARMLESS_PATH = ["test", "tests", "example", "examples", "sample", "samples", "doc", "docs", "mock", "fixture", "fixtures", "vendor"]
 
+#: Names that assign a secret, right before the sign that assigns it.
+NAMES_FOR = rb"(?i)(?:token|secret|passw(?:or)?d|passwd|passphrase|pwd|credentials?|auth|bearer|(?:api|access|secret|private|signing|encryption)[_-]?key)[\w-]{0,24}[\"'`]?[ \t]{0,3}\Z"
+NAME_BYTES = 64  # enough for such a name with what may follow it
+VALUES = rb"(?i)(?:[=:]{1,2}>?|>|\t)[ \t]{0,4}(?:(?:bearer|basic)[ \t]+)?(?:\"([^\"\n]*)\"|'([^'\n]*)'|`([^`\n]*)`|([^\s\"'`,;<>]+))"
+ADDRESS = rb"://[^\s/:@]*:([^\s@/]+)\Z"
+WEB_TOKEN = rb"[\w.-]+"
+_NAMES_FOR, _VALUES, _ADDRESS, _WEB_TOKEN = map(re.compile, (NAMES_FOR, VALUES, ADDRESS, WEB_TOKEN))
+
 KINDS = np.zeros(256, np.uint8)
 KINDS[list(range(48, 58))] = 1
 KINDS[list(range(65, 91)) + list(range(97, 123))] = 2
 KINDS[list(b"+/_-")] = 3
 
 
+SIGNS = np.zeros(256, bool)
+SIGNS[list(b"=:>\t@")] = True
+
+
+def named_values(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
+    """Byte ranges of values that speaking names assign, and of passwords in addresses, from left to right."""
+    out, done = [], 0
+    raw = data.tobytes()
+    at = np.flatnonzero(SIGNS[data])
+    low, high = offsets[:-1], offsets[1:]
+    text = np.searchsorted(offsets, at, side="right") - 1
+    since = 0  # after the last @, so that no byte is looked back at twice
+    for p, a, b in zip(at.tolist(), low[text].tolist(), high[text].tolist(), strict=True):
+        if raw[p] == 64:
+            found = _ADDRESS.search(raw, max(a, since), p)
+            since = p + 1
+            span = found and found.span(1)
+        elif p >= done and _NAMES_FOR.search(raw, max(a, p - NAME_BYTES), p):
+            found = _VALUES.match(raw, p, b)
+            span = found and found.span(found.lastindex)
+            if span and found.lastindex == 4:  # without quotes: what ends a sentence or closes a bracket isn't part of it
+                span = span[0], span[0] + len(raw[span[0] : span[1]].rstrip(b".)]}"))
+        else:
+            continue
+        if span and span[1] - span[0] >= VALUE:
+            out.append(span)
+            done = max(done, span[1])
+    return out
+
+
 def candidates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte start, byte end and text of each candidate."""
+    raw = data.tobytes()
+    spans = [(a, _WEB_TOKEN.match(raw, a).end() if raw.startswith(b"eyJ", a) else b) for a, b in zip(*runs(data, offsets), strict=True)]
+    ends = offsets[np.searchsorted(offsets, [a for a, _ in spans], side="right")].tolist() if spans else []
+    spans = [(a, min(b, end) - (raw[min(b, end) - 1] == 46)) for (a, b), end in zip(spans, ends, strict=True)]
+    made: list[list[int]] = []
+    for a, b in sorted(spans + named_values(data, offsets)):
+        if made and a < made[-1][1]:
+            made[-1][1] = max(made[-1][1], b)
+        else:
+            made.append([a, b])
+    a, b = np.array(made, np.int64).reshape(-1, 2).T
+    return a, b, np.searchsorted(offsets, a, side="right") - 1
+
+
+def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[list[int], list[int]]:
+    """Byte starts and ends of the runs of letters, digits and `+/_-` that are candidates."""
     kind = KINDS[data]
     on = kind > 0
     start, end = on.copy(), on.copy()
@@ -73,10 +138,10 @@ def candidates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     sign = data[np.maximum(back, 0)]
     assigned = (back >= offsets[text]) & ((sign == ord("=")) | (sign == ord(":"))) & (letters[b] > letters[a])
     found = mixed | assigned
-    return a[found], b[found], text[found]
+    return a[found].tolist(), b[found].tolist()
 
 
-NAMES = ["length", "log_length", "transitions", "kinds", "distinct", "entropy", "digits", "upper", "hex", "longest_letters", "coverage", "prefix", "assigned", "for_words", "against_words", "against_close", "path", "repeats", "ordered", "breaks"]
+NAMES = ["length", "log_length", "transitions", "kinds", "distinct", "entropy", "digits", "upper", "hex", "longest_letters", "coverage", "prefix", "assigned", "for_words", "against_words", "against_close", "path", "repeats", "ordered", "breaks", "special", "wrapped"]
 
 
 def dictionary(path: str) -> frozenset[str]:
@@ -108,10 +173,10 @@ def features(candidate: str, before: str, after: str, path: str, words: frozense
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o" for c in candidate]
     count = Counter(candidate)
     near = re.findall("[a-z0-9]+", (before[-AROUND:] + " " + after[:AROUND]).lower())
-    close = re.findall("[a-z0-9]+", before[-24:].lower())[-2:]
+    close = re.findall("[a-z0-9]+", before[-CLOSE:].lower())[-2:]
     steps = [ord(b) - ord(a) for a, b in zip(candidate, candidate[1:])]
     return [
-        float(min(n, 4096)),
+        float(n),
         math.log(n),
         sum(a != b for a, b in zip(kinds, kinds[1:])) / max(1, n - 1),
         float(len(set(kinds))),
@@ -123,7 +188,7 @@ def features(candidate: str, before: str, after: str, path: str, words: frozense
         max((len(r) for r in re.findall("[A-Za-z]+", candidate)), default=0) / n,
         covered(candidate, words) / n,
         float(candidate.startswith(tuple(PREFIXES))),
-        float(re.search("[=:][ \"'`]{0,3}\\Z", before) is not None),
+        float(re.search("[=:>\t][ \"'`]{0,4}\\Z", before) is not None),
         float(sum(any(w.endswith(k) for k in FOR) for w in close)),
         float(sum(w in AGAINST for w in near)),
         float(any(w in AGAINST for w in close)),
@@ -131,6 +196,8 @@ def features(candidate: str, before: str, after: str, path: str, words: frozense
         max(count.values()) / n,
         sum(s in (0, 1) for s in steps) / max(1, len(steps)),
         sum(c in "/_-+" for c in candidate) / n,
+        sum(not c.isalnum() and c not in "/_-+. " for c in candidate) / n,
+        float(re.search(r"^[$<{%*]|[\s()\[\]{}]|%$", candidate) is not None),
     ]
 
 
@@ -145,13 +212,13 @@ def made_findings(n: int = 4000, seed: int = 3) -> list[tuple[str, str, str, str
     common = ["release", "update", "report", "server", "python", "module", "index", "article", "content", "image", "group", "value", "return", "system", "number", "example", "project", "summer"]
     stray = [*AGAINST, *FOR]  # such words also stand near findings that they say nothing about
     prose = lambda: " ".join(rng.choice(stray) if rng.random() < 0.1 else word() for _ in range(rng.randrange(0, 9)))
-    names = ["token", "password", "passwd", "secret", "api_key", "apikey", "access_key", "client_secret", "auth_token", "private_key"]
-    assign = lambda name: f"{name}{rng.choice(['=', ': ', ' = ', '=' + chr(34), ' = ' + chr(34), ': ' + chr(39)])}"
+    names = ["token", "password", "passwd", "pwd", "secret", "password", "db.password", "api_key", "apikey", "access_key", "client_secret", "auth_token", "private_key"]
+    assign = lambda name: f"{name}{rng.choice(['=', ': ', ' = ', '=' + chr(34), ' = ' + chr(34), ': ' + chr(39), ' => ', '>', chr(9)])}"
     out = []
     for k in range(n):
         before, after, path = prose() + " " + word() + " " + word() + " ", " " + prose(), rng.choice(["", "src3", "src/app/config.py", "deploy/prod.env", "web/page.html", "docs/guide.md", "tests/test_api.py"])
         if k % 2:
-            kind = rng.randrange(6)
+            kind = rng.randrange(9)
             value = [
                 "AKIA" + take(upper + "0189", 16),
                 take(hexes, rng.choice([32, 40, 64])),
@@ -159,13 +226,20 @@ def made_findings(n: int = 4000, seed: int = 3) -> list[tuple[str, str, str, str
                 take(base62, rng.randrange(12, 48)),
                 rng.choice(["ghp_", "sk_live_", "xoxb-"]) + take(base62, 36),
                 take(base62 + "+/", rng.choice([40, 44, 64])),
+                take(base62 + "!@$%^&*?.#~", rng.randrange(7, 24)) + rng.choice("!@$%*7"),
+                rng.choice(common).title() + rng.choice(["!", "@", "#", "-", "_", "$"]) + str(rng.randrange(10, 9999)) + take(base62 + "!$%", rng.randrange(1, 5)),
+                ".".join(["eyJ" + take(base62, rng.randrange(17, 40)), "eyJ" + take(base62 + "-_", rng.randrange(30, 200)), take(base62 + "-_", 43)]),
             ][kind]
-            if kind not in (0, 4):
+            if kind == 6 and rng.random() < 0.4:
+                before, after = f"{before}{rng.choice(['postgres', 'mysql', 'https', 'amqp', 'redis'])}://{word()}:", f"@{word()}.{word()}" + after
+            elif kind == 8 and rng.random() < 0.5:
+                before += rng.choice(["Authorization: Bearer ", "Bearer ", "bearer "])
+            elif kind not in (0, 4):
                 before += assign(rng.choice(names))
-            if path.startswith(("tests", "docs")):
+            if path.startswith(("tests", "docs")) and rng.random() < 0.8:  # a path says much, but not all
                 path = "src/app/config.py"
         else:
-            kind = rng.randrange(10)
+            kind = rng.randrange(15)
             some = lambda k, sep: sep.join(rng.choice(common) for _ in range(k))
             value, lead = [
                 (take(hexes, rng.choice([32, 40, 64])), rng.choice(["commit ", "sha1: ", "md5: ", "checksum: ", "etag=", "integrity: "])),
@@ -178,12 +252,22 @@ def made_findings(n: int = 4000, seed: int = 3) -> list[tuple[str, str, str, str
                 (word() + word() + word() + word(), rng.choice(["note: ", "title=", "name: "])),
                 (some(3, "").title().replace("e", "e", 1) + str(rng.randrange(99)) + "Async", ""),
                 (take(base62 + "+/", rng.randrange(200, 900)), "data:image/png;base64,"),
+                (rng.choice(["${%s}", "<%s>", "{{ %s }}", "$%s", "%%%s%%", "os.environ[%s]", "getenv(%s)", "env.%s"]) % rng.choice(["DB_PASSWORD", "API_TOKEN", "SECRET_KEY", "client_secret", "MY_TOKEN_2"]), assign(rng.choice(names))),
+                (word() + word() + rng.choice(["", word()]), assign(rng.choice(names))),
+                (" ".join(word() for _ in range(rng.randrange(2, 9))), assign(rng.choice(names))),
+                (rng.choice(["required", "optional", "string", "undefined", "********", "xxxxxxxx", "REDACTED", "[REDACTED]", "......", "------", "password", "incorrect", "forgotten", "<password>", "Optional[str]", "self.password", "None,", "example.com"]), assign(rng.choice(names))),
+                (rng.choice(["sha256-", "sha384-", "sha512-"]) + take(base62 + "+/", rng.choice([43, 64, 86])), rng.choice(["integrity=" + chr(34), "integrity: ", "checksum: "])),
             ][kind]
             before += lead
         out.append((value, before, after, path, k % 2))
     return out
 
 
+def _features(candidate: list, before: list, after: list, path: list, words: frozenset[str]) -> pa.Array:
+    made = [features(c, b or "", a or "", p or "", words) for c, b, a, p in zip(candidate, before, after, path, strict=True)]
+    return pa.array(made, pa.list_(pa.float64()))
+
+
 def _with_features(df: DataFrame, words_path: str, keep: list[str]) -> DataFrame:
     """`keep` and features of rows (candidate, before, after, path)."""
     kept = df.select(*keep, "candidate", "before", "after", "path")
@@ -192,8 +276,8 @@ def _with_features(df: DataFrame, words_path: str, keep: list[str]) -> DataFrame
     def batches(it):
         words = dictionary(words_path)
         for batch in it:
-            made = [features(c, b or "", a or "", p or "", words) for c, b, a, p in zip(*(x.to_pylist() for x in batch.columns[len(keep) :]), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(made, pa.list_(pa.float64()))], names=[*keep, "features"])
+            made = _features(*(x.to_pylist() for x in batch.columns[len(keep) :]), words)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], made], names=[*keep, "features"])
 
     return mapped(kept, batches, schema)
 
@@ -210,12 +294,13 @@ def made_model(spark, words_path: str) -> RandomForestClassificationModel:
     return fit(table.coalesce(1), words_path)
 
 
-def found(docs: DataFrame, text: str, path: str, keep: list[str]) -> DataFrame:
-    """`keep`, start, n_chars, candidate, before, after and path of every candidate in the whole texts."""
+def found(docs: DataFrame, text: str, path: str, keep: list[str], words_path: str) -> DataFrame:
+    """`keep`, start, n_chars and features of every candidate in the whole texts."""
     kept = docs.select(*keep, F.col(text).alias("__text"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("__path"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[: len(keep)]), "start long, n_chars long, candidate string, before string, after string, path string"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[: len(keep)]), "start long, n_chars long, features array<double>"])
 
     def batches(it):
+        words = dictionary(words_path)
         for batch in it:
             data, offsets = text_bytes(batch.column(len(keep)))
             for i, j in slices(offsets):
@@ -228,24 +313,24 @@ def found(docs: DataFrame, text: str, path: str, keep: list[str]) -> DataFrame:
                 cut = lambda x, y: raw[x:y].decode("utf-8", "ignore")  # noqa: B023, E731
                 low, high = place[text_of], place[text_of + 1]
                 rows = pa.array(i + text_of)
-                made = [
-                    pa.array(points[a] - points[low]),
-                    pa.array(points[b] - points[a]),
-                    pa.array([cut(x, y) for x, y in zip(a.tolist(), b.tolist())], pa.string()),
-                    pa.array([cut(max(x - AROUND, z), x) for x, z in zip(a.tolist(), low.tolist())], pa.string()),
-                    pa.array([cut(y, min(y + AROUND, z)) for y, z in zip(b.tolist(), high.tolist())], pa.string()),
-                ]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(rows) for k in range(len(keep))), *made, batch.column(len(keep) + 1).take(rows)], names=[*keep, "start", "n_chars", "candidate", "before", "after", "path"])
+                made = _features(
+                    [cut(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True)],
+                    [cut(max(x - AROUND, z), x) for x, z in zip(a.tolist(), low.tolist(), strict=True)],
+                    [cut(y, min(y + AROUND, z)) for y, z in zip(b.tolist(), high.tolist(), strict=True)],
+                    batch.column(len(keep) + 1).take(rows).to_pylist(),
+                    words,
+                )
+                places = [pa.array(points[a] - points[low]), pa.array(points[b] - points[a])]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(rows) for k in range(len(keep))), *places, made], names=[*keep, "start", "n_chars", "features"])
 
     return mapped(kept, batches, schema)
 
 
 def scan(docs: DataFrame, model: RandomForestClassificationModel, words_path: str, text: str = "text", path: str = "source", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep`, start, n_chars, score and secret of every candidate."""
-    own = [*keep, "start", "n_chars"]
-    rows = _with_features(found(docs, text, path, list(keep)), words_path, own).withColumn("features", array_to_vector("features"))
+    rows = found(docs, text, path, list(keep), words_path).withColumn("features", array_to_vector("features"))
     scored = model.transform(rows).withColumn("score", F.round(vector_to_array("probability")[1], 9))
-    return scored.select(*own, "score", (F.col("score") >= THRESHOLD).alias("secret"))
+    return scored.select(*keep, "start", "n_chars", "score", (F.col("score") >= THRESHOLD).alias("secret"))
 
 
 def redacted(docs: DataFrame, model: RandomForestClassificationModel, words_path: str, doc_id: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:

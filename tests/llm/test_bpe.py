@@ -52,3 +52,13 @@ def test_edges(spark):
     for r in both:
         text = dict((k, t) for k, t, _ in rows)[r.doc_id] or ""
         assert r.n_tokens == len(r.ids) // 4 and r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest() and r.ids_sha256 == hashlib.sha256(r.ids).hexdigest()
+
+
+def test_clashing_and_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "a b", 5, "x"), (1, "a b", 5, "x"), (None, None, None, None)], "doc_id long, text string, ids int, __in string")
+    rows = sorted(map(tuple, bpe.encode(df, PATH, arrays=False).collect()), key=str)
+    assert len(rows) == 3 and rows[0] == rows[1] and rows[2] == (None, b"")
+    assert bpe.round_trip(df.limit(0), PATH).count() == 0
+    for keep in (("doc_id", "ids"), ("IDS",)):
+        with pytest.raises(ValueError, match="kept columns"):
+            bpe.encode(df, PATH, keep=keep)

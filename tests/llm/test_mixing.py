@@ -102,9 +102,24 @@ def test_edges_and_order(spark):
     rows = [(1, None, "src0", 0), (2, "", None, 0), (None, "x" * 9000, "src1", 1), (4, "é" * 100, "new", 2), (4, "é" * 100, "new", 2)] + [(k, "y" * (k * 37 % 4000), f"src{k % 4}", k) for k in range(10, 90)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, slot int")
     check(spark, df.dropDuplicates())
+    places = sorted((r.slot, r.offset) for r in M.mixed(df, TARGETS).where("doc_id = 4").collect())
+    (slot, first), (other, second) = places  # copies follow each other
+    assert (other - slot, second - first) == (0, 100) or other > slot
     ordered = M.in_order(df, TARGETS)
     assert ordered.columns == df.columns and ordered.count() == len(rows)
     assert M.mixed(df.limit(0), TARGETS).count() == 0
     place = {(r.doc_id, r.source): (r.slot, r.offset) for r in M.mixed(df.dropDuplicates(), TARGETS).collect()}
     got = [place[r.doc_id, r.source] for r in M.in_order(df.dropDuplicates(), TARGETS).collect()]
     assert got == sorted(got)
+
+
+def test_copies_in_parts(spark, monkeypatch):
+    """One row repeated many times keeps all its places, in parts."""
+    monkeypatch.setattr(M, "COPIES", 7)
+    df = spark.createDataFrame([(None, None, None)] * 20 + [(1, "z" * 900, "src0")] * 30 + [(2, "y" * 50, "src0")] * 7, "doc_id long, text string, source string")
+    got = [tuple(r) for r in M.mixed(df, TARGETS).select("doc_id", "slot", "block", "offset").collect()]
+    assert len(got) == 57
+    at = sorted(b * TARGETS.block_size + o for i, _, b, o in got if i == 1)
+    assert at == list(range(at[0], at[0] + 30 * 900, 900))
+    placed = M.with_places(df, TARGETS, "place")
+    assert placed.columns == ["doc_id", "text", "source", "place"] and placed.count() == 57

@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 
@@ -68,3 +69,31 @@ def test_edges(spark, library):
     got = P.round_trip(df, shared_folder(spark, "t"), PATH, 1)
     assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == expected(rows, library)
     assert P.round_trip(df.limit(0), shared_folder(spark, "t"), PATH, 1).collect() == []
+
+
+def test_other_tokenizers_are_refused(tmp_path):
+    """The word split holds for one specification; whatever departs from it raises."""
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    P.check_specification(spec)
+    with pytest.raises(ValueError, match="word by word"):
+        P.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for change in (
+        {"normalizer": None},
+        {"pre_tokenizer": {"type": "Whitespace"}},
+        {"post_processor": {"type": "ByteLevel"}},
+        {"model": spec["model"] | {"dropout": 0.1}},
+        {"added_tokens": [*spec["added_tokens"], spec["added_tokens"][0] | {"content": "of the"}]},
+        {"added_tokens": [spec["added_tokens"][0] | {"lstrip": True}]},
+    ):
+        with pytest.raises(ValueError, match="word by word"):
+            P.check_specification(spec | change)
+
+
+def test_cache_is_bounded_by_bytes(library, monkeypatch):
+    monkeypatch.setattr(P, "CACHE_BYTES", 20_000)
+    words = P.WordEncoder(PATH)
+    for k in range(40):
+        text = " ".join(f"w{k}x{j}" for j in range(60))
+        assert np.frombuffer(words.encode([text.encode()])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+        assert words.word_bytes + words.core_bytes < 60_000 and len(words.words) < 200

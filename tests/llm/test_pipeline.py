@@ -55,12 +55,13 @@ def test_stages_against_brute_force(spark, sf, tmp_path):
     for i, r in rows.items():
         assert np.frombuffer(r.ids, "<u4").tolist() == library.encode(after[i], add_special_tokens=False).ids
         assert r.exact and r.n_tokens == len(r.ids) // 4
+        assert (r.slot, r.offset) == place[i]
 
 
 def test_run_is_registered(spark, sf):
     assert "pipeline" in __spark_entry__.queries()
     got = P.run(spark, sf)
-    assert got.columns == ["doc_id", "source", "n_tokens", "ids", "exact"]
+    assert got.columns == ["doc_id", "source", "slot", "offset", "n_tokens", "ids", "exact"]
     assert got.where("not exact").count() == 0 and got.count() > 0
 
 

@@ -50,3 +50,41 @@ def test_statistics_of_a_text():
     assert np.isclose(got[3], sum(a == b for a, b in zip(words, words[1:])) / len(words))
     assert np.isclose(got[4], len(set(words)) / len(words))
     assert np.isclose(got[7], 1 / len(raw))
+
+
+def test_fit_against_plain_numpy(spark):
+    """Sums over partitions, ridge weights and the calibration curve, each computed again in one piece."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(2, 3, (600, M.STATISTICS))
+    x[:, 3] = 0.5  # a statistic that never varies
+    y = (x[:, 0] + rng.normal(0, 1, 600) > 2).astype(float)
+    settings = M.Settings(features=32, bins=64)
+    df = spark.createDataFrame([(a.tolist(), float(b)) for a, b in zip(x, y)], "statistics array<double>, target double").repartition(7)
+    model = M.fit(df, settings)
+
+    scale = x.std(axis=0)
+    z = np.clip((x - x.mean(axis=0)) / np.where(scale > 1e-9, scale, 1), -M.CLIP, M.CLIP)
+    gen = np.random.default_rng(settings.seed)
+    direction, phase = gen.normal(0, 1 / settings.width, (M.STATISTICS, 32)), gen.uniform(0, 2 * np.pi, 32)
+    f = np.hstack([np.sqrt(2 / 32) * np.cos(z @ direction + phase), np.ones((600, 1))])
+    sums = M.normal_equations(df, model)
+    assert np.allclose(sums[:, :-1], f.T @ f) and np.allclose(sums[:, -1], f.T @ y)
+    # ridge as least squares over rows of zeros that hold the weights down
+    weights = np.linalg.lstsq(np.vstack([f, np.sqrt(settings.ridge) * np.eye(33)]), np.concatenate([y, np.zeros(33)]), rcond=None)[0]
+    assert np.allclose(model.weights, weights)
+    # the isotonic curve is the largest least, over all blocks, of block means
+    bins = np.clip((f @ weights + 0.5) / 2 * 64, 0, 63).astype(int)
+    used = np.unique(bins)
+    n, mean = np.array([(bins == b).sum() for b in used]), np.array([y[bins == b].mean() for b in used])
+    block = lambda a, b: (n[a : b + 1] * mean[a : b + 1]).sum() / n[a : b + 1].sum()
+    curve = [max(min(block(a, b) for b in range(k, len(used))) for a in range(k + 1)) for k in range(len(used))]
+    assert np.allclose(model.curve[0], (used + 0.5) / 64 * 2 - 0.5) and np.allclose(model.curve[1], curve)
+
+
+def test_cosines_approximate_the_gaussian_kernel():
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, (40, M.STATISTICS))
+    settings = M.Settings(features=20_000)
+    f = M.Model(settings, np.zeros(M.STATISTICS), np.ones(M.STATISTICS)).cosines(x)[:, :-1]
+    kernel = np.exp(-((x[:, None] - x[None]) ** 2).sum(axis=2) / (2 * settings.width**2))
+    assert np.abs(f @ f.T - kernel).max() < 0.04

@@ -45,7 +45,7 @@ def test_file_is_self_contained_and_records_are_single_frames():
     assert int.from_bytes(data[:4], "little") == warc.MAGIC
     got = list(warc.records(data))
     assert [f["WARC-Type"] for f, _ in got] == ["warcinfo"] + ["response"] * 200
-    assert got[7][1] == b"<html>page 6 with the same words again and again</html>" * 3
+    assert got[7][1].endswith(b"\r\n\r\n" + b"<html>page 6 with the same words again and again</html>" * 3)
     assert len(data) < sum(map(len, made)) / 2
     with pytest.raises(Exception):
         list(warc.records(data[:-3]))
@@ -55,9 +55,9 @@ def test_only_written_files_are_read_and_counted(spark):
     rows = [(i, f"page {i % 90} " * 30) for i in range(120)]
     df = spark.createDataFrame(rows, "page_id long, html string")
     folder = shared_folder(spark, "t")
-    put_file(folder, "part-000000-00099.warc.zst", warc.archive([warc.record("777", b"left over", warc.digest32(b"left over"), None)]))
+    put_file(folder, "part-0000000000-000099.warc.zst", warc.archive([warc.record("777", b"left over", warc.digest32(b"left over"), None)]))
     assert sorted(map(tuple, warc.round_trip(df, folder).collect()), key=str) == expected(rows)
-    made = spark.createDataFrame([("part-000000-00099.warc.zst", 2, len(get_file(folder, "part-000000-00099.warc.zst")))], "name string, n_records long, n_bytes long")
+    made = spark.createDataFrame([("part-0000000000-000099.warc.zst", 2, len(get_file(folder, "part-0000000000-000099.warc.zst")))], "name string, n_records long, n_bytes long")
     with pytest.raises(Exception, match="holds 1 records"):
         warc.read(made, folder).collect()
 
@@ -67,6 +67,27 @@ def test_files_do_not_depend_on_the_order_of_rows(spark):
     made = []
     for given in (rows, rows[::-1]):
         folder = shared_folder(spark, "t")
-        files = warc.write(spark.createDataFrame(given, "page_id long, html string").coalesce(1), folder, file_bytes=8000).collect()
+        files = warc.write(spark.createDataFrame(given, "page_id long, html string").coalesce(1), folder, file_bytes=8000, date="2024-01-01T00:00:00Z").collect()
         made.append(sorted((f["name"], f["n_records"], get_file(folder, f["name"])) for f in files))
     assert len(made[0]) > 4 and made[0] == made[1]
+
+
+def test_records_are_complete(spark):
+    """Addresses, dates, types and ids of the records; an id for each, and revisits that name a response."""
+    rows = [(1, "<p>one</p>", "http://a.org/1"), (2, "<p>one</p>", "http://a.org/2 x\r\n"), (3, "<p>two</p>", None), (3, "<p>two</p>", "http://a.org/3"), (4, "<p>two</p>", "http://a.org/4")]
+    folder = shared_folder(spark, "t")
+    files = warc.write(spark.createDataFrame(rows, "page_id long, html string, url string").coalesce(1), folder, date="2024-05-06T07:08:09Z").collect()
+    got = [r for f in files for r in warc.records(get_file(folder, f["name"])) if r[0]["WARC-Type"] != "warcinfo"]
+    assert len({f["WARC-Record-ID"] for f, _ in got}) == 5 == len(got)
+    assert all(f["WARC-Date"] == "2024-05-06T07:08:09Z" and f["Content-Type"] == "application/http; msgtype=response" for f, _ in got)
+    assert sorted(f["WARC-Target-URI"] for f, _ in got) == ["http://a.org/1", "http://a.org/2%20x%0D%0A", "http://a.org/3", "http://a.org/4", "urn:page:3"]
+    responses = {f["WARC-Record-ID"] for f, _ in got if f["WARC-Type"] == "response"}
+    assert len(responses) == 2 and {f["WARC-Refers-To"] for f, _ in got if f["WARC-Type"] == "revisit"} == responses
+    assert all(b.startswith(b"HTTP/1.1 200 OK\r\n") and (f["WARC-Type"] == "revisit") == b.endswith(b"\r\n\r\n") for f, b in got)
+    assert int(files[0]["n_records"]) == 5
+
+
+def test_digests_in_the_jvm(spark):
+    rows = [(k, t) for k, t in enumerate([None, "", "é", "x" * 100_000, *(f"page {i}" for i in range(60))])]
+    got = warc.with_digests(spark.createDataFrame(rows, "page_id long, html string"), "page_id", "html").collect()
+    assert [r.digest for r in sorted(got)] == [warc.digest32((t or "").encode()) for _, t in rows]
