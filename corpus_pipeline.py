@@ -1,7 +1,14 @@
 """The corpus pipeline: quality rules, near-duplicates, secrets, mixing and BPE ids, each stage on what the last one kept.
 
 A stage takes (spark, docs, sf_dir) and returns a table that is written and read again as the next stage's docs. All
-but the last return the columns of documents; n_chars follows the text. The mix is the order of the fourth stage's files.
+but the last return the columns of documents; n_chars follows the text. The mix is the order of the fourth stage's files,
+and of slot and offset in the last one's rows.
+
+Defined results, in every stage: a null text is an empty text, and stays null where it isn't changed; a null id, source or
+other column is a value like others; empty texts fail the quality rules and hold neither secrets nor ids; very long texts
+are worked on whole; repeated rows get equal results, and near_duplicates keeps one of them; of documents equally good for
+a class the one of the least id stays; an empty table gives an empty table of the same columns; extra columns are kept
+up to the fourth stage, whatever their names, and dropped by the last.
 """
 
 from __future__ import annotations
@@ -39,12 +46,16 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens, ids, and whether the ids decode to the text."""
+    """doc_id, source, the mix's slot and offset, n_tokens, ids, and whether the ids decode to the text.
+
+    The last stage gave all of its rows, so the mix has the same places for them again.
+    """
     common.small_batches(spark)
     path = tokenizer_path("byte_bpe_50k.json")
-    hashed = docs.withColumn("given", F.sha2(F.coalesce("text", F.lit("")), 256))
-    made = bpe.round_trip(hashed, path, keep=("doc_id", "source", "given"))
-    return made.select("doc_id", "source", "n_tokens", "ids", (F.col("decoded_sha256") == F.col("given")).alias("exact"))
+    placed = mixing.with_places(docs.select("doc_id", "source", "text"), TARGETS, "place")
+    hashed = placed.select("doc_id", "source", "place.slot", "place.offset", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("given"))
+    made = bpe.round_trip(hashed, path, keep=("doc_id", "source", "slot", "offset", "given"))
+    return made.select("doc_id", "source", "slot", "offset", "n_tokens", "ids", (F.col("decoded_sha256") == F.col("given")).alias("exact"))
 
 
 STAGES = [("quality_rules", quality), ("near_duplicates", near_duplicates), ("secret_scan", secrets), ("source_mix", mix), ("bpe_ids", token_ids)]
