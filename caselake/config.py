@@ -169,6 +169,41 @@ class Statements:
     compensation_score: int = 30
 
 
+@dataclass(frozen=True)
+class Display:
+    """What a shown statement leaves out of its source text, by section; N stands for a section's number."""
+
+    # fixed values: labels at the start, taken off one after the other
+    number: str = "[一二三四五六七八九十百零〇0-9]+"
+    starts: dict = field(
+        default_factory=lambda: {
+            "holding": ("主文[：:]?",),
+            "applicant_claim": (r"(?:N、\s*)?申請人之?主張[：:]", r"[（(]N[）)]\s*(?:請求標的|請求事項|陳述)[：:]", r"\d+[.、]", "[（(]N[）)]"),
+            "respondent_claim": (r"(?:N、\s*)?相對人之?主張[：:]", r"[（(]N[）)]\s*(?:請求標的|請求事項|陳述)[：:]", r"\d+[.、]", "[（(]N[）)]"),
+            "undisputed_facts": (r"(?:N、\s*)?(?:兩造)?不爭執(?:之事實|事項)?[：:]", "[（(]N[）)]"),
+            "issues": (r"(?:N、\s*)?本件爭點[：:]", "[（(]N[）)]"),
+            "reasoning": (r"(?:N、\s*)?判斷理由[：:]", r"(?:[（(]N[）)]|\d+[.、])"),
+            "conclusion": (r"(?:N、\s*)?據上論結[，,:：]?", r"(?:N、\s*)?綜上所述[，,:：]?"),
+            "disposition": ("主文[：:]?", r"(?:N、\s*)?據上論結[，,:：]?"),
+        }
+    )
+    # fixed values: labels of later points, right after the end of a sentence
+    within: dict = field(
+        default_factory=lambda: {
+            "applicant_claim": (r"[（(]N[）)]\s*(?:請求標的|請求事項|陳述)[：:]\s*(?:\d+[.、])?", r"\d+[.、]"),
+            "respondent_claim": (r"[（(]N[）)]\s*(?:請求標的|請求事項|陳述)[：:]\s*(?:\d+[.、])?", r"\d+[.、]"),
+            "issues": ("[（(]N[）)]",),
+        }
+    )
+    # fixed values: how a continued sentence begins, by section; closing formulas; restated issues; outcomes; policy history
+    continued: dict = field(default_factory=lambda: {"respondent_claim": (r"[，,；;]\s*", "而(?=相對人)")})
+    closing: dict = field(default_factory=lambda: {"conclusion": r"\s*兩造其餘陳述及攻擊防禦方法，.*?併予敘明。\s*$"})
+    restated: str = "(?:準此，|是)?本件爭點(?:厥為|應為|為|如下)"
+    negative: str = "本中心(?:就申請人之請求)?尚難為有利(?:於)?申請人之認定"
+    history: str = "^申請人於.{0,80}(?:向相對人)?投保.{0,240}(?:保險契約|附加)"
+    history_word: str = "投保"
+
+
 @dataclass(frozen=True)
 class Similarity:
     same_type: int = 60

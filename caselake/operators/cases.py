@@ -123,8 +123,9 @@ def review_queue(versions: DataFrame, cases: DataFrame) -> DataFrame:
 def representative_sample(cases: DataFrame, summarised: DataFrame, limit: int, least_chars: int = 1000) -> DataFrame:
     """(case_id, pick): `limit` cases spread evenly over the order of text length, types unused so far first.
 
-    cases: case_id, dispute_type, text_chars. Ranks come from counts per length, and the greedy choice runs on at most
-    limit**2 rows: for each target the nearest `limit` cases of every type that can win.
+    cases: case_id, dispute_type, text_chars. Ranks come from counts per length. The greedy choice needs little: for each
+    target the cases within `limit` ranks, and the nearest case of each of the limit + 1 nearest types, which are partial
+    sums by type. No row is repeated by target before that.
     """
     rows = cases.where(F.col("text_chars") >= least_chars).join(summarised.select("case_id").distinct(), "case_id", "left_anti")
     sizes = rows.groupBy("text_chars").agg(F.count(F.lit(1)).alias("n"))
@@ -135,11 +136,13 @@ def representative_sample(cases: DataFrame, summarised: DataFrame, limit: int, l
     if limit <= 0:
         return cases.sparkSession.createDataFrame([], f"case_id {cases.schema['case_id'].dataType.simpleString()}, pick int")
     targets = [0] if limit == 1 else [round(k * (total - 1) / (limit - 1)) for k in range(limit)]
-    near = ranked.withColumn("target", F.explode(F.array(*map(F.lit, range(limit))))).withColumn("distance", F.abs(F.col("rank") - F.element_at(F.array(*map(F.lit, targets)), F.col("target") + 1)))
-    per_type = Window.partitionBy("target", "dispute_type").orderBy("distance", "case_id")
-    over_types = Window.partitionBy("target").orderBy("distance", "case_id")
-    bounded = near.withColumn("a", F.row_number().over(per_type)).where(F.col("a") <= limit).withColumn("b", F.row_number().over(over_types)).withColumn("c", F.row_number().over(Window.partitionBy("target", "a").orderBy("distance", "case_id")))
-    rows_ = bounded.where((F.col("b") <= limit) | ((F.col("a") == 1) & (F.col("c") <= limit + 1))).select("target", "case_id", "dispute_type", "distance").collect()
+    away = [F.abs(F.col("rank") - t) for t in targets]
+    nearest = ranked.groupBy("dispute_type").agg(F.array(*(F.min(F.struct(d.alias("distance"), "case_id")) for d in away)).alias("each"))
+    nearest = nearest.select("dispute_type", F.posexplode("each").alias("target", "m")).select("target", "m.case_id", "dispute_type", "m.distance")
+    nearest = nearest.withColumn("c", F.row_number().over(Window.partitionBy("target").orderBy("distance", "case_id"))).where(F.col("c") <= limit + 1).drop("c")
+    inside = F.array_compact(F.array(*(F.when(d <= limit, F.struct(F.lit(k).alias("target"), d.alias("distance"))) for k, d in enumerate(away))))
+    around = ranked.withColumn("m", F.explode(inside)).select("m.target", "case_id", "dispute_type", "m.distance")
+    rows_ = nearest.union(around).distinct().collect()
     used, types, out = set(), set(), []
     for t in range(limit):
         best = min((r for r in rows_ if r.target == t and r.case_id not in used), key=lambda r: (r.dispute_type in types, r.distance, r.case_id))

@@ -14,14 +14,25 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-def hash_vector(tokens, dims: int) -> tuple[np.ndarray, float, int]:
-    """Unit vector over `dims` buckets, its norm before scaling, and the number of distinct tokens."""
-    names, counts = np.unique(np.asarray(tokens, dtype=object).astype(str), return_counts=True) if len(tokens) else ([], np.zeros(0))
-    vector = np.zeros(dims)
-    buckets = [int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little") % dims for t in names]
-    np.add.at(vector, np.array(buckets, int), 1.0 + np.log(np.maximum(counts, 1)))
-    norm = float(np.sqrt(vector @ vector))
-    return (vector / norm if norm > 0 else vector), norm, len(names)
+def token_buckets(names: np.ndarray, dims: int) -> np.ndarray:
+    """The bucket of each token: the first eight bytes of its BLAKE2b hash, little-endian, modulo dims."""
+    digests = b"".join(hashlib.blake2b(str(t).encode(), digest_size=8).digest() for t in names)
+    return (np.frombuffer(digests, "<u8") % np.uint64(dims)).astype(np.int64)
+
+
+def hash_vectors(lists: list, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit vectors of many token lists, their norms before scaling, and their numbers of distinct tokens.
+
+    Every distinct token of the lists is hashed once; a token found c times adds 1 + ln c to its bucket.
+    """
+    n = len(lists)
+    row = np.repeat(np.arange(n), [len(x) for x in lists])
+    code, names = pd.factorize(np.concatenate([np.asarray(x, dtype=object) for x in lists]) if len(row) else np.zeros(0, object))
+    cell, counts = np.unique(row * max(1, len(names)) + code, return_counts=True)
+    row, code = np.divmod(cell, max(1, len(names)))
+    made = np.bincount(row * dims + token_buckets(names, dims)[code], 1.0 + np.log(counts), n * dims).reshape(n, dims) if len(row) else np.zeros((n, dims))
+    norm = np.sqrt((made * made).sum(axis=1))
+    return made / np.where(norm > 0, norm, 1.0)[:, None], norm, np.bincount(row, minlength=n)
 
 
 def hash_embed(df: DataFrame, text: str, keep: list[str], dims: int = 384) -> DataFrame:
@@ -33,8 +44,8 @@ def hash_embed(df: DataFrame, text: str, keep: list[str], dims: int = 384) -> Da
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            made = [hash_vector(t, dims) for t in pdf.pop("__tokens")]
-            yield pdf.assign(vector=[m[0].astype(np.float32) for m in made], norm=[m[1] for m in made], token_count=[m[2] for m in made])
+            vector, norm, count = hash_vectors(pdf.pop("__tokens").tolist(), dims)
+            yield pdf.assign(vector=list(vector.astype(np.float32)), norm=norm, token_count=count)
 
     return rows.mapInPandas(batches, schema)
 

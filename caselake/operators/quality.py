@@ -22,7 +22,9 @@ def metadata_audit(records: DataFrame, url_prefix: str, order: str = "seq") -> D
     """(seq, violation) of records: absent fields, repeated numbers, links elsewhere, unresolved batches."""
     blank = lambda c: T.strip(F.coalesce(F.col(c).cast("string"), F.lit(""))) == ""
     first = Window.partitionBy("case_number").orderBy(order)
-    placed = records.withColumn("__n", F.when(~blank("case_number"), F.row_number().over(first)))
+    # records without a number are no one's repetition, and many: they aren't put in one order
+    numbered = records.where(~blank("case_number")).withColumn("__n", F.row_number().over(first))
+    placed = numbered.unionByName(records.where(blank("case_number")).withColumn("__n", F.lit(None).cast("int")))
     tests = [(f"missing_{c}", blank(c)) for c in REQUIRED]
     tests += [("duplicate_case_number", F.coalesce(F.col("__n") > 1, F.lit(False))), ("url_prefix", ~blank("pdf_url") & ~F.col("pdf_url").startswith(url_prefix)), ("unresolved_batch", ~F.coalesce(F.col("batch_status").isin("ok", "no_results"), F.lit(False)))]
     return placed.select(order, F.explode(F.array_compact(F.array(*(F.when(t, F.lit(n)) for n, t in tests)))).alias("violation"))

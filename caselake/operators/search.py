@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import written
 
 K1, B = 1.2, 0.75
 RRF = 60
@@ -31,53 +32,57 @@ def keyword_like(cases: DataFrame, queries: DataFrame, columns: list[str], keep:
     word = F.concat(F.lit("%"), F.col("query"), F.lit("%")) if wildcards else F.lower("query")
     given = queries.where(F.coalesce(F.col("query"), F.lit("")) != "")
     sets = given.groupBy(F.pmod(F.hash("query_id"), F.lit(n)).alias("batch")).agg(F.collect_list(F.struct("query_id", word.alias("q"))).alias("qs"))
-    texts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
-    test = (lambda t, q: F.ilike(t, q)) if wildcards else (lambda t, q: F.contains(F.lower(t), q))
-    hit = lambda s: reduce(lambda a, b: a | b, [test(t, s.q) for t in texts])
-    joined = cases.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(F.broadcast(sets), "batch")
+    plain = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+    names = [f"__text{k}" for k in range(len(columns))]
+    # lower case is made before the rows meet the queries: inside the filter it would be made for each query
+    rows = cases.select(*keep, *((t if wildcards else F.lower(t)).alias(c) for t, c in zip(plain, names, strict=True)))
+    test = F.ilike if wildcards else F.contains
+    hit = lambda s: reduce(lambda a, b: a | b, [test(F.col(c), s.q) for c in names])
+    joined = rows.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(F.broadcast(sets), "batch")
     return joined.select(*keep, F.explode(F.filter("qs", hit)).alias("__q")).select(F.col("__q.query_id").alias("query_id"), *keep)
 
 
-def postings(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(key, term, tf, length) over all columns; length is the document's number of terms."""
-    terms = F.concat(*(T.search_terms(F.col(c).cast("string")) for c in columns))
-    rows = docs.select(key, terms.alias("t")).withColumn("length", F.size("t"))
-    return rows.select(key, "length", F.explode("t").alias("term")).groupBy(key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
 def bm25(docs: DataFrame, queries: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(query_id, key, score) of documents with every term of the query.
 
-    Only terms that a query has are grouped by document; a term's rarity counts over all documents.
+    Texts are cut into terms once; what is kept of a document is a row for each term that some query has, and one for all
+    others together, so that lengths, rarities and scores come from that table. A term's rarity counts over all documents.
     """
     wanted = queries.select("query_id", F.explode(F.array_distinct(T.search_terms(F.col("query")))).alias("term"))
+    vocabulary = wanted.select("term").distinct().withColumn("known", F.col("term"))
     terms = F.concat(*(T.search_terms(F.col(c).cast("string")) for c in columns))
-    sized = docs.select(key, terms.alias("t")).withColumn("length", F.size("t"))
-    totals = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avgdl"))
-    vocabulary = wanted.select("term").distinct()
-    found = sized.select(key, "length", F.explode("t").alias("term")).join(vocabulary, "term", "left_semi").groupBy(key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    rarity = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    each = docs.select(key, F.explode_outer(terms).alias("term")).join(vocabulary, "term", "left")
+    counted = written(each.groupBy(key, "known").agg(F.count("term").alias("tf")), "terms")
+    sizes = counted.groupBy(key).agg(F.sum("tf").alias("length"))
+    totals = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avgdl"))
+    found = counted.where("known is not null").withColumnRenamed("known", "term").join(sizes, key)
+    rarity = counted.where("known is not null").groupBy(F.col("known").alias("term")).agg(F.count(F.lit(1)).alias("df"))
     need = wanted.groupBy("query_id").agg(F.count(F.lit(1)).alias("need"))
-    n, avgdl = totals.first()
-    idf = F.greatest(F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(avgdl or 1.0)))
+    # one row, joined to the few rarities by a key that all share
+    rarity = rarity.withColumn("one", F.lit(1)).join(F.broadcast(totals.withColumn("one", F.lit(1))), "one")
+    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.coalesce(F.nullif("avgdl", F.lit(0.0)), F.lit(1.0))))
     scored = found.join(rarity, "term").withColumn("w", weight).join(wanted, "term")
     return scored.groupBy("query_id", key).agg(F.sum("w").alias("score"), F.count(F.lit(1)).alias("have")).join(need, "query_id").where("have = need").select("query_id", key, "score")
 
 
-def keyword_search(cases: DataFrame, queries: DataFrame, key: str, columns: list[str], date: str, number: str) -> DataFrame:
+def keyword_search(cases: DataFrame, queries: DataFrame, key: str, columns: list[str], date: str, number: str, limit: int | None = None) -> DataFrame:
     """(query_id, key, keyword_score, match_source, keyword_rank): full text, else substrings for queries without any hit.
 
     A query without a usable term goes to substrings as an error of the full-text channel. Scores that agree to nine
-    places are equal, whatever the order in which they were summed.
+    places are equal, whatever the order in which they were summed. limit keeps the first ranks only.
     """
-    hits = bm25(cases, queries, key, columns)
+    hits = written(bm25(cases, queries, key, columns), "hits")
     empty = F.size(T.search_terms(F.col("query"))) == 0
     rest = queries.join(hits.select("query_id").distinct(), "query_id", "left_anti").withColumn("match_source", F.when(empty, "like_fallback_error").otherwise("like_fallback_empty_fts5"))
+    rest = written(rest, "fallback-queries")
     like = keyword_like(cases, rest, columns, [key]).join(rest.select("query_id", "match_source"), "query_id").withColumn("score", F.lit(None).cast("double"))
     both = hits.withColumn("match_source", F.lit("fts5")).unionByName(like)
     order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc_nulls_last(), F.col(date).desc(), F.col(number).desc(), F.col(key))
-    return both.join(cases.select(key, date, number), key).withColumn("keyword_rank", F.row_number().over(order)).select("query_id", key, F.col("score").alias("keyword_score"), "match_source", "keyword_rank")
+    ranked = both.join(cases.select(key, date, number), key).withColumn("keyword_rank", F.row_number().over(order))
+    if limit is not None:
+        ranked = ranked.where(F.col("keyword_rank") <= limit)
+    return ranked.select("query_id", key, F.col("score").alias("keyword_score"), "match_source", "keyword_rank")
 
 
 def _blocks(df: DataFrame, key: str, vector: str, size: int, name: str) -> DataFrame:
@@ -90,8 +95,9 @@ def _blocks(df: DataFrame, key: str, vector: str, size: int, name: str) -> DataF
 def dot_products(queries: DataFrame, items: DataFrame, query_key: str, item_key: str, vector: str = "vector", best: int | None = None, least: float | None = None, decimals: int | None = None, group: str | None = None) -> DataFrame:
     """(query_id, item_id, score) of every query against every item, in blocks.
 
-    `least` drops scores that aren't above it before rounding; `best` keeps, in each block, the scores that a top of
-    that size could need (ties with the last stay); `group` keeps a query's best item of each group in the block.
+    `least` drops scores that aren't above it before rounding; `group` keeps a query's best items of each group in the
+    block (ties stay); `best` keeps, in each block, the scores, or the groups, that a top of that size could need (ties with
+    the last stay).
     """
     items = items.where(F.col(vector).isNotNull())
     q = _blocks(queries.where(F.col(vector).isNotNull()), query_key, vector, BLOCK, "q")
@@ -109,7 +115,7 @@ def dot_products(queries: DataFrame, items: DataFrame, query_key: str, item_key:
                 score = left @ right.T
                 keep = np.ones(score.shape, bool) if least is None else score > least
                 shown = score if decimals is None else np.round(score, decimals)
-                if best is not None and best < score.shape[1]:
+                if group is None and best is not None and best < score.shape[1]:
                     last = np.partition(np.where(keep, shown, -np.inf), -best, axis=1)[:, -best]
                     keep &= shown >= last[:, None]
                 if group:
@@ -118,6 +124,8 @@ def dot_products(queries: DataFrame, items: DataFrame, query_key: str, item_key:
                     first = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
                     ordered = np.where(keep, score, -np.inf)[:, order]
                     top = np.maximum.reduceat(ordered, first, axis=1)
+                    if best is not None and best < top.shape[1]:
+                        top = np.where(top >= np.partition(top, -best, axis=1)[:, -best][:, None], top, np.inf)
                     keep_ordered = (ordered == np.repeat(top, np.diff(np.append(first, len(g))), axis=1)) & np.isfinite(ordered)
                     keep = np.zeros_like(keep)
                     keep[:, order] = keep_ordered
@@ -139,19 +147,30 @@ def cosine_topk(queries: DataFrame, chunks: DataFrame, limit: int = 10, least: f
     return named.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "rank", "chunk_id", "similarity")
 
 
-def best_chunks(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, case_id, chunk_id, score): each case's best chunk for each query; the least id of equals."""
-    scored = dot_products(queries, chunks, "query_id", "chunk_id", group="case_id").withColumnRenamed("item_id", "chunk_id")
+def best_chunks(queries: DataFrame, chunks: DataFrame, best: int | None = None) -> DataFrame:
+    """(query_id, case_id, chunk_id, score): each case's best chunk for each query; the least id of equals.
+
+    With `best`, of the cases only those that a query's first `best` could need: a case's best chunk lies in some block,
+    and is among that block's best cases if it is among all.
+    """
+    scored = dot_products(queries, chunks, "query_id", "chunk_id", group="case_id", best=best).withColumnRenamed("item_id", "chunk_id")
     named = scored.join(chunks.select("chunk_id", "case_id"), "chunk_id")
     top = named.groupBy("query_id", "case_id").agg(F.max("score").alias("score"), F.min(F.struct((-F.col("score")).alias("s"), "chunk_id")).alias("m"))
     return top.select("query_id", "case_id", F.col("m.chunk_id").alias("chunk_id"), "score")
 
 
-def case_rankings(queries: DataFrame, chunks: DataFrame, cases: DataFrame) -> DataFrame:
-    """best_chunks with semantic_rank by the unrounded score, then date and number; similarity is rounded after."""
+def case_rankings(queries: DataFrame, chunks: DataFrame, cases: DataFrame, limit: int | None = None) -> DataFrame:
+    """best_chunks with semantic_rank by the unrounded score, then date and number; similarity is rounded after.
+
+    With a limit each block gives the cases that the first `limit` could need, so that the corpus isn't ranked for a few
+    results; chunks of cases that aren't in `cases` must be left out before.
+    """
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("decision_date"), F.desc("case_number"), "case_id")
-    named = best_chunks(queries, chunks).join(cases.select("case_id", "decision_date", "case_number"), "case_id")
-    return named.withColumn("semantic_rank", F.row_number().over(order)).select("query_id", "case_id", "chunk_id", F.round("score", 4).alias("similarity"), "semantic_rank")
+    named = best_chunks(queries, chunks, limit).join(cases.select("case_id", "decision_date", "case_number"), "case_id")
+    ranked = named.withColumn("semantic_rank", F.row_number().over(order))
+    if limit is not None:
+        ranked = ranked.where(F.col("semantic_rank") <= limit)
+    return ranked.select("query_id", "case_id", "chunk_id", F.round("score", 4).alias("similarity"), "semantic_rank")
 
 
 def case_scores(queries: DataFrame, chunks: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -175,7 +194,9 @@ def reciprocal_rank(rank: Column, weight: float) -> Column:
 def hybrid_search(keyword: DataFrame, semantic: DataFrame, cases: DataFrame) -> DataFrame:
     """Weighted reciprocal-rank fusion of two rankings; without a semantic ranking the keyword one stands alone.
 
-    keyword: query_id, case_id, keyword_rank, match_source; semantic: query_id, case_id, semantic_rank, similarity.
+    keyword: query_id, case_id, keyword_rank, match_source; semantic: query_id, case_id, semantic_rank, similarity. Where
+    both are cut to a depth (the limits of keyword_search and case_rankings), a case beyond the depth of a channel counts
+    as not found by it; whole rankings give the exact fusion.
     """
     joined = keyword.select("query_id", "case_id", "keyword_rank", "match_source").join(semantic.select("query_id", "case_id", "semantic_rank", "similarity"), ["query_id", "case_id"], "full")
     score = F.round(reciprocal_rank(F.col("semantic_rank"), SEMANTIC_WEIGHT) + reciprocal_rank(F.col("keyword_rank"), KEYWORD_WEIGHT), 8)

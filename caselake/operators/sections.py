@@ -78,29 +78,43 @@ def section_hints(text: str, rules: Chunking) -> list[tuple[int, str]]:
 
 
 def cut_chunks(text: str | None, rules: Chunking = Chunking()) -> list[dict]:
-    """Overlapping chunks that end at a mark where there is one late enough; text is as chunk_source leaves it."""
+    """Overlapping chunks that end at a mark where there is one late enough; text is as chunk_source leaves it.
+
+    The places behind all marks are found once; a chunk ends at the last of them within its reach, if that lies beyond
+    the least length, else at its full length.
+    """
     if rules.target <= rules.overlap:
         raise ValueError("a chunk must be longer than the overlap")
     text = text or ""
-    marks, out, at = section_hints(text, rules), [], 0
-    places = [m[0] for m in marks]
-    while at < len(text):
-        end = min(len(text), at + rules.target)
-        if end < len(text):
-            low = at + max(rules.least, int((end - at) * rules.share))
-            cut = max(text.rfind(m, low, end) for m in rules.marks)
-            end = cut + 1 if cut >= low else end
-        span = text[at:end]
-        body = span.strip()
+    behind = [m.end() for m in re.finditer(f"[{re.escape(rules.marks)}]", text)]
+    hints = section_hints(text, rules)
+    places = [place for place, _ in hints]
+    shortest = max(rules.least, int(rules.target * rules.share))
+
+    def reach(start: int) -> int:
+        full = start + rules.target
+        if full >= len(text):
+            return len(text)
+        k = bisect_right(behind, full) - 1
+        return behind[k] if k >= 0 and behind[k] > start + shortest else full
+
+    spans = []
+    if text:
+        spans.append((0, reach(0)))
+        while spans[-1][1] < len(text):
+            start, end = spans[-1]
+            start = max(end - rules.overlap, start + 1)
+            spans.append((start, reach(start)))
+    out = []
+    for start, end in spans:
+        body = text[start:end].strip()
         if body:
-            first = at + len(span) - len(span.lstrip())
+            first = text.index(body[0], start)  # what is stripped before it is white space
             last = first + len(body)
             k = bisect_right(places, first)
-            inside = marks[k][1] if k < len(marks) and marks[k][0] < last else None
-            out.append({"chunk_index": len(out), "section_hint": marks[k - 1][1] if k else inside, "chunk_text": body, "char_start": first, "char_end": last, "chunk_chars": len(body)})
-        if end >= len(text):
-            break
-        at = max(end - rules.overlap, at + 1)
+            # the hint in force where the chunk begins, else the first inside it
+            label = hints[k - 1][1] if k else next((name for place, name in hints[:1] if place < last), None)
+            out.append({"chunk_index": len(out), "section_hint": label, "chunk_text": body, "char_start": first, "char_end": last, "chunk_chars": len(body)})
     return out
 
 

@@ -128,20 +128,62 @@ def similar_quality(similar: DataFrame, cases: DataFrame, k: int = 5, sources: D
     )
 
 
+def _case_matches(centroids: DataFrame, embeddings: DataFrame, limit: int, per: int, least: float) -> DataFrame:
+    """(query_id, case_id, r, chunk_id, shown, total): per block, the best chunks of the cases that a first `limit` could need.
+
+    Chunks are dealt by case, so a block knows a case's best chunks; its first row for a query carries how many of its
+    cases have any chunk above `least`, other rows 0.
+    """
+    n_left, n_right = max(1, -(-centroids.count() // BLOCK)), max(1, -(-embeddings.count() // BLOCK))
+    left = centroids.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(n_left)).alias("a")).agg(F.collect_list("query_id").alias("q_keys"), F.flatten(F.collect_list("vector")).alias("q_values"))
+    chunk = F.struct("case_id", "chunk_index", "chunk_id")
+    right = embeddings.where("vector is not null").groupBy(F.pmod(F.xxhash64("case_id"), F.lit(n_right)).alias("b")).agg(F.collect_list(chunk).alias("i_keys"), F.flatten(F.collect_list(F.col("vector").cast("array<double>"))).alias("i_values"))
+    pairs = right.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1)).cast("array<bigint>"))).join(left, "a").select("q_keys", "q_values", "i_keys", "i_values")
+    q_type, case, chunk_type = centroids.schema["query_id"].dataType.simpleString(), embeddings.schema["case_id"].dataType.simpleString(), embeddings.schema["chunk_id"].dataType.simpleString()
+
+    def best(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for qk, qv, ik, iv in zip(pdf.q_keys, pdf.q_values, pdf.i_keys, pdf.i_values, strict=True):
+                items = pd.DataFrame([x.asDict() if hasattr(x, "asDict") else x for x in ik], columns=["case_id", "chunk_index", "chunk_id"])
+                order = items.sort_values(["case_id", "chunk_index", "chunk_id"]).index.to_numpy()
+                items = items.loc[order].reset_index(drop=True)
+                score = np.asarray(qv, float).reshape(len(qk), -1) @ np.asarray(iv, float).reshape(len(ik), -1)[order].T
+                shown = np.where(score > least, np.round(score, 4), -np.inf)
+                cases = items["case_id"].to_numpy()
+                first = np.flatnonzero(np.append(True, cases[1:] != cases[:-1]))
+                ends = np.append(first[1:], len(cases))
+                top = np.maximum.reduceat(shown, first, axis=1)
+                top[np.equal.outer(np.asarray(qk, object), cases[first].astype(object))] = -np.inf
+                total = np.isfinite(top).sum(axis=1)
+                keep = np.isfinite(top)
+                if limit < top.shape[1]:
+                    keep &= top >= np.partition(top, -limit, axis=1)[:, -limit][:, None]
+                out, last = [], -1
+                for a, c in zip(*(x.tolist() for x in np.nonzero(keep)), strict=True):
+                    own = np.arange(first[c], ends[c])
+                    own = own[np.argsort(-shown[a, own], kind="stable")][:per]
+                    for r, k in enumerate(own[np.isfinite(shown[a, own])].tolist(), 1):
+                        out.append((qk[a], cases[k], r, items["chunk_id"][k], shown[a, k], int(total[a]) if a != last else 0))
+                        last = a
+                yield pd.DataFrame(out, columns=["query_id", "case_id", "r", "chunk_id", "shown", "total"])
+
+    return pairs.mapInPandas(best, f"query_id {q_type}, case_id {case}, r int, chunk_id {chunk_type}, shown double, total long")
+
+
 def semantic_similar(embeddings: DataFrame, cases: DataFrame, sources: DataFrame | None = None, limit: int = 5, chunks_per_case: int = 2, least: float = 0.0) -> DataFrame:
     """(case_id, rank, similar_id, similarity, chunk_ids, total): directed, a case's centroid against others' chunks.
 
-    Blocks of centroids meet blocks of chunks; each block keeps what a case's best chunks may need. sources restricts the
-    cases that are asked for (all by default). embeddings: chunk_id, case_id, chunk_index, vector.
+    Blocks of centroids meet blocks of whole cases; a block gives back the best chunks of the cases that a top may need,
+    and how many cases count. sources restricts the cases that are asked for (all by default). embeddings: chunk_id,
+    case_id, chunk_index, vector; chunks of cases that aren't in `cases` don't count.
     """
     limit, per = min(max(limit, 1), MOST), min(max(chunks_per_case, 1), 5)
+    known = embeddings.join(cases.select("case_id"), "case_id", "left_semi")
     own = embeddings if sources is None else embeddings.join(sources.select("case_id"), "case_id", "left_semi")
     centroids = case_centroids(own).select(F.col("case_id").alias("query_id"), F.col("centroid").alias("vector"))
-    scored = dot_products(centroids, embeddings, "query_id", "chunk_id", least=least).withColumnRenamed("item_id", "chunk_id")
-    named = scored.join(embeddings.select("chunk_id", "case_id", "chunk_index"), "chunk_id").where("case_id != query_id").withColumn("shown", F.round("score", 4))
-    inside = Window.partitionBy("query_id", "case_id").orderBy(F.desc("shown"), "chunk_index", "chunk_id")
-    kept = named.withColumn("r", F.row_number().over(inside)).where(F.col("r") <= per)
-    grouped = kept.groupBy("query_id", "case_id").agg(F.max("shown").alias("similarity"), F.transform(F.array_sort(F.collect_list(F.struct("r", "chunk_id"))), lambda s: s.chunk_id).alias("chunk_ids"))
+    kept = _case_matches(centroids, known, limit, per, least)
+    grouped = kept.groupBy("query_id", "case_id").agg(F.max("shown").alias("similarity"), F.sum("total").alias("total"), F.transform(F.array_sort(F.collect_list(F.struct("r", "chunk_id"))), lambda s: s.chunk_id).alias("chunk_ids"))
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.desc("decision_date"), F.desc("case_number"), "case_id")
-    ranked = grouped.join(cases.select("case_id", "decision_date", "case_number"), "case_id").withColumn("rank", F.row_number().over(order)).withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("query_id")))
+    named = grouped.join(cases.select("case_id", "decision_date", "case_number"), "case_id")
+    ranked = named.withColumn("rank", F.row_number().over(order)).withColumn("total", F.sum("total").over(Window.partitionBy("query_id")))
     return ranked.where(F.col("rank") <= limit).select(F.col("query_id").alias("case_id"), "rank", F.col("case_id").alias("similar_id"), "similarity", "chunk_ids", "total")

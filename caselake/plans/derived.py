@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..config import LATIN_STATEMENTS, Laws
@@ -12,8 +9,10 @@ from ..functions import text as T
 from ..operators import embed, evaluate
 from ..operators import extract as X
 from ..sources import io
+from ..sources.shared import shared_folder
 from . import bindings as D
 from .bindings import with_sql
+from .texts import EVIDENCE, SENTENCES
 
 QUERIES, ORACLES = {}, {}
 
@@ -28,12 +27,6 @@ def query(sql: str | None = None):
     return add
 
 
-def _folder(spark, name: str) -> str:
-    """A new path in the cluster's shared folder; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query(
     with_sql(D.CASES)
     + "SELECT 'case_' || sha1(case_number)[1:16] AS case_id, case_number, roc_year, decision_date, dispute_type, CAST(n_chars AS INTEGER) AS raw_text_chars, CASE WHEN case_id % 10 = 0 THEN 'missing_case_number' END AS failure FROM (SELECT case_id, CASE WHEN case_id % 10 = 0 THEN '' ELSE case_number END AS case_number, roc_year, decision_date, dispute_type, n_chars FROM cases)"
@@ -45,7 +38,7 @@ def flatten_record(spark, sf):
         F.when(F.col("case_id") % 10 != 0, F.col("case_number")).alias("case_number"), "decision_date", F.struct(F.col("dispute_type").alias("label")).alias("dispute_type"),
         F.struct(F.when(F.col("case_id") % 2 == 0, F.col("roc_year")).otherwise(0).alias("roc_year")).alias("crawl_batch"), F.struct("roc_year").alias("query"), F.struct(F.col("n_chars").alias("raw_text_chars")).alias("text_extraction"),
     )
-    path = _folder(spark, "metadata")
+    path = shared_folder(spark, "metadata")
     n = max(8, c.count() // 20_000)  # records in a file stay bounded
     files = c.select(record.alias("record"), F.pmod(F.xxhash64("case_id"), F.lit(n)).alias("file")).groupBy("file").agg(F.collect_list("record").alias("records"))
     files.repartition(n, "file").write.partitionBy("file").json(path)
@@ -55,7 +48,7 @@ def flatten_record(spark, sf):
 
 @query(with_sql(D.CASES) + "SELECT roc_year, dispute_type AS dispute_type_part, count(*) AS n FROM cases GROUP BY 1, 2")
 def write_case_lake(spark, sf):
-    path = _folder(spark, "lake")
+    path = shared_folder(spark, "lake")
     io.write_case_lake(D.cases(spark, sf), path)
     return spark.read.parquet(path).groupBy("roc_year", "dispute_type_part").agg(F.count(F.lit(1)).alias("n"))
 
@@ -66,9 +59,21 @@ def report_sink(spark, sf):
     return io.report(c, "failure", ["case_id"]).select("total", "failed", F.size("samples").alias("shown"))
 
 
-@query("SELECT page_id, 'ok' AS status, 0 AS n FROM pages")
+LISTED = """p AS (SELECT doc_id // 25 AS page_id, count(*) AS n, string_agg(doc_id || '|' || source, ',' ORDER BY doc_id) AS rows FROM documents GROUP BY 1)"""
+
+
+@query(f"WITH {LISTED} SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'no_results' WHEN page_id % 7 = 0 THEN 'needs_split' WHEN page_id % 3 = 0 THEN 'partial' ELSE 'ok' END AS status, CAST(CASE WHEN page_id % 5 = 0 THEN 0 WHEN page_id % 7 = 0 THEN 4000 + n WHEN page_id % 3 = 0 THEN n + 2 ELSE n END AS INTEGER) AS reported, CASE WHEN page_id % 5 = 0 THEN '' ELSE rows END AS rows FROM p")
 def parse_listing_pages(spark, sf):
-    return io.parse_listing_pages(D.table(spark, sf, "pages")).select("page_id", "status", F.size("records").alias("n"))
+    """Result pages made of 25 documents each: every fifth without results, others with too many or too few rows for their count."""
+    d = D.table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 25).alias("page_id"), "doc_id", "source")
+    row = F.concat(F.lit("<tr><td>1</td><td><a href='get?id="), "doc_id", F.lit("'>"), "doc_id", F.lit("</a></td><td>114.01.02</td><td>"), "source", F.lit("</td></tr>\n"))
+    rows = d.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", row.alias("row")))).alias("rows"))
+    k, n = F.col("page_id"), F.size("rows")
+    count = F.when(k % 7 == 0, n + 4000).when(k % 3 == 0, n + 2).otherwise(n).cast("string")
+    table = F.concat(F.lit("<p>共 "), count, F.lit(" 筆</p><table><tr><th>no</th></tr>"), F.array_join(F.transform("rows", lambda r: r.row), ""), F.lit("</table>"))
+    made = io.parse_listing_pages(rows.select("page_id", F.when(k % 5 == 0, "<p>查無資料</p>").otherwise(table).alias("html")))
+    listed = F.array_join(F.transform("records", lambda r: F.concat(r.case_number, F.lit("|"), r.dispute_type)), ",")
+    return made.select("page_id", "status", "reported", listed.alias("rows"))
 
 
 def _rulings(spark, sf):
@@ -95,17 +100,34 @@ def legal_refs_panel(spark, sf):
     return X.panel_citations(packets, "l_orderkey", Laws()).select("l_orderkey", "law_name", "article")
 
 
+@query(f"WITH {CITED}, made AS (SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem) SELECT l_orderkey, 'citation' AS kind, l_linenumber || '_' || l_partkey AS item, CASE WHEN l_partkey % 11 = 0 THEN 'unknown_section' ELSE 'unsupported_citation' END AS violation FROM made WHERE l_partkey % 11 = 0 OR l_partkey % 7 = 0")
+def citation_grounding(spark, sf):
+    """The laws that rulings cite, of which every seventh has another article and every eleventh another section."""
+    rulings = _rulings(spark, sf).select("l_orderkey", F.lit("reasoning_1").alias("section_id"), F.lit("reasoning").alias("section_type"), F.col("text").alias("content"))
+    law = F.element_at(F.array(*map(F.lit, ("保險法", "民法", "金融消費者保護法"))), (F.col("l_partkey") % 3 + 1).cast("int"))
+    article = F.concat(F.lit("第"), (F.col("l_partkey") % 5 + 1).cast("string"), F.lit("條第"), (F.col("l_linenumber") % 2 + 1).cast("string"), F.lit("項"))
+    cited = D.table(spark, sf, "lineitem").select(
+        "l_orderkey", F.concat_ws("_", "l_linenumber", "l_partkey").alias("item"), F.when(F.col("l_partkey") % 11 == 0, "reasoning_9").otherwise("reasoning_1").alias("section_id"),
+        law.alias("law_name"), F.when(F.col("l_partkey") % 7 == 0, "第99條第9項").otherwise(article).alias("article"),
+    )
+    evidence = cited.where("false").select("l_orderkey", "item", "section_id", F.lit("").alias("category"), F.lit("").alias("evidence_quote"))
+    return X.grounding_violations(evidence, cited, rulings, "l_orderkey")
+
+
 def _as_section(spark, sf, kind: str):
     docs = D.table(spark, sf, "documents")
     return docs.select("doc_id", F.lit(f"{kind}_1").alias("section_id"), F.lit(kind).alias("section_type"), F.lit("t").alias("title"), F.lit(0).alias("start_offset"), F.col("text").alias("content"), "text", F.lit(1).alias("part_index"))
 
 
-@query()
+@query(
+    rf"""WITH m AS (SELECT doc_id, regexp_extract_all({EVIDENCE}, '[^.;]{{20,300}}[.;]') AS m FROM documents), e AS (SELECT doc_id, i, m[i] AS text FROM (SELECT doc_id, m, unnest(range(1, len(m) + 1)) AS i FROM m))
+ SELECT doc_id, CAST(i - 1 AS INTEGER) AS place, text, 0 AS signal_score FROM e WHERE regexp_matches(text, 'the|and|der|que|pour') AND NOT (length(text) >= 20 AND len(regexp_extract_all(text, '[0-9]')) >= 10)"""
+)
 def reasoning_signals(spark, sf):
     return X.reasoning_statements(_as_section(spark, sf, "reasoning"), "doc_id", LATIN_STATEMENTS).select("doc_id", "place", "text", "signal_score")
 
 
-@query()
+@query(f"SELECT doc_id, 1 AS part_index, s[list_position(list_transform(s, lambda x: length(x)), list_max(list_transform(s, lambda x: length(x))))] AS text, 0 AS role, 0 AS hits FROM (SELECT doc_id, {SENTENCES} AS s FROM documents) WHERE len(s) > 0")
 def party_sentence_top1(spark, sf):
     return X.party_sentences(_as_section(spark, sf, "applicant_claim").drop("content"), "doc_id", LATIN_STATEMENTS).select("doc_id", "part_index", "text", "role", "hits")
 
@@ -163,8 +185,20 @@ def set_operations(spark, sf):
     return a.intersect(b).withColumn("side", F.lit("both")).unionByName(a.subtract(b).withColumn("side", F.lit("first")))
 
 
-@query("SELECT CAST(q AS VARCHAR) AS query, vec_id AS chunk_id FROM (SELECT *, vec_id // 20 * 20 AS q FROM embeddings) WHERE vec_id % 20 BETWEEN 1 AND 5 AND vec_id % 3 = 0")
+@query("SELECT CAST(vec_id // 20 * 20 AS VARCHAR) AS query, vec_id AS chunk_id FROM embeddings WHERE vec_id % 3 = 0")
 def pending_annotations(spark, sf):
-    k = D.table(spark, sf, "embeddings").where("vec_id % 20 between 1 and 5")
+    """Every vector as an annotation of its query, of which every third lacks the evidence."""
+    k = D.table(spark, sf, "embeddings")
     rows = k.select((F.floor(F.col("vec_id") / 20) * 20).cast("string").alias("query"), F.col("vec_id").alias("chunk_id"), F.lit("relevant").alias("label"), F.when(F.col("vec_id") % 3 == 0, " ").otherwise("x").alias("evidence_summary"))
     return evaluate.pending_annotations(rows)
+
+
+@query(with_sql(D.CASES) + "SELECT case_id, length(text) AS n, md5(text) AS digest, CASE WHEN case_id % 8 = 0 THEN 'missing_file' END AS failure FROM (SELECT case_id, CASE WHEN case_id % 8 <> 0 THEN coalesce(text, '') END AS text FROM cases)")
+def read_case_texts(spark, sf):
+    """Texts written as files, one for each case but every eighth, and read by the paths in the metadata."""
+    c = D.cases(spark, sf, text=True)
+    path = shared_folder(spark, "texts")
+    files = c.where("case_id % 8 != 0").select(F.coalesce("text", F.lit("")).alias("value"), F.concat(F.lit("c"), F.col("case_id").cast("string")).alias("name"))
+    io.write_texts(files, path)
+    made = io.read_case_texts(spark, path, c.select("case_id", F.concat(F.lit("out/c"), F.col("case_id").cast("string"), F.lit(".txt")).alias("text_path")))
+    return made.select("case_id", F.char_length("text").cast("long").alias("n"), F.md5(F.col("text").cast("binary")).alias("digest"), "failure")

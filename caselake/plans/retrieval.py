@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..config import LATIN_SIMILARITY
 from ..operators import embed, search, similar
+from ..sources import shared
 from . import bindings as D
 from .bindings import with_sql
 
@@ -89,12 +90,11 @@ def case_rankings(spark, sf):
     return _semantic(spark, sf)
 
 
-@query(with_sql(D.CASES, D.CHUNKS, D.DATED, D.QUERY_VECTORS, SCORED, BEST) + "SELECT query_id, case_id, case_id % 20 AS ordinal, chunk_id, round(score, 4) AS similarity FROM best WHERE case_id % 20 = query_id % 20")
+@query(with_sql(D.CASES, D.QUERIES, BM25, KEYWORD, D.CHUNKS, D.DATED, D.QUERY_VECTORS, SCORED, BEST) + "SELECT query_id, case_id, keyword_rank AS ordinal, chunk_id, round(score, 4) AS similarity FROM best JOIN (SELECT query_id, case_id, keyword_rank FROM kr) USING (query_id, case_id)")
 def case_scores(spark, sf):
-    k = D.dated_chunks(spark, sf)
-    q = D.query_vectors(spark, sf)
-    wanted = q.select("query_id", (F.col("query_id") % 20).alias("ordinal")).join(k.select("case_id").distinct().withColumn("ordinal", F.col("case_id") % 20), "ordinal")
-    return search.case_scores(q, k, wanted)
+    """The cases that a query's words find, by their vectors."""
+    wanted = _keyword(spark, sf).select("query_id", "case_id", F.col("keyword_rank").alias("ordinal"))
+    return search.case_scores(D.query_vectors(spark, sf), D.dated_chunks(spark, sf), wanted)
 
 
 @query(
@@ -120,6 +120,24 @@ def hybrid_search(spark, sf):
     return _hybrid(spark, sf)
 
 
+DEEP = ALL.replace("kr FULL JOIN sr", "(SELECT * FROM kr WHERE keyword_rank <= 50) kr FULL JOIN (SELECT * FROM sr WHERE semantic_rank <= 50) sr")
+
+
+@query(DEEP + "SELECT query_id, case_id, rank, hybrid_score, match_type FROM hr WHERE rank <= 20")
+def hybrid_topk(spark, sf):
+    """The first 20 of the fusion of both rankings' first 50, without ranking the corpus."""
+    keyword = search.keyword_search(D.cases(spark, sf, text=True), _words(spark, sf), "case_id", COLUMNS, "decision_date", "case_number", 50)
+    semantic = search.case_rankings(D.query_vectors(spark, sf), D.dated_chunks(spark, sf).drop("decision_date", "case_number"), D.cases(spark, sf), 50)
+    return search.hybrid_search(keyword, semantic, D.cases(spark, sf)).where("rank <= 20").select("query_id", "case_id", "rank", "hybrid_score", "match_type")
+
+
+@query(with_sql(D.CASES, D.CHUNKS, D.DATED, D.QUERY_VECTORS, SCORED, BEST, SEMANTIC) + "SELECT query_id, case_id, semantic_rank, round(2.0 / (60 + semantic_rank), 8) AS score FROM sr WHERE semantic_rank <= 10")
+def reciprocal_rank(spark, sf):
+    """The part of a fused score that a query's first ten cases have from their vectors."""
+    first = search.case_rankings(D.query_vectors(spark, sf), D.dated_chunks(spark, sf).drop("decision_date", "case_number"), D.cases(spark, sf), 10)
+    return first.select("query_id", "case_id", "semantic_rank", F.round(search.reciprocal_rank(F.col("semantic_rank"), search.SEMANTIC_WEIGHT), 8).alias("score"))
+
+
 @query(ALL + "SELECT query_id, case_id, match_type, semantic_rank, keyword_rank FROM hy")
 def hybrid_outer_join(spark, sf):
     return _hybrid(spark, sf).select("query_id", "case_id", "match_type", "semantic_rank", "keyword_rank")
@@ -190,15 +208,15 @@ def similar_quality(spark, sf):
 
 def _two_models(spark, sf):
     k = D.chunks(spark, sf)
-    return k.select("chunk_id", "vector"), k.where("chunk_id % 7 != 3").select("chunk_id", F.reverse("vector").alias("vector"))
+    return k.select("chunk_id", "vector"), k.select("chunk_id", F.slice("vector", 1, 32).alias("vector"))
 
 
 @query(
     with_sql(D.CASES, D.CHUNKS, D.QUERIES)
-    + """, t AS (SELECT k.chunk_id, k.case_id, k.chunk_index, k.vector, c.text, c.dispute_type FROM chunks k JOIN cases c USING (case_id) WHERE k.chunk_id % 7 <> 3),
+    + """, t AS (SELECT k.chunk_id, k.case_id, k.chunk_index, k.vector, c.text, c.dispute_type FROM chunks k JOIN cases c USING (case_id)),
  an AS (SELECT query_id, arg_min(chunk_id, (case_id, chunk_index, chunk_id)) AS anchor FROM queries q JOIN t ON contains(lower(t.text), lower(q.query)) GROUP BY 1),
  a AS (SELECT query_id, t.chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(x.vector, t.vector), 4) DESC, t.chunk_id) AS rank, CAST(t.dispute_type = x.dispute_type AS INTEGER) AS same FROM an JOIN t x ON x.chunk_id = anchor, t WHERE t.chunk_id <> anchor),
- b AS (SELECT query_id, t.chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(list_reverse(x.vector), list_reverse(t.vector)), 4) DESC, t.chunk_id) AS rank, CAST(t.dispute_type = x.dispute_type AS INTEGER) AS same FROM an JOIN t x ON x.chunk_id = anchor, t WHERE t.chunk_id <> anchor)
+ b AS (SELECT query_id, t.chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(x.vector[1:32], t.vector[1:32]), 4) DESC, t.chunk_id) AS rank, CAST(t.dispute_type = x.dispute_type AS INTEGER) AS same FROM an JOIN t x ON x.chunk_id = anchor, t WHERE t.chunk_id <> anchor)
  SELECT query_id, anchor, (SELECT count(*) FROM a JOIN b USING (query_id, chunk_id) WHERE a.query_id = an.query_id AND a.rank <= 5 AND b.rank <= 5) AS overlap, CAST((SELECT sum(same) FROM a WHERE a.query_id = an.query_id AND rank <= 5) AS BIGINT) AS same_type_a, CAST((SELECT sum(same) FROM b WHERE b.query_id = an.query_id AND rank <= 5) AS BIGINT) AS same_type_b FROM an""".replace("WITH ", "", 1)
 )
 def anchor_compare(spark, sf):
@@ -209,14 +227,16 @@ def anchor_compare(spark, sf):
 
 @query(
     with_sql(D.CASES, D.CHUNKS, D.DATED, D.QUERY_VECTORS, SCORED)
-    + """, ra AS (SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 4) DESC, decision_date DESC, case_number DESC, chunk_index, chunk_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 5),
- rb AS (SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 4) DESC, decision_date DESC, case_number DESC, chunk_index, chunk_id) AS rank FROM scored WHERE score > 0 AND chunk_id % 2 = 0) WHERE rank <= 5),
+    + """, half AS (SELECT q.query_id, k.*, list_dot_product(q.vector[1:32], k.vector[1:32]) AS score FROM qv q, dated k), ra AS (SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 4) DESC, decision_date DESC, case_number DESC, chunk_index, chunk_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 5),
+ rb AS (SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 4) DESC, decision_date DESC, case_number DESC, chunk_index, chunk_id) AS rank FROM half WHERE score > 0) WHERE rank <= 5),
  per AS (SELECT query_id, count(ra.rank + rb.rank) AS overlap, coalesce(max(CAST(ra.rank = 1 AND rb.rank = 1 AS INTEGER)), 0) AS same_first FROM ra FULL JOIN rb USING (query_id, chunk_id) GROUP BY 1)
  SELECT count(*) AS queries, round(avg(overlap), 4) AS mean_overlap, CAST(sum(same_first) AS BIGINT) AS same_first FROM per""".replace("WITH ", "", 1)
 )
 def topk_overlap(spark, sf):
+    """A run by whole vectors and one by their first 32 dimensions."""
     q, k = D.query_vectors(spark, sf), D.dated_chunks(spark, sf)
-    return search.topk_overlap(search.cosine_topk(q, k, 5), search.cosine_topk(q, k.where("chunk_id % 2 = 0"), 5))
+    short = F.slice("vector", 1, 32)
+    return search.topk_overlap(search.cosine_topk(q, k, 5), search.cosine_topk(q.withColumn("vector", short), k.withColumn("vector", short), 5))
 
 
 @query()
@@ -225,12 +245,12 @@ def hash_embed(spark, sf):
     return made.select("doc_id", F.round("norm", 6).alias("norm"), "token_count", F.transform("vector", lambda x: F.round(x, 5)).alias("vector"))
 
 
-@query()
+@query("SELECT doc_id AS chunk_id, 64 AS dims, CAST(len(list_distinct(t)) AS INTEGER) AS token_count FROM (SELECT doc_id, CASE WHEN len(w) > 0 THEN w ELSE regexp_extract_all(lower(text), '\\S') END AS t FROM (SELECT *, regexp_extract_all(lower(text), '[a-z0-9_]{2,}') AS w FROM documents)) WHERE len(t) > 0")
 def build_embeddings(spark, sf):
-    """Vectors for documents as chunks, resumed where half of them exist."""
+    """Vectors for documents as chunks, resumed where those with a label have theirs."""
     chunks = D.table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("case_id"), F.col("doc_id").alias("chunk_index"), F.col("text").alias("chunk_text"))
     empty = spark.createDataFrame([], "chunk_id long, embedding_model string, dims int, vector array<float>, norm double, token_count int")
-    half, _ = embed.build_embeddings(chunks.where("chunk_id % 2 = 0"), empty, "hash", 64)
+    half, _ = embed.build_embeddings(chunks.join(D.table(spark, sf, "labels").select(F.col("doc_id").alias("chunk_id")), "chunk_id", "left_semi"), empty, "hash", 64)
     return embed.build_embeddings(chunks, half, "hash", 64)[0].select("chunk_id", "dims", "token_count")
 
 
@@ -239,3 +259,12 @@ def pack_vectors(spark, sf):
     e = D.table(spark, sf, "embeddings").withColumn("packed", embed.pack_vectors(F.col("embedding")))
     back = embed.unpack_vectors(F.col("packed"), F.size("embedding"))
     return e.select("vec_id", F.size("embedding").cast("long").alias("dims"), (back == F.col("embedding")).alias("same"))
+
+
+@query("SELECT vec_id, CAST(len(embedding) * 4 AS BIGINT) AS n_bytes, round(CAST(embedding[1] AS DOUBLE), 6) AS head, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total FROM embeddings")
+def unpack_vectors(spark, sf):
+    """Vectors written as packed bytes, read again and unpacked."""
+    packed = D.table(spark, sf, "embeddings").select("vec_id", F.size("embedding").alias("dims"), embed.pack_vectors(F.col("embedding")).alias("blob"))
+    back = shared.written(packed, "packed").withColumn("v", embed.unpack_vectors(F.col("blob"), F.col("dims")))
+    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return back.select("vec_id", F.octet_length("blob").cast("long").alias("n_bytes"), F.round(F.col("v")[0].cast("double"), 6).alias("head"), F.round(total, 4).alias("total"))

@@ -156,29 +156,52 @@ def statement_filters(spark, sf):
     return D.table(spark, sf, "documents").select("doc_id", T.is_table_like(t).alias("table_like"), T.ends_complete(t, LATIN_STATEMENTS).alias("complete"))
 
 
-@query(r"SELECT page_id, 'url' AS field, url AS value FROM pages WHERE regexp_matches(url, '[Ѐ-ӿ�]') UNION ALL SELECT page_id, 'html', html FROM pages WHERE regexp_matches(html, '[Ѐ-ӿ�]')")
+@query("SELECT page_id, 'url' AS field, url || 'Ж' AS value FROM pages WHERE page_id % 9 = 0 UNION ALL SELECT page_id, 'html', left(html, 60) || chr(65533) || substr(html, 61) FROM pages WHERE page_id % 7 = 0")
 def mojibake_audit(spark, sf):
-    return quality.mojibake_audit(D.table(spark, sf, "pages"), "page_id", ["url", "html"])
+    """Every ninth address with a Cyrillic letter behind it, every seventh page with a replacement character inside."""
+    spoilt = D.table(spark, sf, "pages").select(
+        "page_id", F.when(F.col("page_id") % 9 == 0, F.concat("url", F.lit("Ж"))).otherwise(F.col("url")).alias("url"),
+        F.when(F.col("page_id") % 7 == 0, F.concat(F.substring("html", 1, 60), F.lit("\ufffd"), F.substring("html", 61, 1 << 30))).otherwise(F.col("html")).alias("html"),
+    )
+    return quality.mojibake_audit(spoilt, "page_id", ["url", "html"])
 
 
-@query(r"SELECT doc_id, regexp_matches(text, '[Ѐ-ӿ�]') AS suspicious FROM documents")
+@query("SELECT doc_id, doc_id % 6 = 0 AS suspicious FROM documents")
 def mojibake_filter(spark, sf):
-    return D.table(spark, sf, "documents").select("doc_id", T.is_mojibake(F.col("text")).alias("suspicious"))
+    """Every sixth text spoilt at its end, by turns with a Cyrillic letter and a replacement character."""
+    letter = F.when(F.col("doc_id") % 12 == 0, "д").when(F.col("doc_id") % 6 == 0, "\ufffd").otherwise("")
+    return D.table(spark, sf, "documents").select("doc_id", T.is_mojibake(F.concat("text", letter)).alias("suspicious"))
 
 
 #: Headings for text in Latin letters: a line that is a word and a full stop, or a short first line.
 LATIN_SECTIONS = Sections(holding=r"(?m)^[A-Z][a-z]+\.$", facts=r"(?m)^[A-Z][a-z]+ [a-z]+\.$", numbered=r"(?m)^(\d{1,3})[.,] (.+?)$", notice=r"(?m)^The [a-z]+ [a-z]+\.$", packet_marks=".;!?", packet_chars=600, packets=("basic_info", "holding", "procedure", "notice", "other"))
 
 
-@query()
+def _place(pattern: str) -> str:
+    """The characters before a pattern's first line; null without one."""
+    return rf"CASE WHEN regexp_matches(text, '(?m)^{pattern}$') THEN length(regexp_extract(text, '(?ms)\A(.*?)^{pattern}$', 1)) END"
+
+
+# the first heading of each kind; at one place the holding stands before the procedure, and that before the notice
+CUT = f"""src AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+ mark AS (SELECT doc_id, unnest(['holding', 'procedure', 'notice']) AS kind, unnest([0, 1, 2]) AS ord, unnest([{_place('[A-Z][a-z]+[.]')}, {_place('[A-Z][a-z]+ [a-z]+[.]')}, {_place('The [a-z]+ [a-z]+[.]')}]) AS place FROM src),
+ head AS (SELECT doc_id, kind, place FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, place ORDER BY ord) AS rn FROM mark WHERE place IS NOT NULL) WHERE rn = 1),
+ cuts AS (SELECT * FROM head UNION ALL SELECT doc_id, 'basic_info', 0 FROM head GROUP BY doc_id HAVING min(place) > 0 UNION ALL SELECT doc_id, 'other', 0 FROM src WHERE doc_id NOT IN (SELECT doc_id FROM head)),
+ cut AS (SELECT doc_id, kind, CAST(row_number() OVER w AS INTEGER) AS position, CAST(place AS INTEGER) AS start_offset, CAST(coalesce(lead(place) OVER w, length(text)) AS INTEGER) AS end_offset, text FROM cuts JOIN src USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY place)),
+ section AS (SELECT doc_id, kind || '_' || position AS section_id, kind AS section_type, position, start_offset, end_offset, text[start_offset + 1 : end_offset] AS content FROM cut)"""
+
+
+@query(f"WITH {CUT} SELECT doc_id, section_id, section_type, position, start_offset, end_offset, md5(content) AS digest FROM section")
 def split_sections(spark, sf):
     return sections.split_sections(D.table(spark, sf, "documents"), "text", ["doc_id"], LATIN_SECTIONS).select("doc_id", "section_id", "section_type", "position", "start_offset", "end_offset", F.md5(F.col("content").cast("binary")).alias("digest"))
 
 
-@query("SELECT doc_id, length(text) AS source_chars, length(text) AS covered_chars, TRUE AS complete FROM documents WHERE text IS NOT NULL AND text <> ''")
+@query(f"WITH {CUT}, left_over AS (SELECT doc_id, sum(end_offset - start_offset) AS n FROM section WHERE NOT (position = 2 AND doc_id % 3 = 0) GROUP BY 1) SELECT doc_id, length(text) AS source_chars, CAST(n AS BIGINT) AS covered_chars, n = length(text) AS complete FROM documents JOIN left_over USING (doc_id) WHERE text IS NOT NULL AND text <> ''")
 def section_coverage(spark, sf):
+    """Every third document has lost its second section."""
     docs = D.table(spark, sf, "documents").where("text is not null and text != ''")
-    return sections.section_coverage(sections.split_sections(docs, "text", ["doc_id"], LATIN_SECTIONS), docs, "doc_id", "text")
+    cut = sections.split_sections(docs, "text", ["doc_id"], LATIN_SECTIONS).where("not (position = 2 and doc_id % 3 = 0)")
+    return sections.section_coverage(cut, docs, "doc_id", "text")
 
 
 def _chunked(spark, sf):
@@ -239,18 +262,32 @@ def _packets(spark, sf):
     return cut, sections.split_packets(cut, ["doc_id"], LATIN_SECTIONS)
 
 
-@query()
+END = "CASE WHEN length(content) <= {0} + 600 THEN length(content) WHEN regexp_matches(content[{0} + 151 : {0} + 600], '[.;!?]') THEN {0} + 150 + length(regexp_extract(content[{0} + 151 : {0} + 600], '(?s)^.*[.;!?]')) ELSE {0} + 600 END"
+PACKETS = f"""piece(doc_id, section_id, part_index, s, e) AS (SELECT doc_id, section_id, 1, 0, {END.format("0")} FROM section WHERE content <> ''
+  UNION ALL SELECT p.doc_id, p.section_id, part_index + 1, e, {END.format("e")} FROM piece p JOIN section USING (doc_id, section_id) WHERE e < length(content))"""
+
+
+@query(f"WITH RECURSIVE {CUT}, {PACKETS} SELECT doc_id, section_id, part_index, CAST(start_offset + s AS INTEGER) AS start_offset, CAST(start_offset + e AS INTEGER) AS end_offset, md5(content[s + 1 : e]) AS digest FROM piece JOIN section USING (doc_id, section_id)")
 def split_exact_packets(spark, sf):
     return _packets(spark, sf)[1].select("doc_id", "section_id", "part_index", "start_offset", "end_offset", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query()
+EVIDENCE = r"regexp_replace(coalesce(text, ''), '\s+', '', 'g')"
+SENTENCES = f"list_filter(regexp_extract_all({EVIDENCE}, '[^.;?!]*[.;?!]'), lambda x: length(x) <= 300)"
+
+
+@query(f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS place, s[i] AS sentence FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, {SENTENCES} AS s FROM documents))")
 def sentence_split(spark, sf):
     docs = D.table(spark, sf, "documents")
     return docs.select("doc_id", F.posexplode(sections.sentences(F.col("text"), LATIN_STATEMENTS)).alias("place", "sentence"))
 
 
-@query()
+QUOTE = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, '')[40:69], '\s+', '', 'g'), '^[「」『』"''“”‘’]+', ''), '[「」『』"''“”‘’]+$', ''), '(…|\.{3})+$', '')"""
+GROWN = f"""q AS (SELECT doc_id, text, {QUOTE} AS quote, {EVIDENCE} AS source FROM documents), p AS (SELECT *, instr(source, quote) - 1 AS z FROM q),
+ g AS (SELECT *, length(regexp_extract(source[1:z], '(?s)^.*[.;]')) AS s, z + length(quote) + CASE WHEN quote[-1:] IN ('.', ';') THEN 0 ELSE length(regexp_extract(source[z + length(quote) + 1:], '(?s)^[^.;]*[.;]')) END AS e FROM p)"""
+
+
+@query(f"WITH {GROWN} SELECT doc_id, CASE WHEN text IS NULL THEN '' WHEN quote = '' OR z < 0 OR e - s > 300 THEN quote ELSE source[s + 1 : e] END AS quote FROM g")
 def expand_quote(spark, sf):
     docs = D.table(spark, sf, "documents")
     return docs.select("doc_id", sections.expanded_quote(F.substring("text", 40, 30), F.col("text"), LATIN_STATEMENTS).alias("quote"))
@@ -259,7 +296,21 @@ def expand_quote(spark, sf):
 LATIN_SUMMARY = RuleSummary(holding=("The",), holding_end=("Of",), claim=("To",), claim_end=("A",), reasoning=("Of",), reasoning_tail="ing.", reasoning_stop=("Th", "To"), heading="^[A-Z]")
 
 
-@query()
+def _first(test: str, since: str = "1") -> str:
+    return f"list_min(list_filter(range({since}, len(l) + 1), lambda i: {test}))"
+
+
+def _body(start: str, stop: str, most: int) -> str:
+    t = f"array_to_string(l[{start} + 1 : coalesce({stop}, len(l) + 1) - 1], chr(10))"
+    return rf"CASE WHEN {start} IS NOT NULL AND {t} <> '' THEN CASE WHEN length({t}) <= {most} THEN {t} ELSE regexp_replace({t}[1:{most}], '\s+$', '') || '...' END END"
+
+
+SUMMARY = rf"""l AS (SELECT doc_id, {LINES} AS l FROM documents), p AS (SELECT doc_id, l, list_transform(l, lambda x: regexp_replace(regexp_replace(x, '\s+', '', 'g'), '^[：:]+|[：:]+$', '', 'g')) AS p FROM l),
+ a AS (SELECT *, {_first("p[i] = 'The'")} AS h, {_first("p[i] = 'To'")} AS c, coalesce({_first("p[i] = 'Of'")}, {_first("regexp_matches(l[i], '^[A-Z]') AND suffix(p[i], 'ing.')")}) AS r FROM p),
+ b AS (SELECT *, {_first("p[i] = 'Of'", "h + 1")} AS h2, {_first("p[i] = 'A'", "c + 1")} AS c2, {_first("regexp_matches(l[i], '^[A-Z]') AND (starts_with(p[i], 'Th') OR starts_with(p[i], 'To'))", "r + 1")} AS r2 FROM a)"""
+
+
+@query(f"WITH {SUMMARY} SELECT doc_id, {_body('h', 'h2', 500)} AS holding, {_body('c', 'c2', 1200)} AS applicant_claim, {_body('r', 'r2', 1600)} AS reasoning FROM b")
 def extract_rule_summary(spark, sf):
     return D.table(spark, sf, "documents").select("doc_id", X.rule_summary(F.col("text"), LATIN_SUMMARY).alias("s")).select("doc_id", "s.*")
 

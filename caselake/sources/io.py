@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
@@ -53,6 +55,23 @@ def flatten_record(records: DataFrame) -> DataFrame:
     )
 
 
+def write_texts(texts: DataFrame, folder: str) -> int:
+    """Write rows (name, value) as UTF-8 files <name>.txt, each whole or not at all; the number of files."""
+
+    def rows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, path = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(path, recursive=True)
+        for pdf in it:
+            for name, value in zip(pdf["name"], pdf["value"], strict=True):
+                part = f"{path}/_{uuid.uuid4().hex}"
+                with fs.open_output_stream(part) as out:
+                    out.write(value.encode())
+                fs.move(part, f"{path}/{name}.txt")
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    return texts.select("name", "value").mapInPandas(rows, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def read_case_texts(spark: SparkSession, folder: str, cases: DataFrame, pattern: str = "*.txt") -> DataFrame:
     """case_id, text and failure: a case's file by its name in the folder; an absent file is a failure of that case alone."""
     # as bytes, so that a file's text is exactly what it holds

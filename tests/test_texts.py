@@ -196,3 +196,61 @@ def test_extractive_summary(spark):
     assert all(e.text in bare for e in got[1].evidence)
     assert got[2].reasoning == [] and len(got[2].source_sha256) == 64
     assert X.same_display("本件有理由", "本件有理由。") and not X.same_display("有理由", "應給付三十萬元")
+
+
+@pytest.mark.parametrize(
+    ("kind", "text", "want"),
+    [
+        ("holding", "主文本中心就申請人之請求尚難為有利之認定。", "本中心就申請人之請求尚難為有利之認定。"),
+        ("undisputed_facts", "四、兩造不爭執之事實：相對人同意恢復保單效力。", "相對人同意恢復保單效力。"),
+        ("undisputed_facts", "(二)保單於投保後曾辦理借款。", "保單於投保後曾辦理借款。"),
+        ("issues", "五、本件爭點：申請人請求恢復保單效力，是否有據？", "申請人請求恢復保單效力，是否有據？"),
+        ("respondent_claim", "(二)陳述：相對人已同意恢復保單效力。", "相對人已同意恢復保單效力。"),
+        ("applicant_claim", "二、申請人之主張：(一)請求標的：1.請求返還利息。", "請求返還利息。"),
+        ("applicant_claim", "請求返還利息。2.請求懲罰性賠償。(二)陳述：1.相對人以保單借款方式收取利息。", "請求返還利息。 請求懲罰性賠償。 相對人以保單借款方式收取利息。"),
+        ("issues", "(一)借款是否約定利率？(二)懲罰性賠償是否有據？", "借款是否約定利率？ 懲罰性賠償是否有據？"),
+        ("reasoning", "3.由上可知，雙方已約定借款利率。", "由上可知，雙方已約定借款利率。"),
+        ("conclusion", "七、綜上所述，本中心尚難為有利之認定。兩造其餘陳述及攻擊防禦方法，經審酌與結果不生影響，爰不一一論述，併予敘明。", "本中心尚難為有利之認定。"),
+        ("respondent_claim", "(3)申請人已承認全部債務，故其請求無理由。", "申請人已承認全部債務，故其請求無理由。"),
+        ("respondent_claim", "，經檢視病歷，未見立即手術之必要。", "經檢視病歷，未見立即手術之必要。"),
+        ("respondent_claim", "而相對人諮詢醫療顧問後，認為不符給付要件。", "相對人諮詢醫療顧問後，認為不符給付要件。"),
+        ("disposition", "八、據上論結，本件評議申請為無理由。", "本件評議申請為無理由。"),
+        ("holding", "主文", "主文"),
+        ("other", "(一)不變。", "(一)不變。"),
+    ],
+)
+def test_display_text(kind, text, want):
+    assert X.display_text(text, kind) == want
+
+
+def _items(*rows):
+    return [{"section_id": f"{k}_1", "section_type": k, "text": t} for k, t in rows]
+
+
+def test_shown_items_of_a_decision():
+    made = X.shown_items("decision_result", _items(("holding", "主文本中心尚難為有利之認定。"), ("conclusion", "七、綜上所述，本中心尚難為有利之認定。"), ("disposition", "八、據上論結，本件評議申請為無理由。")), 2)
+    assert [x["shown"] for x in made] == ["本中心尚難為有利之認定。", "本件評議申請為無理由。"]
+    assert made[1]["text"] == "八、據上論結，本件評議申請為無理由。"
+    made = X.shown_items("decision_result", _items(("holding", "主文本中心尚難為有利申請人之認定。"), ("conclusion", "申請人請求相對人給付系爭保險金，本中心尚難為有利申請人之認定。")), 2)
+    assert [x["shown"] for x in made] == ["申請人請求相對人給付系爭保險金，本中心尚難為有利申請人之認定。"]
+    assert X.same_display("本中心就申請人之請求尚難為有利於申請人之認定。", "本中心就申請人之請求尚難為有利申請人之認定。")
+    assert X.same_display("申請人請求解除房屋買賣契約之部分，不受理。", "申請人請求解除房屋買賣契約之部分不受理；申請人其餘請求為無理由。")
+    assert not X.same_display("相對人應給付申請人新臺幣一萬元。", "申請人逾一萬元之請求為無理由。")
+
+
+def test_reasons_that_restate_the_issue():
+    reason, issue, other = "是以，依現有資料可知治療不符一般醫療常規，請求難謂有據。", "準此，本件爭點厥為：申請人接受手術有無醫療必要性？", "是本件爭點應為申請人的治療是否有必要性？"
+    shown = lambda *t: [x["text"] for x in X.shown_items("reasoning", _items(*(("reasoning", x) for x in t)), 3)]
+    assert shown(issue, reason, other) == [reason]
+    assert shown(issue) == [issue]
+
+
+def test_history_of_the_policy_is_shown_once(spark):
+    from caselake.config import Display, Statements
+
+    claim, history, told = "申請人主張相對人拒絕理賠並無理由。", "申請人於108年9月23日向相對人投保保險契約，並附加醫療附約。", "申請人於108年9月23日投保系爭保險契約。"
+    rows = [(1, [claim, history], [told]), (2, [history], [told]), (3, [claim, history], []), (4, [], [told])]
+    item = "array<struct<section_id:string,text:string,shown:string>>"
+    df = spark.createDataFrame([(k, [("s", t, t) for t in a], [("s", t, t) for t in b]) for k, a, b in rows], f"id int, a {item}, b {item}")
+    got = {r.id: [x.shown for x in r.kept] for r in df.select("id", X._without_history(F.col("a"), F.col("b"), Statements(), Display()).alias("kept")).collect()}
+    assert got == {1: [claim], 2: [history], 3: [claim, history], 4: []}
