@@ -1,4 +1,4 @@
-"""Related cases for every case: by rules and by vectors."""
+"""Related cases for the cases of a stated query set: by rules and by vectors."""
 
 from __future__ import annotations
 
@@ -48,7 +48,7 @@ def signatures(profiles: DataFrame, text: Column, rules: Similarity = Similarity
 SIGNATURE = ["type", "result", "category", "bits"]
 
 
-def _sides(signed: DataFrame, sources: DataFrame | None, limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _sides(signed: DataFrame, sources: DataFrame, limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(asked cases with sig, distinct asked signatures, candidates): of one signature only limit + 1 candidates can be needed.
 
     Candidates are in the order that breaks ties; the first of a signature carries the number of its cases.
@@ -59,12 +59,12 @@ def _sides(signed: DataFrame, sources: DataFrame | None, limit: int) -> tuple[Da
     order = Window.partitionBy("sig").orderBy(F.desc_nulls_last("decision_date"), F.desc_nulls_last("case_number"), "case_id")
     counts = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
     members = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit + 1).join(counts, "sig").withColumn("weight", F.when(F.col("place") == 1, F.col("n")).otherwise(0))
-    asked = rows if sources is None else rows.join(sources.select("case_id"), "case_id", "left_semi")
+    asked = rows.join(sources.select("case_id"), "case_id", "left_semi")
     return asked.select("case_id", "sig"), asked.dropDuplicates(["sig"]), members
 
 
-def similar_cases_topk(signed: DataFrame, limit: int = 5, rules: Similarity = Similarity(), sources: DataFrame | None = None) -> DataFrame:
-    """(case_id, rank, similar_id, score, reasons, total_candidates) of each source (all cases by default).
+def similar_cases_topk(signed: DataFrame, sources: DataFrame, limit: int = 5, rules: Similarity = Similarity()) -> DataFrame:
+    """(case_id, rank, similar_id, score, reasons, total_candidates) of each of the sources (case_id), a query set that you state.
 
     The order is score, date and number, all descending, then id. Cases alike in type, result, category and terms are one
     signature. Blocks of asked signatures meet blocks of candidates as arrays; a block gives back, for each signature, its
@@ -114,13 +114,13 @@ def similar_cases_topk(signed: DataFrame, limit: int = 5, rules: Similarity = Si
     return out.select("case_id", "rank", "similar_id", F.col("score").cast("double").alias("score"), reasons.alias("reasons"), (F.col("total") - 1).alias("total_candidates"))
 
 
-def similar_quality(similar: DataFrame, cases: DataFrame, k: int = 5, sources: DataFrame | None = None) -> DataFrame:
-    """One row: how often the first and the first k related cases have the own type of each source (all cases by default)."""
+def similar_quality(similar: DataFrame, cases: DataFrame, sources: DataFrame, k: int = 5) -> DataFrame:
+    """One row: how often the first and the first k related cases have the own type of each of the sources (case_id)."""
     types = cases.select("case_id", "dispute_type")
     others = types.select(F.col("case_id").alias("similar_id"), F.col("dispute_type").alias("other_type"))
     hits = similar.where(F.col("rank") <= k).join(others, "similar_id").join(types, "case_id").withColumn("same", (F.col("dispute_type") == F.col("other_type")).cast("int"))
     per = hits.groupBy("case_id").agg(F.sum("same").alias("same"), F.max(F.when(F.col("rank") == 1, F.col("same"))).alias("first"))
-    wanted = types if sources is None else types.join(sources.select("case_id"), "case_id", "left_semi")
+    wanted = types.join(sources.select("case_id"), "case_id", "left_semi")
     every = wanted.join(per, "case_id", "left").na.fill(0, ["same", "first"])
     return every.agg(
         F.count(F.lit(1)).alias("cases"), F.sum("first").alias("top1_same_type"), F.round(F.avg("first"), 4).alias("top1_rate"),
@@ -170,16 +170,16 @@ def _case_matches(centroids: DataFrame, embeddings: DataFrame, limit: int, per:
     return pairs.mapInPandas(best, f"query_id {q_type}, case_id {case}, r int, chunk_id {chunk_type}, shown double, total long")
 
 
-def semantic_similar(embeddings: DataFrame, cases: DataFrame, sources: DataFrame | None = None, limit: int = 5, chunks_per_case: int = 2, least: float = 0.0) -> DataFrame:
+def semantic_similar(embeddings: DataFrame, cases: DataFrame, sources: DataFrame, limit: int = 5, chunks_per_case: int = 2, least: float = 0.0) -> DataFrame:
     """(case_id, rank, similar_id, similarity, chunk_ids, total): directed, a case's centroid against others' chunks.
 
     Blocks of centroids meet blocks of whole cases; a block gives back the best chunks of the cases that a top may need,
-    and how many cases count. sources restricts the cases that are asked for (all by default). embeddings: chunk_id,
-    case_id, chunk_index, vector; chunks of cases that aren't in `cases` don't count.
+    and how many cases count. sources (case_id) are the cases that are asked for. embeddings: chunk_id, case_id, chunk_index,
+    vector; chunks of cases that aren't in `cases` don't count.
     """
     limit, per = min(max(limit, 1), MOST), min(max(chunks_per_case, 1), 5)
     known = embeddings.join(cases.select("case_id"), "case_id", "left_semi")
-    own = embeddings if sources is None else embeddings.join(sources.select("case_id"), "case_id", "left_semi")
+    own = embeddings.join(sources.select("case_id"), "case_id", "left_semi")
     centroids = case_centroids(own).select(F.col("case_id").alias("query_id"), F.col("centroid").alias("vector"))
     kept = _case_matches(centroids, known, limit, per, least)
     grouped = kept.groupBy("query_id", "case_id").agg(F.max("shown").alias("similarity"), F.sum("total").alias("total"), F.transform(F.array_sort(F.collect_list(F.struct("r", "chunk_id"))), lambda s: s.chunk_id).alias("chunk_ids"))

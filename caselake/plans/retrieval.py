@@ -183,7 +183,7 @@ SIMILAR = f"""pairs AS (SELECT a.case_id, b.case_id AS similar_id, {PAIR} AS sco
 
 def _similar(spark, sf, limit=5):
     signed = similar.signatures(D.cases(spark, sf, text=True), F.col("text"), LATIN_SIMILARITY)
-    return similar.similar_cases_topk(signed, limit, LATIN_SIMILARITY, _asked(spark, sf))
+    return similar.similar_cases_topk(signed, _asked(spark, sf), limit, LATIN_SIMILARITY)
 
 
 def _asked(spark, sf):
@@ -203,7 +203,7 @@ def similar_cases_topk(spark, sf):
  SELECT count(*) AS cases, CAST(sum(first) AS BIGINT) AS top1_same_type, round(avg(first), 4) AS top1_rate, count(*) FILTER (same > 0) AS topk_has_same_type, round(avg(same), 4) AS avg_same_in_topk, CAST(min(same) AS BIGINT) AS min_same_in_topk FROM per""".replace("WITH ", "", 1)
 )
 def similar_quality(spark, sf):
-    return similar.similar_quality(_similar(spark, sf), D.cases(spark, sf), sources=_asked(spark, sf))
+    return similar.similar_quality(_similar(spark, sf), D.cases(spark, sf), _asked(spark, sf))
 
 
 def _two_models(spark, sf):

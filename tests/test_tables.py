@@ -146,7 +146,7 @@ def test_native_hashing_makes_unit_vectors(spark):
 def test_related_cases(spark):
     rows = [("source", "N1", "1", "cat", "r", "手術認定", "住院 手術"), ("case_same", "N2", "2", "cat", "r", "手術認定", "住院"), ("other", "N3", "3", None, "x", "其他", "無關"), ("far", "N4", "4", "", "", "", "手術")]
     df = spark.createDataFrame(rows, "case_id string, case_number string, decision_date string, decision_category string, decision_result string, dispute_type string, text string")
-    got = similar.similar_cases_topk(similar.signatures(df, F.col("text")), 5).where("case_id = 'source'").orderBy("rank").collect()
+    got = similar.similar_cases_topk(similar.signatures(df, F.col("text")), df, 5).where("case_id = 'source'").orderBy("rank").collect()
     assert [(r.similar_id, r.score) for r in got] == [("case_same", 86.0), ("far", 6.0)]
     assert got[0].reasons[-1] == "terms:住院" and got[0].total_candidates == 2
 
@@ -156,7 +156,7 @@ def test_semantic_similar_single_equals_all(spark):
     rows = [(k, k // 3, k % 3, [float(x) for x in rng.normal(size=4)]) for k in range(24)]
     e = spark.createDataFrame(rows, "chunk_id long, case_id long, chunk_index int, vector array<double>")
     cases = spark.createDataFrame([(k, "d", str(k)) for k in range(8)], "case_id long, decision_date string, case_number string")
-    every = similar.semantic_similar(e, cases)
+    every = similar.semantic_similar(e, cases, cases)
     some = similar.semantic_similar(e, cases, cases.where("case_id = 2"))
     assert sorted(map(str, every.where("case_id = 2").collect())) == sorted(map(str, some.collect()))
 
