@@ -173,10 +173,13 @@ class WordEncoder:
 
     @staticmethod
     def _parts(word: bytes) -> tuple[str, str]:
+        bare = word.rstrip(b".,")
+        if bare.isalpha():  # ASCII letters alone
+            return bare.lower().decode(), word[len(bare) :].decode()
         text = word.decode()
         core = text.rstrip(".,")
         if core.isascii():
-            return (core.lower(), text[len(core) :]) if core.isalpha() else (text, "")
+            return text, ""
         # letters whose normal or lower form has other characters than letters stay with what follows them
         plain = core.isalpha() and core.lower().isalpha() and unicodedata.is_normalized("NFC", core)
         return (core, text[len(core) :]) if plain else (text, "")
@@ -189,7 +192,17 @@ class WordEncoder:
                 self.cores.clear()
                 self.core_bytes = 0
         split = [t.split() for t in texts]
-        new = {w: self._parts(w) for w in set(chain.from_iterable(split)).difference(self.words)}
+        known = self.words.get
+        made = [list(map(known, s)) for s in split]
+        new = {w for s, m in zip(split, made, strict=True) for w, ids in zip(s, m, strict=True) if ids is None}
+        if new:
+            self._learn_words(new)
+            get = self.words.__getitem__
+            made = [[ids if ids is not None else get(w) for w, ids in zip(s, m, strict=True)] for s, m in zip(split, made, strict=True)]
+        return [b"".join(m) for m in made]
+
+    def _learn_words(self, words: set[bytes]) -> None:
+        new = {w: self._parts(w) for w in words}
         cores = list(set(chain.from_iterable(new.values())).difference(self.cores))
         self._learn(cores)
         core = self.cores
@@ -197,8 +210,6 @@ class WordEncoder:
         self.words.update(made)
         self.word_bytes += WORD_BYTES * len(made) + sum(map(len, made)) + sum(map(len, made.values()))
         self.core_bytes += CORE_BYTES * len(cores) + sum(len(c) + len(core[c]) for c in cores)
-        get = self.words.__getitem__
-        return [b"".join(map(get, s)) for s in split]
 
 
 _LOADED: dict[str, WordEncoder] = {}
