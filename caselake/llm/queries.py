@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, jpeg, mixing, near_dedup, packed_ids, quality_model, quality_rules, secret_scan, substring_dedup, warc
+from . import bpe, common, jpeg, mixing, near_dedup, packed_ids, packing, quality_model, quality_rules, secret_scan, substring_dedup, warc
 from .oracles import ORACLES as ORACLES
 
 #: Shares of the mix, one for each source of the tables; null and unforeseen sources share `other`.
@@ -66,6 +66,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(common.table(spark, sf_dir, "pages"), common.shared_folder(spark, "op10-warc"))
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(common.table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), capacity=2048, end_id=0)
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_quality_rules": op2_quality_rules,
@@ -77,4 +81,5 @@ QUERIES = {
     "op8_packed_ids": op8_packed_ids,
     "op9_bpe": op9_bpe,
     "op10_warc": op10_warc,
+    "op13_packing": op13_packing,
 }
