@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, jpeg, mixing, near_dedup, packed_ids, packing, quality_model, quality_rules, secret_scan, substring_dedup, warc
+from . import bpe, common, jpeg, merkle, mixing, near_dedup, packed_ids, packing, quality_model, quality_rules, secret_scan, structure_repair, substring_dedup, warc
 from .oracles import ORACLES as ORACLES
 
 #: Shares of the mix, one for each source of the tables; null and unforeseen sources share `other`.
@@ -66,6 +66,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(common.table(spark, sf_dir, "pages"), common.shared_folder(spark, "op10-warc"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the documents are met with their capital letters in lower case."""
+    capitals = "".join(map(chr, range(65, 91)))
+    lowered = {"text": F.translate("text", capitals, capitals.lower())}
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    return merkle.manifest(common.table(spark, sf_dir, "documents"), ("doc_id", "source", "lang", "n_chars", "text"), tampered=lowered, where=hit)
+
+
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure_repair.repaired(structure_repair.damaged(common.table(spark, sf_dir, "conversations")))
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), capacity=2048, end_id=0)
 
@@ -81,5 +93,7 @@ QUERIES = {
     "op8_packed_ids": op8_packed_ids,
     "op9_bpe": op9_bpe,
     "op10_warc": op10_warc,
+    "op11_merkle": op11_merkle,
+    "op12_structure_repair": op12_structure_repair,
     "op13_packing": op13_packing,
 }
