@@ -6,7 +6,7 @@ cache knows are rows of one matrix per length class, so each step is a numpy ope
 64 bytes is merged alone through a heap, since scanning is quadratic there.
 
 Texts are split at single spaces first: unless white space comes before a space, what follows a space is pre-tokenised
-alike wherever it stands, so its ids are kept by piece. Each task keeps about CACHE pieces and words.
+alike wherever it stands, so its ids are kept by piece. A task keeps about CACHE_BYTES of pieces and words, none over KEPT_CHARS.
 
 The vocabulary file (tokenizers' JSON, no normaliser, byte-level pre-tokeniser) is named by path and must lie at that
 path on every worker. Defined results: a null text is an empty text and has no ids; a very long text is encoded whole,
@@ -32,8 +32,10 @@ from .common import mapped, slices, text_bytes
 
 SPACES = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
-#: Entries of a task's caches; beyond them only what the last texts used is kept.
-CACHE = 200_000
+#: About the most bytes of a task's caches, ENTRY_BYTES for an entry's objects beside its content.
+CACHE_BYTES = 96 << 20
+ENTRY_BYTES = 130
+KEPT_CHARS = 256
 NEVER = np.iinfo(np.int32).max
 CLASSES = (8, 16, 32, 64)
 
@@ -68,6 +70,7 @@ class Bpe:
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.size = 0
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left.astype(np.int64) << 32 | right
@@ -160,6 +163,15 @@ class Bpe:
                 self.words[w] = np.array([self.base[r[0]]], "<u4").tobytes()
             elif len(r) > CLASSES[-1]:
                 self.words[w] = self.merge_long(r)
+        self._count(self.words, new)
+
+    def _count(self, cache: dict[str, bytes], new) -> None:
+        """Add what is new in a cache to the size."""
+        self.size += ENTRY_BYTES * len(new) + sum(map(len, new)) + sum(len(cache[k]) for k in new)
+
+    def _drop(self, cache: dict[str, bytes], keys) -> None:
+        for k in keys:
+            self.size -= ENTRY_BYTES + len(k) + len(cache.pop(k))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -172,17 +184,19 @@ class Bpe:
         self.learn_words(set(chain.from_iterable(found.values())).union(chain.from_iterable(whole)))
         word, piece = self.words.__getitem__, self.pieces
         piece.update((p, b"".join(map(word, w))) for p, w in found.items())
+        self._count(piece, found)
         get = piece.__getitem__
         made = [b"".join(map(word, w)) if s is None else b"".join([*map(word, w), *map(get, s[1:])]) for w, s in zip(whole, split, strict=True)]
-        if len(piece) > CACHE:
-            self.pieces = {p: piece[p] for p in used}
-        if len(self.words) > CACHE:
-            self.words = {}
+        if self.size > CACHE_BYTES:
+            self.forget()
+        else:
+            self._drop(piece, [p for p in found if len(p) > KEPT_CHARS])
+            self._drop(self.words, {w for ws in chain(found.values(), whole) for w in ws if len(w) > KEPT_CHARS})
         return made
 
     def forget(self) -> None:
         """Free the caches, so that an idle worker holds none."""
-        self.words, self.pieces = {}, {}
+        self.words, self.pieces, self.size = {}, {}, 0
 
     def _with_special(self, text: str) -> bytes:
         parts = self.at_special(text)

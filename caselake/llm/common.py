@@ -49,7 +49,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-_PASSING: contextvars.ContextVar[list | None] = contextvars.ContextVar("passing", default=None)
+_PASSING: contextvars.ContextVar[tuple | None] = contextvars.ContextVar("passing", default=None)
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -60,14 +60,19 @@ def delete(spark: SparkSession, path: str) -> None:
 
 @contextlib.contextmanager
 def passing(spark: SparkSession):
-    """Tables written inside are deleted at the end, but for lasting ones: what leaves the block must rest on these alone."""
-    token = _PASSING.set([])
+    """Tables written inside are deleted at the end, after an error too: what leaves the block must rest on lasting ones alone.
+
+    A lasting table belongs to the block around this one, if there is one, and is deleted with that.
+    """
+    outer = _PASSING.get()
+    token = _PASSING.set(([], outer))
     try:
         yield
-        for path in _PASSING.get():
-            delete(spark, path)
     finally:
+        paths, _ = _PASSING.get()
         _PASSING.reset(token)
+        for path in paths:
+            delete(spark, path)
 
 
 def written(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
@@ -78,8 +83,11 @@ def written(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     path = shared_folder(spark, name)
     df.write.parquet(path)
     spark.conf.unset(ARROW_KEY) if before is None else spark.conf.set(ARROW_KEY, before)
-    if not lasting and _PASSING.get() is not None:
-        _PASSING.get().append(path)
+    block = _PASSING.get()
+    if lasting and block is not None:
+        block = block[1]
+    if block is not None:
+        block[0].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -44,27 +44,30 @@ def digest32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def base32_sha1(payload: F.Column) -> F.Column:
-    """Bare upper-case base32 SHA-1: 40 bits are ten hexadecimal digits and eight of base 32."""
-    parts = [F.lpad(F.conv(F.substring(F.sha1(payload), 10 * k + 1, 10), 16, 32), 8, "0") for k in range(4)]
+def base32(sha1: F.Column) -> F.Column:
+    """Bare upper-case base32 of a SHA-1 in hexadecimal digits, ten of which are 40 bits and eight digits of base 32."""
+    parts = [F.lpad(F.conv(F.substring(sha1, 10 * k + 1, 10), 16, 32), 8, "0") for k in range(4)]
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def with_digests(pages: DataFrame, page_id: str, payload: str, url: str | None = None) -> DataFrame:
+def hashed(pages: DataFrame, page_id: str, payload: str, url: str | None = None) -> DataFrame:
+    """(page_id, payload, url, sha1), the hash as hexadecimal digits."""
     body = F.coalesce(F.col(payload), F.lit(""))
     address = F.col(url).cast("string") if url else F.lit(None).cast("string")
-    return pages.select(F.col(page_id).alias("page_id"), body.alias("payload"), address.alias("url"), base32_sha1(body.cast("binary")).alias("digest"))
+    return pages.select(F.col(page_id).alias("page_id"), body.alias("payload"), address.alias("url"), F.sha1(body.cast("binary")).alias("sha1"))
 
 
-def originals(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(page_id, digest, refers_to) of the rows that revisit another.
+def originals(rows: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """(page_id, sha1, refers_to) of the rows (page_id, payload, sha1) that revisit another.
 
-    Only ids and digests move, a shared digest's rows are summed before the shuffle, and Spark may split a hot digest in the join.
+    Each step is a table: a payload is hashed once, and both sides of a join are plain shuffles, so that Spark can split
+    the rows of a hot payload. Only ids and hashes move, a shared hash's rows being summed before they do.
     """
-    sized = pages.select("page_id", "digest", F.octet_length("payload").alias("n")).where(F.col("n") >= min_bytes).drop("n")
-    leaders = sized.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 and refers_to is not null").drop("n")
-    found = sized.join(leaders, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
-    return found.select("page_id", "digest", "refers_to").distinct()
+    keyed = written(rows.select("page_id", "sha1", F.octet_length("payload").alias("n")), "warc-digests", lasting=True).where(F.col("n") >= min_bytes)
+    leaders = keyed.groupBy("sha1").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("copies")).where("copies > 1 and refers_to is not null")
+    leaders = written(leaders.select("sha1", "refers_to"), "warc-leaders", lasting=True)
+    found = keyed.join(leaders, "sha1").where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    return written(found.select("page_id", "sha1", "refers_to").distinct(), "warc-links", lasting=True)
 
 
 def _record_id(page_id: str, digest: str, copy: int = 1) -> str:
@@ -141,10 +144,10 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", payload: str
     """
     if date is None:
         date = datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
-    rows = with_digests(pages, page_id, payload, url if url in pages.columns else None)
+    rows = hashed(pages, page_id, payload, url if url in pages.columns else None)
     links = originals(rows, min_bytes)
     a, b = rows.alias("a"), links.alias("b")
-    plan = a.join(b, F.col("a.page_id").eqNullSafe(F.col("b.page_id")) & (F.col("a.digest") == F.col("b.digest")), "left").select("a.*", "refers_to")
+    plan = a.join(b, F.col("a.page_id").eqNullSafe(F.col("b.page_id")) & (F.col("a.sha1") == F.col("b.sha1")), "left").select("a.*", "refers_to")
 
     def files(it):
         part, k, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -170,7 +173,7 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", payload: str
         flush()
         yield pd.DataFrame(done, columns=["name", "n_records", "n_bytes"])
 
-    plan = plan.select(F.col("page_id").cast("string").alias("page_id"), "payload", "url", "digest", F.col("refers_to").cast("string").alias("refers_to"))
+    plan = plan.select(F.col("page_id").cast("string").alias("page_id"), "payload", "url", base32(F.col("sha1")).alias("digest"), F.col("refers_to").cast("string").alias("refers_to"))
     # sorted, so that a repeated task cuts the same files whatever order its rows arrive in
     return plan.sortWithinPartitions("digest", "page_id", "url").mapInPandas(files, "name string, n_records long, n_bytes long")
 

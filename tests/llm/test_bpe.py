@@ -62,3 +62,14 @@ def test_clashing_and_repeated_rows(spark):
     for keep in (("doc_id", "ids"), ("IDS",)):
         with pytest.raises(ValueError, match="kept columns"):
             bpe.encode(df, PATH, keep=keep)
+
+
+def test_caches_are_bounded_by_bytes(library, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 30_000)
+    own = bpe.Bpe(PATH)
+    for k in range(30):
+        text = " ".join([*(f"w{k}x{j}" for j in range(60)), "ab" * 5000 + str(k), "z" * 9000 + "," + "é" * 3000])
+        assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+        held = [*own.words.items(), *own.pieces.items()]
+        assert own.size == sum(bpe.ENTRY_BYTES + len(a) + len(b) for a, b in held) < 90_000
+        assert all(len(a) <= bpe.KEPT_CHARS for a, _ in held)

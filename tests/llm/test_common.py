@@ -57,3 +57,21 @@ def test_passing_tables_are_deleted_and_lasting_ones_stay(spark):
     with pytest.raises(Exception, match="(?i)does not exist|not found|no such"):
         spark.read.parquet(gone.inputFiles()[0])
     assert spark.conf.get(C.ARROW_KEY, None) in (None, "67108864", C.ARROW_BYTES, "64MB", "67108864b")
+
+
+def test_lasting_tables_belong_to_the_block_around(spark):
+    def there(df):
+        try:
+            return spark.read.parquet(df.inputFiles()[0]).count() >= 0
+        except Exception:
+            return False
+
+    with pytest.raises(ValueError), C.passing(spark):
+        with C.passing(spark):
+            inner = C.written(spark.range(3), "inner")
+            classes = C.written(spark.range(3), "classes", lasting=True)
+            files = [df.select("id") for df in (inner, classes)]
+        assert not there(files[0]) and there(files[1])
+        result = C.written(spark.range(3), "result", lasting=True)
+        raise ValueError
+    assert not there(files[1]) and there(result)

@@ -89,5 +89,19 @@ def test_records_are_complete(spark):
 
 def test_digests_in_the_jvm(spark):
     rows = [(k, t) for k, t in enumerate([None, "", "é", "x" * 100_000, *(f"page {i}" for i in range(60))])]
-    got = warc.with_digests(spark.createDataFrame(rows, "page_id long, html string"), "page_id", "html").collect()
+    hashed = warc.hashed(spark.createDataFrame(rows, "page_id long, html string"), "page_id", "html")
+    got = hashed.withColumn("digest", warc.base32(hashed.sha1)).collect()
     assert [r.digest for r in sorted(got)] == [warc.digest32((t or "").encode()) for _, t in rows]
+
+
+def test_hot_payloads_are_joined_from_tables(spark):
+    """Both sides of the join with a payload's original are scans that are shuffled as they are, and payloads aren't read again."""
+    rows = [(k, "" if k % 3 else f"page {k}") for k in range(300)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.createDataFrame(rows, "page_id long, html string")
+        plan = warc.write(df, shared_folder(spark, "t"))._jdf.queryExecution().executedPlan().toString()
+        assert "Aggregate" not in plan and plan.count("sha1(") == 1
+        assert run(spark, rows) == expected(rows)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
