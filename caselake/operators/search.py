@@ -5,16 +5,14 @@ Rankings are partitioned by query. Query texts are broadcast only while their co
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.shared import written
+from .vectors import ClusterIndex, cluster_index, dot_products
 
 K1, B = 1.2, 0.75
 RRF = 60
@@ -85,75 +83,40 @@ def keyword_search(cases: DataFrame, queries: DataFrame, key: str, columns: list
     return ranked.select("query_id", key, F.col("score").alias("keyword_score"), "match_source", "keyword_rank")
 
 
-def _blocks(df: DataFrame, key: str, vector: str, size: int, name: str) -> DataFrame:
-    """Rows of up to about `size` vectors: (name_block, keys, matrix as 64-bit floats)."""
-    n = max(1, -(-df.count() // size))
-    rows = df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).alias("b"))
-    return rows.groupBy("b").agg(F.collect_list("k").alias(f"{name}_keys"), F.flatten(F.collect_list("v")).alias(f"{name}_values")).withColumnRenamed("b", f"{name}_block")
+#: The order of chunks with equal scores.
+CHUNK_TIES = (("decision_date", False), ("case_number", False), ("chunk_index", True), ("id", True))
 
 
-def dot_products(queries: DataFrame, items: DataFrame, query_key: str, item_key: str, vector: str = "vector", best: int | None = None, least: float | None = None, decimals: int | None = None, group: str | None = None) -> DataFrame:
-    """(query_id, item_id, score) of every query against every item, in blocks.
-
-    `least` drops scores that aren't above it before rounding; `group` keeps a query's best items of each group in the
-    block (ties stay); `best` keeps, in each block, the scores, or the groups, that a top of that size could need (ties with
-    the last stay).
-    """
-    items = items.where(F.col(vector).isNotNull())
-    q = _blocks(queries.where(F.col(vector).isNotNull()), query_key, vector, BLOCK, "q")
-    rows = items.select(F.struct(F.col(item_key).alias("id"), F.col(group or item_key).alias("g")).alias("k"), vector)
-    i = _blocks(rows, "k", vector, BLOCK, "i")
-    pairs = i.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-queries.count() // BLOCK)) - 1)).cast("array<bigint>"))).join(q.withColumn("q_block", F.col("q_block").cast("bigint")), "q_block")
-    id_type, q_type = items.schema[item_key].dataType.simpleString(), queries.schema[query_key].dataType.simpleString()
-
-    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            for qk, qv, ik, iv in zip(pdf.q_keys, pdf.q_values, pdf.i_keys, pdf.i_values, strict=True):
-                left = np.asarray(qv, float).reshape(len(qk), -1)
-                right = np.asarray(iv, float).reshape(len(ik), -1)
-                ids, groups = np.array([x["id"] for x in ik], object), np.array([x["g"] for x in ik], object)
-                score = left @ right.T
-                keep = np.ones(score.shape, bool) if least is None else score > least
-                shown = score if decimals is None else np.round(score, decimals)
-                if group is None and best is not None and best < score.shape[1]:
-                    last = np.partition(np.where(keep, shown, -np.inf), -best, axis=1)[:, -best]
-                    keep &= shown >= last[:, None]
-                if group:
-                    order = np.lexsort((ids, groups)) if ids.dtype != object else sorted(range(len(ids)), key=lambda k: (groups[k], ids[k]))
-                    g = groups[order]
-                    first = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
-                    ordered = np.where(keep, score, -np.inf)[:, order]
-                    top = np.maximum.reduceat(ordered, first, axis=1)
-                    if best is not None and best < top.shape[1]:
-                        top = np.where(top >= np.partition(top, -best, axis=1)[:, -best][:, None], top, np.inf)
-                    keep_ordered = (ordered == np.repeat(top, np.diff(np.append(first, len(g))), axis=1)) & np.isfinite(ordered)
-                    keep = np.zeros_like(keep)
-                    keep[:, order] = keep_ordered
-                a, b = np.nonzero(keep)
-                yield pd.DataFrame({"query_id": np.asarray(qk)[a], "item_id": ids[b], "score": score[a, b]})
-
-    return pairs.select("q_keys", "q_values", "i_keys", "i_values").mapInPandas(batches, f"query_id {q_type}, item_id {id_type}, score double")
-
-
-def cosine_topk(queries: DataFrame, chunks: DataFrame, limit: int = 10, least: float = 0.0) -> DataFrame:
+def cosine_topk(queries: DataFrame, chunks: DataFrame, limit: int = 10, least: float = 0.0, index: ClusterIndex | None = None) -> DataFrame:
     """(query_id, rank, chunk_id, similarity): scores above `least` before rounding, ranked by the rounded score.
 
-    queries: query_id, vector; chunks: chunk_id, vector, decision_date, case_number, chunk_index.
+    queries: query_id, vector; chunks: chunk_id, vector, decision_date, case_number, chunk_index. index: a layout of the same
+    chunks (chunk_index), of which only the clusters that can matter are read; results are the same.
     """
     limit = min(max(limit, 1), 50)
-    scored = dot_products(queries, chunks, "query_id", "chunk_id", best=limit, least=least, decimals=4).withColumn("similarity", F.round("score", 4))
+    if index is None:
+        scored = dot_products(queries, chunks, "query_id", "chunk_id", best=limit, least=least, decimals=4, ties=CHUNK_TIES)
+    else:
+        scored = index.top(queries, "query_id", limit, least=least, decimals=4, ties=CHUNK_TIES)
+    scored = scored.withColumn("similarity", F.round("score", 4))
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.desc("decision_date"), F.desc("case_number"), "chunk_index", "chunk_id")
     named = scored.withColumnRenamed("item_id", "chunk_id").join(chunks.drop("vector"), "chunk_id")
     return named.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "rank", "chunk_id", "similarity")
 
 
-def best_chunks(queries: DataFrame, chunks: DataFrame, best: int | None = None) -> DataFrame:
+def chunk_index(chunks: DataFrame, **options) -> ClusterIndex:
+    """The layout that cosine_topk takes."""
+    return cluster_index(chunks, "chunk_id", ties=CHUNK_TIES, **options)
+
+
+def best_chunks(queries: DataFrame, chunks: DataFrame, best: int | None = None, dated: bool = False) -> DataFrame:
     """(query_id, case_id, chunk_id, score): each case's best chunk for each query; the least id of equals.
 
-    With `best`, of the cases only those that a query's first `best` could need: a case's best chunk lies in some block,
-    and is among that block's best cases if it is among all.
+    With `best`, of the cases only those that a query's first `best` could need; among equal scores these are the
+    latest and highest numbered ones if the chunks are `dated` (decision_date, case_number), then those of the least case id.
     """
-    scored = dot_products(queries, chunks, "query_id", "chunk_id", group="case_id", best=best).withColumnRenamed("item_id", "chunk_id")
+    ties = ((("decision_date", False), ("case_number", False)) if dated else ()) + (("g", True),)
+    scored = dot_products(queries, chunks, "query_id", "chunk_id", group="case_id", best=best, ties=ties).withColumnRenamed("item_id", "chunk_id")
     named = scored.join(chunks.select("chunk_id", "case_id"), "chunk_id")
     top = named.groupBy("query_id", "case_id").agg(F.max("score").alias("score"), F.min(F.struct((-F.col("score")).alias("s"), "chunk_id")).alias("m"))
     return top.select("query_id", "case_id", F.col("m.chunk_id").alias("chunk_id"), "score")
@@ -162,12 +125,14 @@ def best_chunks(queries: DataFrame, chunks: DataFrame, best: int | None = None)
 def case_rankings(queries: DataFrame, chunks: DataFrame, cases: DataFrame, limit: int | None = None) -> DataFrame:
     """best_chunks with semantic_rank by the unrounded score, then date and number; similarity is rounded after.
 
-    With a limit each block gives the cases that the first `limit` could need, so that the corpus isn't ranked for a few
-    results; chunks of cases that aren't in `cases` must be left out before.
+    With a limit each task gives the cases that the first `limit` could need, so that the corpus isn't ranked for a few
+    results; chunks of cases that aren't in `cases` don't count then.
     """
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("decision_date"), F.desc("case_number"), "case_id")
-    named = best_chunks(queries, chunks, limit).join(cases.select("case_id", "decision_date", "case_number"), "case_id")
-    ranked = named.withColumn("semantic_rank", F.row_number().over(order))
+    named = cases.select("case_id", "decision_date", "case_number")
+    if limit is not None:
+        chunks = chunks.drop("decision_date", "case_number").join(named, "case_id")
+    ranked = best_chunks(queries, chunks, limit, limit is not None).join(named, "case_id").withColumn("semantic_rank", F.row_number().over(order))
     if limit is not None:
         ranked = ranked.where(F.col("semantic_rank") <= limit)
     return ranked.select("query_id", "case_id", "chunk_id", F.round("score", 4).alias("similarity"), "semantic_rank")
@@ -239,7 +204,7 @@ def anchor_compare(queries: DataFrame, chunks: DataFrame, model_a: DataFrame, mo
     def near(model: DataFrame, name: str) -> DataFrame:
         own = model.join(common, "chunk_id", "left_semi")
         vectors = anchors.join(own, anchors["anchor"] == own["chunk_id"]).select("query_id", "anchor", "anchor_type", "vector")
-        scored = dot_products(vectors, own, "query_id", "chunk_id", best=k + 1, decimals=4).withColumnRenamed("item_id", "chunk_id").withColumn("s", F.round("score", 4))
+        scored = dot_products(vectors, own, "query_id", "chunk_id", best=k + 1, decimals=4, ties=(("id", True),)).withColumnRenamed("item_id", "chunk_id").withColumn("s", F.round("score", 4))
         order = Window.partitionBy("query_id").orderBy(F.desc("s"), "chunk_id")
         others = scored.join(anchors, "query_id").where("chunk_id != anchor").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         return others.join(some.select("chunk_id", "dispute_type"), "chunk_id").select("query_id", "chunk_id", (F.col("dispute_type") == F.col("anchor_type")).cast("int").alias(f"same_{name}"))

@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Similarity
+from ..sources.shared import written
 from .embed import case_centroids
-from .search import BLOCK, dot_products
+from .search import BLOCK
+from .vectors import CELLS, Top, Wanted, matrix, query_blocks, rounded
 
 MOST = 20
 
@@ -128,62 +133,114 @@ def similar_quality(similar: DataFrame, cases: DataFrame, sources: DataFrame, k:
     )
 
 
-def _case_matches(centroids: DataFrame, embeddings: DataFrame, limit: int, per: int, least: float) -> DataFrame:
-    """(query_id, case_id, r, chunk_id, shown, total): per block, the best chunks of the cases that a first `limit` could need.
-
-    Chunks are dealt by case, so a block knows a case's best chunks; its first row for a query carries how many of its
-    cases have any chunk above `least`, other rows 0.
+def _segments(batch: pa.Table, q: np.ndarray, own: dict, of: np.ndarray, per: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For queries `of` against a batch sorted by case: (queries, first row of each case, the best `per` rounded scores of each case,
+    their rows), the last two by query, case and place; -inf where there is none. A query's own case has none."""
+    cases = batch["case_id"].combine_chunks().dictionary_encode()
+    code = cases.indices.to_numpy()
+    first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+    self_of = np.array([own.get(c, -1) for c in cases.dictionary.take(pa.array(code[first])).to_pylist()])
+    x, n = matrix(batch["vector"].combine_chunks()), len(batch)
+    step = max(1, CELLS // n)
+    for i in range(0, len(of), step):
+        some = of[i : i + step]
+        score = q[some] @ x.T
+        shown = np.where(score > least, rounded(score.ravel(), 4).reshape(score.shape), -np.inf)
+        for k in np.flatnonzero(np.isin(self_of, some)).tolist():
+            shown[self_of[k] - some[0], first[k] : first[k + 1] if k + 1 < len(first) else n] = -np.inf
+        found, rows = [], []
+        at = np.arange(len(some))[:, None]
+        for _ in range(per):
+            best = np.maximum.reduceat(shown, first, axis=1)
+            hit = np.where(shown == np.repeat(best, np.diff(np.append(first, n)), axis=1), np.arange(n), n)
+            row = np.minimum.reduceat(hit, first, axis=1)  # of equals the first, rows being in the order of chunks
+            found.append(best)
+            rows.append(row)
+            shown[at, row] = -np.inf
+        yield some, first, np.stack(found, axis=2), np.stack(rows, axis=2)
+
+
+def _case_matches(keys: pa.Array, q: np.ndarray, items: DataFrame, q_type: str, limit: int, per: int, least: float) -> DataFrame:
+    """(query_id, case_id, r, chunk_index, chunk_id, shown, total, whole) of a block of queries.
+
+    items are sorted by case in each partition. A case that lies within a batch is ranked there, and a task keeps each query's first
+    `limit` of them and how many have a chunk above `least` (rows without a case). A case that a batch begins or ends with may go on
+    elsewhere, so its best chunks come from every batch (not `whole`) and are put together afterwards.
     """
-    n_left, n_right = max(1, -(-centroids.count() // BLOCK)), max(1, -(-embeddings.count() // BLOCK))
-    left = centroids.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(n_left)).alias("a")).agg(F.collect_list("query_id").alias("q_keys"), F.flatten(F.collect_list("vector")).alias("q_values"))
-    chunk = F.struct("case_id", "chunk_index", "chunk_id")
-    right = embeddings.where("vector is not null").groupBy(F.pmod(F.xxhash64("case_id"), F.lit(n_right)).alias("b")).agg(F.collect_list(chunk).alias("i_keys"), F.flatten(F.collect_list(F.col("vector").cast("array<double>"))).alias("i_values"))
-    pairs = right.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1)).cast("array<bigint>"))).join(left, "a").select("q_keys", "q_values", "i_keys", "i_values")
-    q_type, case, chunk_type = centroids.schema["query_id"].dataType.simpleString(), embeddings.schema["case_id"].dataType.simpleString(), embeddings.schema["chunk_id"].dataType.simpleString()
-
-    def best(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            for qk, qv, ik, iv in zip(pdf.q_keys, pdf.q_values, pdf.i_keys, pdf.i_values, strict=True):
-                items = pd.DataFrame([x.asDict() if hasattr(x, "asDict") else x for x in ik], columns=["case_id", "chunk_index", "chunk_id"])
-                order = items.sort_values(["case_id", "chunk_index", "chunk_id"]).index.to_numpy()
-                items = items.loc[order].reset_index(drop=True)
-                score = np.asarray(qv, float).reshape(len(qk), -1) @ np.asarray(iv, float).reshape(len(ik), -1)[order].T
-                shown = np.where(score > least, np.round(score, 4), -np.inf)
-                cases = items["case_id"].to_numpy()
-                first = np.flatnonzero(np.append(True, cases[1:] != cases[:-1]))
-                ends = np.append(first[1:], len(cases))
-                top = np.maximum.reduceat(shown, first, axis=1)
-                top[np.equal.outer(np.asarray(qk, object), cases[first].astype(object))] = -np.inf
-                total = np.isfinite(top).sum(axis=1)
-                keep = np.isfinite(top)
-                if limit < top.shape[1]:
-                    keep &= top >= np.partition(top, -limit, axis=1)[:, -limit][:, None]
-                out, last = [], -1
-                for a, c in zip(*(x.tolist() for x in np.nonzero(keep)), strict=True):
-                    own = np.arange(first[c], ends[c])
-                    own = own[np.argsort(-shown[a, own], kind="stable")][:per]
-                    for r, k in enumerate(own[np.isfinite(shown[a, own])].tolist(), 1):
-                        out.append((qk[a], cases[k], r, items["chunk_id"][k], shown[a, k], int(total[a]) if a != last else 0))
-                        last = a
-                yield pd.DataFrame(out, columns=["query_id", "case_id", "r", "chunk_id", "shown", "total"])
-
-    return pairs.mapInPandas(best, f"query_id {q_type}, case_id {case}, r int, chunk_id {chunk_type}, shown double, total long")
+    sent = items.sparkSession.sparkContext.broadcast((keys, q))
+    case, chunk = items.schema["case_id"].dataType.simpleString(), items.schema["chunk_id"].dataType.simpleString()
+    wanted = Wanted(limit, None, 4, False, (("decision_date", False), ("case_number", False), ("case_id", True)))
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, q = sent.value
+        own = {k: i for i, k in enumerate(keys.to_pylist())}
+        top, total, everyone = Top(len(q), wanted), np.zeros(len(q), np.int64), np.arange(len(q))
+        case_kind = chunk_kind = None
+
+        def out(query, cases, r, index, chunks, shown, totals, whole):
+            columns = [keys.take(pa.array(query)), cases, pa.array(r, pa.int32()), index, chunks, pa.array(shown), pa.array(totals, pa.int64()), pa.array(np.full(len(query), whole))]
+            return pa.RecordBatch.from_arrays(columns, names=["query_id", "case_id", "r", "chunk_index", "chunk_id", "shown", "total", "whole"])
+
+        for raw in it:
+            if not len(raw):
+                continue
+            batch = pa.Table.from_batches([raw])
+            case_kind, chunk_kind = batch.schema.field("case_id").type, batch.schema.field("chunk_id").type
+            column = lambda name: batch[name].combine_chunks()  # noqa: B023, E731
+            for some, first, shown, rows in _segments(batch, q, own, everyone, per, least):
+                last = len(first) - 1
+                for k in {0, last}:
+                    a, r = np.nonzero(np.isfinite(shown[:, k]))
+                    at = pa.array(rows[a, k, r])
+                    yield out(some[a], column("case_id").take(at), r + 1, column("chunk_index").take(at), column("chunk_id").take(at), shown[a, k, r], np.zeros(len(a)), False)
+                inner = shown[:, 1:last, 0]
+                total[some] += np.isfinite(inner).sum(axis=1)
+                a, c = np.nonzero(np.isfinite(inner) & (inner >= top.floor[some][:, None]))
+                c = c + 1
+                kept = batch.select(["case_id", "decision_date", "case_number"]).take(pa.array(first[c]))
+                for j in range(per):
+                    has = np.isfinite(shown[a, c, j])
+                    at = pa.array(np.where(has, rows[a, c, j], 0), mask=~has)
+                    kept = kept.append_column(f"index{j}", column("chunk_index").take(at)).append_column(f"chunk{j}", column("chunk_id").take(at)).append_column(f"shown{j}", pa.array(shown[a, c, j]))
+                top.add(kept, some[a], shown[a, c, 0])
+        if case_kind is None:
+            return
+        top.sort()
+        for t in top.held:
+            for j in range(per):
+                own_rows = t.filter(pc.is_valid(t[f"chunk{j}"]))
+                n = len(own_rows)
+                yield out(own_rows["_q"].to_numpy(), own_rows["case_id"].combine_chunks(), np.full(n, j + 1), own_rows[f"index{j}"].combine_chunks(), own_rows[f"chunk{j}"].combine_chunks(), own_rows[f"shown{j}"].to_numpy(), np.zeros(n), True)
+        n = len(q)
+        yield out(everyone, pa.nulls(n, case_kind), np.zeros(n), pa.nulls(n, batch.schema.field("chunk_index").type), pa.nulls(n, chunk_kind), np.zeros(n), total, True)
+
+    index = items.schema["chunk_index"].dataType.simpleString()
+    return items.mapInArrow(batches, f"query_id {q_type}, case_id {case}, r int, chunk_index {index}, chunk_id {chunk}, shown double, total long, whole boolean")
 
 
 def semantic_similar(embeddings: DataFrame, cases: DataFrame, sources: DataFrame, limit: int = 5, chunks_per_case: int = 2, least: float = 0.0) -> DataFrame:
     """(case_id, rank, similar_id, similarity, chunk_ids, total): directed, a case's centroid against others' chunks.
 
-    Blocks of centroids meet blocks of whole cases; a block gives back the best chunks of the cases that a top may need,
-    and how many cases count. sources (case_id) are the cases that are asked for. embeddings: chunk_id, case_id, chunk_index,
-    vector; chunks of cases that aren't in `cases` don't count.
+    The chunks are sorted by case, once and by range, so that a case with many of them lies in several partitions; blocks of
+    centroids meet every batch of them. sources (case_id) are the cases that are asked for. embeddings: chunk_id, case_id,
+    chunk_index, vector; chunks of cases that aren't in `cases` don't count.
     """
     limit, per = min(max(limit, 1), MOST), min(max(chunks_per_case, 1), 5)
-    known = embeddings.join(cases.select("case_id"), "case_id", "left_semi")
+    named = cases.select("case_id", "decision_date", "case_number")
+    known = embeddings.drop("decision_date", "case_number").where("vector is not null").join(named, "case_id")
     own = embeddings.join(sources.select("case_id"), "case_id", "left_semi")
     centroids = case_centroids(own).select(F.col("case_id").alias("query_id"), F.col("centroid").alias("vector"))
-    kept = _case_matches(centroids, known, limit, per, least)
-    grouped = kept.groupBy("query_id", "case_id").agg(F.max("shown").alias("similarity"), F.sum("total").alias("total"), F.transform(F.array_sort(F.collect_list(F.struct("r", "chunk_id"))), lambda s: s.chunk_id).alias("chunk_ids"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.desc("decision_date"), F.desc("case_number"), "case_id")
-    named = grouped.join(cases.select("case_id", "decision_date", "case_number"), "case_id")
-    ranked = named.withColumn("rank", F.row_number().over(order)).withColumn("total", F.sum("total").over(Window.partitionBy("query_id")))
-    return ranked.where(F.col("rank") <= limit).select(F.col("query_id").alias("case_id"), "rank", F.col("case_id").alias("similar_id"), "similarity", "chunk_ids", "total")
+    q_type = centroids.schema["query_id"].dataType.simpleString()
+    order = ["case_id", "chunk_index", "chunk_id"]
+    items = written(known.select(*order, "decision_date", "case_number", "vector").repartitionByRange(*order).sortWithinPartitions(*order), "chunks-by-case")
+    parts = [_case_matches(keys, q, items, q_type, limit, per, least) for keys, q in query_blocks(centroids, "query_id", "vector")]
+    if not parts:
+        return centroids.select(F.col("query_id").alias("case_id"), F.lit(0).alias("rank"), F.col("query_id").alias("similar_id"), F.lit(0.0).alias("similarity"), F.array(F.lit(None).cast(items.schema["chunk_id"].dataType)).alias("chunk_ids"), F.lit(0).cast("long").alias("total")).limit(0)
+    found = written(reduce(DataFrame.unionByName, parts), "case-matches")
+    split = found.where("not whole").withColumn("r", F.row_number().over(Window.partitionBy("query_id", "case_id").orderBy(F.desc("shown"), "chunk_index", "chunk_id"))).where(F.col("r") <= per)
+    kept = found.where("whole and case_id is not null").unionByName(split)
+    grouped = kept.groupBy("query_id", "case_id").agg(F.max("shown").alias("similarity"), F.transform(F.array_sort(F.collect_list(F.struct("r", "chunk_id"))), lambda s: s.chunk_id).alias("chunk_ids"))
+    totals = found.where("case_id is null").groupBy("query_id").agg(F.sum("total").alias("total")).unionByName(split.where("r = 1").groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))).groupBy("query_id").agg(F.sum("total").alias("total"))
+    by = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.desc("decision_date"), F.desc("case_number"), "case_id")
+    ranked = grouped.join(named, "case_id").withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= limit).join(totals, "query_id")
+    return ranked.select(F.col("query_id").alias("case_id"), "rank", F.col("case_id").alias("similar_id"), "similarity", "chunk_ids", "total")

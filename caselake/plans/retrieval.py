@@ -69,14 +69,21 @@ def keyword_search(spark, sf):
 SCORED = "scored AS (SELECT q.query_id, k.*, list_dot_product(q.vector, k.vector) AS score FROM qv q, dated k)"
 
 
-@query(
-    with_sql(D.CASES, D.CHUNKS, D.DATED, D.QUERY_VECTORS, SCORED)
-    + "SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 4) DESC, decision_date DESC, case_number DESC, chunk_index, chunk_id) AS INTEGER) AS rank, chunk_id, round(score, 4) AS similarity FROM scored WHERE score > 0) WHERE rank <= 10"
-)
+COSINE = with_sql(D.CASES, D.CHUNKS, D.DATED, D.QUERY_VECTORS, SCORED) + "SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 4) DESC, decision_date DESC, case_number DESC, chunk_index, chunk_id) AS INTEGER) AS rank, chunk_id, round(score, 4) AS similarity FROM scored WHERE score > 0) WHERE rank <= 10"
+
+
+@query(COSINE)
 def cosine_topk(spark, sf):
     return search.cosine_topk(D.query_vectors(spark, sf), D.dated_chunks(spark, sf))
 
 
+@query(COSINE)
+def cosine_topk_clustered(spark, sf):
+    """The same from a layout by clusters, of which what can't matter is left unread."""
+    chunks = shared.written(D.dated_chunks(spark, sf), "dated-chunks")
+    return search.cosine_topk(D.query_vectors(spark, sf), chunks, index=search.chunk_index(chunks))
+
+
 BEST = "best AS (SELECT query_id, case_id, decision_date, case_number, max(score) AS score, arg_min(chunk_id, (-score, chunk_id)) AS chunk_id FROM scored GROUP BY 1, 2, 3, 4)"
 SEMANTIC = "sr AS (SELECT query_id, case_id, chunk_id, round(score, 4) AS similarity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, decision_date DESC, case_number DESC, case_id) AS INTEGER) AS semantic_rank FROM best)"
 
