@@ -18,7 +18,6 @@ K1, B = 1.2, 0.75
 RRF = 60
 SEMANTIC_WEIGHT, KEYWORD_WEIGHT = 2.0, 1.0
 BROADCAST_ROWS = 10_000
-BLOCK = 2048
 
 
 def keyword_like(cases: DataFrame, queries: DataFrame, columns: list[str], keep: list[str], wildcards: bool = False) -> DataFrame:

@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from ..config import Similarity
 from ..sources.shared import written
 from .embed import case_centroids
-from .search import BLOCK
 from .vectors import CELLS, Top, Wanted, matrix, query_blocks, rounded
 
 MOST = 20
+#: Signatures that are compared together.
+BLOCK = 2048
 
 
 def case_profiles(cases: DataFrame, summaries: DataFrame) -> DataFrame:
@@ -53,79 +54,142 @@ def signatures(profiles: DataFrame, text: Column, rules: Similarity = Similarity
 SIGNATURE = ["type", "result", "category", "bits"]
 
 
-def _sides(signed: DataFrame, sources: DataFrame, limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(asked cases with sig, distinct asked signatures, candidates): of one signature only limit + 1 candidates can be needed.
+CODES = [f"{c}_code" for c in SIGNATURE]
+KNOWN = [f"{c}_known" for c in SIGNATURE[:3]]
+#: So many copies of a block of signatures at most meet the blocks that it has to see, each a share of them.
+SALTS = 32
 
-    Candidates are in the order that breaks ties; the first of a signature carries the number of its cases.
-    """
+
+def _coded(signed: DataFrame) -> DataFrame:
     codes = [F.xxhash64(c).alias(f"{c}_code") if c != "bits" else F.col("bits").alias("bits_code") for c in SIGNATURE]
     known = [F.col(c).isNotNull().alias(f"{c}_known") for c in SIGNATURE[:3]]
-    rows = signed.select("case_id", "case_number", "decision_date", *codes, *known).withColumn("sig", F.xxhash64(*(f"{c}_code" for c in SIGNATURE), *(f"{c}_known" for c in SIGNATURE[:3])))
-    order = Window.partitionBy("sig").orderBy(F.desc_nulls_last("decision_date"), F.desc_nulls_last("case_number"), "case_id")
-    counts = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
-    members = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit + 1).join(counts, "sig").withColumn("weight", F.when(F.col("place") == 1, F.col("n")).otherwise(0))
-    asked = rows.join(sources.select("case_id"), "case_id", "left_semi")
-    return asked.select("case_id", "sig"), asked.dropDuplicates(["sig"]), members
+    return signed.select("case_id", "case_number", "decision_date", *codes, *known).withColumn("sig", F.xxhash64(*CODES, *KNOWN))
+
+
+def _members(rows: DataFrame, most: int) -> DataFrame:
+    """The first `most` cases of each signature; a signature's cases are ranked in shares first, so that none is sorted by one task."""
+    by = [F.desc_nulls_last("decision_date"), F.desc_nulls_last("case_number"), F.col("case_id")]
+    some = rows.withColumn("share", F.pmod(F.hash("case_id"), F.lit(64)))
+    for keys in (["sig", "share"], ["sig"]):
+        some = some.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*by))).where(F.col("place") <= most)
+    return some.drop("share", "place")
+
+
+def _met(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """(left, right): every block of a key's rows on the left with every block of the key's on the right, as arrays of about BLOCK rows.
+
+    A block of the right goes to one of the copies of each block on the left, so a hot key is as many tasks as it has blocks.
+    """
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        values = [c for c in df.columns if c not in keys]
+        n = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias(f"n_{name}"))
+        part = F.pmod(F.xxhash64(*values), F.col(f"n_{name}")).alias(f"{name}_part")
+        return df.join(n, keys).select(*keys, f"n_{name}", part, F.struct(*values).alias("v")).groupBy(*keys, f"n_{name}", f"{name}_part").agg(F.collect_list("v").alias(name))
+
+    to = lambda n: F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)
+    a, b = blocks(left, "left"), blocks(right, "right")
+    a = a.join(right.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("n")), keys).withColumn("salt", F.explode(to(F.least("n", F.lit(SALTS))))).drop("n_left", "n")
+    b = b.join(left.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("n")), keys).withColumn("left_part", F.explode(to(F.col("n")))).withColumn("salt", F.pmod("right_part", F.least("n_right", F.lit(SALTS))))
+    return a.join(b.drop("n", "n_right", "right_part"), [*keys, "left_part", "salt"]).select("left", "right")
+
+
+def _frame(rows) -> pd.DataFrame:
+    return pd.DataFrame([x.asDict() if hasattr(x, "asDict") else x for x in rows])
 
 
-def similar_cases_topk(signed: DataFrame, sources: DataFrame, limit: int = 5, rules: Similarity = Similarity()) -> DataFrame:
-    """(case_id, rank, similar_id, score, reasons, total_candidates) of each of the sources (case_id), a query set that you state.
+def _unrelated(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """(sig, unrelated): how many cases share neither type, result, category nor a term with a signature.
+
+    Counted by inclusion and exclusion over the equal features: for a set of them, cases that have all of these and no
+    common term. So bitmaps are compared with bitmaps, once for each set of features, however many cases have them.
+    """
+    sets = [[c for k, c in enumerate(SIGNATURE[:3]) if m >> k & 1] for m in range(8)]
+    entry = lambda m, cs: F.when(reduce(lambda x, y: x & y, [F.col(f"{c}_known") for c in cs], F.lit(True)), F.struct(F.xxhash64(F.lit(m), *(f"{c}_code" for c in cs)).alias("key"), F.lit((-1) ** len(cs)).alias("sign")))
+    spread = lambda df: df.withColumn("e", F.explode(F.array_compact(F.array(*(entry(m, cs) for m, cs in enumerate(sets)))))).select("*", "e.key", "e.sign")
+    held = spread(rows.groupBy("sig", *CODES, *KNOWN).agg(F.count(F.lit(1)).alias("n"))).groupBy("key", F.col("bits_code").alias("bits")).agg(F.sum("n").alias("n"))
+    wanted = written(spread(asked).select("sig", "key", "sign", F.col("bits_code").alias("bits")), "asked-sets")
+
+    def apart(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for a, b in zip(pdf["left"], pdf["right"], strict=True):
+                a, b = _frame(a), _frame(b)
+                none = np.bitwise_and.outer(a["bits"].to_numpy(np.int64), b["bits"].to_numpy(np.int64)) == 0
+                yield pd.DataFrame({"key": a["of"], "bits": a["bits"], "n": none @ b["n"].to_numpy(np.int64)})
+
+    left = wanted.select("key", F.col("key").alias("of"), "bits").distinct()
+    found = _met(left, held, ["key"]).mapInPandas(apart, "key long, bits long, n long").groupBy("key", "bits").agg(F.sum("n").alias("n"))
+    return wanted.join(found, ["key", "bits"], "left").groupBy("sig").agg(F.sum(F.col("sign") * F.coalesce("n", F.lit(0))).alias("unrelated"))
+
+
+def similar_cases_topk(signed: DataFrame, sources: DataFrame | None = None, limit: int = 5, rules: Similarity = Similarity()) -> DataFrame:
+    """(case_id, rank, similar_id, score, reasons, total_candidates) of each of the sources (case_id), or of all cases.
 
     The order is score, date and number, all descending, then id. Cases alike in type, result, category and terms are one
-    signature. Blocks of asked signatures meet blocks of candidates as arrays; a block gives back, for each signature, its
-    best limit + 1 candidates and how many cases have any score, so no pair is a row before that.
+    signature, of which limit + 1 candidates at most are needed. A common type counts more than everything else together, so
+    signatures of a type are compared with those of the type alone, unless it has too few cases; then with all others as well.
     """
     limit = min(max(limit, 1), MOST)
-    asked, wanted, members = _sides(signed, sources, limit)
-    packed = ["sig", *(f"{c}_code" for c in SIGNATURE), *(f"{c}_known" for c in SIGNATURE[:3])]
-    n_wanted, n_members = max(1, -(-wanted.count() // BLOCK)), max(1, -(-members.count() // BLOCK))
-    left = wanted.groupBy(F.pmod("sig", F.lit(n_wanted)).alias("a")).agg(F.collect_list(F.struct(*packed)).alias("left"))
-    right = members.groupBy(F.pmod(F.xxhash64("case_id"), F.lit(n_members)).alias("b")).agg(F.collect_list(F.struct(*packed, "case_id", "decision_date", "case_number", "weight")).alias("right"))
-    pairs = right.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(n_wanted - 1)).cast("array<bigint>"))).join(left, "a").select("left", "right")
+    if rules.same_type <= rules.same_result + rules.same_category + rules.most_terms:
+        raise ValueError("a common type must count more than everything else together")
+    rows = written(_coded(signed), "signatures")
+    asked = rows if sources is None else rows.join(sources.select("case_id"), "case_id", "left_semi")
+    packed = ["sig", *CODES, *KNOWN]
+    members = written(_members(rows, limit + 1).select(*packed, "case_id", "decision_date", "case_number"), "members")
+    sizes = rows.where("type_known").groupBy("type_code").agg(F.count(F.lit(1)).alias("size"))
+    wanted = written(asked.select(*packed).distinct().join(sizes, "type_code", "left").withColumn("few", ~F.col("type_known") | (F.col("size") <= limit)), "wanted")
     case = signed.schema["case_id"].dataType.simpleString()
 
-    def best(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            for a, b in zip(pdf["left"], pdf["right"], strict=True):
-                a, b = (pd.DataFrame([x.asDict() if hasattr(x, "asDict") else x for x in rows]) for rows in (a, b))
-                b = b.sort_values("case_id").sort_values(["decision_date", "case_number"], ascending=False, na_position="last", kind="stable").reset_index(drop=True)
-                common = np.bitwise_and.outer(a["bits_code"].to_numpy(np.int64), b["bits_code"].to_numpy(np.int64))
-                score = np.minimum(np.bitwise_count(common).astype(np.int64) * rules.per_term, rules.most_terms)
-                for c, w in zip(SIGNATURE, (rules.same_type, rules.same_result, rules.same_category), strict=False):
-                    both = np.logical_and.outer(a[f"{c}_known"].to_numpy(bool), b[f"{c}_known"].to_numpy(bool))
-                    score += w * (both & np.equal.outer(a[f"{c}_code"].to_numpy(np.int64), b[f"{c}_code"].to_numpy(np.int64)))
-                total = (score > 0) @ b["weight"].to_numpy(np.int64)
-                order = score * len(b) - np.arange(len(b))  # among equal scores the first candidate
-                k = min(limit + 1, len(b))
-                top = np.argpartition(-order, k - 1, axis=1)[:, :k]
-                row = np.repeat(np.arange(len(a)), k)
-                flat = top.ravel()
-                out = pd.DataFrame({"sig": a["sig"].to_numpy()[row], "similar_id": b["case_id"].to_numpy()[flat], "decision_date": b["decision_date"].to_numpy()[flat], "case_number": b["case_number"].to_numpy()[flat], "score": score[row, flat], "common": common[row, flat], "total": 0})
-                for c in SIGNATURE[:3]:
-                    out[f"same_{c}"] = a[f"{c}_known"].to_numpy(bool)[row] & b[f"{c}_known"].to_numpy(bool)[flat] & (a[f"{c}_code"].to_numpy()[row] == b[f"{c}_code"].to_numpy()[flat])
-                first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-                out.loc[first, "total"] = total
-                yield out
-
-    schema = f"sig long, similar_id {case}, decision_date string, case_number string, score long, common long, total long, same_type boolean, same_result boolean, same_category boolean"
-    found = pairs.mapInPandas(best, schema)
+    def best(elsewhere: bool):
+        def rank(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in it:
+                for a, b in zip(pdf["left"], pdf["right"], strict=True):
+                    a, b = _frame(a), _frame(b)
+                    b = b.sort_values("case_id").sort_values(["decision_date", "case_number"], ascending=False, na_position="last", kind="stable").reset_index(drop=True)
+                    common = np.bitwise_and.outer(a["bits_code"].to_numpy(np.int64), b["bits_code"].to_numpy(np.int64))
+                    score = np.minimum(np.bitwise_count(common).astype(np.int64) * rules.per_term, rules.most_terms)
+                    same = {}
+                    for c, w in zip(SIGNATURE[:3], (rules.same_type, rules.same_result, rules.same_category), strict=True):
+                        both = np.logical_and.outer(a[f"{c}_known"].to_numpy(bool), b[f"{c}_known"].to_numpy(bool))
+                        same[c] = both & np.equal.outer(a[f"{c}_code"].to_numpy(np.int64), b[f"{c}_code"].to_numpy(np.int64))
+                        score += w * same[c]
+                    if elsewhere:
+                        score[same["type"]] = 0  # they have been compared
+                    order = score * len(b) - np.arange(len(b))  # among equal scores the first candidate
+                    k = min(limit + 1, len(b))
+                    flat = np.argpartition(-order, k - 1, axis=1)[:, :k].ravel()
+                    row = np.repeat(np.arange(len(a)), k)
+                    some = score[row, flat] > 0
+                    row, flat = row[some], flat[some]
+                    yield pd.DataFrame({"sig": a["sig"].to_numpy()[row], "similar_id": b["case_id"].to_numpy()[flat], "decision_date": b["decision_date"].to_numpy()[flat], "case_number": b["case_number"].to_numpy()[flat], "score": score[row, flat], "common": common[row, flat]} | {f"same_{c}": same[c][row, flat] for c in SIGNATURE[:3]})
+
+        return rank
+
+    schema = f"sig long, similar_id {case}, decision_date string, case_number string, score long, common long, same_type boolean, same_result boolean, same_category boolean"
+    typed = lambda df: df.where("type_known").withColumn("of_type", F.col("type_code"))
+    own = _met(typed(wanted.drop("size", "few")), typed(members), ["of_type"]).mapInPandas(best(False), schema)
+    every = lambda df: df.withColumn("all", F.lit(0))
+    rest = _met(every(wanted.where("few").drop("size", "few")), every(members), ["all"]).mapInPandas(best(True), schema)
     order = Window.partitionBy("sig").orderBy(F.desc("score"), F.desc_nulls_last("decision_date"), F.desc_nulls_last("case_number"), "similar_id")
-    ranked = found.withColumn("total", F.sum("total").over(Window.partitionBy("sig"))).withColumn("place", F.row_number().over(order)).where((F.col("place") <= limit + 1) & (F.col("score") > 0))
-    own = asked.join(ranked, "sig").where("case_id != similar_id")
+    ranked = own.unionByName(rest).withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit + 1)
+    total = rows.count()
+    counted = _unrelated(rows, asked.select(*packed).distinct()).select("sig", (F.lit(total) - F.col("unrelated") - 1).alias("total_candidates"))
     terms = shared_terms(F.col("common"), F.col("common"), rules)
     reasons = F.array_compact(F.array(*(F.when(F.col(f"same_{c}"), F.lit(f"same_{c}")) for c in SIGNATURE[:3]), F.when(F.size(terms) > 0, F.concat(F.lit("terms:"), F.array_join(terms, ",")))))
-    out = own.withColumn("rank", F.row_number().over(Window.partitionBy("case_id").orderBy("place"))).where(F.col("rank") <= limit)
+    # a signature's list is an array, so that its many cases are rows of one join
+    lists = ranked.groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("place", "similar_id", F.col("score").cast("double").alias("score"), reasons.alias("reasons")))).alias("found")).join(counted, "sig")
+    each = asked.select("case_id", "sig").join(written(lists, "related"), "sig")
+    others = F.slice(F.filter("found", lambda x: x["similar_id"] != F.col("case_id")), 1, limit)
     # the case itself has a score with itself wherever it has any feature, and then it was counted
-    return out.select("case_id", "rank", "similar_id", F.col("score").cast("double").alias("score"), reasons.alias("reasons"), (F.col("total") - 1).alias("total_candidates"))
+    return each.select("case_id", "total_candidates", F.posexplode(others).alias("at", "x")).select("case_id", (F.col("at") + 1).alias("rank"), "x.similar_id", "x.score", "x.reasons", "total_candidates")
 
 
-def similar_quality(similar: DataFrame, cases: DataFrame, sources: DataFrame, k: int = 5) -> DataFrame:
-    """One row: how often the first and the first k related cases have the own type of each of the sources (case_id)."""
+def similar_quality(similar: DataFrame, cases: DataFrame, sources: DataFrame | None = None, k: int = 5) -> DataFrame:
+    """One row: how often the first and the first k related cases have the own type of each of the sources (case_id), or of all cases."""
     types = cases.select("case_id", "dispute_type")
     others = types.select(F.col("case_id").alias("similar_id"), F.col("dispute_type").alias("other_type"))
     hits = similar.where(F.col("rank") <= k).join(others, "similar_id").join(types, "case_id").withColumn("same", (F.col("dispute_type") == F.col("other_type")).cast("int"))
     per = hits.groupBy("case_id").agg(F.sum("same").alias("same"), F.max(F.when(F.col("rank") == 1, F.col("same"))).alias("first"))
-    wanted = types.join(sources.select("case_id"), "case_id", "left_semi")
+    wanted = types if sources is None else types.join(sources.select("case_id"), "case_id", "left_semi")
     every = wanted.join(per, "case_id", "left").na.fill(0, ["same", "first"])
     return every.agg(
         F.count(F.lit(1)).alias("cases"), F.sum("first").alias("top1_same_type"), F.round(F.avg("first"), 4).alias("top1_rate"),

@@ -184,13 +184,13 @@ def semantic_similar(spark, sf):
 BITS = " + ".join(f"CASE WHEN contains(text, '{t}') THEN {1 << k} ELSE 0 END" for k, t in enumerate(LATIN_SIMILARITY.lexicon))
 SIGNED = f"signed AS (SELECT case_id, case_number, decision_date, nullif(dispute_type, '') AS t, nullif(decision_result, '') AS r, nullif(decision_category, '') AS c, CAST({BITS} AS BIGINT) AS bits FROM cases)"
 PAIR = "CASE WHEN a.t = b.t THEN 60 ELSE 0 END + CASE WHEN a.r = b.r THEN 15 ELSE 0 END + CASE WHEN a.c = b.c THEN 5 ELSE 0 END + least(30, 6 * bit_count(a.bits & b.bits))"
-SIMILAR = f"""pairs AS (SELECT a.case_id, b.case_id AS similar_id, {PAIR} AS score, b.decision_date, b.case_number FROM signed a JOIN signed b ON a.case_id <> b.case_id WHERE a.case_id % 20 = 0),
+SIMILAR = f"""pairs AS (SELECT a.case_id, b.case_id AS similar_id, {PAIR} AS score, b.decision_date, b.case_number FROM signed a JOIN signed b ON a.case_id <> b.case_id),
  sim AS (SELECT case_id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY score DESC, decision_date DESC, case_number DESC, similar_id) AS INTEGER) AS rank, similar_id, CAST(score AS DOUBLE) AS score, count(*) OVER (PARTITION BY case_id) AS total_candidates FROM pairs WHERE score > 0)"""
 
 
 def _similar(spark, sf, limit=5):
     signed = similar.signatures(D.cases(spark, sf, text=True), F.col("text"), LATIN_SIMILARITY)
-    return similar.similar_cases_topk(signed, _asked(spark, sf), limit, LATIN_SIMILARITY)
+    return similar.similar_cases_topk(signed, None, limit, LATIN_SIMILARITY)
 
 
 def _asked(spark, sf):
@@ -206,11 +206,11 @@ def similar_cases_topk(spark, sf):
 @query(
     with_sql(D.CASES, SIGNED, SIMILAR)
     + """, hits AS (SELECT s.case_id, s.rank, CAST(x.dispute_type = y.dispute_type AS INTEGER) AS same FROM sim s JOIN cases x ON x.case_id = s.case_id JOIN cases y ON y.case_id = s.similar_id WHERE s.rank <= 5),
- per AS (SELECT c.case_id, coalesce(sum(same), 0) AS same, coalesce(max(same) FILTER (rank = 1), 0) AS first FROM cases c LEFT JOIN hits USING (case_id) WHERE c.case_id % 20 = 0 GROUP BY 1)
+ per AS (SELECT c.case_id, coalesce(sum(same), 0) AS same, coalesce(max(same) FILTER (rank = 1), 0) AS first FROM cases c LEFT JOIN hits USING (case_id) GROUP BY 1)
  SELECT count(*) AS cases, CAST(sum(first) AS BIGINT) AS top1_same_type, round(avg(first), 4) AS top1_rate, count(*) FILTER (same > 0) AS topk_has_same_type, round(avg(same), 4) AS avg_same_in_topk, CAST(min(same) AS BIGINT) AS min_same_in_topk FROM per""".replace("WITH ", "", 1)
 )
 def similar_quality(spark, sf):
-    return similar.similar_quality(_similar(spark, sf), D.cases(spark, sf), _asked(spark, sf))
+    return similar.similar_quality(_similar(spark, sf), D.cases(spark, sf))
 
 
 def _two_models(spark, sf):
