@@ -1,14 +1,18 @@
 """Batches of queries over the corpus: substring, full text, vectors, and fused rankings.
 
-Rankings are partitioned by query. Query texts are broadcast only while their counted rows stay under BROADCAST_ROWS.
+Rankings are partitioned by query. Query texts are broadcast in blocks of PATTERN_CHARS characters.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from ..functions import text as T
 from ..sources.shared import written
@@ -17,26 +21,73 @@ from .vectors import ClusterIndex, cluster_index, dot_products
 K1, B = 1.2, 0.75
 RRF = 60
 SEMANTIC_WEIGHT, KEYWORD_WEIGHT = 2.0, 1.0
-BROADCAST_ROWS = 10_000
+#: Of the queries' texts, what goes into one automaton.
+PATTERN_CHARS = 1 << 20
+
+
+def _pattern_blocks(queries: DataFrame) -> Iterator[dict[str, list]]:
+    """Query ids by their text in lower case, about PATTERN_CHARS characters of distinct texts at a time."""
+    words = written(queries.groupBy(F.lower("query").alias("q")).agg(F.collect_list("query_id").alias("ids")), "patterns")
+    total = words.agg(F.sum(F.char_length("q") + F.size("ids"))).first()[0] or 0
+    blocks = max(1, -(-total // PATTERN_CHARS))
+    for b in range(blocks):
+        part = words if blocks == 1 else words.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b)
+        if found := {q: list(ids) for q, ids in part.collect()}:
+            yield found
+
+
+def _contains(cases: DataFrame, patterns: dict[str, list], columns: list[str], keep: list[str], id_type: DataType) -> DataFrame:
+    """(query_id, keep...) by one Aho-Corasick automaton, which passes over each text once whatever the number of patterns."""
+    sent = cases.sparkSession.sparkContext.broadcast(patterns)
+    rows = cases.select(*keep, *(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(f"__text{k}") for k, c in enumerate(columns)))
+    kinds = ", ".join([f"query_id {id_type.simpleString()}", *(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])])
+    arrow = to_arrow_type(id_type)
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for q, ids in sent.value.items():
+            automaton.add_word(q, ids)
+        automaton.make_automaton()
+        for batch in it:
+            texts = [batch.column(len(keep) + k) for k in range(len(columns))]
+            of, queries = [], []
+            for row in range(len(batch)):
+                # a pattern's ids are one list, so a set of lists by identity is the set of patterns found
+                found = {id(ids): ids for t in texts for _, ids in automaton.iter(t[row].as_py())}
+                for ids in found.values():
+                    queries += ids
+                    of += [row] * len(ids)
+            if of:
+                kept = [c.take(pa.array(of)) for c in batch.columns[: len(keep)]]
+                yield pa.RecordBatch.from_arrays([pa.array(queries, arrow), *kept], names=["query_id", *keep])
+
+    return rows.mapInArrow(batches, kinds)
 
 
 def keyword_like(cases: DataFrame, queries: DataFrame, columns: list[str], keep: list[str], wildcards: bool = False) -> DataFrame:
-    """(query_id, keep…) of rows with the query in one of the columns, whatever the case of ASCII letters.
+    """(query_id, keep...) of rows with the query in one of the columns, whatever the case of letters.
 
-    The rows are read once: all queries travel with them as one array, in batches of BROADCAST_ROWS queries.
+    All queries are looked for in one pass over the texts, PATTERN_CHARS of them at a time. With `wildcards`, % and _ in a query
+    stand for any text and any character, and a backslash for what follows it; such queries are tested one by one.
     """
-    n = max(1, -(-queries.count() // BROADCAST_ROWS))
-    word = F.concat(F.lit("%"), F.col("query"), F.lit("%")) if wildcards else F.lower("query")
     given = queries.where(F.coalesce(F.col("query"), F.lit("")) != "")
-    sets = given.groupBy(F.pmod(F.hash("query_id"), F.lit(n)).alias("batch")).agg(F.collect_list(F.struct("query_id", word.alias("q"))).alias("qs"))
-    plain = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
-    names = [f"__text{k}" for k in range(len(columns))]
-    # lower case is made before the rows meet the queries: inside the filter it would be made for each query
-    rows = cases.select(*keep, *((t if wildcards else F.lower(t)).alias(c) for t, c in zip(plain, names, strict=True)))
-    test = F.ilike if wildcards else F.contains
-    hit = lambda s: reduce(lambda a, b: a | b, [test(F.col(c), s.q) for c in names])
-    joined = rows.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(F.broadcast(sets), "batch")
-    return joined.select(*keep, F.explode(F.filter("qs", hit)).alias("__q")).select(F.col("__q.query_id").alias("query_id"), *keep)
+    special = F.col("query").rlike(r"[%_\\]")
+    plain = given.where(~special) if wildcards else given
+    id_type = queries.schema["query_id"].dataType
+    parts = [_contains(cases, patterns, columns, keep, id_type) for patterns in _pattern_blocks(plain)]
+    if wildcards:
+        n = max(1, -(-given.where(special).agg(F.sum(F.char_length("query") + 20)).first()[0] // PATTERN_CHARS)) if not given.where(special).isEmpty() else 0
+        word = F.concat(F.lit("%"), F.col("query"), F.lit("%"))
+        for b in range(n):
+            sets = given.where(special & (F.pmod(F.xxhash64("query_id"), F.lit(n)) == b)).agg(F.collect_list(F.struct("query_id", word.alias("q"))).alias("qs"))
+            hit = lambda s: reduce(lambda x, y: x | y, [F.ilike(F.coalesce(F.col(c).cast("string"), F.lit("")), s.q) for c in columns])
+            one = cases.withColumn("__one", F.lit(1)).join(F.broadcast(sets.withColumn("__one", F.lit(1))), "__one")
+            parts.append(one.select(*keep, F.explode(F.filter("qs", hit)).alias("__q")).select(F.col("__q.query_id").alias("query_id"), *keep))
+    if not parts:
+        return cases.select(F.lit(None).cast(id_type).alias("query_id"), *keep).limit(0)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def bm25(docs: DataFrame, queries: DataFrame, key: str, columns: list[str]) -> DataFrame:
