@@ -5,6 +5,7 @@ Rankings are partitioned by query. Query texts are broadcast in blocks of PATTER
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -16,9 +17,9 @@ from pyspark.sql.types import DataType
 
 from ..functions import text as T
 from ..sources.shared import written
+from .postings import Postings, bm25
 from .vectors import ClusterIndex, cluster_index, dot_products
 
-K1, B = 1.2, 0.75
 RRF = 60
 SEMANTIC_WEIGHT, KEYWORD_WEIGHT = 2.0, 1.0
 #: Of the queries' texts, what goes into one automaton.
@@ -90,37 +91,14 @@ def keyword_like(cases: DataFrame, queries: DataFrame, columns: list[str], keep:
     return reduce(DataFrame.unionByName, parts)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(query_id, key, score) of documents with every term of the query.
-
-    Texts are cut into terms once; what is kept of a document is a row for each term that some query has, and one for all
-    others together, so that lengths, rarities and scores come from that table. A term's rarity counts over all documents.
-    """
-    wanted = queries.select("query_id", F.explode(F.array_distinct(T.search_terms(F.col("query")))).alias("term"))
-    vocabulary = wanted.select("term").distinct().withColumn("known", F.col("term"))
-    terms = F.concat(*(T.search_terms(F.col(c).cast("string")) for c in columns))
-    each = docs.select(key, F.explode_outer(terms).alias("term")).join(vocabulary, "term", "left")
-    counted = written(each.groupBy(key, "known").agg(F.count("term").alias("tf")), "terms")
-    sizes = counted.groupBy(key).agg(F.sum("tf").alias("length"))
-    totals = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avgdl"))
-    found = counted.where("known is not null").withColumnRenamed("known", "term").join(sizes, key)
-    rarity = counted.where("known is not null").groupBy(F.col("known").alias("term")).agg(F.count(F.lit(1)).alias("df"))
-    need = wanted.groupBy("query_id").agg(F.count(F.lit(1)).alias("need"))
-    # one row, joined to the few rarities by a key that all share
-    rarity = rarity.withColumn("one", F.lit(1)).join(F.broadcast(totals.withColumn("one", F.lit(1))), "one")
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.coalesce(F.nullif("avgdl", F.lit(0.0)), F.lit(1.0))))
-    scored = found.join(rarity, "term").withColumn("w", weight).join(wanted, "term")
-    return scored.groupBy("query_id", key).agg(F.sum("w").alias("score"), F.count(F.lit(1)).alias("have")).join(need, "query_id").where("have = need").select("query_id", key, "score")
-
-
-def keyword_search(cases: DataFrame, queries: DataFrame, key: str, columns: list[str], date: str, number: str, limit: int | None = None) -> DataFrame:
+def keyword_search(cases: DataFrame, queries: DataFrame, key: str, columns: list[str], date: str, number: str, limit: int | None = None, index: Postings | None = None) -> DataFrame:
     """(query_id, key, keyword_score, match_source, keyword_rank): full text, else substrings for queries without any hit.
 
     A query without a usable term goes to substrings as an error of the full-text channel. Scores that agree to nine
-    places are equal, whatever the order in which they were summed. limit keeps the first ranks only.
+    places are equal, whatever the order in which they were summed. limit keeps the first ranks only. index: the stored
+    postings of the same cases and columns.
     """
-    hits = written(bm25(cases, queries, key, columns), "hits")
+    hits = written(bm25(cases, queries, key, columns) if index is None else index.search(queries, limit), "hits")
     empty = F.size(T.search_terms(F.col("query"))) == 0
     rest = queries.join(hits.select("query_id").distinct(), "query_id", "left_anti").withColumn("match_source", F.when(empty, "like_fallback_error").otherwise("like_fallback_empty_fts5"))
     rest = written(rest, "fallback-queries")
@@ -209,9 +187,9 @@ def reciprocal_rank(rank: Column, weight: float) -> Column:
 def hybrid_search(keyword: DataFrame, semantic: DataFrame, cases: DataFrame) -> DataFrame:
     """Weighted reciprocal-rank fusion of two rankings; without a semantic ranking the keyword one stands alone.
 
-    keyword: query_id, case_id, keyword_rank, match_source; semantic: query_id, case_id, semantic_rank, similarity. Where
-    both are cut to a depth (the limits of keyword_search and case_rankings), a case beyond the depth of a channel counts
-    as not found by it; whole rankings give the exact fusion.
+    keyword: query_id, case_id, keyword_rank, match_source; semantic: query_id, case_id, semantic_rank, similarity. Whole
+    rankings give the whole fusion. Its first k are exact with the whole keyword ranking and the first fusion_depth(k)
+    cases of the semantic one: hybrid_topk.
     """
     joined = keyword.select("query_id", "case_id", "keyword_rank", "match_source").join(semantic.select("query_id", "case_id", "semantic_rank", "similarity"), ["query_id", "case_id"], "full")
     score = F.round(reciprocal_rank(F.col("semantic_rank"), SEMANTIC_WEIGHT) + reciprocal_rank(F.col("keyword_rank"), KEYWORD_WEIGHT), 8)
@@ -221,6 +199,25 @@ def hybrid_search(keyword: DataFrame, semantic: DataFrame, cases: DataFrame) ->
     return named.withColumn("rank", F.row_number().over(order)).select("query_id", "case_id", "rank", "hybrid_score", "match_type", "semantic_rank", "keyword_rank", "similarity", "match_source")
 
 
+def fusion_depth(k: int) -> int | None:
+    """How deep the semantic ranking has to be for the first k of a fusion; None: all of it.
+
+    The threshold is met where a case beyond the depth d, first in the keyword ranking at best, scores less than the k-th case
+    of the semantic ranking has by its vectors alone: 1/61 + 2/(61 + d) < 2/(60 + k), with the rounding to eight places to spare.
+    A semantic ranking that ends before holds every case that it could add. Semantic weight decides, so from k = 62 no depth will do.
+    """
+    spare = SEMANTIC_WEIGHT / (RRF + k) - KEYWORD_WEIGHT / (RRF + 1) - 2e-8
+    return None if spare <= 0 else max(k, math.floor(SEMANTIC_WEIGHT / spare) - RRF)
+
+
+def hybrid_topk(keyword: DataFrame, queries: DataFrame, chunks: DataFrame, cases: DataFrame, k: int = 20) -> DataFrame:
+    """The first k of hybrid_search, exactly, without ranking the corpus for each query: tasks keep the first fusion_depth(k) cases.
+
+    keyword: the whole keyword ranking, which holds a query's hits alone; queries: query_id, vector; chunks as in case_rankings.
+    """
+    return hybrid_search(keyword, case_rankings(queries, chunks, cases, fusion_depth(k)), cases).where(F.col("rank") <= k)
+
+
 def keyword_only(keyword: DataFrame) -> DataFrame:
     """The ranking where no vectors exist."""
     return keyword.select("query_id", "case_id", F.col("keyword_rank").alias("rank"), F.round(reciprocal_rank(F.col("keyword_rank"), KEYWORD_WEIGHT), 8).alias("hybrid_score"), F.lit("keyword").alias("match_type"), F.lit(None).cast("double").alias("similarity"), "match_source")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..config import LATIN_SIMILARITY
-from ..operators import embed, search, similar
+from ..operators import embed, postings, search, similar
 from ..sources import shared
 from . import bindings as D
 from .bindings import with_sql
@@ -52,6 +52,13 @@ def bm25_search(spark, sf):
     return search.bm25(D.cases(spark, sf, text=True), _words(spark, sf), "case_id", COLUMNS).select("query_id", "case_id", F.round("score", 5).alias("score"))
 
 
+@query(with_sql(D.CASES, D.QUERIES, BM25) + "SELECT query_id, case_id, round(score, 5) AS score FROM bm")
+def bm25_indexed(spark, sf):
+    """The same from stored postings."""
+    index = postings.build(D.cases(spark, sf, text=True), "case_id", COLUMNS)
+    return index.search(_words(spark, sf)).select("query_id", "case_id", F.round("score", 5).alias("score"))
+
+
 WORD_HIT = HIT.replace("q.query", "q.words")
 KEYWORD = f"""kw AS (SELECT query_id, case_id, score, 'fts5' AS match_source FROM bm UNION ALL SELECT q.query_id, c.case_id, NULL, CASE WHEN len({TERMS('q.words')}) = 0 THEN 'like_fallback_error' ELSE 'like_fallback_empty_fts5' END FROM queries q JOIN cases c ON {WORD_HIT} WHERE q.query_id NOT IN (SELECT query_id FROM bm)),
  kr AS (SELECT query_id, case_id, match_source, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC NULLS LAST, decision_date DESC, case_number DESC, case_id) AS INTEGER) AS keyword_rank FROM kw JOIN cases USING (case_id))"""
@@ -127,15 +134,11 @@ def hybrid_search(spark, sf):
     return _hybrid(spark, sf)
 
 
-DEEP = ALL.replace("kr FULL JOIN sr", "(SELECT * FROM kr WHERE keyword_rank <= 50) kr FULL JOIN (SELECT * FROM sr WHERE semantic_rank <= 50) sr")
-
-
-@query(DEEP + "SELECT query_id, case_id, rank, hybrid_score, match_type FROM hr WHERE rank <= 20")
+@query(ALL + "SELECT query_id, case_id, rank, hybrid_score, match_type FROM hr WHERE rank <= 20")
 def hybrid_topk(spark, sf):
-    """The first 20 of the fusion of both rankings' first 50, without ranking the corpus."""
-    keyword = search.keyword_search(D.cases(spark, sf, text=True), _words(spark, sf), "case_id", COLUMNS, "decision_date", "case_number", 50)
-    semantic = search.case_rankings(D.query_vectors(spark, sf), D.dated_chunks(spark, sf).drop("decision_date", "case_number"), D.cases(spark, sf), 50)
-    return search.hybrid_search(keyword, semantic, D.cases(spark, sf)).where("rank <= 20").select("query_id", "case_id", "rank", "hybrid_score", "match_type")
+    """The first 20 of the whole fusion, without ranking the corpus."""
+    made = search.hybrid_topk(_keyword(spark, sf), D.query_vectors(spark, sf), D.dated_chunks(spark, sf), D.cases(spark, sf), 20)
+    return made.select("query_id", "case_id", "rank", "hybrid_score", "match_type")
 
 
 @query(with_sql(D.CASES, D.CHUNKS, D.DATED, D.QUERY_VECTORS, SCORED, BEST, SEMANTIC) + "SELECT query_id, case_id, semantic_rank, round(2.0 / (60 + semantic_rank), 8) AS score FROM sr WHERE semantic_rank <= 10")
