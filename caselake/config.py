@@ -195,10 +195,11 @@ class Display:
             "issues": ("[（(]N[）)]",),
         }
     )
-    # fixed values: how a continued sentence begins, by section; closing formulas; restated issues; outcomes; policy history
+    # fixed values: how a continued sentence begins, by section; closing formulas; characters that don't tell texts apart; restated issues; outcomes; policy history
     continued: dict = field(default_factory=lambda: {"respondent_claim": (r"[，,；;]\s*", "而(?=相對人)")})
     closing: dict = field(default_factory=lambda: {"conclusion": r"\s*兩造其餘陳述及攻擊防禦方法，.*?併予敘明。\s*$"})
     restated: str = "(?:準此，|是)?本件爭點(?:厥為|應為|為|如下)"
+    blanks: str = r"[ \t\n\r　，,。；;：:]"
     negative: str = "本中心(?:就申請人之請求)?尚難為有利(?:於)?申請人之認定"
     history: str = "^申請人於.{0,80}(?:向相對人)?投保.{0,240}(?:保險契約|附加)"
     history_word: str = "投保"

@@ -156,7 +156,15 @@ def balance_per_category(spark, sf):
     return X.balance_per_category(_statements(spark, sf), "doc_id").select("doc_id", "category", "ordinal")
 
 
-@query()
+#: A step for each statement: the first place whose quote holds it, or is held by it, and what stands there afterwards.
+DEDUP = f"""WITH RECURSIVE {PRIORITY}, g AS (SELECT doc_id, category, list(text ORDER BY ordinal) AS q, list(ordinal ORDER BY ordinal) AS o FROM st GROUP BY 1, 2),
+ w AS (SELECT doc_id, category, q, o, 1 AS r, [{{'a': 1, 'b': 1}}] AS p FROM g
+  UNION ALL SELECT doc_id, category, q, o, r + 1, CASE WHEN coalesce(k, 0) = 0 THEN list_append(p, {{'a': r + 1, 'b': r + 1}}) WHEN length(q[r + 1]) > length(q[p[k].b]) THEN list_transform(p, lambda x, i: CASE WHEN i = k THEN {{'a': x.a, 'b': r + 1}} ELSE x END) ELSE p END
+  FROM (SELECT *, list_position(list_transform(p, lambda x: contains(q[r + 1], q[x.b]) OR contains(q[x.b], q[r + 1])), true) AS k FROM w WHERE r < len(q)))
+ SELECT doc_id, o[x.a] AS ordinal, category, q[x.b] AS quote FROM (SELECT doc_id, category, q, o, unnest(p) AS x FROM w WHERE r = len(q))"""
+
+
+@query(DEDUP)
 def dedup_statements(spark, sf):
     return X.dedup_statements(_statements(spark, sf), "doc_id").select("doc_id", "ordinal", "category", "quote")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import LATIN_CHUNKING, LATIN_OUTCOME, LATIN_STATEMENTS, RuleSummary, Sections
+from ..config import LATIN_CHUNKING, LATIN_OUTCOME, LATIN_STATEMENTS, Laws, RuleSummary, Sections
 from ..functions import text as T
 from ..operators import extract as X
 from ..operators import quality, sections
@@ -315,18 +315,29 @@ def extract_rule_summary(spark, sf):
     return D.table(spark, sf, "documents").select("doc_id", X.rule_summary(F.col("text"), LATIN_SUMMARY).alias("s")).select("doc_id", "s.*")
 
 
+LATIN_SUMMARY_RULES = type(LATIN_STATEMENTS)(ends=".;?!", breaks=".;", categories={"basic_info": "background", "other": "background", "holding": "decision_result", "procedure": "reasoning", "notice": "core_issue"})
+#: The sections of these texts that stand for the panel's.
+LATIN_LAWS = Laws(sections=("basic_info", "other", "holding", "procedure", "notice"))
+
+
+def cited_documents(spark, sf):
+    """Documents that end with two citations of statutes and a repeated one."""
+    i = F.col("doc_id")
+    cite = lambda k: F.concat(F.lit("按"), F.element_at(F.array(*map(F.lit, ("保險法", "民法", "金融消費者保護法"))), ((i + k) % 3 + 1).cast("int")), F.lit("第"), ((i + k) % 7 + 1).cast("string"), F.lit("條規定。"))
+    return D.table(spark, sf, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), cite(0), cite(1), cite(0)).alias("text"))
+
+
 @query()
 def extractive_summary(spark, sf):
-    rules = type(LATIN_STATEMENTS)(ends=".;?!", breaks=".;", categories={"basic_info": "background", "other": "background", "holding": "decision_result", "procedure": "reasoning", "notice": "core_issue"})
-    return X.extractive_summary(D.table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", LATIN_SECTIONS, rules).drop("evidence")
+    return X.extractive_summary(cited_documents(spark, sf), "doc_id", "text", LATIN_SECTIONS, LATIN_SUMMARY_RULES, laws=LATIN_LAWS)
 
 
-@query("SELECT doc_id, 'evidence' AS kind, CAST(doc_id AS VARCHAR) AS item, CASE WHEN doc_id % 5 = 0 THEN 'unsupported_quote' ELSE 'wrong_category' END AS violation FROM documents WHERE length(text) > 60 AND (doc_id % 5 = 0 OR doc_id % 7 = 0) AND NOT (doc_id % 5 = 0 AND doc_id % 7 = 0) UNION ALL SELECT doc_id, 'evidence', CAST(doc_id AS VARCHAR), unnest(['unsupported_quote', 'wrong_category']) FROM documents WHERE length(text) > 60 AND doc_id % 35 = 0")
+@query("SELECT doc_id, 'evidence' AS kind, CAST(doc_id AS VARCHAR) AS item, CASE WHEN doc_id % 5 = 0 THEN 'unsupported_quote' ELSE 'wrong_category' END AS violation FROM documents WHERE (doc_id % 5 = 0 OR doc_id % 7 = 0) AND NOT (doc_id % 5 = 0 AND doc_id % 7 = 0) UNION ALL SELECT doc_id, 'evidence', CAST(doc_id AS VARCHAR), unnest(['unsupported_quote', 'wrong_category']) FROM documents WHERE doc_id % 35 = 0")
 def evidence_grounding(spark, sf):
     """One quote a document, of which every fifth is spoilt and every seventh is in a wrong category."""
-    docs = D.table(spark, sf, "documents").where("char_length(text) > 60")
+    docs = D.table(spark, sf, "documents")
     cut = docs.select("doc_id", F.lit("reasoning_1").alias("section_id"), F.lit("reasoning").alias("section_type"), F.col("text").alias("content"))
-    quote = F.concat(F.substring("text", 5, 40), F.when(F.col("doc_id") % 5 == 0, "#|#").otherwise(""))
+    quote = F.concat(F.substring("text", 1, 40), F.when(F.col("doc_id") % 5 == 0, "#|#").otherwise(""))
     evidence = docs.select("doc_id", F.col("doc_id").cast("string").alias("item"), F.lit("reasoning_1").alias("section_id"), F.when(F.col("doc_id") % 7 == 0, "background").otherwise("reasoning").alias("category"), quote.alias("evidence_quote"))
     citations = evidence.limit(0).select("doc_id", "item", "section_id", F.lit("").alias("law_name"), F.lit("").alias("article"))
     return X.grounding_violations(evidence, citations, cut, "doc_id")
