@@ -54,8 +54,9 @@ def common_chunks(embeddings: DataFrame, model_a: str, model_b: str) -> DataFram
 
 
 def dedupe_records(records: DataFrame, key: str, order: str) -> DataFrame:
-    """The first record of each key with the number of records that it stands for."""
-    first = records.groupBy(key).agg(F.min_by(F.struct(*(c for c in records.columns if c != key)), order).alias("r"), F.count(F.lit(1)).alias("n"))
+    """The first record of each key with the number of records that it stands for; of equally early ones always the same."""
+    others = [c for c in records.columns if c != key]
+    first = records.groupBy(key).agg(F.min_by(F.struct(*others), F.struct(order, F.xxhash64(*others))).alias("r"), F.count(F.lit(1)).alias("n"))
     return first.select(key, "r.*", (F.col("n") - 1).alias("duplicates"))
 
 

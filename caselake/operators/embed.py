@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
+#: Elements of the vectors that a task makes together.
+CELLS = 1 << 21
+
+
 def token_buckets(names: np.ndarray, dims: int) -> np.ndarray:
     """The bucket of each token: the first eight bytes of its BLAKE2b hash, little-endian, modulo dims."""
     digests = b"".join(hashlib.blake2b(str(t).encode(), digest_size=8).digest() for t in names)
@@ -43,9 +47,12 @@ def hash_embed(df: DataFrame, text: str, keep: list[str], dims: int = 384) -> Da
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "vector array<float>, norm double, token_count int"])
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            vector, norm, count = hash_vectors(pdf.pop("__tokens").tolist(), dims)
-            yield pdf.assign(vector=list(vector.astype(np.float32)), norm=norm, token_count=count)
+        step = max(1, CELLS // dims)
+        for whole in it:
+            for i in range(0, len(whole), step):
+                pdf = whole.iloc[i : i + step].copy()
+                vector, norm, count = hash_vectors(pdf.pop("__tokens").tolist(), dims)
+                yield pdf.assign(vector=list(vector.astype(np.float32)), norm=norm, token_count=count)
 
     return rows.mapInPandas(batches, schema)
 

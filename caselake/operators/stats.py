@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -54,10 +54,21 @@ def inventory_errors(inventory: DataFrame, model: str, dims: int) -> DataFrame:
 
 
 def summary_field_stats(summaries: DataFrame, fields: list[str], foreign: str = r"\A\z.") -> DataFrame:
-    """Per field: filled rows, least, median, average and greatest length, and how many hold a later heading."""
+    """Per field: filled rows, least, median, average and greatest length, and how many hold a later heading.
+
+    Lengths are counted in each task first, so what meets is a row for each field and length, of which there are as many as
+    the longest text has characters at most; the median is exact.
+    """
     long = summaries.select(F.expr(f"stack({len(fields)}, {', '.join(f'{chr(39)}{f}{chr(39)}, {f}' for f in fields)}) as (field, value)"))
     size = F.when(F.coalesce("value", F.lit("")) != "", F.char_length("value"))
-    return long.groupBy("field").agg(
-        F.count(size).alias("filled"), F.min(size).alias("min_chars"), F.expr("percentile(if(coalesce(value, '') != '', char_length(value), null), 0.5)").alias("median_chars"),
-        F.round(F.avg(size), 2).alias("avg_chars"), F.max(size).alias("max_chars"), F.count(F.when(F.col("value").rlike(foreign), 1)).alias("contaminated"),
+    counted = long.groupBy("field", size.alias("size")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("value").rlike(foreign), 1)).alias("contaminated"))
+    sized = F.when(F.col("size").isNotNull(), F.col("n")).otherwise(0)
+    every = Window.partitionBy("field")
+    ranked = counted.withColumn("filled", F.sum(sized).over(every)).withColumn("upto", F.sum(sized).over(every.orderBy(F.asc_nulls_first("size"))))
+    # the length at a place is the least up to which so many rows have been counted
+    at = lambda place: F.min(F.when(F.col("size").isNotNull() & (F.col("upto") >= place), F.col("size")))
+    middle = (at(F.floor((F.col("filled") + 1) / 2)) + at(F.floor(F.col("filled") / 2) + 1)) / 2
+    return ranked.groupBy("field").agg(
+        F.max("filled").alias("filled"), F.min("size").alias("min_chars"), middle.alias("median_chars"), F.round(F.sum(F.col("size") * F.col("n")) / F.max("filled"), 2).alias("avg_chars"),
+        F.max("size").alias("max_chars"), F.sum("contaminated").alias("contaminated"),
     )

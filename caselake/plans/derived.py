@@ -27,12 +27,8 @@ def query(sql: str | None = None):
     return add
 
 
-@query(
-    with_sql(D.CASES)
-    + "SELECT 'case_' || sha1(case_number)[1:16] AS case_id, case_number, roc_year, decision_date, dispute_type, CAST(n_chars AS INTEGER) AS raw_text_chars, CASE WHEN case_id % 10 = 0 THEN 'missing_case_number' END AS failure FROM (SELECT case_id, CASE WHEN case_id % 10 = 0 THEN '' ELSE case_number END AS case_number, roc_year, decision_date, dispute_type, n_chars FROM cases)"
-)
-def flatten_record(spark, sf):
-    """Cases written as nested JSON (a file with a list of records for each partition), read and flattened again."""
+def _metadata(spark, sf):
+    """Cases as nested JSON, a file with a list of records for each partition; the folder."""
     c = D.cases(spark, sf, text=True)
     record = F.struct(
         F.when(F.col("case_id") % 10 != 0, F.col("case_number")).alias("case_number"), "decision_date", F.struct(F.col("dispute_type").alias("label")).alias("dispute_type"),
@@ -42,10 +38,28 @@ def flatten_record(spark, sf):
     n = max(8, c.count() // 20_000)  # records in a file stay bounded
     files = c.select(record.alias("record"), F.pmod(F.xxhash64("case_id"), F.lit(n)).alias("file")).groupBy("file").agg(F.collect_list("record").alias("records"))
     files.repartition(n, "file").write.partitionBy("file").json(path)
-    made = io.flatten_record(io.read_case_metadata(spark, [f"{path}/*"], "*.json"))
+    return path
+
+
+@query(
+    with_sql(D.CASES)
+    + "SELECT 'case_' || sha1(case_number)[1:16] AS case_id, case_number, roc_year, decision_date, dispute_type, CAST(n_chars AS INTEGER) AS raw_text_chars, CASE WHEN case_id % 10 = 0 THEN 'missing_case_number' END AS failure FROM (SELECT case_id, CASE WHEN case_id % 10 = 0 THEN '' ELSE case_number END AS case_number, roc_year, decision_date, dispute_type, n_chars FROM cases)"
+)
+def flatten_record(spark, sf):
+    """Cases written as nested JSON, read and flattened again."""
+    made = io.flatten_record(io.read_case_metadata(spark, [f"{_metadata(spark, sf)}/*"], "*.json"))
     return made.select("case_id", "case_number", "roc_year", "decision_date", "dispute_type", "raw_text_chars", "failure")
 
 
+@query(with_sql(D.CASES) + "SELECT CASE WHEN case_id % 10 <> 0 THEN case_number END AS case_number, decision_date, dispute_type AS label, CAST(n_chars AS INTEGER) AS raw_text_chars, TRUE AS several FROM cases")
+def read_case_metadata(spark, sf):
+    """The records of several files, one path being named twice."""
+    path = f"{_metadata(spark, sf)}/*"
+    made = io.read_case_metadata(spark, [path, path], "*.json")
+    files = made.agg((F.countDistinct("file") > 1).alias("several")).withColumn("one", F.lit(1))
+    return made.select("case_number", "decision_date", F.col("dispute_type.label").alias("label"), F.col("text_extraction.raw_text_chars").alias("raw_text_chars")).withColumn("one", F.lit(1)).join(F.broadcast(files), "one").drop("one")
+
+
 @query(with_sql(D.CASES) + "SELECT roc_year, dispute_type AS dispute_type_part, count(*) AS n FROM cases GROUP BY 1, 2")
 def write_case_lake(spark, sf):
     path = shared_folder(spark, "lake")

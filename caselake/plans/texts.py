@@ -120,9 +120,9 @@ def normalize_link(spark, sf):
     return D.table(spark, sf, "pages").select("page_id", T.normalize_link(F.col("url"), "https://example.org", "page").alias("link"))
 
 
-@query("SELECT doc_id, length(text) AS actual, n_chars AS stored, length(text) = n_chars AS agrees, CASE WHEN doc_id % 3 = 0 THEN 'raw' ELSE 'normalized' END AS source, doc_id % 3 = 0 AS fallback FROM documents WHERE text <> ''")
+@query("SELECT doc_id, length(text) AS actual, n_chars AS stored, length(text) = n_chars AS agrees, CASE WHEN doc_id % 3 = 0 THEN 'raw' ELSE 'normalized' END AS source, doc_id % 3 = 0 AS fallback FROM documents")
 def select_text_source(spark, sf):
-    docs = D.table(spark, sf, "documents").where("text != ''")
+    docs = D.table(spark, sf, "documents")
     chosen = T.text_source(F.when(F.col("doc_id") % 3 != 0, F.col("text")).otherwise(""), F.col("text"))
     rows = docs.withColumn("c", chosen).select("doc_id", F.char_length("c.text").cast("long").alias("actual"), F.col("n_chars").alias("stored"), "c.source", "c.fallback")
     return rows.withColumn("agrees", F.col("actual") == F.col("stored"))
@@ -196,10 +196,10 @@ def split_sections(spark, sf):
     return sections.split_sections(D.table(spark, sf, "documents"), "text", ["doc_id"], LATIN_SECTIONS).select("doc_id", "section_id", "section_type", "position", "start_offset", "end_offset", F.md5(F.col("content").cast("binary")).alias("digest"))
 
 
-@query(f"WITH {CUT}, left_over AS (SELECT doc_id, sum(end_offset - start_offset) AS n FROM section WHERE NOT (position = 2 AND doc_id % 3 = 0) GROUP BY 1) SELECT doc_id, length(text) AS source_chars, CAST(n AS BIGINT) AS covered_chars, n = length(text) AS complete FROM documents JOIN left_over USING (doc_id) WHERE text IS NOT NULL AND text <> ''")
+@query(f"WITH {CUT}, left_over AS (SELECT doc_id, sum(end_offset - start_offset) AS n FROM section WHERE NOT (position = 2 AND doc_id % 3 = 0) GROUP BY 1) SELECT doc_id, length(text) AS source_chars, CAST(n AS BIGINT) AS covered_chars, n = length(text) AS complete FROM documents LEFT JOIN left_over USING (doc_id)")
 def section_coverage(spark, sf):
     """Every third document has lost its second section."""
-    docs = D.table(spark, sf, "documents").where("text is not null and text != ''")
+    docs = D.table(spark, sf, "documents")
     cut = sections.split_sections(docs, "text", ["doc_id"], LATIN_SECTIONS).where("not (position = 2 and doc_id % 3 = 0)")
     return sections.section_coverage(cut, docs, "doc_id", "text")
 

@@ -174,10 +174,14 @@ def parse_listing_pages(pages: DataFrame, most: int = 1000, none_mark: str = "
     return pages.select("page_id", "html").mapInPandas(rows, LISTING)
 
 
-def write_case_lake(cases: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Cases as Parquet by year and type; only the partitions in the data are replaced."""
+def write_case_lake(cases: DataFrame, path: str, mode: str = "overwrite", file_rows: int = 5_000_000) -> None:
+    """Cases as Parquet by year and type; only the partitions in the data are replaced.
+
+    The rows are rebalanced: small partitions come together, and a large one is dealt over tasks of the advisory partition size
+    (spark.sql.adaptive.advisoryPartitionSizeInBytes), so a hot type is several files, none of more than file_rows rows.
+    """
     named = cases.withColumn("dispute_type_part", T.safe_path_part(F.coalesce("dispute_type", F.lit(""))))
-    named.repartition("roc_year", "dispute_type_part").write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("roc_year", "dispute_type_part").parquet(path)
+    named.hint("rebalance", "roc_year", "dispute_type_part").write.mode(mode).option("maxRecordsPerFile", file_rows).option("partitionOverwriteMode", "dynamic").partitionBy("roc_year", "dispute_type_part").parquet(path)
 
 
 def report(df: DataFrame, failure: str, sample: list[str], most: int = 20) -> DataFrame:

@@ -7,16 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.cases import upsert
+from ..operators.cases import dedupe_records, upsert
 
 
-def ingest(records: DataFrame, read_old: Callable[[], DataFrame], write_new: Callable[[DataFrame, int], None], key: str, checkpoint: str) -> StreamingQuery:
+def ingest(records: DataFrame, read_old: Callable[[], DataFrame], write_new: Callable[[DataFrame, int], None], key: str, order: str, checkpoint: str) -> StreamingQuery:
     """Merge a stream of records into a table that read_old reads and write_new replaces.
 
-    write_new gets the batch's number, so that a batch that is run again can write to the same version.
+    Of a batch's records of one key the first by `order` counts, so a batch that is run again has the same result; write_new gets
+    its number, to write to the same version.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        write_new(upsert(read_old(), batch.dropDuplicates([key]), key), number)
+        write_new(upsert(read_old(), dedupe_records(batch, key, order).drop("duplicates").select(*batch.columns), key), number)
 
     return records.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

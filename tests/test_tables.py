@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caselake.operators import cases as C
-from caselake.operators import embed, evaluate, quality, search, similar
+from caselake.operators import embed, evaluate, quality, search, similar, stats
 from caselake.sources import io
 from caselake.streaming import ingest
 
@@ -68,7 +68,7 @@ def test_stream_ingest(spark, tmp_path):
         df.write.parquet(str(tmp_path / f"out{number}"))
         state["df"] = spark.read.parquet(str(tmp_path / f"out{number}"))
 
-    query = ingest.ingest(spark.readStream.schema(schema).json(str(tmp_path / "in")), lambda: state["df"], write, "k", str(tmp_path / "cp"))
+    query = ingest.ingest(spark.readStream.schema(schema).json(str(tmp_path / "in")), lambda: state["df"], write, "k", "created_at", str(tmp_path / "cp"))
     query.awaitTermination(60)
     assert sorted(map(tuple, state["df"].collect())) == [(1, "n", "then"), (2, "m", "now")]
 
@@ -185,3 +185,45 @@ def test_audits(spark):
     rec = spark.createDataFrame([(1, "A", "d", "t", "https://h/1", "x", "ok"), (2, "A", None, "t", "ftp://h", " ", "partial")], "seq long, case_number string, decision_date string, dispute_type string, pdf_url string, case_directory string, batch_status string")
     got = sorted(r.violation for r in quality.metadata_audit(rec, "https://h/").collect())
     assert got == ["duplicate_case_number", "missing_case_directory", "missing_decision_date", "unresolved_batch", "url_prefix"]
+
+
+def test_a_hot_type_is_several_files(spark, tmp_path):
+    df = spark.range(20_000).selectExpr("id AS case_id", "114 AS roc_year", "if(id % 10 = 0, concat('t', id % 3), 'hot') AS dispute_type", "sha2(cast(id AS string), 256) AS text")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200k")
+    try:
+        io.write_case_lake(df, str(tmp_path / "lake"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = lambda kind: len(list((tmp_path / "lake" / "roc_year=114" / f"dispute_type_part={kind}").glob("*.parquet")))
+    assert files("hot") > 2 and files("t0") == 1
+    assert spark.read.parquet(str(tmp_path / "lake")).count() == 20_000
+
+
+def test_hashed_vectors_against_plain_python(spark, sf, monkeypatch):
+    import hashlib
+    import math
+    import re
+
+    monkeypatch.setattr(embed, "CELLS", 500)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").where("doc_id % 7 = 0")
+    for r in embed.hash_embed(docs, "text", ["doc_id", "text"], 32).collect():
+        words = re.findall(r"[a-z0-9_]{2,}", r.text.lower()) or re.findall(r"\S", r.text.lower())
+        want = [0.0] * 32
+        for w in set(words):
+            bucket = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little") % 32
+            want[bucket] += 1 + math.log(words.count(w))
+        norm = math.sqrt(sum(x * x for x in want))
+        assert r.token_count == len(set(words)) and r.norm == pytest.approx(norm)
+        assert r.vector == pytest.approx([x / norm if norm else 0.0 for x in want], abs=1e-6)
+
+
+def test_counted_medians(spark):
+    import statistics
+
+    rows = [(n, "x" * k if k else None) for n, sizes in enumerate([[1, 2, 2, 9], [3], [0, 5, 7, 7, 7, 8]]) for k in sizes]
+    for n in range(3):
+        own = [r for r in rows if r[0] == n]
+        got = stats.summary_field_stats(spark.createDataFrame([(v,) for _, v in own], "a string"), ["a"]).first()
+        sizes = [len(v) for _, v in own if v]
+        assert (got.filled, got.min_chars, got.median_chars, got.avg_chars, got.max_chars) == (len(sizes), min(sizes), statistics.median(sizes), round(sum(sizes) / len(sizes), 2), max(sizes))
+    assert stats.summary_field_stats(spark.createDataFrame([(None,)], "a string"), ["a"]).first().filled == 0
