@@ -28,6 +28,8 @@ K1, B = 1.2, 0.75
 SEGMENT_DOCS = 16_384
 #: Queries that look at a segment together, postings in a bucket, and most buckets.
 TOGETHER, BUCKET_ROWS, BUCKETS = 64, 4_000_000, 256
+#: Terms that Spark looks for itself, so that only these leave it; of more of them, all of a text's terms do.
+IN_PLACE = 4096
 #: Segments that a query with a limit looks at first.
 FIRST = 2
 
@@ -36,14 +38,21 @@ def counted(docs: DataFrame, key: str, columns: list[str], vocabulary: DataFrame
     """(key, term, tf, length) for each distinct term of a document (of the vocabulary, a column `term`, if given), and a row without a
     term for every document. Terms are cut by Spark and counted where they are, so no row is made for a token."""
     terms = F.concat(*(T.search_terms(F.col(c).cast("string")) for c in columns))
-    rows = docs.select(key, terms.alias("terms"))
-    known = None if vocabulary is None else docs.sparkSession.sparkContext.broadcast(vocabulary.toArrow()["term"].combine_chunks())
+    known, kept = None, lambda t: t
+    if vocabulary is not None:
+        some = vocabulary.limit(IN_PLACE + 1).toArrow()["term"].combine_chunks()
+        if len(some) <= IN_PLACE:
+            kept = lambda t: F.filter(t, lambda x: x.isin(some.to_pylist()))
+        else:
+            known = docs.sparkSession.sparkContext.broadcast(vocabulary.toArrow()["term"].combine_chunks())
+    # as an array's element, so that the terms are cut once for both
+    both = F.transform(F.array(terms), lambda t: F.struct(kept(t).alias("terms"), F.size(t).cast("long").alias("length")))
+    rows = docs.select(key, F.get(both, 0).alias("b")).select(key, "b.terms", "b.length")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            column, n = batch.column(1), len(batch)
-            length = np.diff(column.offsets.to_numpy()).astype(np.int64)
-            values, row = column.flatten(), np.repeat(np.arange(n), length)
+            column, length, n = batch.column(1), batch.column(2).to_numpy(), len(batch)
+            values, row = column.flatten(), np.repeat(np.arange(n), np.diff(column.offsets.to_numpy()))
             if known is not None:
                 keep = pc.is_in(values, value_set=known.value)
                 values, row = values.filter(keep), row[keep.to_numpy(zero_copy_only=False)]

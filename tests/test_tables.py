@@ -195,7 +195,7 @@ def test_a_hot_type_is_several_files(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     files = lambda kind: len(list((tmp_path / "lake" / "roc_year=114" / f"dispute_type_part={kind}").glob("*.parquet")))
-    assert files("hot") > 2 and files("t0") == 1
+    assert files("hot") > 2 and min(files(f"t{k}") for k in range(3)) == 1
     assert spark.read.parquet(str(tmp_path / "lake")).count() == 20_000
 
 
