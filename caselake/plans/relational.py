@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import cases as C
 from ..operators import embed, evaluate, quality, search, stats
+from ..sources import stored
+from ..sources.shared import shared_folder
 from . import bindings as D
 from .bindings import with_sql
 
@@ -143,6 +145,20 @@ def upsert_cases(spark, sf):
     return C.upsert(old, new, "o_orderkey")
 
 
+@query(
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN (CASE WHEN o_orderkey % 4 <> 0 THEN 'X' END) ELSE o_orderstatus END AS o_orderstatus, round(o_totalprice, 2) AS price,
+ CASE WHEN o_orderkey % 3 <> 0 THEN 'old' ELSE 'new' END AS created_at FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0"""
+)
+def upsert_stored_cases(spark, sf):
+    """The merge into a stored table, in two batches."""
+    old, new = _orders(spark, sf)
+    path = shared_folder(spark, "stored-cases")
+    stored.create(old, path, "o_orderkey", 16)
+    for k in (0, 1):
+        stored.merge(new.where(F.col("o_orderkey") % 4 == 2 * k), path, batch=k)
+    return stored.read(spark, path)
+
+
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 5 = 0 THEN 'new' ELSE 'old' END AS version FROM lineitem")
 def replace_case_chunks(spark, sf):
     items = D.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
@@ -150,6 +166,17 @@ def replace_case_chunks(spark, sf):
     return C.replace_children(items.withColumn("version", F.lit("old")), new.withColumn("version", F.lit("new")), new, "l_orderkey")
 
 
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 5 = 0 THEN 'new' ELSE 'old' END AS version FROM lineitem")
+def replace_stored_chunks(spark, sf):
+    """The replacement in a stored table."""
+    items = D.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
+    new = items.where("l_orderkey % 5 = 0")
+    path = shared_folder(spark, "stored-chunks")
+    stored.create(items.withColumn("version", F.lit("old")), path, "l_orderkey", 16)
+    stored.replace(new.withColumn("version", F.lit("new")), new, path)
+    return stored.read(spark, path)
+
+
 @query(with_sql(D.VERSIONS) + "SELECT case_id, summary_id, review_status, review_status = 'approved' AS official FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY review_status = 'approved' DESC, generated_at DESC, imported_at DESC, summary_id) AS rn FROM versions WHERE review_status <> 'rejected') WHERE rn = 1")
 def latest_summary(spark, sf):
     return C.latest_summary(D.versions(spark, sf)).select("case_id", "summary_id", "review_status", "official")

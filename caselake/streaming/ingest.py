@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.cases import dedupe_records, upsert
+from ..sources import stored
 
 
 def ingest(records: DataFrame, read_old: Callable[[], DataFrame], write_new: Callable[[DataFrame, int], None], key: str, order: str, checkpoint: str) -> StreamingQuery:
@@ -21,3 +22,15 @@ def ingest(records: DataFrame, read_old: Callable[[], DataFrame], write_new: Cal
         write_new(upsert(read_old(), dedupe_records(batch, key, order).drop("duplicates").select(*batch.columns), key), number)
 
     return records.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ingest_stored(records: DataFrame, path: str, key: str, order: str, checkpoint: str) -> StreamingQuery:
+    """Merge a stream of records into a stored table (sources.stored): each batch reads and writes only the buckets it touches.
+
+    A batch's number stands in the version that it makes, so a batch that is run again after a failure is merged once.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        stored.merge(dedupe_records(batch, key, order).drop("duplicates").select(*batch.columns), path, batch=number)
+
+    return records.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

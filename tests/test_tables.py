@@ -227,3 +227,26 @@ def test_counted_medians(spark):
         sizes = [len(v) for _, v in own if v]
         assert (got.filled, got.min_chars, got.median_chars, got.avg_chars, got.max_chars) == (len(sizes), min(sizes), statistics.median(sizes), round(sum(sizes) / len(sizes), 2), max(sizes))
     assert stats.summary_field_stats(spark.createDataFrame([(None,)], "a string"), ["a"]).first().filled == 0
+
+
+def test_corpus_verify_reads_each_table_once(spark, tmp_path):
+    from caselake.operators import quality
+
+    def kept(rows, fields, name):
+        spark.createDataFrame(rows, fields).write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    cases = kept([(1,), (2,), (3,), (3,), (None,)], "case_id long", "cases")
+    chunks = kept([(10, 1, 5), (11, 1, 3), (12, 9, None), (None, None, 7)], "chunk_id long, case_id long, chunk_chars int", "chunks")
+    vectors = kept([(10, 4), (10, 4), (99, 5), (None, None)], "chunk_id long, dims int", "vectors")
+    other = kept([(1,), (2,)], "x int", "other")
+    made = quality.corpus_verify({"cases": (cases, 5), "vectors": (vectors, 3), "other": (other, 2)}, cases, chunks, vectors, 4)
+    got = {r["check"]: (r.actual, r.expected, r.passed) for r in made.collect()}
+    assert got == {
+        "count_cases": (5, 5, True), "count_vectors": (4, 3, False), "count_other": (2, 2, True), "cases_without_chunks": (4, 0, False),
+        "chunks_without_vectors": (3, 0, False), "shortest_chunk": (3, 4, False), "kinds_of_dims": (2, 1, False),
+    }
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 4
+    none = quality.corpus_verify({"cases": (cases.limit(0), 0)}, cases.limit(0), chunks.limit(0), vectors.limit(0))
+    assert [(r["check"], r.actual) for r in none.collect()] == [("count_cases", 0), ("cases_without_chunks", 0), ("chunks_without_vectors", 0), ("shortest_chunk", 0), ("kinds_of_dims", 0)]
