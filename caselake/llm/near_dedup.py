@@ -24,7 +24,8 @@ tables, never on the driver; the least id names a class.
 Defined results: null and empty texts have the same (empty) word sequence and form one class without near copies; a
 null id is the least; repeated rows share a class; ties between leaders go to the larger node; very long texts are
 compared whole; an empty table has no classes; other columns don't matter, whatever their names. A shingle's hash has 64
-bits, so two texts of a million shingles each share one by chance with a probability below 1e-7.
+bits, so two texts of a million shingles each share one by chance with a probability below 1e-7. Ids are integers, -2**63
+excepted (it stands for null); under ANSI rules an id of another type that is no integer is an error.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ holds for the specification below (NORMALIZER, PRE_TOKENIZER, added tokens as th
 
 Defined results: a null text is an empty text and holds the end id alone; rows of one id stand in the order of their
 text hashes, repeated rows one after the other; a null id comes first; a very long text stays in one file, whose blocks
-are read by themselves; an empty table gives no files; other columns don't matter, whatever their names.
+are read by themselves; an empty table gives no files; other columns don't matter, whatever their names. Ids are integers;
+under ANSI rules an id of another type that is no integer is an error.
 """
 
 from __future__ import annotations

@@ -24,7 +24,8 @@ shuffle, and only narrow rows join them back (Spark may split a hot key there).
 Defined results: a null or empty text has no words; texts below WINDOW words lose nothing; a very long text is parsed
 whole; the copies of a repeated row repeat each other, and have that row as reference; rows that share an id are told
 apart by their texts' hashes; a null id is a reference of null id; an empty table gives an empty table; clashing column
-names are harmless, since only the named columns are read.
+names are harmless, since only the named columns are read. Ids are integers, -2**63 excepted (it stands for null); under
+ANSI rules an id of another type that is no integer is an error.
 """
 
 from __future__ import annotations
