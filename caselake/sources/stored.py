@@ -15,7 +15,7 @@ number fails, as its folder is there already.
 Defined results: keys are unique (of repeated rows in a batch use `dedupe_records` first); rows with a null key never
 match, as in `upsert`; columns of a batch that the table lacks are ignored, those that it lacks itself are an error; an
 empty batch makes a new version with the same rows; an empty table can be stored; the column name PIECE is reserved.
-A bucket is one file and one task, so choose `buckets` so that one fits a task (some 200 MB of files); children of
+A bucket is one task and one file (a few after `replace`), so choose `buckets` so that one fits a task (some 200 MB of files); children of
 one parent share a bucket and stream through its task, they are never held together.
 """
 
