@@ -31,6 +31,8 @@ from .common import mapped, slices, text_bytes
 UNIT = 192
 PAD = 32
 ROW_MCUS = 64
+#: Bytes that are coded or decoded together, in whole MCUs and restart intervals; a longer interval is looked at alone.
+RUN_BYTES = 1 << 20
 MOST_ROWS = 8191  # of blocks: a JPEG side has 16 bits
 
 _VALUES = np.where(np.arange(256) < 128, np.arange(256) - 128, np.arange(256) - 127)
@@ -67,33 +69,41 @@ def _head(mcus: int, payload: int) -> tuple[bytes, int]:
 def encode(payloads: list[bytes]) -> list[bytes]:
     """One file for each payload; a payload's length is a positive multiple of 192."""
     heads = [_head(len(p) // UNIT, len(p)) for p in payloads]
-    full = b"".join(p + b" " * (n * UNIT - len(p)) for p, (_, n) in zip(payloads, heads, strict=True))
-    v = _NINE[np.frombuffer(full, np.uint8)].reshape(-1, 8)
+    full = np.frombuffer(b"".join(p + b" " * (n * UNIT - len(p)) for p, (_, n) in zip(payloads, heads, strict=True)), np.uint8)
+    first = np.concatenate([[0], np.cumsum([n for _, n in heads])])
+    made, begin, size = [], [], 0
+    for low in range(0, len(full) // UNIT, RUN_BYTES // UNIT):
+        part = full[low * UNIT : low * UNIT + RUN_BYTES // UNIT * UNIT]
+        mcu = np.arange(low, low + len(part) // UNIT)
+        in_image = mcu - first[np.searchsorted(first, mcu, side="right") - 1]
+        data, place = _scan_data(part, in_image)
+        begin += (size + place[in_image == 0]).tolist()
+        size += len(data)
+        made.append(data)
+    stored = np.concatenate(made) if made else np.zeros(0, np.uint8)
+    return [h + stored[a:b].tobytes() + b"\xff\xd9" for (h, _), a, b in zip(heads, begin, [*begin, size][1:], strict=True)]
+
+
+def _scan_data(payload: np.ndarray, in_image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stuffed bits of whole MCUs, with a restart marker before each but an image's first, and the place of each MCU."""
+    v = _NINE[payload].reshape(-1, 8)
     packed = np.empty((len(v), 9), np.uint8)
     packed[:, 0] = v[:, 0] >> 1
     for k in range(1, 8):
         packed[:, k] = (v[:, k - 1] << (8 - k)) & 0xFF | v[:, k] >> (k + 1)
     packed[:, 8] = v[:, 7] & 0xFF
     flat = packed.ravel()  # 216 bytes an MCU
-    stuffed = flat == 0xFF
-    counts = np.array([n for _, n in heads])
-    mcu = np.arange(len(flat) // 216)
-    first = np.concatenate([[0], np.cumsum(counts)])
-    in_image = mcu - np.repeat(first[:-1], counts)
     shift = np.zeros(len(flat) + 1, np.int64)
-    np.cumsum(stuffed, out=shift[1:])
-    marks = 2 * (mcu - np.repeat(np.arange(len(counts)), counts))  # restart markers before each MCU
+    np.cumsum(flat == 0xFF, out=shift[1:])
+    marks = 2 * np.cumsum(in_image > 0)
     place = np.arange(len(flat)) + shift[:-1] + np.repeat(marks, 216)
-    total = len(flat) + int(shift[-1]) + 2 * int((counts - 1).sum())
-    out = np.zeros(total, np.uint8)
+    out = np.zeros(len(flat) + int(shift[-1]) + int(marks[-1]), np.uint8)
     out[place] = flat
-    later = np.flatnonzero(in_image)
-    at = place[later * 216] - 2
-    out[at] = 0xFF
-    out[at + 1] = 0xD0 + (in_image[later] - 1) % 8
-    begin = place[first[:-1] * 216]
-    end = np.append(begin[1:], total)
-    return [h + out[a:b].tobytes() + b"\xff\xd9" for (h, _), a, b in zip(heads, begin.tolist(), end.tolist(), strict=True)]
+    place = place[::216]
+    later = in_image > 0
+    out[place[later] - 2] = 0xFF
+    out[place[later] - 1] = 0xD0 + (in_image[later] - 1) % 8
+    return out, place
 
 
 @dataclass
@@ -216,14 +226,8 @@ def decode(files: list[bytes]) -> list[tuple[Image, list[np.ndarray]]]:
         plans.append((order, parts))
     if not jobs:
         return [(image, []) for image in images]
-    data = np.concatenate(raw)
-    keep = np.ones(len(data), bool)
-    keep[1:] = ~((data[:-1] == 0xFF) & (data[1:] == 0))
-    first, last = np.concatenate(seg_first), np.concatenate(seg_bytes)
-    keep[first[first < len(data)]] = True  # a scan that begins with 0 after another's last byte
-    moved = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(keep, out=moved[1:])
-    bits = _read(data[keep], moved[first], moved[last], np.concatenate(seg_blocks), np.concatenate(seg_job), plans)
+    data = raw[0] if len(raw) == 1 else np.concatenate(raw)
+    bits = _read(data, np.concatenate(seg_first), np.concatenate(seg_bytes), np.concatenate(seg_blocks), np.concatenate(seg_job), plans)
     out: list[tuple[Image, list[np.ndarray]]] = [(image, []) for image in images]
     at = 0
     for (k, _), n in zip(jobs, blocks, strict=True):
@@ -233,8 +237,7 @@ def decode(files: list[bytes]) -> list[tuple[Image, list[np.ndarray]]]:
 
 
 def _read(data, first, last, seg_blocks, seg_job, plans) -> np.ndarray:
-    wide = np.concatenate([data, np.full(8, 0xFF, np.uint8)]).astype(np.int64)
-    five = wide[:-7] << 32 | wide[1:-6] << 24 | wide[2:-5] << 16 | wide[3:-4] << 8 | wide[4:-3]
+    """Coefficients of all restart intervals, which lie at bytes first to last of the scans' stuffed data."""
     names: dict[bytes, int] = {}
     longest = max(len(order) for order, _ in plans)
     shape = (len(plans), longest)
@@ -247,9 +250,25 @@ def _read(data, first, last, seg_blocks, seg_job, plans) -> np.ndarray:
             ac_table[j, b] = names.setdefault(parts[p][2], len(names))
     lut = np.concatenate([_lookup(t) for t in names])
     out = np.zeros((int(seg_blocks.sum()), 64), np.int16)
-    flat = out.ravel()
-    block = np.concatenate([[0], np.cumsum(seg_blocks)[:-1]])
-    stop = block + seg_blocks
+    block = np.concatenate([[0], np.cumsum(seg_blocks)])
+    for i, j in slices(np.append(first, last[-1]), RUN_BYTES):
+        begin = first[i]
+        part_data = data[begin : last[j - 1]]
+        keep = np.ones(len(part_data), bool)
+        keep[1:] = ~((part_data[:-1] == 0xFF) & (part_data[1:] == 0))
+        starts = first[i:j] - begin
+        keep[starts[starts < len(part_data)]] = True  # an interval that begins with 0 after another's last byte
+        moved = np.zeros(len(part_data) + 1, np.int64)
+        np.cumsum(keep, out=moved[1:])
+        spans = moved[starts], moved[last[i:j] - begin]
+        _read_run(out.ravel(), part_data[keep], *spans, block[i:j], block[i + 1 : j + 1], seg_job[i:j], lut, part, dc_table, ac_table, cycle)
+    return out
+
+
+def _read_run(flat, data, first, last, block, stop, seg_job, lut, part, dc_table, ac_table, cycle) -> None:
+    """Decode intervals in lockstep into flat, blocks `block` to `stop` of it each; data is free of stuffing."""
+    wide = np.concatenate([data, np.full(8, 0xFF, np.uint8)]).astype(np.int64)
+    five = wide[:-7] << 32 | wide[1:-6] << 24 | wide[2:-5] << 16 | wide[3:-4] << 8 | wide[4:-3]
     bit, end = first * 8, last * 8
     job, turn, k = seg_job, np.zeros(len(first), int), np.zeros(len(first), int)
     before = np.zeros((len(first), 4), np.int64)
@@ -286,7 +305,6 @@ def _read(data, first, last, seg_blocks, seg_job, plans) -> np.ndarray:
             on = block < stop
             if not on.all():
                 row, bit, end, job, turn, k, block, stop = (x[on] for x in (row, bit, end, job, turn, k, block, stop))
-    return out
 
 
 def thumbnail(image: Image, scans: list[np.ndarray]) -> np.ndarray:
@@ -320,10 +338,15 @@ def feature(image: Image, thumb: np.ndarray) -> str:
 
 def payload_of(image: Image, scans: list[np.ndarray]) -> bytes:
     """The bytes that `encode` stored."""
-    v = scans[0].ravel()
-    if (v == 0).any() or not image.comment.startswith(b"payload "):
+    v, out = scans[0].ravel(), np.empty(scans[0].size, np.uint8)
+    if not image.comment.startswith(b"payload "):
         raise ValueError("this file holds no payload")
-    return np.where(v < 0, v + 128, v + 127).astype(np.uint8)[: int(image.comment[8:])].tobytes()
+    for i in range(0, len(v), RUN_BYTES):
+        part = v[i : i + RUN_BYTES]
+        if (part == 0).any():
+            raise ValueError("this file holds no payload")
+        out[i : i + RUN_BYTES] = part + 127 + (part < 0)
+    return out[: int(image.comment[8:])].tobytes()
 
 
 def with_media(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

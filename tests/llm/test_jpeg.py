@@ -1,5 +1,6 @@
 import hashlib
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -21,6 +22,19 @@ def test_table_round_trip(spark, sf):
         assert r.tail_crc32 == zlib.crc32(payload[-16:])
 
 
+def test_a_very_long_text_takes_memory_in_proportion():
+    text = b"".join(b"line %d of a very long text\n" % i for i in range(1_000_000))
+    text += b" " * (-len(text) % 192)
+    tracemalloc.start()
+    try:
+        (media,) = jpeg.encode([text])
+        ((image, scans),) = jpeg.decode([media])
+        assert jpeg.payload_of(image, scans) == text
+        assert tracemalloc.get_traced_memory()[1] < 6 * len(text)
+    finally:
+        tracemalloc.stop()
+
+
 def test_edges(spark):
     rows = [(1, None, 1), (2, "", 1), (2, "", 1), (3, "é" * 96, 1), (4, "x" * 200_000, 1), (None, "ÿ\x00" * 500, 1)]
     got = jpeg.with_features(jpeg.with_media(spark.createDataFrame(rows, "doc_id long, text string, media int"))).collect()
@@ -40,6 +54,19 @@ def test_all_byte_values_and_sizes():
         jpeg.decode([files[0][:300] + b"\xff\xd9"])
 
 
+@pytest.mark.parametrize("most", [192, 500, 4000])
+def test_runs_do_not_show(monkeypatch, most):
+    rng = np.random.default_rng(2)
+    payloads = [rng.integers(0, 256, 192 * n, np.uint8).tobytes() for n in (1, 40, 3, 1, 90)]
+    whole = jpeg.encode(payloads)
+    sub = sparse(rng, 54)
+    others = [other_encoder(sub, [0, 0, 0, 0, 1, 2], 3, 48, 33, i, [0x22, 0x11, 0x11]) for i in (0, 2, 4)]
+    monkeypatch.setattr(jpeg, "RUN_BYTES", most)
+    assert jpeg.encode(payloads) == whole and jpeg.encode([]) == []
+    assert [jpeg.payload_of(*x) for x in jpeg.decode(whole)] == payloads
+    assert all((scans[0] == sub).all() for _, scans in jpeg.decode(others))
+
+
 def other_encoder(coefficients, order, parts, width, height, interval, sampling, separate=False):
     """A plain bit-by-bit writer with zero runs, end-of-block codes and a 16-long code table."""
     symbols = [0x00, 0xF0, *range(1, 12), *(r << 4 | s for r in range(1, 16) for s in (1, 2, 3))]
