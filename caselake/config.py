@@ -169,30 +169,33 @@ class Statements:
     compensation_score: int = 30
 
 
+#: A section's number, a fixed value.
+NUMBER = "[一二三四五六七八九十百零〇0-9]+"
+
+
 @dataclass(frozen=True)
 class Display:
-    """What a shown statement leaves out of its source text, by section; N stands for a section's number."""
+    """What a shown statement leaves out of its source text, by section."""
 
     # fixed values: labels at the start, taken off one after the other
-    number: str = "[一二三四五六七八九十百零〇0-9]+"
     starts: dict = field(
         default_factory=lambda: {
             "holding": ("主文[：:]?",),
-            "applicant_claim": (r"(?:N、\s*)?申請人之?主張[：:]", r"[（(]N[）)]\s*(?:請求標的|請求事項|陳述)[：:]", r"\d+[.、]", "[（(]N[）)]"),
-            "respondent_claim": (r"(?:N、\s*)?相對人之?主張[：:]", r"[（(]N[）)]\s*(?:請求標的|請求事項|陳述)[：:]", r"\d+[.、]", "[（(]N[）)]"),
-            "undisputed_facts": (r"(?:N、\s*)?(?:兩造)?不爭執(?:之事實|事項)?[：:]", "[（(]N[）)]"),
-            "issues": (r"(?:N、\s*)?本件爭點[：:]", "[（(]N[）)]"),
-            "reasoning": (r"(?:N、\s*)?判斷理由[：:]", r"(?:[（(]N[）)]|\d+[.、])"),
-            "conclusion": (r"(?:N、\s*)?據上論結[，,:：]?", r"(?:N、\s*)?綜上所述[，,:：]?"),
-            "disposition": ("主文[：:]?", r"(?:N、\s*)?據上論結[，,:：]?"),
+            "applicant_claim": (rf"(?:{NUMBER}、\s*)?申請人之?主張[：:]", rf"[（(]{NUMBER}[）)]\s*(?:請求標的|請求事項|陳述)[：:]", r"\d+[.、]", f"[（(]{NUMBER}[）)]"),
+            "respondent_claim": (rf"(?:{NUMBER}、\s*)?相對人之?主張[：:]", rf"[（(]{NUMBER}[）)]\s*(?:請求標的|請求事項|陳述)[：:]", r"\d+[.、]", f"[（(]{NUMBER}[）)]"),
+            "undisputed_facts": (rf"(?:{NUMBER}、\s*)?(?:兩造)?不爭執(?:之事實|事項)?[：:]", f"[（(]{NUMBER}[）)]"),
+            "issues": (rf"(?:{NUMBER}、\s*)?本件爭點[：:]", f"[（(]{NUMBER}[）)]"),
+            "reasoning": (rf"(?:{NUMBER}、\s*)?判斷理由[：:]", rf"(?:[（(]{NUMBER}[）)]|\d+[.、])"),
+            "conclusion": (rf"(?:{NUMBER}、\s*)?據上論結[，,:：]?", rf"(?:{NUMBER}、\s*)?綜上所述[，,:：]?"),
+            "disposition": ("主文[：:]?", rf"(?:{NUMBER}、\s*)?據上論結[，,:：]?"),
         }
     )
     # fixed values: labels of later points, right after the end of a sentence
     within: dict = field(
         default_factory=lambda: {
-            "applicant_claim": (r"[（(]N[）)]\s*(?:請求標的|請求事項|陳述)[：:]\s*(?:\d+[.、])?", r"\d+[.、]"),
-            "respondent_claim": (r"[（(]N[）)]\s*(?:請求標的|請求事項|陳述)[：:]\s*(?:\d+[.、])?", r"\d+[.、]"),
-            "issues": ("[（(]N[）)]",),
+            "applicant_claim": (rf"[（(]{NUMBER}[）)]\s*(?:請求標的|請求事項|陳述)[：:]\s*(?:\d+[.、])?", r"\d+[.、]"),
+            "respondent_claim": (rf"[（(]{NUMBER}[）)]\s*(?:請求標的|請求事項|陳述)[：:]\s*(?:\d+[.、])?", r"\d+[.、]"),
+            "issues": (f"[（(]{NUMBER}[）)]",),
         }
     )
     # fixed values: how a continued sentence begins, by section; closing formulas; characters that don't tell texts apart; restated issues; outcomes; policy history

@@ -11,6 +11,7 @@ from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from ..config import Chunking, Sections, Statements
 from ..functions import text as T
 
 SECTION = "array<struct<section_id:string,section_type:string,title:string,heading:string,content:string,position:int,char_count:int,start_offset:int,end_offset:int>>"
-CHUNK = "array<struct<chunk_index:int,section_hint:string,chunk_text:string,char_start:int,char_end:int,chunk_chars:int>>"
+CHUNK = {"chunk_index": "int", "section_hint": "string", "chunk_text": "string", "char_start": "int", "char_end": "int", "chunk_chars": "int"}
 PIECE = "array<struct<part_index:int,start_offset:int,end_offset:int,text:string>>"
 
 
@@ -34,6 +35,42 @@ def _each(fn: Callable, kind: str) -> Callable[..., Column]:
     return apply
 
 
+#: Characters of results that a task gathers before it hands them on.
+OUT_CHARS = 1 << 22
+
+
+def _rows_of(df: DataFrame, keep: list[str], text: Column, cut: Callable, fields: dict[str, str], size: Callable) -> DataFrame:
+    """`keep` and a row (fields) for each part that cut finds in a text; size gives the characters of a part.
+
+    The parts leave a task as flat Arrow columns, so neither nested values nor an explode stand between.
+    """
+    given = df.select(*keep, text.alias("__text"))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1]), *(f"{n} {t}" for n, t in fields.items())])
+    kinds = [pa.int32() if t == "int" else pa.string() for t in fields.values()]
+
+    def batches(it):
+        for batch in it:
+            at, made, chars = [], [], 0
+
+            def block():
+                rows = pa.array(at, pa.int32())
+                columns = [pa.array([part[n] for part in made], t) for n, t in zip(fields, kinds, strict=True)]
+                return pa.RecordBatch.from_arrays([*(batch.column(k).take(rows) for k in range(len(keep))), *columns], names=[*keep, *fields])  # noqa: B023
+
+            for n in range(batch.num_rows):
+                for part in cut(batch.column(len(keep))[n].as_py()):
+                    at.append(n)
+                    made.append(part)
+                    chars += size(part)
+                    if chars >= OUT_CHARS:
+                        yield block()
+                        at, made, chars = [], [], 0
+            if at:
+                yield block()
+
+    return given.mapInArrow(batches, schema)
+
+
 def cut_sections(text: str | None, rules: Sections = Sections()) -> list[dict]:
     """Contiguous slices of the text from one top heading to the next; the first heading of a type counts."""
     text = text or ""
@@ -185,10 +222,16 @@ def section_coverage(sections: DataFrame, texts: DataFrame, key: str, text: str)
 
 
 def chunk_documents(df: DataFrame, text: str, case: str, keep: list[str] | None = None, rules: Chunking = Chunking()) -> DataFrame:
-    """`keep` (the case by default), chunk_id and the chunk's columns, a row for each chunk."""
+    """`keep` (the case by default), chunk_id and the chunk's columns, a row for each chunk; null and empty texts have none.
+
+    Columns of the chunks' names, or twice the same one, can't be kept; other columns of df don't matter.
+    """
     keep = keep or [case]
-    cut = df.select(*keep, F.explode(_each(lambda t: cut_chunks(t, rules), CHUNK)(T.chunk_source(F.col(text)))).alias("__c"))
-    return cut.select(*keep, T.chunk_id(F.col(case), F.col("__c.chunk_index")).alias("chunk_id"), "__c.*")
+    low = [c.lower() for c in keep]
+    if clash := {c for c in low if low.count(c) > 1} | ({"chunk_id", *CHUNK} & set(low)):
+        raise ValueError(f"columns named {sorted(clash)} can't be kept")
+    cut = _rows_of(df, keep, T.chunk_source(F.col(text)), lambda t: cut_chunks(t, rules), CHUNK, lambda c: c["chunk_chars"])
+    return cut.select(*keep, T.chunk_id(F.col(case), F.col("chunk_index")).alias("chunk_id"), *CHUNK)
 
 
 def hint_asof(chunks: DataFrame, marks: DataFrame, case: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -254,3 +255,19 @@ def test_history_of_the_policy_is_shown_once(spark):
     df = spark.createDataFrame([(k, [("s", t, t) for t in a], [("s", t, t) for t in b]) for k, a, b in rows], f"id int, a {item}, b {item}")
     got = {r.id: [x.shown for x in r.kept] for r in df.select("id", X._without_history(F.col("a"), F.col("b"), Statements(), Display()).alias("kept")).collect()}
     assert got == {1: [claim], 2: [history], 3: [claim, history], 4: []}
+
+
+def test_chunk_rows_in_small_blocks(spark, monkeypatch):
+    texts = [None, "", "a" * 30, ("Ein Satz steht hier. " * 200), "x\n" * 900, "b. " * 700]
+    rows = [(n if n else None, t, Decimal("1.50"), [n]) for n, t in enumerate(texts)] * 2
+    df = spark.createDataFrame(rows, "case long, body string, price decimal(6,2), chunk_text array<int>").coalesce(1)
+    rules = Chunking(marks="\n.;", hints=())
+    want = sorted((n, c["chunk_index"], c["chunk_text"], c["char_start"], c["char_end"]) for n, t in enumerate(texts) for c in S.cut_chunks((df.sparkSession.createDataFrame([(t,)], "t string").select(T.chunk_source(F.col("t"))).first()[0]), rules))
+    for most in (1, 1 << 22):
+        monkeypatch.setattr(S, "OUT_CHARS", most)
+        got = S.chunk_documents(df, "body", "case", ["case", "price"], rules).collect()
+        assert sorted((r.case, r.chunk_index, r.chunk_text, r.char_start, r.char_end) for r in got) == sorted(want * 2)
+        assert {r.price for r in got} == {Decimal("1.50")}
+    assert S.chunk_documents(df.limit(0), "body", "case").count() == 0
+    with pytest.raises(ValueError):
+        S.chunk_documents(df, "body", "case", ["case", "chunk_text"], rules)
