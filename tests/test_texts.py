@@ -74,6 +74,8 @@ def test_cited_laws(spark):
     text = "依保險法第 54 條第 2 項，及保單條款第 3 條、附約第5條。保險法第54條第2項。民法第 一百\n八十四條"
     assert one(spark, text, T.cited_laws) == ["保險法第 54 條第 2 項"]
     assert one(spark, "民法第1條 民法第2條 刑法第3條", lambda c: T.cited_laws(c, most=2)) == ["民法第1條", "民法第2條"]
+    assert one(spark, "，".join(f"民法第{k % 7} 條" for k in range(4000)) + "，民法第2條", T.cited_laws) == [f"民法第{k} 條" for k in range(7)]
+    assert str(T.cited_laws(F.col("t"))).count("regexp_extract_all") == 1  # a text is searched once and not once for each citation
 
 
 def test_statement_filters(spark):
