@@ -1,4 +1,5 @@
 import datetime
+import re
 from decimal import Decimal
 
 import pytest
@@ -180,6 +181,24 @@ def test_reasoning_statements(spark):
     assert got == {"從而申請人請求相對人給付保險金三十萬元即屬有據，應予准許。": 17, "均無法確認其於事故當時之健康狀況為何，足認相對人抗辯不可採。": 6}
 
 
+def test_reasoning_statements_take_no_source_along(spark):
+    """Of texts of any shape the sentences that the plain expression finds, without Python and without a copy of the text for each."""
+    bits = ["從而" + "甲" * 350 + "。", "乙" * 19 + "。", "從而" + "丙" * 18 + "；", "𠮷" * 299 + "從而。", "「從而" + "丁" * 298 + "」。", "均無法確認" + "足認" + "戊" * 20 + "。", "己" * 30 + "，" + "均無法確認" + "足認" + "戊" * 20 + "。", "從而" + "庚" * 5000]
+    texts = ["".join(bits[(k * 5 + j * (k % 3 + 1)) % 8] for j in range(6)) for k in range(12)]
+    cut = spark.createDataFrame([(k, "r", "reasoning", "t", x, 0) for k, x in enumerate(texts)], "case_id long, section_id string, section_type string, title string, content string, start_offset int")
+    found = X.reasoning_statements(cut, "case_id")
+    want = set()
+    for k, x in enumerate(texts):
+        for place, m in enumerate(re.findall("[^。！？；]{20,300}[。！？；]", x)):
+            if m.startswith("均無法確認"):
+                start = max(x.rfind(c, 0, x.index(m)) for c in "。；") + 1
+                m = x[start : x.index(m) + len(m)] if x.index(m) + len(m) - start <= 300 else m
+            if re.search("從而|足認", m) and m.count("「") == m.count("」"):
+                want.add((k, place, m))
+    assert want and {(r.case_id, r.place, r.text) for r in found.collect()} == want
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_dedup_and_balance(spark):
     rows = [(1, k, c, q, q, False, 0, False, False) for k, (c, q) in enumerate([("reasoning", "甲乙"), ("background", "甲乙丙"), ("reasoning", "甲乙丙丁"), ("reasoning", "戊"), *[("core_issue", f"爭點{k}號") for k in range(6)]])]
     df = spark.createDataFrame(rows, "case_id long, ordinal int, category string, text string, quote string, rule_based boolean, signal_score int, party boolean, fallback boolean")
