@@ -41,3 +41,8 @@ def test_packets_of_documents_are_those_of_their_sections(spark, sf):
     whole = cut.where("section_type = 'holding'").select("doc_id", "section_id", "start_offset", "end_offset", "content").orderBy("doc_id", "section_id").collect()
     got = made.where("part_index = 0").select("doc_id", "section_id", "start_offset", "end_offset", "text").orderBy("doc_id", "section_id").collect()
     assert whole and [tuple(r) for r in got] == [tuple(r) for r in whole]
+
+
+def test_a_summary_cuts_its_texts_once(spark, sf):
+    """Sentences of parties, overlaps and shown items each need a worker; sections and packets were cut anew by each of their readers."""
+    assert workers(registry.QUERIES["extractive_summary"](spark, sf)) == 3
