@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 from caselake.config import Similarity
@@ -47,3 +48,14 @@ def test_all_cases_against_plain_loops(spark, types, block, monkeypatch):
 def test_rules_without_a_decisive_type_are_refused(spark):
     with pytest.raises(ValueError, match="common type"):
         similar.similar_cases_topk(None, None, 5, Similarity(same_type=40))
+
+
+def test_blocks_are_compared_in_steps():
+    """Two blocks of 2048 rows met as one matrix of eight bytes a pair and several copies of it, from an object for each row."""
+    for left, right in ((2048, 2048), (5000, 1), (3, 1 << 20), (1, 0)):
+        steps = [range(left)[s] for s in similar._steps(left, right)]
+        assert [k for s in steps for k in s] == list(range(left))
+        assert all(len(s) == 1 or len(s) * right <= similar.CELLS for s in steps)
+    rows = pa.array([[{"a": 1, "b": "x"}, {"a": 2, "b": None}], [{"a": 3, "b": "y"}]])
+    got = [(x.to_pydict(), y["a"].to_pylist()) for x, y in similar._block_pairs(pa.record_batch({"left": rows, "right": rows}))]
+    assert got == [({"a": [1, 2], "b": ["x", None]}, [1, 2]), ({"a": [3], "b": ["y"]}, [3])]
