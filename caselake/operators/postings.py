@@ -30,10 +30,33 @@ SEGMENT_DOCS = 16_384
 TOGETHER, BUCKET_ROWS, BUCKETS = 64, 4_000_000, 256
 #: Terms that Spark looks for itself, so that only these leave it; of more of them, all of a text's terms do.
 IN_PLACE = 4096
+#: Terms of a batch that are counted together, whatever the size of Spark's batches.
+COUNTED = 65_536
 #: Segments that a query with a limit looks at first.
 FIRST = 2
 
 
+def term_rows(batch: pa.RecordBatch, known: pa.Array | None = None) -> Iterator[pa.RecordBatch]:
+    """(key, term, tf, length) of a batch of (key, terms, length), made from at most COUNTED terms at a time, or from one longer text."""
+    terms, ends, start = batch.column(1).flatten(), batch.column(1).offsets.to_numpy().astype(np.int64), 0
+    ends -= ends[0]
+    if known is not None:
+        keep = pc.is_in(terms, value_set=known)
+        terms, ends = terms.filter(keep), np.concatenate([[0], np.cumsum(keep.to_numpy(zero_copy_only=False))])[ends]
+    while start < len(batch):
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + COUNTED, "right")) - 1)
+        part, own, n = batch.slice(start, stop - start), ends[start : stop + 1], stop - start
+        coded, row, length = terms.slice(own[0], own[-1] - own[0]).dictionary_encode(), np.repeat(np.arange(n), np.diff(own)), part.column(2).to_numpy()
+        width = max(1, len(coded.dictionary))
+        cell, tf = np.unique(row * width + coded.indices.to_numpy(), return_counts=True)
+        row, code = np.divmod(cell, width)
+        row = np.concatenate([row, np.arange(n)])
+        none = pa.nulls(n, pa.string())
+        term = pa.concat_arrays([coded.dictionary.take(pa.array(code)).cast(pa.string()), none])
+        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), term, pa.array(np.concatenate([tf, np.zeros(n, np.int64)])), pa.array(length[row])], names=[batch.schema.names[0], "term", "tf", "length"])
+        start = stop
+
+
 def counted(docs: DataFrame, key: str, columns: list[str], vocabulary: DataFrame | None = None) -> DataFrame:
     """(key, term, tf, length) for each distinct term of a document (of the vocabulary, a column `term`, if given), and a row without a
     term for every document. Terms are cut by Spark and counted where they are, so no row is made for a token."""
@@ -51,19 +74,7 @@ def counted(docs: DataFrame, key: str, columns: list[str], vocabulary: DataFrame
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            column, length, n = batch.column(1), batch.column(2).to_numpy(), len(batch)
-            values, row = column.flatten(), np.repeat(np.arange(n), np.diff(column.offsets.to_numpy()))
-            if known is not None:
-                keep = pc.is_in(values, value_set=known.value)
-                values, row = values.filter(keep), row[keep.to_numpy(zero_copy_only=False)]
-            coded = values.dictionary_encode()
-            width = max(1, len(coded.dictionary))
-            cell, tf = np.unique(row * width + coded.indices.to_numpy(), return_counts=True)
-            row, code = np.divmod(cell, width)
-            row = np.concatenate([row, np.arange(n)])
-            none = pa.nulls(n, pa.string())
-            term = pa.concat_arrays([coded.dictionary.take(pa.array(code)).cast(pa.string()), none])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), term, pa.array(np.concatenate([tf, np.zeros(n, np.int64)])), pa.array(length[row])], names=[key, "term", "tf", "length"])
+            yield from term_rows(batch, known.value if known is not None else None)
 
     return rows.mapInArrow(batches, f"`{key}` {rows.schema[key].dataType.simpleString()}, term string, tf long, length long")
 

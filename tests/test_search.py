@@ -1,7 +1,10 @@
 import math
 import random
 import re
+import tracemalloc
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +58,37 @@ def test_postings_against_plain_loops(spark, segment, monkeypatch):
         assert len(got) < len(want)  # some segments were not looked at
 
 
+@pytest.mark.parametrize("known", [None, ["the", "frost", "nowhere"]])
+def test_terms_are_counted_in_bounded_pieces(known, monkeypatch):
+    monkeypatch.setattr(postings, "COUNTED", 20)
+    rng = random.Random(3)
+    texts = [rng.choices(WORDS, k=rng.choice([0, 0, 3, 9, 20, 21, 50])) for _ in range(80)] + [[]]
+    whole = pa.record_batch({"id": pa.array(range(81)), "terms": pa.array(texts, pa.list_(pa.string())), "length": pa.array([len(t) for t in texts])})
+    for first, batch in ((0, whole), (7, whole.slice(7, 60)), (0, whole.slice(0, 0)), (80, whole.slice(80))):
+        parts = list(postings.term_rows(batch, pa.array(known) if known else None))
+        got = sorted((tuple(r.values()) for p in parts for r in p.to_pylist()), key=str)
+        mine = [(first + k, t) for k, t in enumerate(texts[first : first + len(batch)])]
+        want = [(k, w, n, len(t)) for k, t in mine for w, n in Counter(t).items() if not known or w in known] + [(k, None, 0, len(t)) for k, t in mine]
+        assert got == sorted(want, key=str)
+        many = [Counter(p.column("id").to_pylist()) for p in parts]
+        assert all(len(m) == 1 or sum(n for n in p.column("tf").to_pylist()) <= 20 for m, p in zip(many, parts))
+
+
+def test_counting_holds_no_more_for_a_large_batch():
+    """A batch of Spark's 64 MB made ten times of this in a worker."""
+
+    def most(texts):
+        batch = pa.record_batch({"id": pa.array(range(texts)), "terms": pa.array([[f"w{k % 97}" for k in range(1000)]] * texts), "length": pa.array([1000] * texts)})
+        tracemalloc.start()
+        try:
+            return sum(len(p) for p in postings.term_rows(batch)), tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    (few, small), (many, large) = most(100), most(2000)
+    assert few == 100 * 98 and many == 2000 * 98 and large < 2 * small
+
+
 def test_only_the_terms_own_buckets_are_read(spark, monkeypatch):
     monkeypatch.setattr(postings, "BUCKET_ROWS", 100)
     docs, _ = corpus(spark, 200)
