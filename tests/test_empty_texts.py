@@ -11,7 +11,7 @@ from caselake.operators import embed
 from caselake.plans import registry
 from caselake.sources import io
 
-TEXTS = ["", "", None, "the agreement went on\nand on", "ent", " the cat sat. ", "a" * 80 + "ent" + "b" * 80]
+TEXTS = ["", " \n", None, "the agreement went on\nand on", "ent", " the cat sat. ", "...", "s" * 34 + "--- page 12 --- and more", "a" * 80 + "ent" + "b" * 80]
 
 
 @pytest.fixture(scope="module")
@@ -90,3 +90,7 @@ def test_a_count_of_zero_stays(spark):
     records = made.select(F.col("k").cast("string").alias("case_number"), "text", "text_extraction", *(F.lit(None).cast(io.RECORD[n].dataType).alias(n) for n in others if n != "case_number"))
     got = {int(r.case_number): r for r in io.flatten_record(records).collect()}
     assert [got[k].raw_text_chars for k in range(7)] == [got[k].page_count for k in range(7)] == [9, 7, 0, 0, 0, None, None]
+
+
+def test_evidence_grounding(spark, folder):
+    compare(spark, folder, "evidence_grounding")
